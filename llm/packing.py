@@ -156,6 +156,13 @@ PLACES = "item long, bin long, offset long, fill long, open boolean"
 _NAMES = ["item", "bin", "offset", "fill", "open"]
 
 
+def _node(level: int, capacity: int):
+    def merged(bins: pa.Table) -> pa.Table:
+        return pa.table([pa.array(c) for c in _packed(bins["bin"].to_numpy(), bins["fill"].to_numpy(), bins["node"][0].as_py(), level, capacity)], _NAMES)
+
+    return merged
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, sequence_id, offset) for ``items(item long, length long)``, whose partitions must not change when computed again."""
 
@@ -173,13 +180,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         level += 1
         nodes = -(-nodes // FAN)
 
-        def merged(bins: pa.Table, level=level) -> pa.Table:
-            at = bins["node"][0].as_py()
-            return pa.table([pa.array(c) for c in _packed(bins["bin"].to_numpy(), bins["fill"].to_numpy(), at, level, capacity)], _NAMES)
-
-        merged.__annotations__ = {"bins": pa.Table, "return": pa.Table}
         under = placed.where("open").select("bin", "fill", F.expr(f"((bin >> 32) & 67108863) div {FAN}").alias("node")).distinct()
-        placed = checkpointed(under.groupBy("node").applyInArrow(merged, PLACES))
+        placed = checkpointed(under.groupBy("node").applyInArrow(_node(level, capacity), PLACES))
         up = placed.select(F.col("item").alias("bin"), F.col("bin").alias("into"), F.col("offset").alias("shift"))
         final = final.join(up, "bin", "left").select("item", F.coalesce("into", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
         if nodes == 1:
