@@ -6,9 +6,11 @@ common in the corpus last. Two sets of similarity t or more share an element amo
 
 1. One scan adds up a sketch of shingle counts (fixed size; it only fixes the order, never the result) and
    takes each document's set size and signature; equal sets form a class, represented by its smallest id.
-2. One scan emits prefix elements. Each task first combines its own documents: of a run of compatible sizes
-   one leader travels on, so an element held by a third of all documents sends a row a task, not one a document.
-3. Components of the leader edges are groups outside which no link can exist. Groups above ``block`` documents are
+2. One scan emits prefix elements. Documents of compatible sizes that share one form a run. In a short run they meet
+   pair by pair; a pair goes on only if it shares as many prefix elements as a link needs. In a long run each is tied
+   to a leader instead. Each task first combines its own long runs, so an element held by a third of all
+   documents sends a few rows a task, not one a document, and no pairs.
+3. Components of these ties are groups outside which no link can exist. Groups above ``block`` documents are
    cut by size bands and hashed chunks into pairs of chunks, each a task of its own, so no group is
    gathered whole; size bands that can't link are never paired.
 4. In each block the sets form a trie, which all members walk together (``llm.trie``): this decides each pair exactly
@@ -41,6 +43,10 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 FILTER_BITS = 1 << 23
 #: Documents of a block.
 BLOCK = 512
+#: Documents of compatible sizes that share a prefix element meet pair by pair up to this number, beyond it in a group.
+SHORT_RUN = 8
+#: Kinds of rows that the reducers give.
+EDGE, TOKENS, PAIR = 0, 1, 2
 #: Probes that walk a trie together, times vocabulary.
 CELLS = 1 << 24
 
@@ -98,27 +104,38 @@ def _packed(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterato
             yield k, [c[bound[k] : bound[k + 1]].tobytes() for c in columns]
 
 
-def _runs(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Merge intervals of one token whose sizes could link: (token, lo, hi, leader) of each run, and (doc, leader) edges."""
+def _runs(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted rows, and first row and length of each run: rows of one token that sizes which could link hold together."""
     order = np.lexsort((lo, token))
-    token, lo, hi, doc = token[order], lo[order], hi[order], doc[order]
+    token, lo, hi, doc, count = token[order], lo[order], hi[order], doc[order], count[order]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     reach = np.maximum.accumulate((np.cumsum(new) << 40) + hi) & ((1 << 40) - 1)
     new[1:] |= reach[:-1] * WHOLE < lo[1:] * PART
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(token)))
-    leader = np.minimum.reduceat(doc, first)
-    each = np.repeat(leader, size)
-    other = each != doc
-    edges = np.unique(np.stack([doc[other], each[other]], 1), axis=0)
-    return token[first], lo[first], np.maximum.reduceat(hi, first), leader, edges
+    return token, lo, hi, doc, count, first, np.diff(np.append(first, len(token)))
+
+
+def _counted(*columns: np.ndarray) -> np.ndarray:
+    """Distinct rows of the columns, with how often each occurs."""
+    rows = np.stack(columns, 1)
+    rows = rows[np.lexsort(columns[::-1])]
+    first = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)]) if len(rows) else np.zeros(0, np.int64)
+    return np.column_stack([rows[first], np.diff(np.append(first, len(rows)))])
+
+
+def _notes(doc: np.ndarray, leader: np.ndarray) -> np.ndarray:
+    """Rows kind, a, b, c for the members of long runs: an edge to the leader, and a token counted for the member."""
+    edges, tokens = _counted(doc, leader), _counted(doc)
+    edges = edges[edges[:, 0] != edges[:, 1]]
+    edges = np.column_stack([np.full(len(edges), EDGE), edges])
+    return np.concatenate([edges, np.column_stack([np.full(len(tokens), TOKENS), tokens[:, 0], tokens[:, 0], tokens[:, 1]])])
 
 
 def _prefixes(width: int, levels, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
-        tokens, docs, sizes = [], [], []
+        tokens, docs, sizes, met = [], [], [], set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for h, bound, rows in _sets(batch, width):
@@ -126,43 +143,83 @@ def _prefixes(width: int, levels, n_buckets: int):
                     if bound[i] < bound[i + 1]:
                         s = _ordered(h[bound[i] : bound[i + 1]], level)
                         n = len(s)
+                        whole = (n, int(s.sum()), int(K.mix(s).sum()))
+                        if whole in met:  # of equal sets one goes on; classes join the others to it
+                            continue
+                        met.add(whole)
                         p = n - -(-PART * n // WHOLE) + 1
                         tokens.append(s[:p])
                         docs.append(np.full(p, ids[r]))
                         sizes.append(np.full(p, n))
-        names = ["bucket", "token", "lo", "hi", "doc", "edges"]
         if not tokens:
             return
         size = np.concatenate(sizes)
-        token, lo, hi, leader, edges = _runs(np.concatenate(tokens), size, size, np.concatenate(docs))
-        del tokens, docs, sizes
+        token, lo, hi, doc, count, first, length = _runs(np.concatenate(tokens), size, size, np.concatenate(docs), np.ones(len(size), np.int64))
+        del tokens, docs, sizes, size
+        long_, members = length > SHORT_RUN, np.repeat(length > SHORT_RUN, length)
+        leader = np.minimum.reduceat(doc, first)
+        notes = _notes(doc[members], np.repeat(leader[long_], length[long_]))
+        last = (first + length - 1)[long_]
+        token, lo, hi = (np.concatenate([c[~members], d]) for c, d in ((token, token[first[long_]]), (lo, lo[first[long_]]), (hi, hi[last])))
+        doc, count = np.concatenate([doc[~members], leader[long_]]), np.concatenate([count[~members], length[long_]])
+        names = ["bucket", "token", "lo", "hi", "doc", "count", "notes"]
         bucket = (K.mix(token) % np.uint64(n_buckets)).astype(np.int64)
-        for k, blobs in _packed(bucket, n_buckets, token, lo.astype("<i4"), hi.astype("<i4"), leader):
+        for k, blobs in _packed(bucket, n_buckets, token, lo.astype("<i4"), hi.astype("<i4"), doc, count.astype("<i4")):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.nulls(1, pa.binary())], names)
-        if len(edges):
-            for k, blobs in _packed((K.mix(edges[:, 0].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, edges):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.nulls(1, pa.binary())] * 4, pa.array(blobs, pa.binary())], names)
+        for k, blobs in _packed((K.mix(notes[:, 1].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, notes):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.nulls(1, pa.binary())] * 5, pa.array(blobs, pa.binary())], names)
 
     return run
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between documents that share a prefix element, each to the smallest id of its run."""
-    got, edges = {k: [] for k in ("token", "lo", "hi", "doc")}, []
-    kinds = {"token": np.uint64, "lo": "<i4", "hi": "<i4", "doc": np.int64}
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows kind, a, b, c: pairs met in short runs and how often; edges and token counts of long runs."""
+    kinds = {"token": np.uint64, "lo": "<i4", "hi": "<i4", "doc": np.int64, "count": "<i4"}
+    got, notes = {k: [] for k in kinds}, [np.zeros((0, 4), np.int64)]
     for batch in batches:
         for row in batch.to_pylist():
-            if row["edges"] is not None:
-                edges.append(np.frombuffer(row["edges"], np.int64).reshape(-1, 2))
+            if row["notes"] is not None:
+                notes.append(np.frombuffer(row["notes"], np.int64).reshape(-1, 4))
             else:
                 for k, kind in kinds.items():
                     got[k].append(np.frombuffer(row[k], kind))
     if got["token"]:
-        token, lo, hi, doc = (np.concatenate(got.pop(k)) for k in kinds)
-        edges.append(_runs(token, lo.astype(np.int64), hi.astype(np.int64), doc)[4])
-    if edges:
-        e = np.unique(np.concatenate(edges), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        token, lo, hi, doc, count = (np.concatenate(got.pop(k)) for k in kinds)
+        _, lo, _, doc, count, first, length = _runs(token, lo.astype(np.int64), hi.astype(np.int64), doc, count.astype(np.int64))
+        short = np.add.reduceat(count, first) <= SHORT_RUN
+        members = np.repeat(~short, length)
+        notes.append(_notes(doc[members], np.repeat(np.minimum.reduceat(doc, first), length)[members]))
+        run = np.repeat(np.arange(len(first)), length)
+        keep = np.repeat(short & (length > 1), length)
+        run, lo, doc = run[keep], lo[keep], doc[keep]
+        pairs = []
+        for k in range(1, SHORT_RUN):
+            both = (run[k:] == run[:-k]) & (lo[:-k] * WHOLE >= lo[k:] * PART)
+            pairs.append(np.sort(np.stack([doc[:-k][both], doc[k:][both]], 1), axis=1))
+        pairs = np.concatenate(pairs)
+        pairs = _counted(*pairs[pairs[:, 0] != pairs[:, 1]].T)
+        notes.append(np.column_stack([np.full(len(pairs), PAIR), pairs]))
+    found = np.concatenate(notes)
+    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].astype(np.int32)), *(pa.array(found[:, k].copy()) for k in (1, 2, 3))], ["kind", "a", "b", "c"])
+
+
+def _candidates(met: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between classes, outside whose components no link can exist.
+
+    Two linked sets share at least ``need`` prefix elements. Those in short runs were counted for the pair;
+    more can only be elements that both hold in long runs.
+    """
+    tokens = met.where(F.col("kind") == TOKENS).groupBy("a").agg(F.sum("c").alias("long_tokens"))
+    known = classes.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("class").alias("class"), F.min("n").alias("least"))
+    known = known.join(tokens, known["doc_id"] == tokens["a"], "left").select("doc_id", "n", "least", "class", F.coalesce("long_tokens", F.lit(0)).alias("t"))
+    a, b = (known.select(F.col("doc_id").alias(x), *(F.col(c).alias(c + x) for c in ("n", "least", "class", "t"))) for x in "ab")
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b")
+    beyond = F.expr(f"greatest(ceil({PART} * na / {WHOLE}), ceil({PART} * nb / {WHOLE})) - 1")
+    need = F.ceil(F.expr(f"{PART} * (na + nb) / ({PART} + {WHOLE})")) - beyond
+    # an id with several texts of different sizes has no single need
+    pairs = pairs.where((F.col("c") + F.least("ta", "tb") >= need) | F.expr("na <> leasta or nb <> leastb"))
+    edges = met.where(F.col("kind") == EDGE).select("a", "b").distinct().join(a, "a").join(b, "b")
+    return pairs.select("classa", "classb").union(edges.select("classa", "classb")).toDF("a", "b")
 
 
 def _members(width: int, levels, members):
@@ -281,12 +338,9 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
 
     n_buckets = shuffle_partitions(spark)
     named = docs.where("doc_id is not null")
-    prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), "bucket int, token binary, lo binary, hi binary, doc binary, edges binary")
-    edges = prefixes.repartition(n_buckets, "bucket").mapInArrow(_leaders, "a long, b long")
-    to = classes.select(F.col("doc_id").alias("a"), F.col("class").alias("ca"))
-    far = classes.select(F.col("doc_id").alias("b"), F.col("class").alias("cb"))
-    between = edges.distinct().join(to, "a").join(far, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    groups = checkpointed(components(between))
+    prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), "bucket int, token binary, lo binary, hi binary, doc binary, count binary, notes binary")
+    met = checkpointed(prefixes.repartition(n_buckets, "bucket").mapInArrow(_met, "kind int, a long, b long, c long"))
+    groups = checkpointed(components(_candidates(met, classes)))
 
     heads = classes.where("doc_id = class").select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     members = checkpointed(heads.join(groups, heads["doc_id"] == groups["node"]).select("doc_id", "n", "root"))
