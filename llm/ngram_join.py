@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct five-word shingles, in one glo
 common in the corpus last. Two sets of similarity t or more share an element among their first
 ``n - ceil(t n) + 1`` ones, so documents without a shared prefix element of compatible size can't be linked.
 
-1. One scan adds up a sketch of shingle counts (fixed size; it only fixes the order, never the result) and
-   takes each document's set size and signature; equal sets form a class, represented by its smallest id.
+1. One scan adds up a sketch of shingle counts (a counter for every 200 bytes of text, 16 million at most; it only fixes the
+   order, never the result) and takes each document's set size and signature; equal sets form a class, represented by its smallest id.
 2. One scan emits prefix elements. Documents of compatible sizes that share one form a run. In a short run they meet
    pair by pair; a pair goes on only if it shares as many prefix elements as a link needs. In a long run each is tied
    to a leader instead. Each task first combines its own long runs, so an element held by a third of all
@@ -37,8 +37,8 @@ from .trie import SetTrie
 
 #: Words of a shingle, and the similarity that links: PART / WHOLE.
 WIDTH, PART, WHOLE = 5, 80, 100
-#: Counters of the sketch (a power of two) and rows in which it travels.
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+#: Bytes of text for each counter of the sketch, bounds of the counters' number (as powers of two), and rows in which they travel.
+BYTES_EACH, SKETCH_LEAST, SKETCH_MOST, SKETCH_PARTS = 200, 16, 24, 64
 #: Bits of the filter that spares unlinked documents a shuffle.
 FILTER_BITS = 1 << 23
 #: Documents of a block.
@@ -61,13 +61,18 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.nd
         yield h, np.searchsorted(d, np.arange(b - a + 1)), np.arange(a, b)
 
 
-def _scan(width: int):
+def _cell(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _scan(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             n, sig_a, sig_b = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             for h, bound, rows in _sets(batch, width):
-                counts += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+                cells, times = np.unique(_cell(h, bits), return_counts=True)
+                counts[cells] += times.astype(np.int32)
                 for i, r in enumerate(rows):
                     s = h[bound[i] : bound[i + 1]]
                     if len(s):
@@ -77,7 +82,7 @@ def _scan(width: int):
                         sig_b[r] = K.mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum().view(np.int64)
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sig_a), pa.array(sig_b), *none], ["doc_id", "n", "sig_a", "sig_b", "part", "counts"])
-        rows = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in np.split(counts, SKETCH_PARTS)] if counts.any() else []
+        rows = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_PARTS)] if counts.any() else []
         longs = [pa.nulls(len(rows), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*longs, pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "n", "sig_a", "sig_b", "part", "counts"])
 
@@ -85,14 +90,14 @@ def _scan(width: int):
 
 
 def _added(sketch: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i8") for x in sketch["counts"])
+    total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i4").astype(np.int64) for x in sketch["counts"])
     level = np.minimum(255, np.round(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
     return pa.table({"part": sketch["part"][:1].cast(pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
 
 
 def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Elements that sort by how common the shingle is, then by hash."""
-    return np.unique((levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1)))
+    return np.unique((levels[_cell(h, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1)))
 
 
 def _packed(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
@@ -326,11 +331,13 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scan = checkpointed(docs.mapInArrow(_scan(width), "doc_id long, n long, sig_a long, sig_b long, part int, counts binary"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(max((size // BYTES_EACH).bit_length(), SKETCH_LEAST), SKETCH_MOST)
+    scan = checkpointed(docs.mapInArrow(_scan(width, bits), "doc_id long, n long, sig_a long, sig_b long, part int, counts binary"))
     rows = scan.where("part is null").select("doc_id", "n", "sig_a", "sig_b")
     sketch = scan.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_added, "part int, levels binary")
-    parts = {r["part"]: bytes(r["levels"]) for r in sketch.collect()}  # 2**SKETCH_BITS bytes in all
-    levels = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes((1 << SKETCH_BITS) // SKETCH_PARTS)) for k in range(SKETCH_PARTS)))
+    parts = {r["part"]: bytes(r["levels"]) for r in sketch.collect()}  # 2**bits bytes in all
+    levels = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes((1 << bits) // SKETCH_PARTS)) for k in range(SKETCH_PARTS)))
 
     known = rows.where("doc_id is not null and n > 0")
     least = known.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("class"))

@@ -13,6 +13,8 @@ An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,57 +31,82 @@ CAPACITY, END = 4096, 1
 #: A bin with this little room is final.
 SLACK = 16
 FAN, PASSED = 8, 20_000
-KEPT = 400_000
-CHUNK = 1 << 19
+KEPT = 120_000
+CHUNK = 1 << 18
+SIGNS = ".,;:!?-%$#&*|)]}"
+_CONTROL = re.compile("[\x1c-\x1f]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Words:
-    """Ids of texts by a word-level BPE tokenizer whose tokens never span a space; words met before come from a bounded table."""
+    """Ids of texts by a word-level BPE tokenizer whose tokens never span white space.
+
+    Words met before come from a table of two generations of ``KEPT`` each, so a long task needs no more memory. A word of letters, lower-cased as the tokenizer
+    does, goes straight to its BPE model; anything else through the whole tokenizer.
+    """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        names = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.bytes_of = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.kept: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parted = [t.split(" ") for t in texts]
+        # str.split also cuts at these four, which are no white space to the tokenizer
+        parted = [t.split() if not _CONTROL.search(t) else t.split(" ") for t in texts]
         if len(self.kept) > KEPT:
-            self.kept = {}
+            self.before, self.kept = self.kept, {}
         new = set().union(*parted).difference(self.kept)
         if new:
             self._meet(new)
         get = self.kept.__getitem__
         return [b"".join(map(get, parts)) for parts in parted]
 
+    def _word(self, low: str) -> bytes:
+        got = self.kept.get(low) or self.before.get(low)
+        if got is None:
+            bytes_of = self.bytes_of
+            written = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            got = b"".join([bytes_of[t.id] for t in self.model.tokenize(written)])
+        return got
+
     def _meet(self, new: set[str]) -> None:
         """Letters followed by signs are tokens of their own, so a part is its letters' ids and then its signs'."""
-        kept, halves, odd = self.kept, {}, []
+        kept, before, odd = self.kept, self.before, []
         for part in new:
-            core = part.rstrip(".,;:!?-%$#&*|)]}")
-            if core.isalpha() and part.isascii() or core == part and core.isalpha():
-                halves[part] = (core, part[len(core) :])
-            else:
-                odd.append(part)
-        words = sorted({core for core, _ in halves.values()}.difference(kept))
-        for k in range(0, len(words), 4096):
-            some = words[k : k + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stop = np.flatnonzero(self.ends[ids]) + 1
-            if len(stop) == len(some):
-                raw, bound = ids.tobytes(), [0, *(stop * 4).tolist()]
-                kept.update((w, raw[bound[i] : bound[i + 1]]) for i, w in enumerate(some))
-            else:
-                odd += some
-        odd += sorted({tail for _, tail in halves.values()}.difference(kept))
+            got = before.get(part)
+            if got is None:
+                core = part.rstrip(SIGNS)
+                low = core.lower()
+                if low.isalpha() and (low.isascii() or ("Σ" not in core and unicodedata.is_normalized("NFC", core))):
+                    got = self._word(low)
+                    if core is not part and len(core) < len(part):
+                        tail = part[len(core) :]
+                        sign = kept.get(tail) or before.get(tail)
+                        if sign is None:
+                            sign = kept[tail] = self._whole([tail])[0]
+                        got += sign
+                    elif core != low:
+                        kept[low] = got
+                else:
+                    odd.append(part)
+                    continue
+            kept[part] = got
         for k in range(0, len(odd), 4096):
-            some = odd[k : k + 4096]
-            for part, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                kept[part] = np.array(e.ids, "<u4").tobytes()
-        kept.update((part, kept[core] + kept[tail]) for part, (core, tail) in halves.items())
+            kept.update(zip(odd[k : k + 4096], self._whole(odd[k : k + 4096]), strict=True))
+
+    def _whole(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(parts, add_special_tokens=False)]
 
 
 _words: dict[str, Words] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
-from tracewell.operators import books, sessions, slices, spans, stream
+from tracewell.operators import books, pages, sessions, slices, spans, stream
 from tracewell.schema import SessionRule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -532,3 +532,26 @@ def coarse_duration(spark, sf_dir):
 def adhoc_sql(spark, sf_dir):
     read(spark, sf_dir, "events").createOrReplaceTempView("tracewell_events")
     return spark.sql("SELECT user_id % 3 AS site, count_if(event_type = 'view') AS views, max(CASE WHEN event_type = 'purchase' THEN round(value, 4) END) AS best FROM tracewell_events GROUP BY 1")
+
+
+@query("SELECT page_id, sha256(" + pages.rules_sql("html") + ") AS markdown FROM pages")
+def page_markdown(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.sha2(pages.markdown("html"), 256).alias("markdown"))
+
+
+@query()
+def page_changes(spark, sf_dir):
+    md = read(spark, sf_dir, "pages").select("page_id", "url", pages.markdown("html").alias("md"))
+    w = Window.partitionBy(X.url_host("url")).orderBy("page_id")
+    return pages.line_changes(md.withColumn("before", F.lag("md").over(w)), "page_id", "before", "md")
+
+
+@query(f"""WITH {ACTS}, z AS (SELECT visitor_id, counter, k, sum(k) OVER (PARTITION BY visitor_id ORDER BY counter) AS c FROM acts) SELECT visitor_id, counter FROM z WHERE c <= 500""")
+def prefix_that_fits(spark, sf_dir):
+    w = Window.partitionBy("visitor_id").orderBy("counter")
+    return acts(spark, sf_dir).withColumn("c", F.sum("k").over(w)).where("c <= 500").select("visitor_id", "counter")
+
+
+@query()
+def greedy_batches(spark, sf_dir):
+    return spans.greedy_groups(acts(spark, sf_dir).select("visitor_id", "counter", "k"), ("visitor_id",), ("counter",), "k", 300)
