@@ -177,8 +177,28 @@ def _prefixes(width: int, levels, n_buckets: int):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows kind, a, b, c: pairs met in short runs and how often; edges and token counts of long runs."""
+def _met(n_buckets: int):
+    """Packed rows kind, a, b, c: pairs met in short runs and how often; edges and token counts of long runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _found(batches)
+        bucket = (K.mix(K.mix(found[:, 1].astype(np.uint64)) + found[:, 2].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        for k, blobs in _packed(bucket, n_buckets, found):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "met"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows kind, a, b, c of all tasks, c added up: a pair that shares many elements met in as many buckets."""
+    rows = np.concatenate([np.zeros((0, 4), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 4) for batch in batches for x in batch.column("met").to_pylist())])
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)]) if len(rows) else np.zeros(0, np.int64)
+    c = np.add.reduceat(rows[:, 3], first) if len(rows) else rows[:, 3]
+    yield pa.RecordBatch.from_arrays([pa.array(rows[first, 0].astype(np.int32)), *(pa.array(x) for x in (rows[first, 1], rows[first, 2], c))], ["kind", "a", "b", "c"])
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
     kinds = {"token": np.uint64, "lo": "<i4", "hi": "<i4", "doc": np.int64, "count": "<i4"}
     got, notes = {k: [] for k in kinds}, [np.zeros((0, 4), np.int64)]
     for batch in batches:
@@ -204,8 +224,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.concatenate(pairs)
         pairs = _counted(*pairs[pairs[:, 0] != pairs[:, 1]].T)
         notes.append(np.column_stack([np.full(len(pairs), PAIR), pairs]))
-    found = np.concatenate(notes)
-    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].astype(np.int32)), *(pa.array(found[:, k].copy()) for k in (1, 2, 3))], ["kind", "a", "b", "c"])
+    return np.concatenate(notes)
 
 
 def _candidates(met: DataFrame, classes: DataFrame) -> DataFrame:
@@ -214,16 +233,16 @@ def _candidates(met: DataFrame, classes: DataFrame) -> DataFrame:
     Two linked sets share at least ``need`` prefix elements. Those in short runs were counted for the pair;
     more can only be elements that both hold in long runs.
     """
-    tokens = met.where(F.col("kind") == TOKENS).groupBy("a").agg(F.sum("c").alias("long_tokens"))
+    tokens = met.where(F.col("kind") == TOKENS).select("a", F.col("c").alias("long_tokens"))
     known = classes.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("class").alias("class"), F.min("n").alias("least"))
     known = known.join(tokens, known["doc_id"] == tokens["a"], "left").select("doc_id", "n", "least", "class", F.coalesce("long_tokens", F.lit(0)).alias("t"))
     a, b = (known.select(F.col("doc_id").alias(x), *(F.col(c).alias(c + x) for c in ("n", "least", "class", "t"))) for x in "ab")
-    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("c")).join(a, "a").join(b, "b")
+    pairs = met.where(F.col("kind") == PAIR).select("a", "b", "c").join(a, "a").join(b, "b")
     beyond = F.expr(f"greatest(ceil({PART} * na / {WHOLE}), ceil({PART} * nb / {WHOLE})) - 1")
     need = F.ceil(F.expr(f"{PART} * (na + nb) / ({PART} + {WHOLE})")) - beyond
     # an id with several texts of different sizes has no single need
     pairs = pairs.where((F.col("c") + F.least("ta", "tb") >= need) | F.expr("na <> leasta or nb <> leastb"))
-    edges = met.where(F.col("kind") == EDGE).select("a", "b").distinct().join(a, "a").join(b, "b")
+    edges = met.where(F.col("kind") == EDGE).select("a", "b").join(a, "a").join(b, "b")
     return pairs.select("classa", "classb").union(edges.select("classa", "classb")).toDF("a", "b")
 
 
@@ -346,7 +365,8 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
     n_buckets = shuffle_partitions(spark)
     named = docs.where("doc_id is not null")
     prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), "bucket int, token binary, lo binary, hi binary, doc binary, count binary, notes binary")
-    met = checkpointed(prefixes.repartition(n_buckets, "bucket").mapInArrow(_met, "kind int, a long, b long, c long"))
+    met = prefixes.repartition(n_buckets, "bucket").mapInArrow(_met(n_buckets), "bucket int, met binary")
+    met = checkpointed(met.repartition(n_buckets, "bucket").mapInArrow(_summed, "kind int, a long, b long, c long"))
     groups = checkpointed(components(_candidates(met, classes)))
 
     heads = classes.where("doc_id = class").select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
