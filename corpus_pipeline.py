@@ -6,8 +6,6 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import langid, ngram_join, packing, suffix_dedup, toxicity
-from llm.spark_io import table
+from llm.spark_io import shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language prediction below this is no prediction.
@@ -73,11 +71,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between them tables in the folder that spark.checkpoint.dir names."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline-")
-    if "spark.checkpoint.dir" not in dict(spark.sparkContext.getConf().getAll()) and not spark.sparkContext.master.startswith("local"):
-        shutil.rmtree(folder, ignore_errors=True)
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    docs, out = table(spark, sf_dir, "documents"), f"{folder}/pipeline-{uuid.uuid4()}"
+    docs, out = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for k, (_, stage) in enumerate(STAGES):
         done = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
