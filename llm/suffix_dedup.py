@@ -14,7 +14,8 @@ Texts are UTF-8 bytes; null counts as empty. Documents are ordered by id; a null
 no earlier than each other, so neither removes the other's bytes. Extra columns are ignored. Texts of any length are cut
 into overlapping stretches, and no document or passage is gathered with all of its repeats.
 
-All of it is one chain of shuffles without intermediate files; rows that travel are packed, so their number stays small.
+All of it is one chain of shuffles without intermediate files; rows that travel are packed and compressed, so they stay few and
+small, and the texts are shuffled once for steps 2 and 3.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textkit as K
 from .anchors import anchors
@@ -38,7 +41,7 @@ BESIDE = (LENGTH - GRAM) // 2
 #: Kinds of packed rows.
 ASKED, KNOWN, CANDIDATES, TEXTS, SPANS, RANGES = range(6)
 #: Suffixes sorted at once in a bucket, and bytes of text packed at once.
-SUFFIXES, PACKED = 1_000_000, 1 << 25
+SUFFIXES, PACKED = 1 << 19, 1 << 25
 LAST = (1 << 63) - 1
 
 _CELLS = [f"c{k}" for k in range(7)]
@@ -58,9 +61,21 @@ def _split(part: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[bound[k] : bound[k + 1]]
 
 
+def _squeezed(c: np.ndarray) -> bytes:
+    """A column as differences, which repeated keys and rising places make small, compressed."""
+    if c.dtype.kind in "iu" and c.dtype.itemsize > 1:
+        c = np.diff(c, prepend=c.dtype.type(0))
+    return zstandard.compress(c.tobytes(), 1)
+
+
+def _expanded(blob: bytes, kind: str) -> np.ndarray:
+    c = np.frombuffer(zstandard.decompress(blob), kind)
+    return np.cumsum(c, dtype=c.dtype) if c.dtype.kind in "iu" and c.dtype.itemsize > 1 else c
+
+
 def _rows(kind: int, part: np.ndarray, n_parts: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k, at in _split(part, n_parts):
-        yield _row(kind, k, *(c[at].tobytes() for c in columns))
+        yield _row(kind, k, *(_squeezed(c[at]) for c in columns))
 
 
 class _Pile:
@@ -71,7 +86,7 @@ class _Pile:
 
     def add(self, row: dict) -> None:
         for k, t in enumerate(self.types):
-            self.got[k].append(np.frombuffer(row[f"c{k}"], t))
+            self.got[k].append(_expanded(row[f"c{k}"], t))
 
     def arrays(self) -> list[np.ndarray]:
         return [np.concatenate(x) for x in self.got]
@@ -246,11 +261,12 @@ def _spans(n_parts: int):
         head, group_of = by[at], np.repeat(np.arange(len(at)), holders)
         pack = zstandard.ZstdCompressor(level=1).compress
         for k, own in _split((deal[head] % np.uint64(n_parts)).astype(np.int64), n_parts):
+            own = own[np.lexsort((start[head[own]], key[head[own]], order[head[own]]))]  # a document's spans lie side by side
             h = head[own]
             held = holder[_ranges_of(group_of, own)[0]]
             span = pack(_gathered(data, base[h], size[h].astype(np.int64)).tobytes())
             sub = (deal[h] >> np.uint64(32)).astype(np.uint32)
-            yield _row(SPANS, k, sub.tobytes(), size[h].tobytes(), order[h].tobytes(), holders[own].tobytes(), key[held].tobytes(), start[held].tobytes(), span)
+            yield _row(SPANS, k, *map(_squeezed, (sub, size[h], order[h], holders[own], key[held], start[held])), span)
 
     return run
 
@@ -276,14 +292,23 @@ def removed_stretches(data: np.ndarray, base: np.ndarray, size: np.ndarray, orde
     return span[begin], inner[begin], inner[end] + length
 
 
+def _span_hashes(data: bytes, size: np.ndarray) -> np.ndarray:
+    s = K.prefix_hash(np.frombuffer(data, np.uint8))
+    end = np.cumsum(size, dtype=np.int64)
+    return K.mix(K.span_hash(s, end - size, end) + size.astype(np.uint64))
+
+
 def _removed(n_parts: int):
+    """Combines the equal spans of all tasks as each task has combined its own; what is left and dealt alike is sorted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pile, spans = _Pile("u4", "u1", "i8", "u4", "i8", "u4"), []
+        pile, spans, hashes = _Pile("u4", "u1", "i8", "u4", "i8", "u4"), [], []
         unpack = zstandard.ZstdDecompressor().decompress
         for row in _each(batches):
             if row["kind"] == SPANS:
                 pile.add(row)
                 spans.append(unpack(row["c6"]))
+                hashes.append(_span_hashes(spans[-1], pile.got[1][-1]))
             else:
                 yield _row(row["kind"], row["part"], *(row[c] for c in _CELLS if row[c] is not None))
         sub, size, order, holders, key, start = pile.arrays()
@@ -294,7 +319,24 @@ def _removed(n_parts: int):
         size = size.astype(np.int64)
         base = np.cumsum(size) - size
         hold_at = np.cumsum(holders, dtype=np.int64) - holders
-        by = np.argsort(sub, kind="stable")
+
+        def ranges(span: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Bytes a to b of each span go, in all documents that hold it."""
+            n = holders[span].astype(np.int64)
+            held = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(hold_at[span], n)
+            k = key[held]
+            yield from _rows(RANGES, k % n_parts, n_parts, k, (start[held] + np.repeat(a, n)).astype(np.uint32), np.repeat(b - a, n).astype(np.uint8))
+
+        same = np.concatenate(hashes) ^ K.mix(sub.astype(np.uint64))
+        by = np.lexsort((order, same))
+        first = np.flatnonzero(np.r_[True, np.diff(same[by]) != 0])
+        later = order[by] > np.repeat(order[by][first], np.diff(np.append(first, len(by))))
+        gone = by[later]  # an earlier document has the whole span
+        yield from ranges(gone, np.zeros(len(gone), np.int64), size[gone])
+        by = by[~later]
+        by = by[np.argsort(sub[by], kind="stable")]
+        alone = np.r_[True, np.diff(sub[by]) != 0] & np.r_[np.diff(sub[by]) != 0, True] if len(by) else np.zeros(0, bool)
+        by = by[~alone]  # nothing else in the corpus is dealt like these
         work = np.cumsum(size[by] - LENGTH + 1)
         at = 0
         while at < len(by):  # whole groups of what is dealt alike, about SUFFIXES at once
@@ -303,11 +345,7 @@ def _removed(n_parts: int):
             own = by[at:end]
             at = end
             span, a, b = removed_stretches(data, base[own], size[own], order[own])
-            span = own[span]
-            n = holders[span].astype(np.int64)
-            held = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(hold_at[span], n)
-            k = key[held]
-            yield from _rows(RANGES, k % n_parts, n_parts, k, (start[held] + np.repeat(a, n)).astype(np.uint32), np.repeat(b - a, n).astype(np.uint8))
+            yield from ranges(own[span], a, b)
 
     return run
 
@@ -353,6 +391,17 @@ def row_key(doc_id: str = "doc_id", text: str = "text"):
     return F.xxhash64(doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
+def _beside(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
+    """``run`` over the rows and the texts of each part. The texts' shuffle is one and the same each time."""
+    empty = T._parse_datatype_string(schema)
+    kinds = to_arrow_schema(empty)
+
+    def both(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(run(iter([*left.to_batches(), *right.to_batches()]))), kinds)
+
+    return rows.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(both, schema)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """(key, doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs(doc_id, text)``; kept: the bytes that stay, key: ``row_key``."""
     n = shuffle_partitions(docs.sparkSession)
@@ -362,9 +411,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.mapInArrow(_packed(n), SCHEMA)
     asked = docs.select("key", "ord", "text").mapInArrow(_asked(n), SCHEMA)
     candidates = asked.repartition(n, "part").mapInArrow(_shared(n), SCHEMA)
-    spans = candidates.unionAll(texts).repartition(n, "part").mapInArrow(_spans(n), SCHEMA)
+    spans = _beside(candidates, texts, _spans(n), SCHEMA)
     ranges = spans.repartition(n, "part").mapInArrow(_removed(n), SCHEMA)
-    return ranges.unionAll(texts).repartition(n, "part").mapInArrow(_kept, "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _beside(ranges, texts, _kept, "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
