@@ -28,6 +28,8 @@ from .spark_io import checkpointed, shuffle_partitions
 
 NEIGHBOURS, SAMPLED, ROUNDS = 20, 20, 7
 POOL, EXPANDED, HOPS = 800, 200, 64
+#: Candidates that a task gathers before it keeps the best of them.
+HELD = 1 << 20
 SEED, STATE, CANDIDATE, REVERSE, FORWARD, TIED, GRAPH, QUERY, EXPAND, REPLY = range(10)
 
 _CELLS = [f"c{k}" for k in range(6)]
@@ -190,6 +192,18 @@ def _around(box: _Inbox) -> tuple[np.ndarray, ...]:
     return u[first], v[first], fresh[order], q[order], scale[order], floor[order]
 
 
+def _best(who: np.ndarray, what: np.ndarray, how: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each class's candidates, each once, the NEIGHBOURS best: a further one can't become a neighbour."""
+    order = np.lexsort((what, who))
+    who, what, how = who[order], what[order], how[order]
+    first = np.r_[True, (who[1:] != who[:-1]) | (what[1:] != what[:-1])] & (who != what) if len(who) else np.zeros(0, bool)
+    who, what, how = who[first], what[first], how[first]
+    order = np.lexsort((-how, who))
+    who, what, how = who[order], what[order], how[order]
+    rank = np.arange(len(who)) - np.searchsorted(who, who)
+    return who[rank < NEIGHBOURS], what[rank < NEIGHBOURS], how[rank < NEIGHBOURS]
+
+
 def _joined(n: int, width: int, seed: int):
     """Local joins: the neighbours of one class are proposed to each other where they beat the floor."""
 
@@ -197,25 +211,27 @@ def _joined(n: int, width: int, seed: int):
         box = _Inbox(batches, width)
         ids, q, scale, near, score, new = _merged(box, _rng(seed))
         u, v, fresh, vq, vscale, floor = _around(box)
-        x = vq.astype(np.float32) * vscale[:, None]
         bound = np.searchsorted(u, np.append(ids, np.iinfo(np.int64).max))
-        who, what, how = [], [], []
+        who, what, how, held, most = [], [], [], 0, HELD
         for k in np.flatnonzero(np.diff(bound) > 1):
             a, b = bound[k], bound[k + 1]
             mine = np.flatnonzero(fresh[a:b]) + a
             if not len(mine):
                 continue
-            dot = x[mine] @ x[a:b].T
+            x = vq[a:b].astype(np.float32) * vscale[a:b, None]
+            dot = x[mine - a] @ x.T
             i, j = np.nonzero(dot > floor[a:b][None, :])
             who.append(v[a + j]), what.append(v[mine[i]]), how.append(dot[i, j])
             i, j = np.nonzero(dot > floor[mine][:, None])
             who.append(v[mine[i]]), what.append(v[a + j]), how.append(dot[i, j])
+            held += len(who[-1]) + len(who[-2])
+            if held > most:
+                who, what, how = ([c] for c in _best(*(np.concatenate(c) for c in (who, what, how))))
+                held = len(who[0])
+                most = held + HELD
         if who:
-            who, what, how = (np.concatenate(c) for c in (who, what, how))
-            order = np.lexsort((what, who))
-            who, what, how = who[order], what[order], how[order]
-            first = np.r_[True, (who[1:] != who[:-1]) | (what[1:] != what[:-1])] & (who != what)
-            yield from _send(CANDIDATE, _shard(who[first], n), n, who[first], what[first], how[first].astype(np.float32))
+            who, what, how = _best(*(np.concatenate(c) for c in (who, what, how)))
+            yield from _send(CANDIDATE, _shard(who, n), n, who, what, how.astype(np.float32))
         yield from _send(STATE, _shard(ids, n), n, ids, q, scale, near, score, np.zeros_like(new))
 
     return run
