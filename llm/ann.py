@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import checkpointed, shuffle_partitions
+from .spark_io import checkpointed
 
 NEIGHBOURS, SAMPLED, ROUNDS = 20, 20, 7
 POOL, EXPANDED, HOPS = 800, 200, 64
+#: Classes of a shard. Shards follow the input, not the session's partitions, so that few rows carry what they send each other.
+SHARD = 2048
 #: Candidates that a task gathers before it keeps the best of them.
 HELD = 1 << 20
 SEED, STATE, CANDIDATE, REVERSE, FORWARD, TIED, GRAPH, QUERY, EXPAND, REPLY = range(10)
@@ -247,9 +249,8 @@ def _graph(n: int, width: int, seed: int):
     return run
 
 
-def build(classes: DataFrame, width: int, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """The neighbour graph of ``classes(id, embedding)``: packed rows of (class, neighbour, its vector, its scale), partitioned by shard."""
-    n = shuffle_partitions(classes.sparkSession)
+def build(classes: DataFrame, width: int, n: int, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
+    """The neighbour graph of ``classes(id, embedding)``: packed rows of (class, neighbour, its vector, its scale), partitioned by shard, of which there are n."""
 
     def step(df: DataFrame, run) -> DataFrame:
         return df.repartition(n, "shard").mapInArrow(run, SCHEMA)
@@ -374,9 +375,8 @@ def _found(most: int, width: int):
     return run
 
 
-def search(graph: DataFrame, queries: DataFrame, width: int, most: int) -> DataFrame:
+def search(graph: DataFrame, queries: DataFrame, width: int, most: int, n: int) -> DataFrame:
     """(query_class, class): the best ``most`` classes found for each of ``queries(id, embedding)``, classes of the graph; its own included."""
-    n = shuffle_partitions(queries.sparkSession)
     now = checkpointed(queries.mapInArrow(_started(n), SCHEMA))
     for _ in range(HOPS):
         asked = now.where(F.col("kind") == EXPAND)
@@ -415,11 +415,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     per_task = usable.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("salt")).agg(least.alias("ids"), F.min("vec_id").alias("id"))
     classes = per_task.groupBy("embedding").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.min("id").alias("id"))
     classes = checkpointed(classes.select("id", "embedding", "ids"))
-    graph = build(classes.select("id", "embedding"), width)
+    n = -(-classes.count() // SHARD)
+    graph = build(classes.select("id", "embedding"), width, n)
     asking = usable.where(F.col("vec_id") % every == 0)
     of = checkpointed(asking.join(classes.select("embedding", "id"), "embedding").select(F.col("vec_id").alias("query_id"), "id"))
     queries = classes.select("id", "embedding").join(of.select("id").distinct(), "id", "left_semi")
-    found = checkpointed(search(graph, queries, width, 3 * k + 1))
+    found = checkpointed(search(graph, queries, width, 3 * k + 1, n))
     own = classes.select(F.col("id").alias("query_class"), F.col("embedding").alias("x"))
     theirs = classes.select(F.col("id").alias("class"), F.col("embedding").alias("y"), "ids")
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
