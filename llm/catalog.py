@@ -55,10 +55,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .token_counts import read_pieces, token_counts
+    from .token_counts import merge_counts, read_pieces
 
     pieces = read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces).drop("text")
+    return merge_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces).drop("text")
 
 
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,10 @@
-"""Token counts by a unigram vocabulary, without making the tokens: count-only Viterbi.
+"""Token counts by a piece model, without making the tokens: by its merges, and count-only Viterbi over its scores.
+
+The given model, piece_bpe_32k, is BPE: its scores are ranks of merges, not log probabilities. Its own count, the one that the tokenizer's library gives,
+is that of the merges: of all neighbours whose concatenation is a piece, those of the highest score, of equal ones the leftmost, are
+joined first. Viterbi is for unigram models; over ranks it gives the best sum of ranks, which is no tokenizer's count.
+
+Viterbi:
 
 Spaces become the mark U+2581, and one more stands before the text. An Aho-Corasick automaton of the vocabulary enumerates the pieces that end at each
 character; dynamic programming carries, for each place, the best sum of scores and the number of pieces of that
@@ -14,6 +20,7 @@ columns; repeated rows stay repeated.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import ahocorasick
@@ -43,9 +50,10 @@ class Counter:
         for piece, score in pieces.items():
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.pieces = pieces
         self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min(pieces.values()) - UNKNOWN_BELOW
-        self.kept: dict[str, tuple[int, float]] = {}
+        self.kept: dict[str, tuple[int, int, float]] = {}
 
     def part(self, text: str) -> tuple[int, float]:
         """Number of pieces and score of the best path."""
@@ -74,22 +82,55 @@ class Counter:
         settle(len(text))
         return count[-1], best[-1]
 
+    def merged(self, text: str) -> int:
+        """Number of pieces that the merges leave."""
+        pieces, own = self.pieces, list(text)
+        after, before = list(range(1, len(own) + 1)), list(range(-1, len(own) - 1))
+        waiting: list[tuple[float, int, int, str]] = []
+
+        def meet(a: int, b: int) -> None:
+            if a >= 0 and b < len(own):
+                both = own[a] + own[b]
+                score = pieces.get(both)
+                if score is not None:
+                    heapq.heappush(waiting, (-score, a, b, both))
+
+        for b in range(1, len(own)):
+            meet(b - 1, b)
+        while waiting:
+            _, a, b, both = heapq.heappop(waiting)
+            if not own[a] or not own[b] or len(own[a]) + len(own[b]) != len(both):
+                continue  # one of them has been joined to another since
+            own[a], own[b] = both, ""
+            after[a] = after[b]
+            if after[a] < len(own):
+                before[after[a]] = a
+            meet(before[a], a)
+            meet(a, after[a])
+        return sum(1 if len(p) > 1 or p in self.single else len(p.encode()) for p in own if p)
+
     def count(self, text: str) -> tuple[int, float]:
+        """Viterbi's number of pieces and their score."""
+        return self.counts(text)[1:]
+
+    def counts(self, text: str) -> tuple[int, int, float]:
+        """Number of pieces by the merges; by Viterbi, and their score."""
         if not text:
-            return 0, 0.0
+            return 0, 0, 0.0
         parts = [MARK + p for p in text.split(" ")]
         if "" in text.split(" ") or MARK in text:
             parts = self._cut(MARK + text.replace(" ", MARK))
         if len(self.kept) > KEPT:
             self.kept = {}
-        n, total, kept = 0, 0.0, self.kept
+        m, n, total, kept = 0, 0, 0.0, self.kept
         for p in parts:
             got = kept.get(p)
             if got is None:
-                got = kept[p] = self.part(p)
-            n += got[0]
-            total += got[1]
-        return n, total
+                got = kept[p] = (self.merged(p), *self.part(p))
+            m += got[0]
+            n += got[1]
+            total += got[2]
+        return m, n, total
 
     @staticmethod
     def _cut(marked: str) -> list[str]:
@@ -100,9 +141,10 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def token_counts(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:
-    """``docs`` with ``n_tokens`` and ``log_score`` of each text. pieces: of fixed size, sent to each executor once."""
-    source, schema = extended(docs, n_tokens="long", log_score="double")
+def _appended(docs: DataFrame, pieces: dict[str, float], counted, **columns: str) -> DataFrame:
+    """``docs`` with columns of what ``counted(counter, text)`` gives. pieces: of fixed size, sent to each executor once."""
+    source, schema = extended(docs, **columns)
+    kinds = {"long": pa.int64(), "double": pa.float64()}
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     name = hashlib.sha256(repr(sorted(pieces.items())).encode()).hexdigest()
 
@@ -110,11 +152,24 @@ def token_counts(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:
         if name not in _counters:
             _counters.clear()
             _counters[name] = Counter(sent.value)
-        count = _counters[name].count
+        counter = _counters[name]
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("text"))
             for a, b in K.blocks(K.flat(column)[1], CHUNK):
-                got = [count(t or "") for t in column.slice(a, b - a).to_pylist()]
-                yield batch.slice(a, b - a).append_column("n_tokens", pa.array([n for n, _ in got], pa.int64())).append_column("log_score", pa.array([s for _, s in got], pa.float64()))
+                got = zip(*(counted(counter, t or "") for t in column.slice(a, b - a).to_pylist()), strict=True)
+                out = batch.slice(a, b - a)
+                for (column_name, kind), values in zip(columns.items(), got, strict=True):
+                    out = out.append_column(column_name, pa.array(values, kinds[kind]))
+                yield out
 
     return source.mapInArrow(run, schema)
+
+
+def token_counts(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:
+    """``docs`` with Viterbi's ``n_tokens`` and ``log_score`` of each text: a tokenizer's count if the scores are of a unigram model."""
+    return _appended(docs, pieces, Counter.count, n_tokens="long", log_score="double")
+
+
+def merge_counts(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:
+    """``docs`` with ``n_tokens`` by the merges, which is a BPE model's own count, and Viterbi's ``n_viterbi`` and ``log_score``."""
+    return _appended(docs, pieces, Counter.counts, n_tokens="long", n_viterbi="long", log_score="double")

@@ -12,7 +12,7 @@ import pytest
 
 from llm import packing
 from llm.bpe import Vocabulary, bpe_decode, bpe_encode, read_ranks, round_trip
-from llm.token_counts import MARK, Counter, read_pieces, token_counts
+from llm.token_counts import MARK, Counter, merge_counts, read_pieces, token_counts
 
 
 @pytest.fixture(scope="module")
@@ -84,6 +84,20 @@ def test_count_ties_go_to_the_piece_that_starts_first():
     assert token_counts  # the column form is tested above
 
 
+def test_counts_equal_the_library(spark, docs, rows):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    odd = ["", " ", "  ", "a  b", "   x   ", " lead", "trail ", "\t\n", "▁a ▁▁ b", "\U0001f9ff ሴ", "<s> <0x41>", "x" * 3000, "日本語" * 400, "a" + " " * 40 + "b"]
+    more = [*rows, *((2_000_000 + k, t) for k, t in enumerate(odd))]
+    table = docs.union(spark.createDataFrame(more[len(rows) :], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in merge_counts(table, read_pieces(path)).collect()}
+    assert {i: got[i]["n_tokens"] for i, _ in more} == {i: len(library.encode(t or "")) for i, t in more}
+    viterbi = {r["doc_id"]: (r["n_tokens"], r["log_score"]) for r in token_counts(table, read_pieces(path)).collect()}
+    assert {i: (r["n_viterbi"], r["log_score"]) for i, r in got.items()} == viterbi
+
+
 def definition():
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         return f.read()
