@@ -5,7 +5,7 @@ NN-descent in rounds of Spark shuffles between the shards: every class hands its
 neighbour, to each other with their vectors (of one byte a component); each learns of neighbours of neighbours
 and keeps the ``NEIGHBOURS`` best. Senders sample what goes to one class, so a hub that all others point to stays small.
 
-A query starts at its own class, or else at classes sampled from all shards, and keeps a pool of the ``POOL`` best classes seen; each round expands the best ``EXPANDED``
+A query starts at its own class and at ``ENTRIES`` classes sampled from all shards, as its part of the graph may lack links to its true neighbours, and keeps a pool of the ``POOL`` best classes seen; each round expands the best ``EXPANDED``
 of them not yet expanded, by a join of these with the graph that gives back neighbours above the pool's floor. It ends
 when all of the pool is expanded. The best of the pool are scored again on the original vectors in
 double precision.
@@ -27,12 +27,12 @@ from . import textkit as K
 from .spark_io import checkpointed
 
 NEIGHBOURS, SAMPLED, ROUNDS = 20, 20, 7
-POOL, EXPANDED, HOPS = 800, 200, 64
+POOL, EXPANDED, HOPS, ENTRIES = 800, 200, 64, 8
 #: Classes of a shard. Shards follow the input, not the session's partitions, so that few rows carry what they send each other.
 SHARD = 2048
 #: Candidates that a task gathers before it keeps the best of them.
 HELD = 1 << 20
-SEED, STATE, CANDIDATE, REVERSE, FORWARD, TIED, GRAPH, QUERY, EXPAND, REPLY = range(10)
+SEED, STATE, CANDIDATE, REVERSE, FORWARD, TIED, GRAPH, QUERY, EXPAND, REPLY, ENTER = range(11)
 
 _CELLS = [f"c{k}" for k in range(6)]
 SCHEMA = "shard int, kind int, " + ", ".join(f"{c} binary" for c in _CELLS)
@@ -271,6 +271,10 @@ def _started(n: int):
             ids = batch.column("id").to_numpy()
             q, scale = quantised(np.array(batch.column("embedding").to_pylist(), float))
             yield from _send(EXPAND, _shard(ids, n), n, ids, ids, q, scale, np.full(len(ids), -np.inf, np.float32))
+            # a shard knows its classes, so a query names a shard and a number that it takes one of them by
+            rng = np.random.default_rng([len(ids), int(ids[0]) & 0x7FFFFFFF])
+            each = np.repeat(np.arange(len(ids)), ENTRIES)
+            yield from _send(ENTER, rng.integers(0, n, len(each)), n, rng.integers(0, 1 << 62, len(each)), ids[each], q[each], scale[each])
             yield from _send(QUERY, _shard(ids, n), n, ids, q, scale, np.ones(len(ids), np.int32), *_pool(ids))
 
     return run
@@ -293,6 +297,11 @@ def _expanded(n: int, width: int):
         g, e = _Inbox(graph.to_batches(), width), _Inbox(asked.to_batches(), width)
         u, v, q, scale = g.get(GRAPH, "i8", "i8", "v", "f4")
         node, query, qq, qscale, floor = e.get(EXPAND, "i8", "i8", "v", "f4", "f4")
+        draw, *entering = e.get(ENTER, "i8", "i8", "v", "f4")
+        if len(u) and len(draw):
+            here = np.unique(u)
+            more = (here[draw % len(here)], *entering, np.full(len(draw), -np.inf, np.float32))
+            node, query, qq, qscale, floor = (np.concatenate(x) for x in zip((node, query, qq, qscale, floor), more, strict=True))
         out = []
         if len(u) and len(node):
             order = np.argsort(u, kind="stable")
@@ -379,7 +388,7 @@ def search(graph: DataFrame, queries: DataFrame, width: int, most: int, n: int)
     """(query_class, class): the best ``most`` classes found for each of ``queries(id, embedding)``, classes of the graph; its own included."""
     now = checkpointed(queries.mapInArrow(_started(n), SCHEMA))
     for _ in range(HOPS):
-        asked = now.where(F.col("kind") == EXPAND)
+        asked = now.where(F.col("kind").isin(EXPAND, ENTER))
         if asked.isEmpty():
             break
         found = graph.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_expanded_typed(n, width), SCHEMA)

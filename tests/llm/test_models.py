@@ -102,6 +102,31 @@ def test_recall_of_nearest_neighbours(spark):
             assert score == pytest.approx(float(np.dot(known[q], known[i])), rel=1e-12)
 
 
+def test_search_leaves_a_part_without_links_to_the_neighbours(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 4))
+    q, scale = ann.quantised(x)
+    pairs = [(a, b) for part in (range(20), range(20, 40)) for a in part for b in part if a != b]
+    u, v = (np.array(c, np.int64) for c in zip(*pairs, strict=True))
+    row = ann._row(ann.GRAPH, 0, *(c.tobytes() for c in (u, v, q[v], scale[v]))).to_pylist()
+    graph = spark.createDataFrame([tuple(d.values()) for d in row], ann.SCHEMA)
+    queries = spark.createDataFrame([(k, x[k].tolist()) for k in range(5)], "id long, embedding array<double>").coalesce(1)
+    found = ann.search(graph, queries, 4, 40, 1).collect()
+    for k in range(5):
+        assert {f["class"] for f in found if f["query_class"] == k} == set(range(40))
+
+
+@given
+def test_recall_on_more_vectors_than_a_pool_holds(spark):
+    sf = DATA.replace("0.01", "0.1")
+    vectors = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    assert len(vectors) > 2 * ann.POOL
+    want, got = exact(vectors), {}
+    for r in ann.nearest(spark.read.parquet(f"{sf}/embeddings.parquet")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len({i for _, i in want[q]} & got[q]) for q in want) >= 0.95 * sum(map(len, want.values()))
+
+
 def test_few_odd_and_equal_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [None, 1.0]), (6, [float("nan"), 1.0]), (7, [-1.0, 0.5]), (20, [1.0, 0.0]), (40, [0.0, 0.0]), (8, [1.0, 2.0, 3.0]), (1, [2.0, 0.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as rank")
