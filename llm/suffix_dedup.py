@@ -8,6 +8,9 @@
    of stretches first: all but those of its earliest document are repeats already, and one copy of each span goes on, so a
    passage held by a third of all documents sends a row a task. In each bucket the suffixes that start in the spans
    are put in order by deep-shallow sorting (``llm.suffix_sort``); of equal ones, those of documents after the earliest are removed.
+   Spans that are dealt alike but differ, as around a short line that many documents hold, aren't gathered: where a task has more than ``ALIKE``
+   of them, or a bucket more than SUFFIXES suffixes, they are broken into their stretches, and these are dealt by their own hashes. A task
+   keeps those of its earliest document; equal ones meet in one more shuffle. A bucket thus holds ALIKE spans a task of one deal at most.
 3. Documents' bytes meet their removed ranges and are put together.
 
 Texts are UTF-8 bytes; null counts as empty. Documents are ordered by id; a null id comes after all others. Repeated rows of one id are
@@ -39,9 +42,11 @@ LENGTH, GRAM = 50, 16
 #: Bytes beside the anchor that deal a stretch to its bucket.
 BESIDE = (LENGTH - GRAM) // 2
 #: Kinds of packed rows.
-ASKED, KNOWN, CANDIDATES, TEXTS, SPANS, RANGES = range(6)
+ASKED, KNOWN, CANDIDATES, TEXTS, SPANS, RANGES, BROKEN, STRETCHES = range(8)
 #: Suffixes sorted at once in a bucket, and bytes of text packed at once.
 SUFFIXES, PACKED = 1 << 19, 1 << 25
+#: Different spans that a task sends dealt alike, and stretches that it breaks spans into at once.
+ALIKE, BREAK = 256, 1 << 22
 LAST = (1 << 63) - 1
 
 _CELLS = [f"c{k}" for k in range(7)]
@@ -213,6 +218,41 @@ def _gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
 
 
+def _broken(data: np.ndarray, base: np.ndarray, size: np.ndarray, order: np.ndarray, key: np.ndarray, start: np.ndarray, n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Stretches of spans, dealt by their hashes, those of the earliest document; the others have been met before and go."""
+    some = np.cumsum(size - LENGTH + 1) // BREAK
+    for _, at in _split(some, int(some[-1]) + 1 if len(some) else 0):
+        n = size[at] - LENGTH + 1
+        of = np.repeat(at, n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.cumsum(size[at]) - size[at]
+        s = K.prefix_hash(_gathered(data, base[at], size[at]))
+        place = np.repeat(own, n) + inner
+        row = (K.mix(K.span_hash(s, place, place + LENGTH)), order[of], key[of], (start[of] + inner).astype(np.uint32))
+        yield from _earliest(*row, n_parts, STRETCHES)
+
+
+def _earliest(h: np.ndarray, order: np.ndarray, key: np.ndarray, start: np.ndarray, n_parts: int, kind: int | None) -> Iterator[pa.RecordBatch]:
+    """Of equal stretches, those of the earliest document as rows of the kind, if any; the ranges of the others go."""
+    by = np.lexsort((start, key, order, h))
+    h, order, key, start = h[by], order[by], key[by], start[by]
+    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    late = order != np.repeat(order[at], np.diff(np.append(at, len(h))))
+    if kind is not None:
+        # a document's stretch counts once for what others are compared with, but each of its places may go
+        yield from _rows(kind, (h[~late] % np.uint64(n_parts)).astype(np.int64), n_parts, h[~late], order[~late], key[~late], start[~late])
+    key, start = key[late], start[late].astype(np.int64)
+    by = np.lexsort((start, key))
+    key, start = key[by], start[by]
+    if len(key):  # runs of stretches side by side are one range, of the 255 bytes at most that its size can tell
+        new = np.r_[True, (key[1:] != key[:-1]) | (start[1:] > start[:-1] + 1)]
+        run = np.flatnonzero(new)
+        new |= (start - np.repeat(start[run], np.diff(np.append(run, len(key))))) % (255 - LENGTH) == 0
+        run = np.flatnonzero(new)
+        end = start[np.append(run[1:], len(key)) - 1] + LENGTH
+        yield from _rows(RANGES, key[run] % n_parts, n_parts, key[run], start[run].astype(np.uint32), (end - start[run]).astype(np.uint8))
+
+
 def _spans(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         candidates, texts = _Pile("i8", "u4", "u1", "u1"), []
@@ -259,8 +299,16 @@ def _spans(n_parts: int):
         holder = by[earliest]
         holders = np.add.reduceat(earliest.astype(np.int64), at).astype(np.uint32)
         head, group_of = by[at], np.repeat(np.arange(len(at)), holders)
+        deals, which, alike = np.unique(deal[head], return_inverse=True, return_counts=True)
+        hot = alike[which] > ALIKE
+        if hot.any():
+            yield from _rows(BROKEN, (deals[alike > ALIKE] % np.uint64(n_parts)).astype(np.int64), n_parts, (deals[alike > ALIKE] >> np.uint64(32)).astype(np.uint32))
+            out = holder[hot[group_of]]
+            yield from _broken(data, base[out], size[out].astype(np.int64), order[out], key[out], start[out], n_parts)
         pack = zstandard.ZstdCompressor(level=1).compress
-        for k, own in _split((deal[head] % np.uint64(n_parts)).astype(np.int64), n_parts):
+        cool = np.flatnonzero(~hot)
+        for k, own in _split((deal[head[cool]] % np.uint64(n_parts)).astype(np.int64), n_parts):
+            own = cool[own]
             own = own[np.lexsort((start[head[own]], key[head[own]], order[head[own]]))]  # a document's spans lie side by side
             h = head[own]
             held = holder[_ranges_of(group_of, own)[0]]
@@ -302,13 +350,15 @@ def _removed(n_parts: int):
     """Combines the equal spans of all tasks as each task has combined its own; what is left and dealt alike is sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pile, spans, hashes = _Pile("u4", "u1", "i8", "u4", "i8", "u4"), [], []
+        pile, spans, hashes, broken = _Pile("u4", "u1", "i8", "u4", "i8", "u4"), [], [], _Pile("u4")
         unpack = zstandard.ZstdDecompressor().decompress
         for row in _each(batches):
             if row["kind"] == SPANS:
                 pile.add(row)
                 spans.append(unpack(row["c6"]))
                 hashes.append(_span_hashes(spans[-1], pile.got[1][-1]))
+            elif row["kind"] == BROKEN:
+                broken.add(row)
             else:
                 yield _row(row["kind"], row["part"], *(row[c] for c in _CELLS if row[c] is not None))
         sub, size, order, holders, key, start = pile.arrays()
@@ -336,7 +386,17 @@ def _removed(n_parts: int):
         by = by[~later]
         by = by[np.argsort(sub[by], kind="stable")]
         alone = np.r_[True, np.diff(sub[by]) != 0] & np.r_[np.diff(sub[by]) != 0, True] if len(by) else np.zeros(0, bool)
-        by = by[~alone]  # nothing else in the corpus is dealt like these
+        hot = np.isin(sub[by], broken.arrays()[0])  # other tasks have broken theirs
+        by, few = by[~alone | hot], hot[~alone | hot]  # nothing else in the corpus is dealt like the others
+        if len(by):
+            group = np.cumsum(np.r_[True, np.diff(sub[by]) != 0]) - 1
+            few |= np.bincount(group, size[by] - LENGTH + 1)[group] > SUFFIXES
+        out, by = by[few], by[~few]
+        if len(out):
+            n = holders[out].astype(np.int64)
+            held = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(hold_at[out], n)
+            of = np.repeat(out, n)
+            yield from _broken(data, base[of], size[of], order[of], key[held], start[held], n_parts)
         work = np.cumsum(size[by] - LENGTH + 1)
         at = 0
         while at < len(by):  # whole groups of what is dealt alike, about SUFFIXES at once
@@ -350,12 +410,25 @@ def _removed(n_parts: int):
     return run
 
 
+def _settled(n_parts: int):
+    """The ranges of stretches that have met; other rows are not for this step."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pile = _Pile("u8", "i8", "i8", "u4")
+        for row in _each(batches):
+            if row["kind"] == STRETCHES:
+                pile.add(row)
+        yield from _earliest(*pile.arrays(), n_parts, None)
+
+    return run
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ranges, texts = _Pile("i8", "u4", "u1"), []
     for row in _each(batches):
         if row["kind"] == TEXTS:
             texts.append(row)
-        else:
+        elif row["kind"] == RANGES:
             ranges.add(row)
     key, start, size = ranges.arrays()
     by = np.argsort(key, kind="stable")
@@ -412,7 +485,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     asked = docs.select("key", "ord", "text").mapInArrow(_asked(n), SCHEMA)
     candidates = asked.repartition(n, "part").mapInArrow(_shared(n), SCHEMA)
     spans = _beside(candidates, texts, _spans(n), SCHEMA)
-    ranges = spans.repartition(n, "part").mapInArrow(_removed(n), SCHEMA)
+    ranges = spans.repartition(n, "part").mapInArrow(_removed(n), SCHEMA).repartition(n, "part")  # one shuffle for both uses
+    ranges = ranges.union(ranges.mapInArrow(_settled(n), SCHEMA).repartition(n, "part"))
     return _beside(ranges, texts, _kept, "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

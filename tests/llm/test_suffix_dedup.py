@@ -45,6 +45,36 @@ def test_periods_borders_and_odd_rows(spark):
     assert got(df) == brute(rows)
 
 
+def test_a_short_line_in_many_surroundings(spark, monkeypatch):
+    from llm import suffix_dedup
+
+    r = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    line = "0123456789 a line that many documents ho"
+    ends = [(word(40), word(40)) for _ in range(200)]  # some surroundings come again
+    rows = [(int(i), a + line + b) for i in r.permutation(900) for a, b in [ends[i % 200] if i < 300 else (word(40), word(40))]]
+    seen, sort = [], suffix_dedup.sort_strings
+    monkeypatch.setattr(suffix_dedup, "sort_strings", lambda data, start, length: seen.append(len(start)) or sort(data, start, length))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    for alike, suffixes in ((suffix_dedup.ALIKE, 500), (20, 500), (20, 1 << 19)):
+        monkeypatch.setattr(suffix_dedup, "ALIKE", alike)
+        monkeypatch.setattr(suffix_dedup, "SUFFIXES", suffixes)
+        assert got(df.repartition(3)) == want
+    # one bucket, as a task of step 2 sees it: no more than SUFFIXES are sorted at once, and all stretches go on
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES", 500)
+    texts = [t.encode() for _, t in rows]
+    at = [t.index(line.encode()) for t in texts]
+    spans = [t[k - 10 : k + 74] for t, k in zip(texts, at, strict=True)]
+    n, u = len(spans), suffix_dedup._squeezed
+    columns = [np.zeros(n, np.uint32), np.full(n, 84, np.uint8), np.arange(n), np.ones(n, np.uint32), np.arange(n), np.zeros(n, np.uint32)]
+    bucket = suffix_dedup._row(suffix_dedup.SPANS, 0, *map(u, columns), suffix_dedup.zstandard.compress(b"".join(spans)))
+    seen.clear()
+    out = list(suffix_dedup._removed(4)(iter([bucket])))
+    assert max(seen, default=0) <= 500
+    assert suffix_dedup.STRETCHES in {b.column("kind")[0].as_py() for b in out}
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
