@@ -1,6 +1,7 @@
 """Best-fit packing of tokenized documents into sequences by hierarchical residual packing.
 
-Documents become ids plus an end id; only longer ones are cut, into full pieces and a rest. Each task packs its own pieces
+Documents become ids plus an end id; only longer ones are cut, into full pieces and a rest. The pieces' ids and lengths
+are spread over the first tasks by a hash, so that each meets the corpus's mix of lengths wherever its documents lie. Each task packs its own pieces
 best-fit, longest first. Bins that are nearly full are final. The others go up a tree: a node
 takes the underfull bins of ``FAN`` nodes below it, packs them best-fit as if each were one piece, and
 passes on what is still underfull, until one node is left. A node passes on its ``PASSED`` emptiest bins at most;
@@ -31,6 +32,8 @@ CAPACITY, END = 4096, 1
 #: A bin with this little room is final.
 SLACK = 16
 FAN, PASSED = 8, 20_000
+#: Pieces that a first task packs.
+SPREAD = 1 << 15
 KEPT = 120_000
 CHUNK = 1 << 18
 SIGNS = ".,;:!?-%$#&*|)]}"
@@ -191,7 +194,7 @@ def _node(level: int, capacity: int):
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(item, sequence_id, offset) for ``items(item long, length long)``, whose partitions must not change when computed again."""
+    """(item, sequence_id, offset) for ``items(item long, length long)``, whose rows must not change when computed again."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("item").to_numpy(), b.column("length").to_numpy()) for b in batches]
@@ -200,7 +203,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _packed(item, length, TaskContext.get().partitionId(), 0, capacity)], _NAMES)
 
     whole = items.where(F.col("length") >= capacity).select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("open"))
-    placed = checkpointed(items.where(F.col("length") < capacity).select("item", "length").mapInArrow(first, PLACES))
+    rest = items.where(F.col("length") < capacity).select("item", "length")
+    placed = checkpointed(rest.repartition(max(1, -(-rest.count() // SPREAD)), "item").mapInArrow(first, PLACES))
     level, nodes = 0, (placed.agg(F.max(F.expr("(bin >> 32) & 67108863"))).first()[0] or 0) + 1
     final = placed.select("item", "bin", "offset")
     while True:

@@ -130,6 +130,14 @@ def test_pieces_and_sequences(docs, rows):
     check_packing(packing.packed_documents(docs, definition()).collect(), rows)
 
 
+def test_lengths_that_go_with_partitions_pack_as_well_as_mixed_ones(spark):
+    n = 4000
+    items = spark.range(2 * n, numPartitions=40).selectExpr("id as item", f"if(id < {n}, 2500L, 1500L) as length")
+    out = packing.pack(items).collect()
+    assert len(out) == len({r["item"] for r in out}) == 2 * n
+    assert len({r["sequence_id"] for r in out}) <= 1.03 * n
+
+
 def test_packing_edges(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None)], "doc_id long, text string").selectExpr("*", "1 as item", "2 as length")
     out = packing.packed_documents(df, definition()).collect()
