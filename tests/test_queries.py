@@ -42,6 +42,35 @@ def test_against_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(names, c.fetchall())
 
 
+def address(url, cap=2000):
+    units = lambda s: len(s.encode("utf-16-le")) // 2
+    if url is None or units(url) <= cap:
+        return url
+    base, mark, rest = url.partition("#")
+    path, asked, query = base.partition("?")
+    n = units(query)
+    shed = f"{path}?… ({f'{n} chars' if n < 1024 else f'{round(n / 1024)}kB'} query){mark}{rest}"
+    if asked and units(shed) <= cap:
+        return shed
+    return url.encode("utf-16-le")[: 2 * cap - 2].decode("utf-16-le", "ignore") + "…"
+
+
+def test_addresses_of_all_pages_and_long_ones(spark, tmp_path):
+    given = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect()
+    b = "http://a.test/p"
+    odd = [None, "", "?" + "q" * 3000, f"{b}?{'q' * 1990}", f"{b}?{'q' * 2560}#f?x", f"{b}{'p' * 3000}", f"{b}?#{'f' * 3000}", f"{b}?x=1#{'f' * 1990}?y", f"{b}#{'?' * 3000}"]
+    odd += ["\U0001f9ff" * 1001, "x" + "\U0001f9ff" * 1001, b + "\U0001f9ff" * 990, f"{b}?{'é' * 2100}#a\nb", f"{b}?a?b{'q' * 2000}", f"{b}?{'q' * 1023}{'#' * 1200}", "x" * 2000, "x" * 2001]
+    rows = [(r["page_id"], r["url"]) for r in given] + [(-1 - k, u) for k, u in enumerate(odd)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = catalog.QUERIES["page_addresses"](spark, str(tmp_path)).collect()
+    assert {r["page_id"]: r["described"] for r in got} == {i: address(u) for i, u in rows}
+    assert any(u and ("?" in u or "#" in u) for _, u in rows[: len(given)])
+
+
+def test_acts_are_not_nothing(spark):
+    assert not catalog.QUERIES["zero_shaped_acts"](spark, SF).first()["nothing"]
+
+
 def test_nothing_is_paired_with_everything(spark):
     for name in ("session_summary", "session_stamp", "overlap_concurrent", "nearest_mark", "claim_events"):
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -112,6 +112,21 @@ def describe_url(url: Column | str, cap: int = 2000) -> Column:
     return F.when(F.length(u) <= cap, u).otherwise(F.when(F.length(short) <= cap, short).otherwise(F.concat(F.substring(short, 1, cap - 1), F.lit("…"))))
 
 
+def page_address(url: Column | str, cap: int = 2000) -> Column:
+    """Addresses over the cap, in UTF-16 units, shed their query and keep its size; what is still too long is cut itself, on a whole character."""
+    u = _col(url)
+    units = lambda c: (F.length(F.encode(c, "UTF-16BE")) / 2).cast("long")
+    base = F.substring_index(u, "#", 1)
+    asked = F.instr(base, "?")
+    n = units(F.substr(base, asked + 1))
+    size = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" chars"))).otherwise(F.concat(F.bround(n / 1024, 0).cast("long").cast("string"), F.lit("kB")))
+    shed = F.concat(F.substr(base, F.lit(1), asked - 1), F.lit("?… ("), size, F.lit(" query)"), F.substr(u, F.length(base) + 1))
+    wide = F.encode(u, "UTF-16BE")
+    split = F.hex(F.substring(wide, 2 * cap - 3, 2)).between("D800", "DBFF")
+    cut = F.decode(F.when(split, F.substring(wide, 1, 2 * cap - 4)).otherwise(F.substring(wide, 1, 2 * cap - 2)), "UTF-16BE")
+    return F.when(units(u) <= cap, u).when((asked > 0) & (units(shed) <= cap), shed).otherwise(F.concat(cut, F.lit("…")))
+
+
 def escape_value(text: Column | str) -> Column:
     out = F.replace(_col(text), F.lit("\\"), F.lit("\\\\"))
     for raw, written in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):

@@ -454,6 +454,11 @@ def describe_url(spark, sf_dir):
     return read(spark, sf_dir, "pages").where("not contains(url, '?') and not contains(url, '#')").select("page_id", X.describe_url(u, 40).alias("described"))
 
 
+@query()
+def page_addresses(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", X.page_address("url").alias("described"))
+
+
 @query("SELECT doc_id, sha256(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS collapsed FROM documents")
 def collapse_text(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(X.collapse("text"), 256).alias("collapsed"))
@@ -515,6 +520,11 @@ def zero_shaped(spark, sf_dir):
     return books.means_nothing(acts(spark, sf_dir).where("k = -1").select("k", "value"))
 
 
+@query(f"WITH {ACTS} SELECT coalesce(bool_and(k = 0 AND value = 0), true) AS nothing FROM acts")
+def zero_shaped_acts(spark, sf_dir):
+    return books.means_nothing(acts(spark, sf_dir).select("k", "value"))
+
+
 @query(f"""WITH {ACTS}, a AS (SELECT snippet, visitor_id, recorder_slice, count(*) AS births FROM acts WHERE type_str = 'PageLoad' GROUP BY ALL), b AS (SELECT snippet, visitor_id, recorder_slice, count(*) AS arrivals FROM acts WHERE type_str = 'Click' GROUP BY ALL)
  SELECT snippet, visitor_id, recorder_slice, births, arrivals FROM a FULL JOIN b USING (snippet, visitor_id, recorder_slice)""")
 def births_and_arrivals(spark, sf_dir):
