@@ -7,8 +7,9 @@ but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +45,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
+def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept bytes as text, without the rests of characters cut in two; a U+FFFD of the document's own stays."""
+    for batch in batches:
+        texts = [kept.decode("utf-8", "ignore") for kept in batch.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
+
+
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove the passages that an earlier document holds. A character cut in two goes; rows of one id and text count once."""
     cut = suffix_dedup.without_repeats(docs.select("doc_id", "text")).select("key", "kept").dropDuplicates(["key"])
     rest = docs.select("doc_id", "lang", "source", suffix_dedup.row_key().alias("key")).dropDuplicates(["key"])
-    text = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
-    return rest.join(cut, "key").withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    cut = cut.mapInArrow(_whole_characters, "key long, text string")
+    return rest.join(cut, "key").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

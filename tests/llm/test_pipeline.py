@@ -81,6 +81,18 @@ def test_stages(spark, folder):
     check_packing(packed, [(r["doc_id"], r["text"]) for r in cut])
 
 
+def test_own_replacement_characters_stay(spark):
+    passage = "p" * 49 + "é"
+    rows = [(1, "a � b"), (2, "x" + passage + "y"), (3, "� z" + passage[:-1] + "è �"), (4, "w" + "p" * 49 + "é� v")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    assert got[1] == ("a � b", 5)
+    assert got[2] == ("x" + passage + "y", 52)
+    # the passage and half a character go
+    assert got[3] == ("� z �", 5)
+    assert got[4] == ("w� v", 4)
+
+
 def test_run_applies_all_stages(spark, folder):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert sum(r["length"] for r in rows) > 0
