@@ -8,11 +8,14 @@ common in the corpus last. Two sets of similarity t or more share an element amo
    order, never the result) and takes each document's set size and signature; equal sets form a class, represented by its smallest id.
 2. One scan emits prefix elements. Documents of compatible sizes that share one form a run. In a short run they meet
    pair by pair; a pair goes on only if it shares as many prefix elements as a link needs. In a long run each is tied
-   to a leader instead. Each task first combines its own long runs, so an element held by a third of all
+   to a leader instead, but for those that no other of the run can need the element for: the place of an element in a set bounds
+   the size that a partner may have. Each task first combines its own long runs, so an element held by a third of all
    documents sends a few rows a task, not one a document, and no pairs.
-3. Components of these ties are groups outside which no link can exist. Groups above ``block`` documents are
-   cut by size bands and hashed chunks into pairs of chunks, each a task of its own, so no group is
-   gathered whole; size bands that can't link are never paired.
+3. Components of these ties are groups outside which no link can exist. A group of up to ``block`` documents and ``ELEMENTS``
+   elements is a block, a task of its own. Larger ones are cut by size bands and hashed chunks; each chunk meets
+   itself and ``PIVOTS`` members of its own and the neighbouring bands. Of what that leaves unlinked to the group's largest component,
+   each chunk then meets every chunk of compatible sizes: two members of one component need not meet, so a large group
+   of copies of one text costs as many blocks as it has chunks, not as pairs of chunks. Size bands that can't link are never paired.
 4. In each block the sets form a trie, which all members walk together (``llm.trie``): this decides each pair exactly
    on the hashed sets. Links become components.
 
@@ -32,23 +35,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import checkpointed, components, shuffle_partitions
+from .spark_io import checkpointed, components, in_lanes, join_unique, partitions_for
 from .trie import SetTrie
 
 #: Words of a shingle, and the similarity that links: PART / WHOLE.
 WIDTH, PART, WHOLE = 5, 80, 100
 #: Bytes of text for each counter of the sketch, bounds of the counters' number (as powers of two), and rows in which they travel.
-BYTES_EACH, SKETCH_LEAST, SKETCH_MOST, SKETCH_PARTS = 200, 16, 24, 64
+BYTES_EACH, SKETCH_LEAST, SKETCH_MOST, SKETCH_PARTS = 200, 16, 24, 256
 #: Bits of the filter that spares unlinked documents a shuffle.
 FILTER_BITS = 1 << 23
-#: Documents of a block.
-BLOCK = 512
+#: Documents of a block, and elements of all of them.
+BLOCK, ELEMENTS = 512, 1 << 19
+#: Members of a large group's size band that each of its chunks meets first.
+PIVOTS = 16
 #: Documents of compatible sizes that share a prefix element meet pair by pair up to this number, beyond it in a group.
 SHORT_RUN = 8
+#: Rows of one element that a task sends where they can't be combined without ties.
+ROWS = 256
 #: Kinds of rows that the reducers give.
 EDGE, TOKENS, PAIR = 0, 1, 2
-#: Probes that walk a trie together, times vocabulary.
-CELLS = 1 << 24
+#: Sets that walk a trie together, and they times the vocabulary.
+WALKING, CELLS = 64, 1 << 22
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,8 +98,14 @@ def _scan(width: int, bits: int):
 
 def _added(sketch: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i4").astype(np.int64) for x in sketch["counts"])
-    level = np.minimum(255, np.round(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-    return pa.table({"part": sketch["part"][:1].cast(pa.int32()), "levels": pa.array([level.tobytes()], pa.binary())})
+    total = np.minimum(total, (1 << 31) - 1).astype("<i4")  # more would be the same level
+    return pa.table({"part": sketch["part"][:1].cast(pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _levels(counts: bytes) -> bytes:
+    """How common the shingles of each counter are, in quarters of a power of two."""
+    total = np.frombuffer(zlib.decompress(counts), "<i4")
+    return np.minimum(255, np.round(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8).tobytes()
 
 
 def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -109,16 +122,29 @@ def _packed(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterato
             yield k, [c[bound[k] : bound[k + 1]].tobytes() for c in columns]
 
 
-def _runs(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted rows, and first row and length of each run: rows of one token that sizes which could link hold together."""
-    order = np.lexsort((lo, token))
-    token, lo, hi, doc, count = token[order], lo[order], hi[order], doc[order], count[order]
+def _reach(n: int, p: int) -> np.ndarray:
+    """For each of the first p places in a set of n elements: the size up to which a partner may need the element there.
+
+    Of a pair that links, the first common element stands where either set still has as many elements left as the two must share.
+    """
+    return (n - np.arange(p, dtype=np.int64)) * (PART + WHOLE) // PART - n
+
+
+def _runs(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, ub: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows sorted by token and size; first row and length of each run, rows of one token that sizes which could link hold together;
+    and for each row whether a tie begins with it: rows whose reach doesn't meet the next one's size can't link with what follows."""
+    order = np.lexsort((ub, lo, token))
+    token, lo, hi, ub, doc, count = (c[order] for c in (token, lo, hi, ub, doc, count))
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
-    reach = np.maximum.accumulate((np.cumsum(new) << 40) + hi) & ((1 << 40) - 1)
-    new[1:] |= reach[:-1] * WHOLE < lo[1:] * PART
+    which = np.cumsum(new) << 40
+    last = (1 << 40) - 1
+    tie = new.copy()
+    new[1:] |= (np.maximum.accumulate(which + hi)[:-1] & last) * WHOLE < lo[1:] * PART
+    tie |= new
+    tie[1:] |= (np.maximum.accumulate(which + ub)[:-1] & last) < lo[1:]
     first = np.flatnonzero(new)
-    return token, lo, hi, doc, count, first, np.diff(np.append(first, len(token)))
+    return token, lo, hi, ub, doc, count, first, np.diff(np.append(first, len(token))), tie
 
 
 def _counted(*columns: np.ndarray) -> np.ndarray:
@@ -140,7 +166,7 @@ def _notes(doc: np.ndarray, leader: np.ndarray) -> np.ndarray:
 def _prefixes(width: int, levels, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
-        tokens, docs, sizes, met = [], [], [], set()
+        tokens, docs, sizes, reach, met = [], [], [], [], set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for h, bound, rows in _sets(batch, width):
@@ -156,27 +182,36 @@ def _prefixes(width: int, levels, n_buckets: int):
                         tokens.append(s[:p])
                         docs.append(np.full(p, ids[r]))
                         sizes.append(np.full(p, n))
+                        reach.append(_reach(n, p))
         if not tokens:
             return
         size = np.concatenate(sizes)
-        token, lo, hi, doc, count, first, length = _runs(np.concatenate(tokens), size, size, np.concatenate(docs), np.ones(len(size), np.int64))
-        del tokens, docs, sizes, size
-        long_, members = length > SHORT_RUN, np.repeat(length > SHORT_RUN, length)
-        leader = np.minimum.reduceat(doc, first)
-        notes = _notes(doc[members], np.repeat(leader[long_], length[long_]))
-        last = (first + length - 1)[long_]
-        token, lo, hi = (np.concatenate([c[~members], d]) for c, d in ((token, token[first[long_]]), (lo, lo[first[long_]]), (hi, hi[last])))
-        doc, count = np.concatenate([doc[~members], leader[long_]]), np.concatenate([count[~members], length[long_]])
-        names = ["bucket", "token", "lo", "hi", "doc", "count", "notes"]
-        bucket = (K.mix(token) % np.uint64(n_buckets)).astype(np.int64)
-        for k, blobs in _packed(bucket, n_buckets, token, lo.astype("<i4"), hi.astype("<i4"), doc, count.astype("<i4")):
+        token, lo, hi, ub, doc, count, first, length, tie = _runs(np.concatenate(tokens), size, size, np.concatenate(reach), np.concatenate(docs), np.ones(len(size), np.int64))
+        del tokens, docs, sizes, size, reach
+        # ties of a long run become a row each; where even these are many, documents of one size are tied as well
+        members = np.repeat(length > SHORT_RUN, length)
+        run_of = np.repeat(np.arange(len(first)), length)
+        many = np.bincount(run_of, tie)[run_of] > ROWS
+        tie &= ~many | np.r_[True, (run_of[1:] != run_of[:-1]) | (lo[1:] != lo[:-1])]
+        tie |= ~members
+        begin = np.flatnonzero(tie)
+        n = np.diff(np.append(begin, len(tie)))
+        leader = np.minimum.reduceat(doc, begin)
+        notes = _notes(doc[members], np.repeat(leader, n)[members])
+        rows = (token[begin], lo[begin], np.maximum.reduceat(hi, begin), np.maximum.reduceat(ub, begin), leader, np.where(members, np.repeat(length, length), count)[begin])
+        names = ["bucket", "token", "lo", "hi", "ub", "doc", "count", "notes"]
+        bucket = (K.mix(rows[0]) % np.uint64(n_buckets)).astype(np.int64)
+        for k, blobs in _packed(bucket, n_buckets, *(c.astype(kind) for c, kind in zip(rows, _KINDS.values(), strict=True))):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.nulls(1, pa.binary())], names)
         for k, blobs in _packed((K.mix(notes[:, 1].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, notes):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.nulls(1, pa.binary())] * 5, pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.nulls(1, pa.binary())] * 6, pa.array(blobs, pa.binary())], names)
 
     return run
 
 
+_KINDS = {"token": "<u8", "lo": "<i4", "hi": "<i4", "ub": "<i4", "doc": "<i8", "count": "<i4"}
+
+
 def _met(n_buckets: int):
     """Packed rows kind, a, b, c: pairs met in short runs and how often; edges and token counts of long runs."""
 
@@ -199,21 +234,22 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    kinds = {"token": np.uint64, "lo": "<i4", "hi": "<i4", "doc": np.int64, "count": "<i4"}
-    got, notes = {k: [] for k in kinds}, [np.zeros((0, 4), np.int64)]
+    got, notes = {k: [] for k in _KINDS}, [np.zeros((0, 4), np.int64)]
     for batch in batches:
         for row in batch.to_pylist():
             if row["notes"] is not None:
                 notes.append(np.frombuffer(row["notes"], np.int64).reshape(-1, 4))
             else:
-                for k, kind in kinds.items():
+                for k, kind in _KINDS.items():
                     got[k].append(np.frombuffer(row[k], kind))
     if got["token"]:
-        token, lo, hi, doc, count = (np.concatenate(got.pop(k)) for k in kinds)
-        _, lo, _, doc, count, first, length = _runs(token, lo.astype(np.int64), hi.astype(np.int64), doc, count.astype(np.int64))
+        token, *rest = (np.concatenate(got.pop(k)) for k in _KINDS)
+        _, lo, _, ub, doc, count, first, length, tie = _runs(token, *(c.astype(np.int64) for c in rest))
         short = np.add.reduceat(count, first) <= SHORT_RUN
         members = np.repeat(~short, length)
-        notes.append(_notes(doc[members], np.repeat(np.minimum.reduceat(doc, first), length)[members]))
+        begin = np.flatnonzero(tie)
+        leader = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.append(begin, len(tie))))
+        notes.append(_notes(doc[members], leader[members]))
         run = np.repeat(np.arange(len(first)), length)
         keep = np.repeat(short & (length > 1), length)
         run, lo, doc = run[keep], lo[keep], doc[keep]
@@ -275,7 +311,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ored(parts: pa.Table) -> pa.Table:
     total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in parts["bits"]])
-    return pa.table({"part": parts["part"][:1].cast(pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+    return pa.table({"part": parts["part"][:1].cast(pa.int32()), "bits": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 def block_links(sets: list[np.ndarray], side: np.ndarray, part: int = PART, whole: int = WHOLE) -> list[tuple[int, int]]:
@@ -301,9 +337,12 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, part: int = PART, whol
         return i
 
     out = []
-    step = max(1, CELLS // max(1, n_tokens) // 4)
-    for k in range(0, len(probing), step):
-        some = probing[k : k + step]
+    step = max(1, min(WALKING, CELLS // max(1, n_tokens)))
+    while probing:
+        linked = {root(i) for i in stored}
+        if len(linked) == 1:  # what all stored sets are linked with has nothing to find
+            probing = [i for i in probing if root(i) not in linked]
+        some, probing = probing[:step], probing[step:]
         for p, s in zip(*trie.join([tokens[i] for i in some], sizes[some], n_tokens, part, whole), strict=True):
             i, j = some[p], stored[s]
             a, b = root(i), root(j)
@@ -321,26 +360,54 @@ def _linked(block: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Rows (doc_id, key, side): the blocks in which each member of a group meets the others."""
-    size = members.groupBy("root").agg(F.count("*").alias("size"))
-    small = members.join(size, "root").select("doc_id", "n", "root", "size", F.floor(F.log(F.col("n")) / F.lit(float(np.log(WHOLE / PART))) + 1e-9).cast("int").alias("band"))
-    alone = small.where(F.col("size") <= block).select("doc_id", F.struct("root", *(F.lit(0).alias(x) for x in "uivj")).alias("key"), F.lit(2).alias("side"))
-    large = small.where(F.col("size") > block)
-    # a band next to the rounding of the logarithm is paired with its neighbours all the same: bands two apart can't link
-    bands = large.groupBy("root", "band").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("chunks"))
-    bands = bands.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("band", "chunks"))).alias("chunks"))
-    own = large.join(bands, "root").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("chunks")[F.col("band")]).cast("int"))
-    met = own.select("doc_id", "root", "band", "i", "chunks", F.explode(F.expr("array(band - 1, band, band + 1)")).alias("other"))
-    met = met.where("chunks[other] is not null").select("doc_id", "root", "band", "i", "other", F.explode(F.expr("sequence(0, chunks[other] - 1)")).alias("j"))
-    first = F.expr("struct(band as u, i as i) <= struct(other as u, j as i)")
-    mine, theirs = ("band", "i"), ("other", "j")
+def _key(root: str, *rest) -> F.Column:
+    names = ("u", "i", "v", "j")
+    return F.struct(F.col(root).alias("root"), *((F.lit(0) if c is None else F.col(c)).cast("int").alias(x) for x, c in zip(names, rest, strict=True)))
+
 
-    def key(a, b):
-        return F.struct("root", F.col(a[0]).alias("u"), F.col(a[1]).alias("i"), F.col(b[0]).alias("v"), F.col(b[1]).alias("j"))
+def _chunk(chunks: str):
+    return F.pmod(F.xxhash64("doc_id"), F.col(chunks)).cast("int")
 
-    met = met.select("doc_id", F.when(first, key(mine, theirs)).otherwise(key(theirs, mine)).alias("key"), F.when(F.expr("band = other and i = j"), 2).when(first, 0).otherwise(1).alias("side"))
-    return alone.union(met)
+
+def _first_blocks(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, side): groups of one block, and chunks of larger ones with the pivots of their own and the next bands;
+    and the large groups' members, (doc_id, root, band, chunks, chunk)."""
+    band = F.floor(F.log(F.col("n")) / F.lit(float(np.log(WHOLE / PART))) + 1e-9).cast("int")
+    size = members.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("elements"))
+    sized = join_unique(members, size, ["root"], "size").withColumn("band", band)
+    one = f"size <= {block} and elements <= {ELEMENTS}"
+    alone = sized.where(one).select("doc_id", _key("root", None, None, None, None).alias("key"), F.lit(2).alias("side"))
+    large = sized.where(f"not ({one})")
+    # a band next to the rounding of the logarithm is paired with its neighbours all the same: bands two apart can't link
+    bands = large.groupBy("root", "band").agg(F.count("*").alias("in_band"), F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n") / F.lit(ELEMENTS))).cast("int").alias("chunks"))
+    large = join_unique(large.select("doc_id", "n", "root", "band"), bands, ["root", "band"], "in_band").withColumn("chunk", _chunk("chunks"))
+    large = checkpointed(large.select("doc_id", "n", "root", "band", "chunks", "chunk"))
+    bands = large.groupBy("root", "band").agg(F.max("chunks").alias("chunks"))
+    own = large.select("doc_id", _key("root", "band", "chunk", "band", "chunk").alias("key"), F.lit(2).alias("side"))
+    pivots = large.groupBy("root", "band", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PIVOTS)).alias("of")).agg(F.min("doc_id").alias("doc_id"))
+    pivots = pivots.select("doc_id", "root", F.col("band").alias("from"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band")).join(bands, ["root", "band"])
+    pivots = pivots.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).where(~((F.col("from") == F.col("band")) & (F.col("chunk") == _chunk("chunks"))))
+    pivots = pivots.select("doc_id", _key("root", "band", "chunk", "band", "chunk").alias("key"), F.lit(0).alias("side"))
+    return alone.union(own).union(pivots), large
+
+
+def _second_blocks(large: DataFrame, found: DataFrame, block: int) -> DataFrame:
+    """Blocks of what isn't linked to its group's largest component yet, in chunks, each with every chunk of all that it could link with."""
+    part = large.withColumnRenamed("root", "group").join(found.select(F.col("node").alias("doc_id"), F.col("root").alias("linked")), "doc_id", "left")
+    part = checkpointed(part.withColumn("linked", F.coalesce("linked", "doc_id")))
+    sizes = part.groupBy("group", "linked").agg(F.count("*").alias("of"))
+    most = sizes.groupBy("group").agg(F.max_by("linked", F.struct("of", "linked")).alias("most"), F.sum("of").alias("size"))
+    part = join_unique(part, most, ["group"], "size")
+    open_ = part.where("linked <> most").select("doc_id", "n", "group", "band")
+    rest = open_.groupBy("group", "band").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n") / F.lit(ELEMENTS))).cast("int").alias("rests"))
+    chunks = large.select(F.col("root").alias("group"), "band", "chunks").distinct()
+    near = F.explode(F.expr("array(band - 1, band, band + 1)"))
+    open_ = open_.join(rest, ["group", "band"]).withColumn("rest", _chunk("rests"))
+    asking = open_.select("doc_id", "group", F.col("band").alias("own"), "rest", near.alias("band")).join(chunks, ["group", "band"])
+    asking = asking.withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)"))).select("doc_id", _key("group", "own", "rest", "band", "chunk").alias("key"), F.lit(1).alias("side"))
+    asked = large.select("doc_id", F.col("root").alias("group"), F.col("band").alias("from"), "chunk", near.alias("band")).join(rest, ["group", "band"])
+    asked = asked.withColumn("rest", F.explode(F.expr("sequence(0, rests - 1)"))).select("doc_id", _key("group", "band", "rest", "from", "chunk").alias("key"), F.lit(0).alias("side"))
+    return asking.union(asked)
 
 
 def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -354,33 +421,42 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
     bits = min(max((size // BYTES_EACH).bit_length(), SKETCH_LEAST), SKETCH_MOST)
     scan = checkpointed(docs.mapInArrow(_scan(width, bits), "doc_id long, n long, sig_a long, sig_b long, part int, counts binary"))
     rows = scan.where("part is null").select("doc_id", "n", "sig_a", "sig_b")
-    sketch = scan.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(_added, "part int, levels binary")
-    parts = {r["part"]: bytes(r["levels"]) for r in sketch.collect()}  # 2**bits bytes in all
+    sketch = in_lanes(scan.where("part is not null").select("part", "counts"), "part", _added, "part int, counts binary")
+    parts = {r["part"]: _levels(bytes(r["counts"])) for r in sketch.collect()}  # 2**bits counters in all
     levels = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes((1 << bits) // SKETCH_PARTS)) for k in range(SKETCH_PARTS)))
 
     known = rows.where("doc_id is not null and n > 0")
-    least = known.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("class"))
-    classes = checkpointed(known.join(least, ["sig_a", "sig_b"]).select("doc_id", "n", "class"))
+    least = known.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies"))
+    classes = checkpointed(join_unique(known, least, ["sig_a", "sig_b"], "copies").select("doc_id", "n", "class"))
 
-    n_buckets = shuffle_partitions(spark)
+    n_buckets = partitions_for(spark, size)
     named = docs.where("doc_id is not null")
-    prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), "bucket int, token binary, lo binary, hi binary, doc binary, count binary, notes binary")
-    met = prefixes.repartition(n_buckets, "bucket").mapInArrow(_met(n_buckets), "bucket int, met binary")
-    met = checkpointed(met.repartition(n_buckets, "bucket").mapInArrow(_summed, "kind int, a long, b long, c long"))
+    prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), "bucket int, token binary, lo binary, hi binary, ub binary, doc binary, count binary, notes binary")
+    met = prefixes.repartitionById(n_buckets, "bucket").mapInArrow(_met(n_buckets), "bucket int, met binary")
+    met = checkpointed(met.repartitionById(n_buckets, "bucket").mapInArrow(_summed, "kind int, a long, b long, c long"))
     groups = checkpointed(components(_candidates(met, classes)))
 
     heads = classes.where("doc_id = class").select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     members = checkpointed(heads.join(groups, heads["doc_id"] == groups["node"]).select("doc_id", "n", "root"))
-    bits = members.select("doc_id").mapInArrow(_bits, "part int, bits binary").groupBy("part").applyInArrow(_ored, "part int, bits binary")
-    parts = {r["part"]: bytes(r["bits"]) for r in bits.collect()}  # FILTER_BITS / 8 bytes in all
+    bits = in_lanes(members.select("doc_id").mapInArrow(_bits, "part int, bits binary"), "part", _ored, "part int, bits binary")
+    parts = {r["part"]: zlib.decompress(bytes(r["bits"])) for r in bits.collect()}  # FILTER_BITS / 8 bytes in all
     chosen = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes(1 << 15)) for k in range(FILTER_BITS >> 18)))
     sets = named.mapInArrow(_members(width, levels, chosen), "doc_id long, elements binary")
-    links = _blocks(members, block).join(sets, "doc_id").groupBy("key").applyInArrow(_linked, "a long, b long")
+
+    def links(blocks: DataFrame) -> DataFrame:
+        return checkpointed(blocks.join(sets, "doc_id").groupBy("key").applyInArrow(_linked, "a long, b long"))
+
     # rows that repeat an id make one document of the classes of their texts
     repeats = classes.where("doc_id <> class").select(F.col("doc_id").alias("a"), F.col("class").alias("b"))
     repeats = repeats.join(classes.groupBy("doc_id").agg(F.countDistinct("class").alias("k")).where("k > 1").select(F.col("doc_id").alias("a")), "a", "left_semi")
-    found = components(links.union(repeats))
-
-    label = classes.select("doc_id", "n", F.col("class").alias("node")).join(found, "node", "left")
+    blocks, large = _first_blocks(members, block)
+    found = components(links(blocks).union(repeats))
+    if not large.isEmpty():
+        more = links(_second_blocks(large, found, block))
+        if not more.isEmpty():
+            found = components(more.union(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    copies = classes.groupBy(F.col("class").alias("node")).agg(F.count("*").alias("copies")).join(found, "node")
+    label = join_unique(classes.select("doc_id", "n", F.col("class").alias("node")), copies, ["node"], "copies", "left")
     label = label.groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component"))
     return rows.join(label, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -46,6 +46,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partitions_for(spark: SparkSession, n_bytes: int, each: int = 128 << 20) -> int:
+    """Partitions for a shuffle of so many bytes: the session's number, and more where that would leave over ``each`` to one."""
+    return max(shuffle_partitions(spark), -(-n_bytes // each))
+
+
+#: A key with more than this share of all rows is hot: there can't be more such keys than its inverse.
+HOT = 1024
+#: Partial results are combined in so many lanes before they meet.
+LANES = 1024
+
+
+def join_unique(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined to groups, which hold each key once, with ``size``, the number of its rows.
+
+    Keys of more than a HOT-th of all rows are at most HOT, so their groups are broadcast and their rows stay where they are; all
+    other keys meet in a shuffle.
+    """
+    most = rows.count()
+    fields = [c for c in groups.columns if c not in keys]
+    hot = groups.where(F.col(size) * HOT > most).select(*(F.col(k).alias(f"hot_{k}") for k in keys), F.struct(F.lit(True).alias("is"), *fields).alias("hot"))
+    cold = groups.where(F.col(size) * HOT <= most).select(*keys, F.struct(F.lit(True).alias("is"), *fields).alias("cold"))
+    on = [F.col(k) == F.col(f"hot_{k}") for k in keys]
+    near = rows.join(F.broadcast(hot), on, "left").drop(*(f"hot_{k}" for k in keys))
+    away = near.where("hot is null").join(cold, keys, how)
+    here = near.where("hot is not null").withColumn("cold", F.col("hot"))
+    both = here.select(*rows.columns, "cold").union(away.select(*rows.columns, "cold"))
+    return both.select(*rows.columns, *(F.col("cold")[c].alias(c) for c in fields))
+
+
+def in_lanes(parts: DataFrame, by: str, merge, schema: str) -> DataFrame:
+    """``merge`` over the rows of each ``by``, whose schema it keeps, first in lanes of tasks: no group gathers a row of every task."""
+    lanes = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
+    some = lanes.groupBy(by, "lane").applyInArrow(lambda t: merge(t.drop_columns(["lane"])), schema)
+    return some.groupBy(by).applyInArrow(merge, schema)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a long, b long)``: (node, root), root the smallest id reached.
 

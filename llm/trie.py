@@ -1,9 +1,14 @@
-"""A path-compressed trie over ordered integer sets, walked by many probe sets at once."""
+"""A path-compressed trie over ordered integer sets, walked by many probe sets at once, in pieces of bounded size."""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Tokens of a node: a longer path is a chain of nodes, so that a probe leaves it where the bound first fails.
+EDGE = 64
+#: Tokens that one step of the walk compares at once.
+WALK = 1 << 20
+
 
 class SetTrie:
     """Sets as rising token sequences; sets that begin alike share the nodes of what they have in common.
@@ -50,6 +55,14 @@ class SetTrie:
                 node = len(start) - 1
                 stack.append((node, len(own)))
             ends[node].append(i)
+        for v in range(1, len(start)):
+            while stop[v] - start[v] > EDGE:  # the node keeps the rest; what comes first is a node above it
+                start.append(start[v])
+                stop.append(start[v] + EDGE)
+                parent.append(parent[v])
+                ends.append([])
+                start[v] += EDGE
+                parent[v] = len(start) - 1
         n = len(start)
         self.start, self.stop = np.array(start), np.array(stop)
         parents = np.array(parent)
@@ -80,9 +93,9 @@ class SetTrie:
     def join(self, probes: list[np.ndarray], sizes: np.ndarray, vocabulary: int, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
         """(probe, set) index pairs with whole * intersection >= part * union.
 
-        All probes go down together, one level of nodes at a time. Each carries its overlap
-        with the path so far; a subtree is left when the tokens that remain on either side can't reach
-        the overlap that its smallest set needs, or when the sizes are too far apart.
+        All probes go down together. Each carries its overlap with the path so far; a subtree is left when the tokens that
+        remain on either side can't reach the overlap that its smallest set needs, or when the sizes are too far apart.
+        A step takes nodes of WALK tokens at most, so memory follows the pairs that are still alive, not their paths.
         """
         hit = np.zeros((len(probes), vocabulary), bool)
         for i, t in enumerate(probes):
@@ -91,19 +104,24 @@ class SetTrie:
         total = upto[:, -1] if vocabulary else np.zeros(len(probes), np.int32)
         first = self.children[: self.n_children[0]]
         p = np.repeat(np.arange(len(probes)), len(first))
-        v = np.tile(first, len(probes))
-        overlap = np.zeros(len(p), np.int64)
+        waiting = [(p, np.tile(first, len(probes)), np.zeros(len(p), np.int64))]
         found_p, found_s = [], []
-        while len(p):
+        while waiting:
+            p, v, overlap = waiting.pop()
             n = sizes[p]
             fits = (part * self.least[v] <= whole * n) & (whole * self.most[v] >= part * n)
             p, v, overlap, n = p[fits], v[fits], overlap[fits], n[fits]
             if not len(p):
-                break
+                continue
             length = self.stop[v] - self.start[v]
-            at = np.cumsum(length) - length
-            flat = np.arange(length.sum()) - np.repeat(at, length) + np.repeat(self.start[v], length)
-            overlap = overlap + np.add.reduceat(hit[np.repeat(p, length), self.pool[flat]].astype(np.int64), at)
+            ends = np.cumsum(length)
+            k = max(1, int(np.searchsorted(ends, WALK, "right")))
+            if k < len(p):
+                waiting.append((p[k:], v[k:], overlap[k:]))
+                p, v, overlap, n, length, ends = p[:k], v[:k], overlap[:k], n[:k], length[:k], ends[:k]
+            at = ends - length
+            flat = np.arange(ends[-1]) + np.repeat(self.start[v] - at, length)
+            overlap = overlap + np.add.reduceat(hit[np.repeat(p, length), self.pool[flat]], at, dtype=np.int64)
             left = total[p] - upto[p, self.pool[self.stop[v] - 1]]
             reach = overlap + np.minimum(left, self.rest[v])
             alive = (part + whole) * reach >= part * (n + self.least[v])
@@ -117,6 +135,7 @@ class SetTrie:
                 found_s.append(s[good])
             k = self.n_children[v]
             w = self.children[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(self.child_base[v], k)]
-            p, overlap, v = np.repeat(p, k), np.repeat(overlap, k), w
+            if len(w):
+                waiting.append((np.repeat(p, k), w, np.repeat(overlap, k)))
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *found_p]), np.concatenate([none, *found_s])
