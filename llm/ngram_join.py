@@ -31,11 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
 from .spark_io import checkpointed, components, in_lanes, join_unique, partitions_for
+from .textkit import expanded
 from .trie import SetTrie
 
 #: Words of a shingle, and the similarity that links: PART / WHOLE.
@@ -89,23 +91,33 @@ def _scan(width: int, bits: int):
                         sig_b[r] = K.mix(s ^ np.uint64(0x5BD1E9955BD1E995)).sum().view(np.int64)
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sig_a), pa.array(sig_b), *none], ["doc_id", "n", "sig_a", "sig_b", "part", "counts"])
-        rows = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, SKETCH_PARTS)] if counts.any() else []
+        rows = [_narrow(x) for x in np.split(counts, SKETCH_PARTS)] if counts.any() else []
         longs = [pa.nulls(len(rows), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*longs, pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "n", "sig_a", "sig_b", "part", "counts"])
 
     return run
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counters in as few bytes each as the largest needs, which the first byte tells, compressed."""
+    kind = next(k for k in ("u1", "u2", "u4") if counts.max(initial=0) <= np.iinfo(k).max)
+    return kind[1:].encode() + zstandard.compress(counts.astype("<" + kind).tobytes(), 3)
+
+
+def _wide(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(blob[1:]), "<u" + blob[:1].decode()).astype(np.int64)
+
+
 def _added(sketch: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(zlib.decompress(x.as_py()), "<i4").astype(np.int64) for x in sketch["counts"])
-    total = np.minimum(total, (1 << 31) - 1).astype("<i4")  # more would be the same level
-    return pa.table({"part": sketch["part"][:1].cast(pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+    total = np.minimum(sum(_wide(x.as_py()) for x in sketch["counts"]), (1 << 31) - 1)  # more would be the same level
+    return pa.table({"part": sketch["part"][:1].cast(pa.int32()), "counts": pa.array([_narrow(total)], pa.binary())})
 
 
-def _levels(counts: bytes) -> bytes:
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How common the shingles of each counter are, in quarters of a power of two."""
-    total = np.frombuffer(zlib.decompress(counts), "<i4")
-    return np.minimum(255, np.round(4 * np.log2(np.maximum(total, 1)))).astype(np.uint8).tobytes()
+    for batch in batches:
+        levels = [np.minimum(255, np.round(4 * np.log2(np.maximum(_wide(x), 1)))).astype(np.uint8) for x in batch.column("counts").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array([zstandard.compress(x.tobytes(), 3) for x in levels], pa.binary())], ["part", "levels"])
 
 
 def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -113,28 +125,19 @@ def _ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique((levels[_cell(h, len(levels).bit_length() - 1)].astype(np.uint64) << np.uint64(56)) | (h & np.uint64((1 << 56) - 1)))
 
 
-def _packed(bucket: np.ndarray, n_buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    order = np.argsort(bucket, kind="stable")
-    bound = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    columns = [c[order] for c in columns]
-    for k in range(n_buckets):
-        if bound[k] < bound[k + 1]:
-            yield k, [c[bound[k] : bound[k + 1]].tobytes() for c in columns]
-
-
-def _reach(n: int, p: int) -> np.ndarray:
-    """For each of the first p places in a set of n elements: the size up to which a partner may need the element there.
+def _reach(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The size up to which a partner of a set of n elements may need the element at a place in it.
 
     Of a pair that links, the first common element stands where either set still has as many elements left as the two must share.
     """
-    return (n - np.arange(p, dtype=np.int64)) * (PART + WHOLE) // PART - n
+    return (n - place) * (PART + WHOLE) // PART - n
 
 
-def _runs(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, ub: np.ndarray, doc: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Rows sorted by token and size; first row and length of each run, rows of one token that sizes which could link hold together;
+def _runs(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, ub: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of rows by token and size; in it first row and length of each run, rows of one token that sizes which could link hold together;
     and for each row whether a tie begins with it: rows whose reach doesn't meet the next one's size can't link with what follows."""
     order = np.lexsort((ub, lo, token))
-    token, lo, hi, ub, doc, count = (c[order] for c in (token, lo, hi, ub, doc, count))
+    token, lo, hi, ub = token[order], lo[order], hi[order], ub[order]
     new = np.ones(len(token), bool)
     new[1:] = token[1:] != token[:-1]
     which = np.cumsum(new) << 40
@@ -144,7 +147,7 @@ def _runs(token: np.ndarray, lo: np.ndarray, hi: np.ndarray, ub: np.ndarray, doc
     tie |= new
     tie[1:] |= (np.maximum.accumulate(which + ub)[:-1] & last) < lo[1:]
     first = np.flatnonzero(new)
-    return token, lo, hi, ub, doc, count, first, np.diff(np.append(first, len(token))), tie
+    return order, first, np.diff(np.append(first, len(token))), tie
 
 
 def _counted(*columns: np.ndarray) -> np.ndarray:
@@ -163,12 +166,31 @@ def _notes(doc: np.ndarray, leader: np.ndarray) -> np.ndarray:
     return np.concatenate([edges, np.column_stack([np.full(len(tokens), TOKENS), tokens[:, 0], tokens[:, 0], tokens[:, 1]])])
 
 
+#: Prefix rows of one document each, packed by bucket: token, document's number and the element's place; the documents' ids and sizes. Then rows
+#: that stand for several: token, least and largest size, reach, least id, number of rows. Then notes.
+_OWN = {"token": "<u8", "number": "<i4", "place": "<i4", "ids": "<i8", "sizes": "<i4"}
+_TIED = {"tokens": "<u8", "lo": "<i4", "hi": "<i4", "ub": "<i4", "doc": "<i8", "count": "<i4"}
+_PREFIXES = "bucket int, " + ", ".join(f"{c} binary" for c in (*_OWN, *_TIED, "notes"))
+
+
+def _prefix_row(bucket: int, **blobs: bytes) -> pa.RecordBatch:
+    names = [*_OWN, *_TIED, "notes"]
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([blobs.get(c)], pa.binary()) for c in names)], ["bucket", *names])
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    for at in np.split(order, cuts) if len(order) else []:
+        yield int(bucket[at[0]]), at
+
+
 def _prefixes(width: int, levels, n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(levels.value, np.uint8)
-        tokens, docs, sizes, reach, met = [], [], [], [], set()
+        tokens, ids, sizes, met = [], [], [], set()
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            of = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for h, bound, rows in _sets(batch, width):
                 for i, r in enumerate(rows):
                     if bound[i] < bound[i + 1]:
@@ -178,55 +200,66 @@ def _prefixes(width: int, levels, n_buckets: int):
                         if whole in met:  # of equal sets one goes on; classes join the others to it
                             continue
                         met.add(whole)
-                        p = n - -(-PART * n // WHOLE) + 1
-                        tokens.append(s[:p])
-                        docs.append(np.full(p, ids[r]))
-                        sizes.append(np.full(p, n))
-                        reach.append(_reach(n, p))
+                        tokens.append(s[: n - -(-PART * n // WHOLE) + 1])
+                        ids.append(of[r])
+                        sizes.append(n)
         if not tokens:
             return
-        size = np.concatenate(sizes)
-        token, lo, hi, ub, doc, count, first, length, tie = _runs(np.concatenate(tokens), size, size, np.concatenate(reach), np.concatenate(docs), np.ones(len(size), np.int64))
-        del tokens, docs, sizes, size, reach
+        many = np.array([len(t) for t in tokens])
+        ids, sizes = np.array(ids, np.int64), np.array(sizes, np.int64)
+        number = np.repeat(np.arange(len(many)), many)
+        place = np.arange(len(number)) - np.repeat(np.cumsum(many) - many, many)
+        token = np.concatenate(tokens)
+        del tokens
+        ub = _reach(sizes[number], place)
+        order, first, length, tie = _runs(token, sizes[number], sizes[number], ub)
+        token, number, place, ub = token[order], number[order], place[order], ub[order]
+        lo, doc = sizes[number], ids[number]
         # ties of a long run become a row each; where even these are many, documents of one size are tied as well
         members = np.repeat(length > SHORT_RUN, length)
         run_of = np.repeat(np.arange(len(first)), length)
-        many = np.bincount(run_of, tie)[run_of] > ROWS
-        tie &= ~many | np.r_[True, (run_of[1:] != run_of[:-1]) | (lo[1:] != lo[:-1])]
-        tie |= ~members
-        begin = np.flatnonzero(tie)
-        n = np.diff(np.append(begin, len(tie)))
-        leader = np.minimum.reduceat(doc, begin)
-        notes = _notes(doc[members], np.repeat(leader, n)[members])
-        rows = (token[begin], lo[begin], np.maximum.reduceat(hi, begin), np.maximum.reduceat(ub, begin), leader, np.where(members, np.repeat(length, length), count)[begin])
-        names = ["bucket", "token", "lo", "hi", "ub", "doc", "count", "notes"]
-        bucket = (K.mix(rows[0]) % np.uint64(n_buckets)).astype(np.int64)
-        for k, blobs in _packed(bucket, n_buckets, *(c.astype(kind) for c, kind in zip(rows, _KINDS.values(), strict=True))):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs), pa.nulls(1, pa.binary())], names)
-        for k, blobs in _packed((K.mix(notes[:, 1].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), n_buckets, notes):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.nulls(1, pa.binary())] * 6, pa.array(blobs, pa.binary())], names)
+        crowded = np.bincount(run_of, tie)[run_of] > ROWS
+        tie &= ~crowded | np.r_[True, (run_of[1:] != run_of[:-1]) | (lo[1:] != lo[:-1])]
+        bucket = (K.mix(token) % np.uint64(n_buckets)).astype(np.int64)
+        own = np.flatnonzero(~members)
+        for k, at in _by_bucket(bucket[own]):
+            at = own[at]
+            docs, which = np.unique(number[at], return_inverse=True)
+            columns = zip(_OWN.items(), (token[at], which, place[at], ids[docs], sizes[docs]), strict=True)
+            yield _prefix_row(k, **{name: K.squeezed(c.astype(kind)) for (name, kind), c in columns})
+        begin = np.flatnonzero(tie & members)
+        if not len(begin):
+            return
+        # rows of long runs alone, so that each tie ends where the next one begins
+        long_ = np.flatnonzero(members)
+        at = np.searchsorted(long_, begin)
+        n = np.diff(np.append(at, len(long_)))
+        leader = np.minimum.reduceat(doc[long_], at)
+        rows = (token[begin], lo[begin], np.maximum.reduceat(lo[long_], at), np.maximum.reduceat(ub[long_], at), leader, length[run_of[begin]])
+        for k, at in _by_bucket(bucket[begin]):
+            yield _prefix_row(k, **{name: K.squeezed(c[at].astype(kind)) for (name, kind), c in zip(_TIED.items(), rows, strict=True)})
+        notes = _notes(doc[long_], np.repeat(leader, n))
+        for k, at in _by_bucket((K.mix(notes[:, 1].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)):
+            yield _prefix_row(k, notes=K.squeezed(notes[at].T.ravel()))
 
     return run
 
 
-_KINDS = {"token": "<u8", "lo": "<i4", "hi": "<i4", "ub": "<i4", "doc": "<i8", "count": "<i4"}
-
-
 def _met(n_buckets: int):
     """Packed rows kind, a, b, c: pairs met in short runs and how often; edges and token counts of long runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _found(batches)
         bucket = (K.mix(K.mix(found[:, 1].astype(np.uint64)) + found[:, 2].astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
-        for k, blobs in _packed(bucket, n_buckets, found):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "met"])
+        for k, at in _by_bucket(bucket):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([K.squeezed(found[at].T.ravel())], pa.binary())], ["bucket", "met"])
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows kind, a, b, c of all tasks, c added up: a pair that shares many elements met in as many buckets."""
-    rows = np.concatenate([np.zeros((0, 4), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 4) for batch in batches for x in batch.column("met").to_pylist())])
+    rows = np.concatenate([np.zeros((0, 4), np.int64), *(expanded(x, "<i8").reshape(4, -1).T for batch in batches for x in batch.column("met").to_pylist())])
     rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
     first = np.flatnonzero(np.r_[True, (rows[1:, :3] != rows[:-1, :3]).any(1)]) if len(rows) else np.zeros(0, np.int64)
     c = np.add.reduceat(rows[:, 3], first) if len(rows) else rows[:, 3]
@@ -234,17 +267,23 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    got, notes = {k: [] for k in _KINDS}, [np.zeros((0, 4), np.int64)]
+    got, notes = [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 5]], [np.zeros((0, 4), np.int64)]
     for batch in batches:
         for row in batch.to_pylist():
             if row["notes"] is not None:
-                notes.append(np.frombuffer(row["notes"], np.int64).reshape(-1, 4))
+                notes.append(expanded(row["notes"], "<i8").reshape(4, -1).T)
+            elif row["token"] is not None:
+                token, number, place, ids, sizes = (expanded(row[c], kind) for c, kind in _OWN.items())
+                n = sizes.astype(np.int64)[number]
+                got.append([token, n, n, _reach(n, place.astype(np.int64)), ids[number], np.ones(len(n), np.int64)])
             else:
-                for k, kind in _KINDS.items():
-                    got[k].append(np.frombuffer(row[k], kind))
-    if got["token"]:
-        token, *rest = (np.concatenate(got.pop(k)) for k in _KINDS)
-        _, lo, _, ub, doc, count, first, length, tie = _runs(token, *(c.astype(np.int64) for c in rest))
+                token, *rest = (expanded(row[c], kind) for c, kind in _TIED.items())
+                got.append([token, *(c.astype(np.int64) for c in rest)])
+    token, lo, hi, ub, doc, count = (np.concatenate(c) for c in zip(*got, strict=True))
+    del got
+    if len(token):
+        order, first, length, tie = _runs(token, lo, hi, ub)
+        lo, doc, count = lo[order], doc[order], count[order]
         short = np.add.reduceat(count, first) <= SHORT_RUN
         members = np.repeat(~short, length)
         begin = np.flatnonzero(tie)
@@ -422,7 +461,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
     scan = checkpointed(docs.mapInArrow(_scan(width, bits), "doc_id long, n long, sig_a long, sig_b long, part int, counts binary"))
     rows = scan.where("part is null").select("doc_id", "n", "sig_a", "sig_b")
     sketch = in_lanes(scan.where("part is not null").select("part", "counts"), "part", _added, "part int, counts binary")
-    parts = {r["part"]: _levels(bytes(r["counts"])) for r in sketch.collect()}  # 2**bits counters in all
+    parts = {r["part"]: zstandard.decompress(bytes(r["levels"])) for r in sketch.mapInArrow(_levels, "part int, levels binary").collect()}  # 2**bits bytes in all
     levels = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes((1 << bits) // SKETCH_PARTS)) for k in range(SKETCH_PARTS)))
 
     known = rows.where("doc_id is not null and n > 0")
@@ -431,7 +470,7 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
 
     n_buckets = partitions_for(spark, size)
     named = docs.where("doc_id is not null")
-    prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), "bucket int, token binary, lo binary, hi binary, ub binary, doc binary, count binary, notes binary")
+    prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), _PREFIXES)
     met = prefixes.repartitionById(n_buckets, "bucket").mapInArrow(_met(n_buckets), "bucket int, met binary")
     met = checkpointed(met.repartitionById(n_buckets, "bucket").mapInArrow(_summed, "kind int, a long, b long, c long"))
     groups = checkpointed(components(_candidates(met, classes)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,8 +54,8 @@ def partitions_for(spark: SparkSession, n_bytes: int, each: int = 128 << 20) ->
 
 #: A key with more than this share of all rows is hot: there can't be more such keys than its inverse.
 HOT = 1024
-#: Partial results are combined in so many lanes before they meet.
-LANES = 1024
+#: Partial results of so many tasks, or lanes of tasks, are combined at once.
+LANES = 64
 
 
 def join_unique(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
@@ -76,10 +77,19 @@ def join_unique(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
 
 
 def in_lanes(parts: DataFrame, by: str, merge, schema: str) -> DataFrame:
-    """``merge`` over the rows of each ``by``, whose schema it keeps, first in lanes of tasks: no group gathers a row of every task."""
-    lanes = parts.withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(LANES)))
-    some = lanes.groupBy(by, "lane").applyInArrow(lambda t: merge(t.drop_columns(["lane"])), schema)
-    return some.groupBy(by).applyInArrow(merge, schema)
+    """``merge`` over the rows of each ``by``, whose schema it keeps. parts: a row of each by a task; LANES tasks are combined at once, then LANES
+    of these lanes, until one is left, so no group gathers a row of every task."""
+    tasks = parts.rdd.getNumPartitions()
+    while tasks > LANES:
+        lanes = parts.withColumn("lane", F.expr(f"spark_partition_id() div {LANES}") if "lane" not in parts.columns else F.expr(f"lane div {LANES}"))
+
+        def some(rows: pa.Table) -> pa.Table:
+            out = merge(rows.drop_columns(["lane"]))
+            return out.append_column("lane", pa.array([rows["lane"][0].as_py()] * out.num_rows, pa.int64()))
+
+        parts = lanes.groupBy(by, "lane").applyInArrow(some, f"{schema}, lane long")
+        tasks = -(-tasks // LANES)
+    return parts.drop("lane").groupBy(by).applyInArrow(merge, schema)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

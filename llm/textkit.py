@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 #: Bytes of text handled at once.
 BLOCK = 1 << 20
@@ -19,9 +20,11 @@ BLOCK = 1 << 20
 _U = np.uint64
 _MULTIPLIER = _U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_FOLDED = _BYTES.copy()
-_FOLDED[65:91] = _BYTES[97:123]
+BYTES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+#: For a second hash of the same span, where its bytes can't be compared.
+OTHER_BYTES = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_FOLDED = BYTES.copy()
+_FOLDED[65:91] = BYTES[97:123]
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -76,7 +79,7 @@ def blocks(offsets: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def prefix_hash(data: np.ndarray, table: np.ndarray = _BYTES) -> np.ndarray:
+def prefix_hash(data: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
     """n + 1 running sums, from which ``span_hash`` takes the hash of any span."""
     s = np.zeros(len(data) + 1, np.uint64)
     if len(data):
@@ -143,3 +146,15 @@ def shingle_hashes(word: np.ndarray, doc: np.ndarray, n_docs: int, width: int =
         order = np.argsort(d, kind="stable")
         h, d = h[order], d[order]
     return h, d
+
+
+def squeezed(c: np.ndarray) -> bytes:
+    """A column as differences, which repeated keys and rising places make small, compressed."""
+    if c.dtype.kind in "iu" and c.dtype.itemsize > 1:
+        c = np.diff(c, prepend=c.dtype.type(0))
+    return zstandard.compress(c.tobytes(), 1)
+
+
+def expanded(blob: bytes, kind: str) -> np.ndarray:
+    c = np.frombuffer(zstandard.decompress(blob), kind)
+    return np.cumsum(c, dtype=c.dtype) if c.dtype.kind in "iu" and c.dtype.itemsize > 1 else c
