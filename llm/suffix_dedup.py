@@ -5,19 +5,19 @@
    is dropped. A task answers for the anchors that several of its own documents share and sends one row for each of them.
 2. Documents' bytes meet the anchors that are left. A stretch holds 17 bytes more on the left or on the right of its anchor; with
    these it is dealt to a bucket, so that a common gram in ever other surroundings spreads over all of them. Each task combines equal spans
-   of stretches first: all but those of its earliest document are repeats already, and one copy of each span goes on, so a
-   passage held by a third of all documents sends a row a task. In each bucket the suffixes that start in the spans
+   of stretches first (found by a hash, compared byte by byte): all but those of its earliest document are repeats already, and one copy of each span goes on, so a
+   passage held by a third of all documents sends a row a task. In each bucket equal spans are combined once more; then the suffixes that start in the spans
    are put in order by deep-shallow sorting (``llm.suffix_sort``); of equal ones, those of documents after the earliest are removed.
    Spans that are dealt alike but differ, as around a short line that many documents hold, aren't gathered: where a task has more than ``ALIKE``
-   of them, or a bucket more than SUFFIXES suffixes, they are broken into their stretches, and these are dealt by their own hashes. A task
-   keeps those of its earliest document; equal ones meet in one more shuffle. A bucket thus holds ALIKE spans a task of one deal at most.
+   of them, or a bucket more than SUFFIXES suffixes, they are broken into their stretches, and these are dealt by their own hashes, of 128 bits as their bytes
+   don't travel. A task keeps those of its earliest document; equal ones meet in one more shuffle. A bucket thus holds ALIKE spans a task of one deal at most.
 3. Documents' bytes meet their removed ranges and are put together.
 
 Texts are UTF-8 bytes; null counts as empty. Documents are ordered by id; a null id comes after all others. Repeated rows of one id are
 no earlier than each other, so neither removes the other's bytes. Extra columns are ignored. Texts of any length are cut
 into overlapping stretches, and no document or passage is gathered with all of its repeats.
 
-All of it is one chain of shuffles without intermediate files; rows that travel are packed and compressed, so they stay few and
+Rows are told apart by a number, never by a hash. All of it is one chain of shuffles without intermediate files; rows that travel are packed and compressed, so they stay few and
 small, and the texts are shuffled once for steps 2 and 3.
 """
 
@@ -35,8 +35,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textkit as K
 from .anchors import anchors
-from .spark_io import shuffle_partitions
+from .spark_io import checkpointed, partitions_for
 from .suffix_sort import sort_strings
+from .textkit import expanded, squeezed
 
 LENGTH, GRAM = 50, 16
 #: Bytes beside the anchor that deal a stretch to its bucket.
@@ -47,6 +48,8 @@ ASKED, KNOWN, CANDIDATES, TEXTS, SPANS, RANGES, BROKEN, STRETCHES = range(8)
 SUFFIXES, PACKED = 1 << 19, 1 << 25
 #: Different spans that a task sends dealt alike, and stretches that it breaks spans into at once.
 ALIKE, BREAK = 256, 1 << 22
+#: Bytes compared at once.
+COMPARED = 1 << 20
 LAST = (1 << 63) - 1
 
 _CELLS = [f"c{k}" for k in range(7)]
@@ -66,21 +69,9 @@ def _split(part: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k), order[bound[k] : bound[k + 1]]
 
 
-def _squeezed(c: np.ndarray) -> bytes:
-    """A column as differences, which repeated keys and rising places make small, compressed."""
-    if c.dtype.kind in "iu" and c.dtype.itemsize > 1:
-        c = np.diff(c, prepend=c.dtype.type(0))
-    return zstandard.compress(c.tobytes(), 1)
-
-
-def _expanded(blob: bytes, kind: str) -> np.ndarray:
-    c = np.frombuffer(zstandard.decompress(blob), kind)
-    return np.cumsum(c, dtype=c.dtype) if c.dtype.kind in "iu" and c.dtype.itemsize > 1 else c
-
-
 def _rows(kind: int, part: np.ndarray, n_parts: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k, at in _split(part, n_parts):
-        yield _row(kind, k, *(_squeezed(c[at]) for c in columns))
+        yield _row(kind, k, *(squeezed(c[at]) for c in columns))
 
 
 class _Pile:
@@ -91,7 +82,7 @@ class _Pile:
 
     def add(self, row: dict) -> None:
         for k, t in enumerate(self.types):
-            self.got[k].append(_expanded(row[f"c{k}"], t))
+            self.got[k].append(expanded(row[f"c{k}"], t))
 
     def arrays(self) -> list[np.ndarray]:
         return [np.concatenate(x) for x in self.got]
@@ -226,21 +217,22 @@ def _broken(data: np.ndarray, base: np.ndarray, size: np.ndarray, order: np.ndar
         of = np.repeat(at, n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         own = np.cumsum(size[at]) - size[at]
-        s = K.prefix_hash(_gathered(data, base[at], size[at]))
+        bytes_ = _gathered(data, base[at], size[at])
         place = np.repeat(own, n) + inner
-        row = (K.mix(K.span_hash(s, place, place + LENGTH)), order[of], key[of], (start[of] + inner).astype(np.uint32))
+        h, again = (K.mix(K.span_hash(K.prefix_hash(bytes_, t), place, place + LENGTH)) for t in (K.BYTES, K.OTHER_BYTES))
+        row = (h, again, order[of], key[of], (start[of] + inner).astype(np.uint32))
         yield from _earliest(*row, n_parts, STRETCHES)
 
 
-def _earliest(h: np.ndarray, order: np.ndarray, key: np.ndarray, start: np.ndarray, n_parts: int, kind: int | None) -> Iterator[pa.RecordBatch]:
+def _earliest(h: np.ndarray, again: np.ndarray, order: np.ndarray, key: np.ndarray, start: np.ndarray, n_parts: int, kind: int | None) -> Iterator[pa.RecordBatch]:
     """Of equal stretches, those of the earliest document as rows of the kind, if any; the ranges of the others go."""
-    by = np.lexsort((start, key, order, h))
-    h, order, key, start = h[by], order[by], key[by], start[by]
-    at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    by = np.lexsort((start, key, order, again, h))
+    h, again, order, key, start = h[by], again[by], order[by], key[by], start[by]
+    at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (again[1:] != again[:-1])]) if len(h) else np.zeros(0, np.int64)
     late = order != np.repeat(order[at], np.diff(np.append(at, len(h))))
     if kind is not None:
         # a document's stretch counts once for what others are compared with, but each of its places may go
-        yield from _rows(kind, (h[~late] % np.uint64(n_parts)).astype(np.int64), n_parts, h[~late], order[~late], key[~late], start[~late])
+        yield from _rows(kind, (h[~late] % np.uint64(n_parts)).astype(np.int64), n_parts, h[~late], again[~late], order[~late], key[~late], start[~late])
     key, start = key[late], start[late].astype(np.int64)
     by = np.lexsort((start, key))
     key, start = key[by], start[by]
@@ -290,8 +282,7 @@ def _spans(n_parts: int):
         data = np.concatenate(got[6])
         del got
         base = np.cumsum(size, dtype=np.int64) - size
-        by = np.lexsort((order, same))
-        at = np.flatnonzero(np.r_[True, np.diff(same[by]) != 0])
+        by, at = _equals(same, order, data, base, size.astype(np.int64))
         length = np.diff(np.append(at, len(by)))
         earliest = order[by] == np.repeat(order[by][at], length)
         gone = by[~earliest]  # an earlier document of this task has the whole span
@@ -314,17 +305,37 @@ def _spans(n_parts: int):
             held = holder[_ranges_of(group_of, own)[0]]
             span = pack(_gathered(data, base[h], size[h].astype(np.int64)).tobytes())
             sub = (deal[h] >> np.uint64(32)).astype(np.uint32)
-            yield _row(SPANS, k, *map(_squeezed, (sub, size[h], order[h], holders[own], key[held], start[held])), span)
+            yield _row(SPANS, k, *map(squeezed, (sub, size[h], order[h], holders[own], key[held], start[held])), span)
 
     return run
 
 
-def removed_stretches(data: np.ndarray, base: np.ndarray, size: np.ndarray, order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (span, from, to) of bytes in strings of ``length`` that also start in a span of smaller order."""
+def _equals(same: np.ndarray, order: np.ndarray, data: np.ndarray, base: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans by groups of equal bytes, of each the earliest first, and where groups begin. same: hashes, which only propose groups: spans
+    that differ from the first of theirs are proposed again by themselves."""
+    while True:
+        by = np.lexsort((order, same))
+        new = np.ones(len(by), bool)
+        new[1:] = same[by[1:]] != same[by[:-1]]
+        first = np.flatnonzero(new)
+        head = by[first][np.cumsum(new) - 1]
+        bad = size[by] != size[head]
+        check = np.flatnonzero((by != head) & ~bad)
+        for some in np.split(check, np.flatnonzero(np.diff(np.cumsum(size[by[check]]) // COMPARED)) + 1) if len(check) else []:
+            n = size[by[some]]
+            differs = _gathered(data, base[by[some]], n) != _gathered(data, base[head[some]], n)
+            bad[some] = np.add.reduceat(differs, np.cumsum(n) - n, dtype=np.int64) > 0
+        if not bad.any():
+            return by, first
+        same[by[bad]] = K.mix(same[by[bad]] + np.uint64(1))
+
+
+def removed_stretches(data: np.ndarray, base: np.ndarray, size: np.ndarray, order: np.ndarray, length: int, deal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (span, from, to) of bytes in strings of ``length`` that also start in a span of smaller order; equal ones are dealt alike."""
     n = size - length + 1
     span = np.repeat(np.arange(len(n)), n)
     inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    by, group = sort_strings(data, base[span] + inner, length)
+    by, group = sort_strings(data, base[span] + inner, length, deal[span])
     if not len(by):
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -378,8 +389,7 @@ def _removed(n_parts: int):
             yield from _rows(RANGES, k % n_parts, n_parts, k, (start[held] + np.repeat(a, n)).astype(np.uint32), np.repeat(b - a, n).astype(np.uint8))
 
         same = np.concatenate(hashes) ^ K.mix(sub.astype(np.uint64))
-        by = np.lexsort((order, same))
-        first = np.flatnonzero(np.r_[True, np.diff(same[by]) != 0])
+        by, first = _equals(same, order, data, base, size)
         later = order[by] > np.repeat(order[by][first], np.diff(np.append(first, len(by))))
         gone = by[later]  # an earlier document has the whole span
         yield from ranges(gone, np.zeros(len(gone), np.int64), size[gone])
@@ -404,7 +414,7 @@ def _removed(n_parts: int):
             end = int(np.searchsorted(sub[by], sub[by][min(max(end - 1, at), len(by) - 1)], "right"))
             own = by[at:end]
             at = end
-            span, a, b = removed_stretches(data, base[own], size[own], order[own])
+            span, a, b = removed_stretches(data, base[own], size[own], order[own], LENGTH, sub[own])
             yield from ranges(own[span], a, b)
 
     return run
@@ -414,7 +424,7 @@ def _settled(n_parts: int):
     """The ranges of stretches that have met; other rows are not for this step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pile = _Pile("u8", "i8", "i8", "u4")
+        pile = _Pile("u8", "u8", "i8", "i8", "u4")
         for row in _each(batches):
             if row["kind"] == STRETCHES:
                 pile.add(row)
@@ -459,11 +469,6 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """What tells rows apart: equal for rows of one id and text, which are treated alike."""
-    return F.xxhash64(doc_id, F.coalesce(F.col(text).cast("string"), F.lit("")))
-
-
 def _beside(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
     """``run`` over the rows and the texts of each part. The texts' shuffle is one and the same each time."""
     empty = T._parse_datatype_string(schema)
@@ -475,21 +480,28 @@ def _beside(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
     return rows.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(both, schema)
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs(doc_id, text)``; kept: the bytes that stay, key: ``row_key``."""
-    n = shuffle_partitions(docs.sparkSession)
+def without_repeats(docs: DataFrame, number: str | None = None) -> DataFrame:
+    """(key, doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs(doc_id, text)``; kept: the bytes that stay.
+
+    number: a column that numbers the rows, each differently and alike when they are computed again; it becomes the key. Without one, the rows
+    are first written to the shared folder and numbered from there.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     doc_id = F.col("doc_id").cast("long")
-    docs = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text)
+    key = F.monotonically_increasing_id() if number is None else F.col(number).cast("long")
+    if number is None:
+        docs = checkpointed(docs.select("doc_id", "text"))
+    docs = docs.select(doc_id.alias("doc_id"), key.alias("key"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text)
+    n = partitions_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     texts = docs.mapInArrow(_packed(n), SCHEMA)
     asked = docs.select("key", "ord", "text").mapInArrow(_asked(n), SCHEMA)
-    candidates = asked.repartition(n, "part").mapInArrow(_shared(n), SCHEMA)
+    candidates = asked.repartitionById(n, "part").mapInArrow(_shared(n), SCHEMA)
     spans = _beside(candidates, texts, _spans(n), SCHEMA)
-    ranges = spans.repartition(n, "part").mapInArrow(_removed(n), SCHEMA).repartition(n, "part")  # one shuffle for both uses
+    ranges = spans.repartitionById(n, "part").mapInArrow(_removed(n), SCHEMA).repartition(n, "part")  # one shuffle for both uses
     ranges = ranges.union(ranges.mapInArrow(_settled(n), SCHEMA).repartition(n, "part"))
     return _beside(ranges, texts, _kept, "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, number: str | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row."""
-    return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return without_repeats(docs, number).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

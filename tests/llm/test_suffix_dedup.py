@@ -54,7 +54,7 @@ def test_a_short_line_in_many_surroundings(spark, monkeypatch):
     ends = [(word(40), word(40)) for _ in range(200)]  # some surroundings come again
     rows = [(int(i), a + line + b) for i in r.permutation(900) for a, b in [ends[i % 200] if i < 300 else (word(40), word(40))]]
     seen, sort = [], suffix_dedup.sort_strings
-    monkeypatch.setattr(suffix_dedup, "sort_strings", lambda data, start, length: seen.append(len(start)) or sort(data, start, length))
+    monkeypatch.setattr(suffix_dedup, "sort_strings", lambda data, start, length, group: seen.append(len(start)) or sort(data, start, length, group))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     for alike, suffixes in ((suffix_dedup.ALIKE, 500), (20, 500), (20, 1 << 19)):
@@ -66,7 +66,7 @@ def test_a_short_line_in_many_surroundings(spark, monkeypatch):
     texts = [t.encode() for _, t in rows]
     at = [t.index(line.encode()) for t in texts]
     spans = [t[k - 10 : k + 74] for t, k in zip(texts, at, strict=True)]
-    n, u = len(spans), suffix_dedup._squeezed
+    n, u = len(spans), suffix_dedup.squeezed
     columns = [np.zeros(n, np.uint32), np.full(n, 84, np.uint8), np.arange(n), np.ones(n, np.uint32), np.arange(n), np.zeros(n, np.uint32)]
     bucket = suffix_dedup._row(suffix_dedup.SPANS, 0, *map(u, columns), suffix_dedup.zstandard.compress(b"".join(spans)))
     seen.clear()
@@ -75,6 +75,26 @@ def test_a_short_line_in_many_surroundings(spark, monkeypatch):
     assert suffix_dedup.STRETCHES in {b.column("kind")[0].as_py() for b in out}
 
 
+def test_colliding_hashes_do_no_harm(spark, rows, monkeypatch):
+    from llm import suffix_dedup
+
+    short = [(i, t and t[:3000]) for i, t in rows]
+    equals = suffix_dedup._equals
+    met = []
+
+    def poor(same, order, data, base, size):
+        met.append(len(same))
+        return equals(same & np.uint64(255), order, data, base, size)
+
+    monkeypatch.setattr(suffix_dedup, "_equals", poor)
+    df = spark.createDataFrame(short, "doc_id long, text string").repartition(2)
+    assert got(df) == brute(short)
+    spans = np.frombuffer(b"aaaabbbbaaaacccc", np.uint8)
+    by, first = equals(np.zeros(4, np.uint64), np.array([3, 1, 2, 0]), spans, np.array([0, 4, 8, 12]), np.full(4, 4))
+    groups = sorted(g.tolist() for g in np.split(by, first[1:]))
+    assert groups == [[1], [2, 0], [3]]
+
+
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
