@@ -1,19 +1,20 @@
 """Document fingerprints: a Merkle tree over each text's sections and paragraphs.
 
-Sections end at blank lines, paragraphs at line ends. A paragraph's hash is that of its bytes, a section's that of its
-paragraphs' hashes, the root's that of the sections' hashes: equal texts have equal roots, and where two
-trees differ, only the differing branches need a look (``differences``). Below the paragraphs stand
-their grains, each word with the word before it. A fingerprint is the root and the ``KEPT`` least grain hashes of the
-document, so two fingerprints alone give an estimate of the share of grains that the texts have in common: the likeness,
-1 for equal roots, else twice the estimated common part over the sum of both.
-
-Null text counts as empty. A text without words is like its equals only. Repeated rows and extra columns do no harm.
+A section ends after blank lines, a paragraph after its line end. Below the paragraphs stand leaves of ``MOST`` bytes at most: they end
+where the hash of the last ``WINDOW`` bytes of the text says so, so an edit moves the borders beside it alone. A paragraph's hash is
+that of its bytes, a section's that of its paragraphs' hashes, the root's that of the sections' hashes: equal texts have equal roots.
+
+A fingerprint is the root and the tree's leaves, each with a short hash and its size; ``;`` stands between sections and ``,`` between paragraphs,
+whose hashes follow from those of their leaves. Two fingerprints alone tell where texts differ and how alike they are: both trees are
+descended together, branches that occur in both count whole, and only the others are entered (``likeness``, ``differences``).
+The likeness is twice the bytes of what both hold over the bytes of both, 1 for equal roots.
+
+Null text counts as empty, with a likeness of 0 to all but other empty texts. Repeated rows and extra columns do no harm.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,97 +23,209 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import extended, shuffle_partitions
+from .spark_io import extended, partitions_for
 
-#: Grain hashes in a fingerprint, and hex digits of each.
-KEPT, DIGITS = 64, 10
-_SECTION = re.compile(rb"\n[ \t]*(?:\n[ \t]*)+")
+#: Bytes whose hash ends a leaf, one in ``EVERY`` times; bytes of a leaf at most, so that its size is one digit.
+WINDOW, EVERY, MOST = 8, 16, 63
+_DIGITS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+_VALUES = np.zeros(256, np.int64)
+_VALUES[_DIGITS] = np.arange(64)
+#: Digits of a leaf's hash, and of a leaf with its size.
+HASH, LEAF = 4, 5
+_LINE, _SECTION = ord(","), ord(";")
 
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def tree(text: bytes) -> list[tuple[bytes, list[bytes]]]:
-    """(hash, paragraph hashes) of each section. Line ends between sections are part of the section before them."""
-    out, start = [], 0
-    for cut in [*(m.end() for m in _SECTION.finditer(text)), len(text)]:
-        leaves = [digest(p) for p in text[start:cut].split(b"\n")]
-        out.append((digest(b"".join(leaves)), leaves))
-        start = cut
-    return out
-
-
-def root(sections: list[tuple[bytes, list[bytes]]]) -> bytes:
-    return digest(b"root" + b"".join(h for h, _ in sections))
+def _joined(child: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each run of children, in their order; first: where each run begins, and the end."""
+    if len(first) < 2:
+        return np.zeros(0, np.uint64)
+    place = np.arange(len(child)) - np.repeat(first[:-1], np.diff(first))
+    return K.mix(np.add.reduceat(K.mix(child.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(32))), first[:-1]))
 
 
-def differences(old: list[tuple[bytes, list[bytes]]], new: list[tuple[bytes, list[bytes]]]) -> list[tuple[int, int]]:
-    """(section, paragraph) places of ``new`` whose branch differs from ``old``'s; equal branches aren't entered."""
-    out = []
-    for s, (h, leaves) in enumerate(new):
-        theirs = old[s] if s < len(old) else (b"", [])
-        if h != theirs[0]:
-            out += [(s, p) for p, leaf in enumerate(leaves) if p >= len(theirs[1]) or leaf != theirs[1][p]]
-    return out
+class Forest:
+    """The trees of several texts, level by level: documents, sections, paragraphs, leaves.
 
+    first[k]: where the children of each node of level k begin among those of level k + 1, and their end; hashes and sizes by level from 1 on.
+    """
 
-def grains(column: pa.Array) -> list[np.ndarray]:
-    """The KEPT least hashes of each text's word pairs, rising; the first word pairs with nothing."""
-    data, off = K.flat(column)
-    out: list[np.ndarray] = []
-    for a, b in K.blocks(off):
-        o = off[a : b + 1] - off[a]
-        start, end, doc = K.words(data[off[a] : off[b]], o)
-        h = K.mix(K.span_hash(K.prefix_hash(data[off[a] : off[b]]), start, end))
-        before = np.zeros(len(h), np.uint64)
-        same = doc[1:] == doc[:-1]
-        before[1:][same] = h[:-1][same]
-        pair = K.mix(h + before * np.uint64(3)) >> np.uint64(64 - 4 * DIGITS)
-        bound = np.searchsorted(doc, np.arange(b - a + 1))
-        for i in range(b - a):
-            own = pair[bound[i] : bound[i + 1]]
-            if len(own) > 16 * KEPT:  # the least ones, with room for repeats
-                few = np.unique(np.partition(own, 4 * KEPT)[: 4 * KEPT])
-                own = few if len(few) >= KEPT else own
-            out.append(np.unique(own)[:KEPT])
+    def __init__(self, leaf: np.ndarray, size: np.ndarray, paragraphs: np.ndarray, sections: np.ndarray, docs: np.ndarray):
+        """leaf: short hashes; the others but size: where children begin, and their end."""
+        self.first = [docs, sections, paragraphs]
+        lines = _joined(leaf << 6 | size, paragraphs)
+        self.hashes = [None, _joined(lines, sections), lines, (leaf << 6 | size).astype(np.uint64)]
+        upto = np.append(0, np.cumsum(size))
+        self.bounds = [upto[paragraphs[sections[docs]]], upto[paragraphs[sections]], upto[paragraphs], upto]
+        self.leaf, self.size = leaf, size
+
+    def sizes(self, level: int) -> np.ndarray:
+        return np.diff(self.bounds[level])
+
+    def written(self) -> list[str]:
+        """Fingerprints without their roots."""
+        docs, sections, paragraphs = self.first
+        n = len(self.leaf)
+        digits = np.empty((n, LEAF), np.uint8)
+        for k in range(HASH):
+            digits[:, k] = _DIGITS[(self.leaf >> (6 * k)) & 63]
+        digits[:, HASH] = _DIGITS[self.size]
+        sign = np.zeros(n + 1, np.uint8)  # before each leaf
+        sign[paragraphs[:-1]] = _LINE
+        sign[paragraphs[sections[:-1]]] = _SECTION
+        begins = paragraphs[sections[docs]]
+        sign[begins] = 0
+        width = LEAF + (sign[:-1] != 0)
+        at = np.append(0, np.cumsum(width))
+        out = np.empty(at[-1], np.uint8)
+        out[at[:-1][sign[:-1] != 0]] = sign[:-1][sign[:-1] != 0]
+        out[(at[1:] - LEAF)[:, None] + np.arange(LEAF)] = digits
+        whole, cut = out.tobytes().decode("ascii"), at[begins]
+        return [whole[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+def parse(fingerprint: str) -> tuple[str, Forest]:
+    """The root and the tree that a fingerprint holds."""
+    root, _, body = fingerprint.partition(":")
+    data = np.frombuffer(body.encode("ascii"), np.uint8)
+    sign = (data == _LINE) | (data == _SECTION)
+    values = _VALUES[data[~sign]].reshape(-1, LEAF)
+    leaf = (values[:, :HASH] << (6 * np.arange(HASH))).sum(1)
+    place = np.flatnonzero(sign)
+    leaves = (place - np.arange(len(place))) // LEAF  # before each sign
+    n = len(leaf)
+    paragraphs = np.concatenate([[0], leaves, [n]]) if n else np.zeros(1, np.int64)
+    sections = np.concatenate([[0], np.flatnonzero(data[place] == _SECTION) + 1, [len(paragraphs) - 1]]) if n else np.zeros(1, np.int64)
+    return root, Forest(leaf, values[:, HASH], paragraphs, sections, np.array([0, len(sections) - 1]))
+
+
+def grown(data: np.ndarray, off: np.ndarray) -> tuple[Forest, list[bytes]]:
+    """The trees of a block of texts, and their roots. off: relative to data."""
+    n = len(data)
+    s = K.prefix_hash(data)
+    cut = np.zeros(n + 1, bool)
+    if n > WINDOW:
+        at = np.arange(WINDOW, n)
+        h = K.mix((s[WINDOW:n] - s[: n - WINDOW]) * K.powers(len(s))[1][: n - WINDOW])
+        cut[at] = (h % np.uint64(EVERY)) == 0
+        for d in off[:-1]:  # a window lies within one text
+            cut[d : d + WINDOW] = False
+    line = data == ord("\n")
+    cut[1:] |= line
+    cut[off] = True
+    begin = np.flatnonzero(cut[:n])
+    length = np.diff(np.append(begin, n))
+    parts = -(-length // MOST)
+    inner = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = np.repeat(begin, parts) + MOST * inner
+    size = np.diff(np.append(begin, n))
+    leaf = (K.mix(K.span_hash(s, begin, begin + size)) >> np.uint64(64 - 6 * HASH)).astype(np.int64)
+
+    top = np.zeros(n + 1, bool)  # where paragraphs begin
+    top[1:] = line
+    top[off] = True
+    text = np.flatnonzero(top[:n])
+    paragraphs = np.append(np.searchsorted(begin, text), len(begin))
+    blank = np.add.reduceat(~np.isin(data, np.frombuffer(b" \t\r\n", np.uint8)), text, dtype=np.int64) == 0 if len(text) else np.zeros(0, bool)
+    new = np.isin(text, off)
+    new[1:] |= blank[:-1] & ~blank[1:]
+    heads = np.flatnonzero(new)
+    sections = np.append(heads, len(text))
+    docs = np.searchsorted(text[heads], off)
+    raw = data.tobytes()
+    ends = np.append(text[1:], n)[: len(text)]
+    lines = [digest(raw[a:b]) for a, b in zip(text.tolist(), ends.tolist(), strict=True)]
+    tops = [digest(b"".join(lines[a:b])) for a, b in zip(sections[:-1].tolist(), sections[1:].tolist(), strict=True)]
+    roots = [digest(b"root" + b"".join(tops[a:b])) for a, b in zip(docs[:-1].tolist(), docs[1:].tolist(), strict=True)]
+    return Forest(leaf, size, paragraphs, sections, docs), roots
+
+
+def _children(first: np.ndarray, node: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = first[node + 1] - first[node]
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[node], n), np.repeat(pair, n)
+
+
+def _matched(ha: np.ndarray, pa_: np.ndarray, hb: np.ndarray, pb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the nodes (hash, pair) of either side, which have a counterpart on the other; a node answers for one."""
+    h, p, side = np.concatenate([ha, hb]), np.concatenate([pa_, pb]), np.repeat(np.array([0, 1]), [len(ha), len(hb)])
+    order = np.lexsort((side, h, p))
+    h, p, side = h[order], p[order], side[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1])
+    group = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    of_a = np.bincount(group, side == 0, len(begin)).astype(np.int64)
+    of_b = np.bincount(group, side == 1, len(begin)).astype(np.int64)
+    rank = np.arange(len(h)) - begin[group] - np.where(side == 1, of_a[group], 0)
+    out = np.zeros(len(h), bool)
+    out[order] = rank < np.minimum(of_a, of_b)[group]
+    return out[: len(ha)], out[len(ha) :]
+
+
+def descend(a: Forest, in_a: np.ndarray, b: Forest, in_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both trees of each pair of texts together: bytes in common by pair, and the leaves (pair, leaf of b) that a doesn't hold."""
+    pair = np.arange(len(in_a))
+    shared = np.zeros(len(in_a), np.int64)
+    (na, qa), (nb, qb) = (in_a, pair), (in_b, pair)
+    for level in (1, 2, 3):
+        na, qa = _children(a.first[level - 1], na, qa)
+        nb, qb = _children(b.first[level - 1], nb, qb)
+        same_a, same_b = _matched(a.hashes[level][na], qa, b.hashes[level][nb], qb)
+        shared += np.bincount(qb[same_b], b.sizes(level)[nb[same_b]], len(pair)).astype(np.int64)
+        na, qa, nb, qb = na[~same_a], qa[~same_a], nb[~same_b], qb[~same_b]
+    return shared, qb, nb
+
+
+def likeness(a: Forest, in_a: np.ndarray, roots_a: list, b: Forest, in_b: np.ndarray, roots_b: list) -> list[float]:
+    """For each pair of texts, by place in a and b: twice the bytes in common over the bytes of both; 1 for equal roots."""
+    shared, _, _ = descend(a, in_a, b, in_b)
+    both = a.sizes(0)[in_a] + b.sizes(0)[in_b]
+    return [1.0 if roots_a[i] == roots_b[j] else float(x) for i, j, x in zip(in_a, in_b, 2 * shared / np.maximum(both, 1), strict=True)]
+
+
+def alike(old: str, new: str) -> float:
+    """Likeness of two fingerprints."""
+    (r, a), (q, b) = parse(old), parse(new)
+    one = np.zeros(1, np.int64)
+    return likeness(a, one, [r], b, one, [q])[0]
+
+
+def differences(old: str, new: str) -> list[tuple[int, int]]:
+    """Byte ranges of the new fingerprint's text whose leaves the old one doesn't hold; equal branches aren't entered."""
+    (r, a), (q, b) = parse(old), parse(new)
+    if r == q:
+        return []
+    one = np.zeros(1, np.int64)
+    _, _, leaf = descend(a, one, b, one)
+    out: list[tuple[int, int]] = []
+    for x, y in zip(b.bounds[3][leaf].tolist(), b.bounds[3][leaf + 1].tolist(), strict=True):
+        if out and out[-1][1] == x:
+            out[-1] = (out[-1][0], y)
+        else:
+            out.append((x, y))
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated 2 * common / (all of a + all of b) from the least hashes of each."""
-    both = np.union1d(a, b)
-    if len(a) == KEPT or len(b) == KEPT:
-        both = both[: KEPT]
-    if not len(both):
-        return 0.0
-    common = np.isin(both, a, assume_unique=True) & np.isin(both, b, assume_unique=True)
-    j = common.sum() / len(both)
-    return float(2 * j / (1 + j))
-
-
-def fingerprints(column: pa.Array) -> tuple[list[bytes], list[np.ndarray], list[str]]:
-    roots = [root(tree(x or b"")) for x in column.cast(pa.large_binary()).to_pylist()]
-    kept = grains(column)
-    return roots, kept, [f"{r.hex()}:" + "".join(f"{int(x):0{DIGITS}x}" for x in g) for r, g in zip(roots, kept, strict=True)]
-
-
-def parse(fingerprint: str) -> tuple[str, np.ndarray]:
-    r, _, rest = fingerprint.partition(":")
-    return r, np.array([int(rest[i : i + DIGITS], 16) for i in range(0, len(rest), DIGITS)], np.uint64)
+def _grown(texts: list[str]) -> tuple[Forest, list[bytes], list[str]]:
+    data, off = K.flat(pa.array(texts, pa.string()))
+    forest, roots = grown(data[off[0] : off[-1]], off - off[0])
+    return forest, roots, [f"{r.hex()}:{x}" for r, x in zip(roots, forest.written(), strict=True)]
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``fingerprint`` and ``sections``, the tree: array of (hash, paragraphs array of hashes), in hex."""
+    """``docs`` with ``fingerprint``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("hash", pa.string()), ("paragraphs", pa.list_(pa.string()))]))
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            trees = [[{"hash": h.hex(), "paragraphs": [p.hex() for p in leaves]} for h, leaves in tree(x or b"")] for x in column.cast(pa.large_binary()).to_pylist()]
-            yield batch.append_column("fingerprint", pa.array(fingerprints(column)[2], pa.string())).append_column("sections", pa.array(trees, kind))
+            for a, b in K.blocks(K.flat(column)[1]):
+                texts = [t or "" for t in column.slice(a, b - a).to_pylist()]
+                yield batch.slice(a, b - a).append_column("fingerprint", pa.array(_grown(texts)[2], pa.string()))
 
-    source, schema = extended(docs, fingerprint="string", sections="array<struct<hash: string, paragraphs: array<string>>>")
+    source, schema = extended(docs, fingerprint="string")
     return source.mapInArrow(run, schema)
 
 
@@ -142,8 +255,7 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     run takes an iterator of (doc_id array, text array, part array, late array) and gives batches of ``schema``. Each part of the order
     ends with late copies of the rows that begin the next part; the last part's are those of the first.
     """
-    spark = docs.sparkSession
-    n = shuffle_partitions(spark)
+    n = partitions_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     bounds = sorted(set(cuts or []))
@@ -152,7 +264,7 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     first = {r["part"]: r["low"] for r in parted.groupBy("part").agg(lowest).collect()}  # a row a part
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     spread = source.mapInArrow(_parts(bounds, first), "doc_id long, text string, part int, late boolean")
-    return spread.repartition(n, "part").sortWithinPartitions("part", "late", "doc_id", "text").mapInArrow(run, schema)
+    return spread.repartitionById(n, "part").sortWithinPartitions("part", "late", "doc_id", "text").mapInArrow(run, schema)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +287,11 @@ def _edited(rows: pa.Table) -> pa.RecordBatch:
     for i in own:
         k = len(texts[i]) // 4
         edited.append(texts[i][: len(texts[i]) - k] + texts[i + 1][:k])
-    roots, kept, prints = fingerprints(rows["text"].combine_chunks() if isinstance(rows["text"], pa.ChunkedArray) else rows["text"])
-    new_roots, new_kept, new_prints = fingerprints(pa.array(edited, pa.string()))
-    near = [1.0 if roots[i] == new_roots[k] else likeness(kept[i], new_kept[k]) for k, i in enumerate(own)]
-    next_ = [1.0 if roots[i] == roots[i + 1] else likeness(kept[i], kept[i + 1]) for i in own]
+    forest, roots, prints = _grown(texts)
+    new_forest, new_roots, new_prints = _grown(edited)
+    at = np.array(own, np.int64)
+    near = likeness(forest, at, roots, new_forest, np.arange(len(own)), new_roots)
+    next_ = likeness(forest, at, roots, forest, at + 1, roots)
     return pa.RecordBatch.from_arrays(
         [
             rows["doc_id"].combine_chunks().take(pa.array(own, pa.int64())),
