@@ -4,8 +4,11 @@ Documents become ids plus an end id; only longer ones are cut, into full pieces
 are spread over the first tasks by a hash, so that each meets the corpus's mix of lengths wherever its documents lie. Each task packs its own pieces
 best-fit, longest first. Bins that are nearly full are final. The others go up a tree: a node
 takes the underfull bins of ``FAN`` nodes below it, packs them best-fit as if each were one piece, and
-passes on what is still underfull, until one node is left. A node passes on its ``PASSED`` emptiest bins at most;
-the fuller ones, which can hardly gain, are final as they are, so no node's input grows with the corpus.
+passes on what is still underfull, until one node is left.
+
+No node's input grows with the corpus, and yet no merge is lost. A merge takes at least one bin that is half full or less, and best-fit leaves a
+node one such bin at most. So the nodes above a node, ``FAN`` bins of that kind below each, can use no more than FAN of its fuller bins at each level, and where they can use one,
+a bin with as much room or more will do. A node therefore passes on its emptiest bins, FAN for each level above it and one; all others are final.
 
 Null text counts as empty and packs as its end id alone. Repeated rows are packed each for itself; rows with a null id too. Extra columns are ignored.
 An empty table gives no rows.
@@ -31,10 +34,11 @@ from .spark_io import checkpointed
 CAPACITY, END = 4096, 1
 #: A bin with this little room is final.
 SLACK = 16
-FAN, PASSED = 8, 20_000
+FAN = 8
 #: Pieces that a first task packs.
 SPREAD = 1 << 15
-KEPT = 120_000
+#: Words of a table, and their letters.
+KEPT, LETTERS = 120_000, 4_000_000
 CHUNK = 1 << 18
 SIGNS = ".,;:!?-%$#&*|)]}"
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -63,15 +67,17 @@ class Words:
         self.bytes_of = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.kept: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.letters_kept = 0
 
     def ids(self, texts: list[str]) -> list[bytes]:
         # str.split also cuts at these four, which are no white space to the tokenizer
         parted = [t.split() if not _CONTROL.search(t) else t.split(" ") for t in texts]
-        if len(self.kept) > KEPT:
-            self.before, self.kept = self.kept, {}
+        if len(self.kept) > KEPT or self.letters_kept > LETTERS:
+            self.before, self.kept, self.letters_kept = self.kept if self.letters_kept <= 2 * LETTERS else {}, {}, 0
         new = set().union(*parted).difference(self.kept)
         if new:
             self._meet(new)
+            self.letters_kept += sum(map(len, new))
         get = self.kept.__getitem__
         return [b"".join(map(get, parts)) for parts in parted]
 
@@ -173,50 +179,52 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return where, offset, np.array(fill, np.int64)
 
 
-def _packed(item: np.ndarray, length: np.ndarray, node: int, level: int, capacity: int) -> list[np.ndarray]:
+def _packed(item: np.ndarray, length: np.ndarray, node: int, level: int, capacity: int, passed: int) -> list[np.ndarray]:
     """Columns item, bin, offset, fill, open."""
     where, offset, fill = best_fit(length, capacity)
     rank = np.empty(len(fill), np.int64)
     rank[np.argsort(fill, kind="stable")] = np.arange(len(fill))
-    passed = (fill < capacity - SLACK) & (rank < PASSED)
-    return [item, (level << 58) + (node << 32) + where, offset, fill[where], passed[where]]
+    goes = (fill < capacity - SLACK) & (rank < passed)
+    return [item, (level << 58) + (node << 32) + where, offset, fill[where], goes[where]]
 
 
 PLACES = "item long, bin long, offset long, fill long, open boolean"
 _NAMES = ["item", "bin", "offset", "fill", "open"]
 
 
-def _node(level: int, capacity: int):
+def _node(level: int, capacity: int, passed: int):
     def merged(bins: pa.Table) -> pa.Table:
-        return pa.table([pa.array(c) for c in _packed(bins["bin"].to_numpy(), bins["fill"].to_numpy(), bins["node"][0].as_py(), level, capacity)], _NAMES)
+        return pa.table([pa.array(c) for c in _packed(bins["bin"].to_numpy(), bins["fill"].to_numpy(), bins["node"][0].as_py(), level, capacity, passed)], _NAMES)
 
     return merged
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, sequence_id, offset) for ``items(item long, length long)``, whose rows must not change when computed again."""
+    whole = items.where(F.col("length") >= capacity).select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("open"))
+    rest = items.where(F.col("length") < capacity).select("item", "length")
+    nodes, levels = max(1, -(-rest.count() // SPREAD)), 1
+    while FAN**levels < nodes:
+        levels += 1
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b.column("item").to_numpy(), b.column("length").to_numpy()) for b in batches]
         if got:
             item, length = (np.concatenate(x) for x in zip(*got, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _packed(item, length, TaskContext.get().partitionId(), 0, capacity)], _NAMES)
-
-    whole = items.where(F.col("length") >= capacity).select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("open"))
-    rest = items.where(F.col("length") < capacity).select("item", "length")
-    placed = checkpointed(rest.repartition(max(1, -(-rest.count() // SPREAD)), "item").mapInArrow(first, PLACES))
-    level, nodes = 0, (placed.agg(F.max(F.expr("(bin >> 32) & 67108863"))).first()[0] or 0) + 1
-    final = placed.select("item", "bin", "offset")
-    while True:
-        level += 1
-        nodes = -(-nodes // FAN)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _packed(item, length, TaskContext.get().partitionId(), 0, capacity, FAN * levels + 1)], _NAMES)
 
+    bottom = placed = checkpointed(rest.repartition(nodes, "item").mapInArrow(first, PLACES))
+    moved = None  # where the bins that went up came to lie
+    for level in range(1, levels + 1):
         under = placed.where("open").select("bin", "fill", F.expr(f"((bin >> 32) & 67108863) div {FAN}").alias("node")).distinct()
-        placed = checkpointed(under.groupBy("node").applyInArrow(_node(level, capacity), PLACES))
-        up = placed.select(F.col("item").alias("bin"), F.col("bin").alias("into"), F.col("offset").alias("shift"))
-        final = final.join(up, "bin", "left").select("item", F.coalesce("into", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
-        if nodes == 1:
-            break
+        placed = checkpointed(under.groupBy("node").applyInArrow(_node(level, capacity, FAN * (levels - level) + 1), PLACES))
+        up = placed.select(F.col("item").alias("into"), F.col("bin").alias("above"), F.col("offset").alias("more"))
+        if moved is None:
+            moved = up.select(F.col("into").alias("bin"), F.col("above").alias("into"), F.col("more").alias("shift"))
+        else:
+            moved = moved.join(up, "into", "left").select("bin", F.coalesce("above", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"))
+    final = bottom.select("item", "bin", "offset").join(moved, "bin", "left")
+    final = final.select("item", F.coalesce("into", "bin").alias("bin"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
     # a whole piece's sequence is named by the piece, below zero so that no bin has that name
     return whole.select("item", (-1 - F.col("item")).alias("sequence_id"), "offset").union(final.select("item", F.col("bin").alias("sequence_id"), "offset"))
 
