@@ -7,7 +7,7 @@ and keeps the ``NEIGHBOURS`` best. Senders sample what goes to one class, so a h
 
 A query starts at its own class and at ``ENTRIES`` classes sampled from all shards, as its part of the graph may lack links to its true neighbours, and keeps a pool of the ``POOL`` best classes seen; each round expands the best ``EXPANDED``
 of them not yet expanded, by a join of these with the graph that gives back neighbours above the pool's floor. It ends
-when all of the pool is expanded. The best of the pool are scored again on the original vectors in
+when all of the pool is expanded, which it is in the end: the floor only rises, so what a pool has dropped can't come back. The best of the pool are scored again on the original vectors in
 double precision.
 
 Vectors that are null, hold a null or a component that isn't finite, are zero, or differ in length from most vectors take no part: they
@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import checkpointed
+from .spark_io import checkpointed, join_unique
 
 NEIGHBOURS, SAMPLED, ROUNDS = 20, 20, 7
-POOL, EXPANDED, HOPS, ENTRIES = 800, 200, 64, 8
+POOL, EXPANDED, ENTRIES = 800, 200, 8
 #: Classes of a shard. Shards follow the input, not the session's partitions, so that few rows carry what they send each other.
 SHARD = 2048
 #: Candidates that a task gathers before it keeps the best of them.
@@ -253,7 +253,7 @@ def build(classes: DataFrame, width: int, n: int, rounds: int = ROUNDS, seed: in
     """The neighbour graph of ``classes(id, embedding)``: packed rows of (class, neighbour, its vector, its scale), partitioned by shard, of which there are n."""
 
     def step(df: DataFrame, run) -> DataFrame:
-        return df.repartition(n, "shard").mapInArrow(run, SCHEMA)
+        return df.repartitionById(n, "shard").mapInArrow(run, SCHEMA)
 
     now = classes.mapInArrow(_seeded(n, seed), SCHEMA)
     for k in range(rounds):
@@ -387,12 +387,12 @@ def _found(most: int, width: int):
 def search(graph: DataFrame, queries: DataFrame, width: int, most: int, n: int) -> DataFrame:
     """(query_class, class): the best ``most`` classes found for each of ``queries(id, embedding)``, classes of the graph; its own included."""
     now = checkpointed(queries.mapInArrow(_started(n), SCHEMA))
-    for _ in range(HOPS):
+    while True:
         asked = now.where(F.col("kind").isin(EXPAND, ENTER))
         if asked.isEmpty():
             break
         found = graph.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_expanded_typed(n, width), SCHEMA)
-        now = checkpointed(now.where(F.col("kind") == QUERY).unionAll(found).repartition(n, "shard").mapInArrow(_updated(n, width), SCHEMA))
+        now = checkpointed(now.where(F.col("kind") == QUERY).unionAll(found).repartitionById(n, "shard").mapInArrow(_updated(n, width), SCHEMA))
     return now.where(F.col("kind") == QUERY).mapInArrow(_found(most, width), "query_class long, class long")
 
 
@@ -421,13 +421,13 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     usable = usable.where(F.size("embedding") == width).distinct()
     # of equal vectors a query can want no more than the k + 1 smallest ids: its own may be one of them
     least = F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1)
-    per_task = usable.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("salt")).agg(least.alias("ids"), F.min("vec_id").alias("id"))
-    classes = per_task.groupBy("embedding").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.min("id").alias("id"))
-    classes = checkpointed(classes.select("id", "embedding", "ids"))
+    per_task = usable.groupBy("embedding", F.pmod(F.xxhash64("vec_id"), F.lit(256)).alias("salt")).agg(least.alias("ids"), F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    classes = per_task.groupBy("embedding").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"), F.min("id").alias("id"), F.sum("copies").alias("copies"))
+    classes = checkpointed(classes.select("id", "embedding", "ids", "copies"))
     n = -(-classes.count() // SHARD)
     graph = build(classes.select("id", "embedding"), width, n)
     asking = usable.where(F.col("vec_id") % every == 0)
-    of = checkpointed(asking.join(classes.select("embedding", "id"), "embedding").select(F.col("vec_id").alias("query_id"), "id"))
+    of = checkpointed(join_unique(asking, classes.select("embedding", "id", "copies"), ["embedding"], "copies").select(F.col("vec_id").alias("query_id"), "id"))
     queries = classes.select("id", "embedding").join(of.select("id").distinct(), "id", "left_semi")
     found = checkpointed(search(graph, queries, width, 3 * k + 1, n))
     own = classes.select(F.col("id").alias("query_class"), F.col("embedding").alias("x"))

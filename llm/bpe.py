@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import textkit as K
 from .spark_io import extended
 
-#: Parts whose ids a worker keeps; beyond that it starts anew.
-KEPT = 250_000
+#: Parts whose ids a worker keeps, and their letters; beyond either it starts anew.
+KEPT, LETTERS = 250_000, 4_000_000
 #: Bytes of text handled at once.
 CHUNK = 1 << 19
 #: Longest piece that the step-by-step rows take.
@@ -186,14 +186,16 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.odd = regex.compile(r" (?:\s|$)").search
         self.kept: dict[str, bytes] = {}
+        self.letters = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parted = [self._parts(t) for t in texts]
-        if len(self.kept) > KEPT:
-            self.kept = {}
+        if len(self.kept) > KEPT or self.letters > LETTERS:
+            self.kept, self.letters = {}, 0
         kept = self.kept
         new = set().union(*parted).difference(kept)
         if new:
+            self.letters += sum(map(len, new))
             # a space and letters are one match
             pieces = {part: [part.encode()] if part[1:].isalpha() and part[0] == " " else [p.encode() for p in self.split(part)] for part in new}
             ids = self.vocabulary.encode_pieces(list(set().union(*pieces.values())))

@@ -2,9 +2,9 @@
 
 Characters are letters, lower-cased; any run of others is one border. Pairs and triples of
 neighbouring characters, unless all border, hash into ``1 << BITS`` buckets. Training adds up the bucket counts by language
-over all given texts in one grouped sum; the model is a matrix of log probabilities, whose
+over all given texts in one grouped sum; the model is a matrix of log probabilities and the languages' log priors (their shares of the documents), whose
 size depends on the number of languages alone, and is broadcast. Scoring gathers the matrix rows of
-a batch's n-grams and adds them up by document in numpy.
+a batch's n-grams and adds them up by document in numpy, onto the priors.
 
 Texts that are null or hold no letter are ``und`` with score 0; with nothing to learn from, so is every text. Ties go to the language that sorts first.
 Rows keep their other columns; repeated rows stay repeated. Languages that are null teach nothing.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import extended
+from .spark_io import extended, in_lanes
 
 BITS = 14
 #: The score is the posterior of as many n-grams as this at most: neighbouring n-grams aren't independent.
@@ -86,22 +86,23 @@ def _total(parts: pa.Table) -> pa.Table:
     return pa.table({"lang": parts["lang"][:1].cast(pa.string()), "docs": pa.array([docs], pa.int64()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities (one column a language, a row a bucket) from ``docs(text, lang)``."""
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages, their log probabilities (one column a language, a row a bucket) and log priors from ``docs(text, lang)``."""
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     schema = "lang string, docs long, counts binary"
-    rows = sorted(known.mapInArrow(_count, schema).groupBy("lang").applyInArrow(_total, schema).collect())
+    rows = sorted(in_lanes(known.mapInArrow(_count, schema), "lang", _total, schema).collect())  # a row a language
     counts = np.array([np.frombuffer(zlib.decompress(bytes(r["counts"])), "<i8") for r in rows], float).reshape(len(rows), 1 << BITS) + 0.5
-    return [r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32)
+    of = np.array([r["docs"] for r in rows], float)
+    return [r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32), np.log(of / of.sum())
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior of that language (0 to 1)."""
     source, schema = extended(docs, lang_pred="string", score="double")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = sent.value
+        names, table, prior = sent.value
         table = np.ascontiguousarray(table, np.float32)
         for batch in batches:
             for a, b, cps, at in _chunks(batch.column(batch.schema.get_field_index("text"))):
@@ -114,7 +115,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                         total[doc[first]] += np.add.reduceat(table[bucket], first, axis=0, dtype=np.float64)
                         count[doc[first]] += np.diff(np.append(first, len(doc)))
                 if names:
-                    mean = total / np.maximum(count, 1)[:, None] * np.minimum(count, EVIDENCE)[:, None]
+                    mean = total / np.maximum(count, 1)[:, None] * np.minimum(count, EVIDENCE)[:, None] + prior
+                    total += prior
                     odds = np.exp(mean - mean.max(1, keepdims=True))
                     best = total.argmax(1)
                     score = odds[np.arange(n), best] / odds.sum(1)

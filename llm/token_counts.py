@@ -31,7 +31,10 @@ from . import textkit as K
 from .spark_io import extended
 
 MARK, UNKNOWN_BELOW = "▁", 10.0
-KEPT, CHUNK = 400_000, 1 << 19
+#: Parts whose counts a worker keeps, and their letters; beyond either it starts anew.
+KEPT, LETTERS, CHUNK = 400_000, 6_000_000, 1 << 19
+#: Longest part whose best pair is looked for anew after each merge.
+SHORT = 48
 
 
 def read_pieces(path: str) -> dict[str, float]:
@@ -54,6 +57,7 @@ class Counter:
         self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min(pieces.values()) - UNKNOWN_BELOW
         self.kept: dict[str, tuple[int, int, float]] = {}
+        self.letters = 0
 
     def part(self, text: str) -> tuple[int, float]:
         """Number of pieces and score of the best path."""
@@ -85,6 +89,21 @@ class Counter:
     def merged(self, text: str) -> int:
         """Number of pieces that the merges leave."""
         pieces, own = self.pieces, list(text)
+        if len(own) <= SHORT:
+            get, none = pieces.get, float("-inf")
+            scores = [get(a + b, none) for a, b in zip(own, own[1:])]  # noqa: B905
+            while scores:
+                best = max(scores)
+                if best == none:
+                    break
+                k = scores.index(best)  # the leftmost
+                own[k : k + 2] = [own[k] + own[k + 1]]
+                del scores[k]
+                if k:
+                    scores[k - 1] = get(own[k - 1] + own[k], none)
+                if k < len(scores):
+                    scores[k] = get(own[k] + own[k + 1], none)
+            return sum(1 if len(p) > 1 or p in self.single else len(p.encode()) for p in own)
         after, before = list(range(1, len(own) + 1)), list(range(-1, len(own) - 1))
         waiting: list[tuple[float, int, int, str]] = []
 
@@ -120,12 +139,13 @@ class Counter:
         parts = [MARK + p for p in text.split(" ")]
         if "" in text.split(" ") or MARK in text:
             parts = self._cut(MARK + text.replace(" ", MARK))
-        if len(self.kept) > KEPT:
-            self.kept = {}
+        if len(self.kept) > KEPT or self.letters > LETTERS:
+            self.kept, self.letters = {}, 0
         m, n, total, kept = 0, 0, 0.0, self.kept
         for p in parts:
             got = kept.get(p)
             if got is None:
+                self.letters += len(p)
                 got = kept[p] = (self.merged(p), *self.part(p))
             m += got[0]
             n += got[1]
