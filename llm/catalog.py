@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE_SQL  # noqa: F401
 from .spark_io import table
 
 
@@ -79,7 +80,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import digests
 
-    return digests(table(spark, sf_dir, "documents"))
+    # numbered from the files, alike at each scan of them
+    return digests(table(spark, sf_dir, "documents").withColumn("row", F.monotonically_increasing_id()), "row")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -94,5 +96,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {}
