@@ -53,11 +53,11 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove the passages that an earlier document holds. A character cut in two goes; rows of one id and text count once."""
-    cut = suffix_dedup.without_repeats(docs.select("doc_id", "text")).select("key", "kept").dropDuplicates(["key"])
-    rest = docs.select("doc_id", "lang", "source", suffix_dedup.row_key().alias("key")).dropDuplicates(["key"])
-    cut = cut.mapInArrow(_whole_characters, "key long, text string")
-    return rest.join(cut, "key").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    """Remove the passages that an earlier document holds. A character cut in two goes."""
+    docs = docs.withColumn("row", F.monotonically_increasing_id())  # numbered from the files, alike at each scan of them
+    cut = suffix_dedup.without_repeats(docs.select("doc_id", "text", "row"), "row").select("key", "kept")
+    cut = cut.mapInArrow(_whole_characters, "key long, text string").withColumnRenamed("key", "row")
+    return docs.select("doc_id", "lang", "source", "row").join(cut, "row").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
