@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import checkpointed, join_unique
+from .spark_io import checkpointed, join_unique, lean
 
 NEIGHBOURS, SAMPLED, ROUNDS = 20, 20, 7
 POOL, EXPANDED, ENTRIES = 800, 200, 8
@@ -253,9 +253,9 @@ def build(classes: DataFrame, width: int, n: int, rounds: int = ROUNDS, seed: in
     """The neighbour graph of ``classes(id, embedding)``: packed rows of (class, neighbour, its vector, its scale), partitioned by shard, of which there are n."""
 
     def step(df: DataFrame, run) -> DataFrame:
-        return df.repartitionById(n, "shard").mapInArrow(run, SCHEMA)
+        return df.repartitionById(n, "shard").mapInArrow(lean(run), SCHEMA)
 
-    now = classes.mapInArrow(_seeded(n, seed), SCHEMA)
+    now = classes.mapInArrow(lean(_seeded(n, seed)), SCHEMA)
     for k in range(rounds):
         now = step(now, _reversed(n, width, seed + 10 * k))
         now = step(now, _answered(n, width, seed + 10 * k + 1))
@@ -386,14 +386,14 @@ def _found(most: int, width: int):
 
 def search(graph: DataFrame, queries: DataFrame, width: int, most: int, n: int) -> DataFrame:
     """(query_class, class): the best ``most`` classes found for each of ``queries(id, embedding)``, classes of the graph; its own included."""
-    now = checkpointed(queries.mapInArrow(_started(n), SCHEMA))
+    now = checkpointed(queries.mapInArrow(lean(_started(n)), SCHEMA))
     while True:
         asked = now.where(F.col("kind").isin(EXPAND, ENTER))
         if asked.isEmpty():
             break
         found = graph.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_expanded_typed(n, width), SCHEMA)
-        now = checkpointed(now.where(F.col("kind") == QUERY).unionAll(found).repartitionById(n, "shard").mapInArrow(_updated(n, width), SCHEMA))
-    return now.where(F.col("kind") == QUERY).mapInArrow(_found(most, width), "query_class long, class long")
+        now = checkpointed(now.where(F.col("kind") == QUERY).unionAll(found).repartitionById(n, "shard").mapInArrow(lean(_updated(n, width)), SCHEMA))
+    return now.where(F.col("kind") == QUERY).mapInArrow(lean(_found(most, width)), "query_class long, class long")
 
 
 def _expanded_typed(n: int, width: int):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import extended
+from .spark_io import extended, lean
 
 #: Parts whose ids a worker keeps, and their letters; beyond either it starts anew.
 KEPT, LETTERS = 250_000, 4_000_000
@@ -238,7 +238,7 @@ def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str
                 part = batch.slice(a, b - a)
                 yield part.append_column(ids, pa.array(encoder.encode(own), pa.binary()))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def bpe_decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -256,7 +256,7 @@ def bpe_decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decod
             out = [b"".join(map(get, np.frombuffer(x or b"", "<u4").tolist())) for x in column.to_pylist()]
             yield batch.append_column(decoded, pa.array(out, pa.binary()))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import extended, in_lanes
+from .spark_io import extended, in_lanes, lean
 
 BITS = 14
 #: The score is the posterior of as many n-grams as this at most: neighbouring n-grams aren't independent.
@@ -90,7 +90,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log probabilities (one column a language, a row a bucket) and log priors from ``docs(text, lang)``."""
     known = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
     schema = "lang string, docs long, counts binary"
-    rows = sorted(in_lanes(known.mapInArrow(_count, schema), "lang", _total, schema).collect())  # a row a language
+    rows = sorted(in_lanes(known.mapInArrow(lean(_count), schema), "lang", _total, schema).collect())  # a row a language
     counts = np.array([np.frombuffer(zlib.decompress(bytes(r["counts"])), "<i8") for r in rows], float).reshape(len(rows), 1 << BITS) + 0.5
     of = np.array([r["docs"] for r in rows], float)
     return [r["lang"] for r in rows], np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32), np.log(of / of.sum())
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
                 pred = [names[best[i]] if known[i] else UNKNOWN for i in range(n)]
                 yield batch.slice(a, n).append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(np.where(known, score, 0.0) if names else np.zeros(n)))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def is_held_out(doc_id: str = "doc_id"):

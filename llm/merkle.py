@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import extended, partitions_for
+from .spark_io import extended, lean, partitions_for
 
 #: Bytes whose hash ends a leaf, one in ``EVERY`` times; bytes of a leaf at most, so that its size is one digit.
 WINDOW, EVERY, MOST = 8, 16, 63
@@ -226,7 +226,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield batch.slice(a, b - a).append_column("fingerprint", pa.array(_grown(texts)[2], pa.string()))
 
     source, schema = extended(docs, fingerprint="string")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def _parts(bounds: list[int], first: dict[int, int] | None):
@@ -259,12 +259,12 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] if n > 1 else []
     bounds = sorted(set(cuts or []))
-    parted = ids.mapInArrow(_parts(bounds, None), "doc_id long, part int, late boolean")
+    parted = ids.mapInArrow(lean(_parts(bounds, None)), "doc_id long, part int, late boolean")
     lowest = F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("low")
     first = {r["part"]: r["low"] for r in parted.groupBy("part").agg(lowest).collect()}  # a row a part
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spread = source.mapInArrow(_parts(bounds, first), "doc_id long, text string, part int, late boolean")
-    return spread.repartitionById(n, "part").sortWithinPartitions("part", "late", "doc_id", "text").mapInArrow(run, schema)
+    spread = source.mapInArrow(lean(_parts(bounds, first)), "doc_id long, text string, part int, late boolean")
+    return spread.repartitionById(n, "part").sortWithinPartitions("part", "late", "doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

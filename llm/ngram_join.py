@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import checkpointed, components, in_lanes, join_unique, partitions_for
+from .spark_io import checkpointed, components, in_lanes, join_unique, lean, partitions_for, release
 from .textkit import expanded
 from .trie import SetTrie
 
@@ -396,6 +396,9 @@ def _linked(block: pa.Table) -> pa.Table:
     ids = block["doc_id"].to_numpy()
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in block["elements"]]
     pairs = block_links(sets, block["side"].to_numpy()) if len(sets) > 1 else []
+    if block.nbytes > 1 << 22:
+        del sets
+        release()
     return pa.table({"a": pa.array([ids[i] for i, _ in pairs], pa.int64()), "b": pa.array([ids[j] for _, j in pairs], pa.int64())})
 
 
@@ -458,10 +461,10 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max((size // BYTES_EACH).bit_length(), SKETCH_LEAST), SKETCH_MOST)
-    scan = checkpointed(docs.mapInArrow(_scan(width, bits), "doc_id long, n long, sig_a long, sig_b long, part int, counts binary"))
+    scan = checkpointed(docs.mapInArrow(lean(_scan(width, bits)), "doc_id long, n long, sig_a long, sig_b long, part int, counts binary"))
     rows = scan.where("part is null").select("doc_id", "n", "sig_a", "sig_b")
     sketch = in_lanes(scan.where("part is not null").select("part", "counts"), "part", _added, "part int, counts binary")
-    parts = {r["part"]: zstandard.decompress(bytes(r["levels"])) for r in sketch.mapInArrow(_levels, "part int, levels binary").collect()}  # 2**bits bytes in all
+    parts = {r["part"]: zstandard.decompress(bytes(r["levels"])) for r in sketch.mapInArrow(lean(_levels), "part int, levels binary").collect()}  # 2**bits bytes in all
     levels = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes((1 << bits) // SKETCH_PARTS)) for k in range(SKETCH_PARTS)))
 
     known = rows.where("doc_id is not null and n > 0")
@@ -470,17 +473,17 @@ def ngram_components(docs: DataFrame, width: int = WIDTH, block: int = BLOCK) ->
 
     n_buckets = partitions_for(spark, size)
     named = docs.where("doc_id is not null")
-    prefixes = named.mapInArrow(_prefixes(width, levels, n_buckets), _PREFIXES)
-    met = prefixes.repartitionById(n_buckets, "bucket").mapInArrow(_met(n_buckets), "bucket int, met binary")
-    met = checkpointed(met.repartitionById(n_buckets, "bucket").mapInArrow(_summed, "kind int, a long, b long, c long"))
+    prefixes = named.mapInArrow(lean(_prefixes(width, levels, n_buckets)), _PREFIXES)
+    met = prefixes.repartitionById(n_buckets, "bucket").mapInArrow(lean(_met(n_buckets)), "bucket int, met binary")
+    met = checkpointed(met.repartitionById(n_buckets, "bucket").mapInArrow(lean(_summed), "kind int, a long, b long, c long"))
     groups = checkpointed(components(_candidates(met, classes)))
 
     heads = classes.where("doc_id = class").select("doc_id", "n").groupBy("doc_id").agg(F.max("n").alias("n"))
     members = checkpointed(heads.join(groups, heads["doc_id"] == groups["node"]).select("doc_id", "n", "root"))
-    bits = in_lanes(members.select("doc_id").mapInArrow(_bits, "part int, bits binary"), "part", _ored, "part int, bits binary")
+    bits = in_lanes(members.select("doc_id").mapInArrow(lean(_bits), "part int, bits binary"), "part", _ored, "part int, bits binary")
     parts = {r["part"]: zlib.decompress(bytes(r["bits"])) for r in bits.collect()}  # FILTER_BITS / 8 bytes in all
     chosen = spark.sparkContext.broadcast(b"".join(parts.get(k, bytes(1 << 15)) for k in range(FILTER_BITS >> 18)))
-    sets = named.mapInArrow(_members(width, levels, chosen), "doc_id long, elements binary")
+    sets = named.mapInArrow(lean(_members(width, levels, chosen)), "doc_id long, elements binary")
 
     def links(blocks: DataFrame) -> DataFrame:
         return checkpointed(blocks.join(sets, "doc_id").groupBy("key").applyInArrow(_linked, "a long, b long"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import checkpointed
+from .spark_io import checkpointed, lean
 
 CAPACITY, END = 4096, 1
 #: A bin with this little room is final.
@@ -150,7 +150,7 @@ def pieces(docs: DataFrame, definition: str, capacity: int = CAPACITY, end: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(lean(run), PIECES)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,7 +213,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             item, length = (np.concatenate(x) for x in zip(*got, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in _packed(item, length, TaskContext.get().partitionId(), 0, capacity, FAN * levels + 1)], _NAMES)
 
-    bottom = placed = checkpointed(rest.repartition(nodes, "item").mapInArrow(first, PLACES))
+    bottom = placed = checkpointed(rest.repartition(nodes, "item").mapInArrow(lean(first), PLACES))
     moved = None  # where the bins that went up came to lie
     for level in range(1, levels + 1):
         under = placed.where("open").select("bin", "fill", F.expr(f"((bin >> 32) & 67108863) div {FAN}").alias("node")).distinct()

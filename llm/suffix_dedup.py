@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textkit as K
 from .anchors import anchors
-from .spark_io import checkpointed, partitions_for
+from .spark_io import checkpointed, lean, partitions_for
 from .suffix_sort import sort_strings
 from .textkit import expanded, squeezed
 
@@ -475,7 +475,9 @@ def _beside(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
     kinds = to_arrow_schema(empty)
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(iter([*left.to_batches(), *right.to_batches()]))), kinds)
+        rows = iter([*left.to_batches(), *right.to_batches()])
+        del left, right
+        return pa.Table.from_batches(list(lean(run)(rows)), kinds)
 
     return rows.groupBy("part").cogroup(texts.groupBy("part")).applyInArrow(both, schema)
 
@@ -493,12 +495,12 @@ def without_repeats(docs: DataFrame, number: str | None = None) -> DataFrame:
         docs = checkpointed(docs.select("doc_id", "text"))
     docs = docs.select(doc_id.alias("doc_id"), key.alias("key"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text)
     n = partitions_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    texts = docs.mapInArrow(_packed(n), SCHEMA)
-    asked = docs.select("key", "ord", "text").mapInArrow(_asked(n), SCHEMA)
-    candidates = asked.repartitionById(n, "part").mapInArrow(_shared(n), SCHEMA)
+    texts = docs.mapInArrow(lean(_packed(n)), SCHEMA)
+    asked = docs.select("key", "ord", "text").mapInArrow(lean(_asked(n)), SCHEMA)
+    candidates = asked.repartitionById(n, "part").mapInArrow(lean(_shared(n)), SCHEMA)
     spans = _beside(candidates, texts, _spans(n), SCHEMA)
-    ranges = spans.repartitionById(n, "part").mapInArrow(_removed(n), SCHEMA).repartition(n, "part")  # one shuffle for both uses
-    ranges = ranges.union(ranges.mapInArrow(_settled(n), SCHEMA).repartition(n, "part"))
+    ranges = spans.repartitionById(n, "part").mapInArrow(lean(_removed(n)), SCHEMA).repartition(n, "part")  # one shuffle for both uses
+    ranges = ranges.union(ranges.mapInArrow(lean(_settled(n)), SCHEMA).repartition(n, "part"))
     return _beside(ranges, texts, _kept, "key long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

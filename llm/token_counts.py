@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textkit as K
-from .spark_io import extended
+from .spark_io import extended, lean
 
 MARK, UNKNOWN_BELOW = "▁", 10.0
 #: Parts whose counts a worker keeps, and their letters; beyond either it starts anew.
@@ -182,7 +182,7 @@ def _appended(docs: DataFrame, pieces: dict[str, float], counted, **columns: str
                     out = out.append_column(column_name, pa.array(values, kinds[kind]))
                 yield out
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def token_counts(docs: DataFrame, pieces: dict[str, float]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as K
-from .spark_io import extended
+from .spark_io import extended, lean
 
 SAMPLE, TERMS, WINDOW = 20_000, 1_000, 8
 #: Texts that a term must be toxic in, lower bound of its log odds, and different words below a shared beginning.
@@ -206,8 +206,20 @@ class Model:
     coefficients: np.ndarray
 
 
+#: Words and beginnings that a task counts before it sends them on.
+COUNTED = 200_000
+
+
+def _counted(counts: dict[int, Counter]) -> pa.RecordBatch:
+    terms = sorted(set(counts[0]) | set(counts[1]))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([t for t, _ in terms], pa.string()), pa.array([s for _, s in terms], pa.bool_()), *(pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0))],
+        ["term", "is_stem", "toxic", "other"],
+    )
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other rows of the task hold each word and each beginning of four to eight letters."""
+    """How many toxic and other rows of the task hold each word and each beginning of four to eight letters; in parts, so that none is large."""
     counts = {0: Counter(), 1: Counter()}
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -216,13 +228,12 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = "".join(map(chr, cps))
             own = {flat[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)}
             own = {w for w in own if 3 <= len(w) <= 24}
-            counts[int(toxic)].update((w, "", False) for w in own)
-            counts[int(toxic)].update((w[:n], "", True) for w in own for n in range(4, min(9, len(w))))
-    terms = sorted(set(counts[0]) | set(counts[1]))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([t for t, _, _ in terms], pa.string()), pa.array([s for _, _, s in terms], pa.bool_()), *(pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0))],
-        ["term", "is_stem", "toxic", "other"],
-    )
+            counts[int(toxic)].update((w, False) for w in own)
+            counts[int(toxic)].update((w[:n], True) for w in own for n in range(4, min(9, len(w))))
+            if len(counts[0]) + len(counts[1]) > COUNTED:
+                yield _counted(counts)
+                counts = {0: Counter(), 1: Counter()}
+    yield _counted(counts)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -236,7 +247,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         if len(totals) < 2:
             return None
-        counted = sample.mapInArrow(_vocabulary, "term string, is_stem boolean, toxic long, other long").groupBy("term", "is_stem").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c"))
+        counted = sample.mapInArrow(lean(_vocabulary), "term string, is_stem boolean, toxic long, other long").groupBy("term", "is_stem").agg(F.sum("toxic").alias("t"), F.sum("other").alias("c"))
         odds = F.log((F.col("t") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("c") + 0.5) / (totals[0] + 1.0))
         sure = odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
         telling = counted.where(F.col("t") >= SEEN).select("term", "is_stem", "t", odds.alias("odds"), sure.alias("sure")).where(F.col("sure") > ODDS)
@@ -257,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             at = np.flatnonzero(seen.any(0))
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1, at]), pa.array(seen[0, at])], ["term", "t", "c"])
 
-        found = sample.mapInArrow(misspelled, "term long, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()  # a row a term
+        found = sample.mapInArrow(lean(misspelled), "term long, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()  # a row a term
         near = 0.7 * exact
         for r in found:  # misspellings that are words of their own must prove themselves
             near[r["term"]] = min(near[r["term"]], np.log((r["t"] + 1) / (totals[1] + 1)) - np.log((r["c"] + 0.5) / (totals[0] + 1)) - ODDS)
@@ -269,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
                     f = features(batch.column("text").slice(a, b - a).to_pylist(), automaton, weights)
                     yield pa.RecordBatch.from_arrays([*(pa.array(f[:, k]) for k in range(1, FEATURES)), batch.column("toxic").slice(a, b - a)], [*(f"f{k}" for k in range(1, FEATURES)), "toxic"])
 
-        got = np.array(sample.select("text", "toxic").mapInArrow(measured, ", ".join(f"f{k} double" for k in range(1, FEATURES)) + ", toxic int").collect(), float)  # SAMPLE rows at most
+        got = np.array(sample.select("text", "toxic").mapInArrow(lean(measured), ", ".join(f"f{k} double" for k in range(1, FEATURES)) + ", toxic int").collect(), float)  # SAMPLE rows at most
         order = np.lexsort(got.T)
         x, y = np.column_stack([np.ones(len(got)), got[order][:, :-1]]), got[order][:, -1]
         return Model([(t, s) for t, s, _ in terms], weights, _logistic(x, y))
@@ -323,7 +334,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                     p = 1 / (1 + np.exp(-np.clip(f @ model.coefficients, -30, 30)))
                 yield batch.slice(a, b - a).append_column("score", pa.array(p)).append_column("predicted", pa.array((p >= THRESHOLD).astype(np.int32)))
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
