@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from tracewell.plans import catalog
+from tracewell.plans import catalog, evidence  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")

@@ -146,7 +146,7 @@ def truncate(text: Column | str, n: int) -> Column:
 def truncate_words(text: Column | str, n: int) -> Column:
     """Cut at the last space within n characters."""
     t = _col(text)
-    return F.when(F.char_length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n - 1), r"\s+\S*$", ""), F.lit("…")))
+    return F.when(F.char_length(t) <= n, t).otherwise(F.concat(F.regexp_replace(F.substring(t, 1, n - 1), r"\s+\S*\z", ""), F.lit("…")))
 
 
 def cut_note(text: Column | str, cap: int) -> Column:
@@ -154,6 +154,56 @@ def cut_note(text: Column | str, cap: int) -> Column:
     return F.when(F.char_length(t) <= cap, t).otherwise(F.concat(F.substring(t, 1, cap), F.format_string(" (first %d of %d chars)", F.lit(cap), F.char_length(t))))
 
 
+def _common(a: Column, b: Column) -> Column:
+    """How many characters two texts begin with alike."""
+    n = F.least(F.char_length(a), F.char_length(b))
+    same = F.zip_with(F.slice(F.split(a, ""), F.lit(1), n), F.slice(F.split(b, ""), F.lit(1), n), lambda x, y: x == y)
+    return F.when(n == 0, 0).otherwise(F.coalesce(F.nullif(F.array_position(same, False), F.lit(0)) - 1, n)).cast("int")
+
+
+def edit_delta(before: Column | str, after: Column | str) -> Column:
+    """What one change of a value changed: (at, old, new), with what both begin and end with left out, the beginning first."""
+    a, b = _col(before), _col(after)
+    head = _common(a, b)
+    old, new = F.substr(a, head + 1), F.substr(b, head + 1)
+    tail = _common(F.reverse(old), F.reverse(new))
+    return F.struct(head.alias("at"), F.substr(old, F.lit(1), F.char_length(old) - tail).alias("old"), F.substr(new, F.lit(1), F.char_length(new) - tail).alias("new"))
+
+
+def split_meta(text: Column | str, header: str = "## Ambiguities and Feedback") -> Column:
+    """A reply cut at the line that is the header: (answer, channel), the latter null without one."""
+    parts = F.split(_col(text), r"(?m)^[ \t]*\Q" + header + r"\E[ \t]*\r?$", 2)
+    return F.struct(F.rtrim(F.get(parts, F.lit(0)), F.lit(" \t\r\n")).alias("answer"), F.nullif(F.trim(F.get(parts, F.lit(1)), F.lit(" \t\r\n")), F.lit("")).alias("channel"))
+
+
+def field_tokens(name: Column | str) -> Column:
+    """A field name's words: humps and signs are borders, digits stay with their word."""
+    apart = F.regexp_replace(F.regexp_replace(_col(name), r"([\p{Ll}\p{Nd}])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.filter(F.split(F.lower(apart), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def field_name(name: Column | str) -> Column:
+    return F.regexp_replace(F.lower(_col(name)), r"[^\p{L}\p{N}]+", "")
+
+
+# Words that name a secret or a means of payment.
+SECRETS = ("password", "passwd", "passcode", "passphrase", "secret", "otp", "cvv", "cvc", "csc", "pin", "cardnumber", "ccnumber", "iban", "ssn")
+
+
+def is_credential(name: Column | str, words: tuple[str, ...] = SECRETS) -> Column:
+    """Names of fields that hold credentials: one of the words stands alone, as a run of words, or, if it is long, within."""
+    tokens, whole = field_tokens(name), field_name(name)
+    long_ = F.lit(False)
+    for w in words:
+        long_ |= (whole == w) | (whole.contains(w) if len(w) > 5 else F.lit(False))
+    return F.coalesce(long_ | F.arrays_overlap(tokens, F.array(*map(F.lit, words))), F.lit(False))
+
+
+def is_local_host(host: Column | str) -> Column:
+    h = F.lower(_col(host))
+    return F.coalesce(h.isin("localhost", "127.0.0.1", "[::1]", "0.0.0.0") | h.endswith(".localhost") | h.endswith(".local") | h.rlike(r"^(10|192\.168|172\.(1[6-9]|2\d|3[01]))\."), F.lit(False))
+
+
 def call_cost(fresh: Column, cached: Column, out: Column, thoughts: Column, price_in: float, price_cached: float, price_out: float) -> Column:
     """USD, from prices for a million tokens."""
     return F.round((fresh * price_in + cached * price_cached + (out + thoughts) * price_out) / 1_000_000, 8)

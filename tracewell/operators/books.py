@@ -155,13 +155,163 @@ def citation_violations(cites: DataFrame, table: DataFrame) -> DataFrame:
 def structural_failures(claims: DataFrame, labels: DataFrame) -> DataFrame:
     """Claims(answer_id, claim_id, claim_type, supporting array<int>, label) that can't stand: inferences without or with unknown support, unknown labels."""
     known = claims.groupBy("answer_id").agg(F.collect_set("claim_id").alias("ids"))
-    out = claims.join(known, "answer_id").join(F.broadcast(labels.agg(F.collect_set("label").alias("labels"))), how="cross")  # one row
-    unknown = F.size(F.array_except(F.coalesce("supporting", F.array().cast("array<int>")), "ids")) > 0
+    named = labels.select("label").distinct().withColumn("named", F.lit(True))
+    out = claims.join(known, "answer_id").join(named, "label", "left")
+    unknown = F.size(F.array_except(F.transform(F.coalesce("supporting", F.array()), lambda x: x.cast("long")), F.transform("ids", lambda x: x.cast("long")))) > 0
     none = (F.col("claim_type") == "INFERENCE") & (F.coalesce(F.size("supporting"), F.lit(0)) <= 0)
-    why = F.when(none, "no support").when(unknown, "unknown support").when(F.col("label").isNotNull() & ~F.array_contains("labels", F.col("label")), "unknown label")
+    why = F.when(none, "no support").when(unknown, "unknown support").when(F.expr("label is not null and named is null"), "unknown label")
     return out.withColumn("why", why).where("why is not null").select("answer_id", "claim_id", "why")
 
 
 def groundedness(judged: DataFrame) -> DataFrame:
     """Of each answer: claims, mean and least groundedness, and the score mean * sqrt(n) / 100."""
     return judged.groupBy("answer_id").agg(F.count("*").alias("claims"), F.round(F.avg("groundedness_pct"), 1).alias("mean_pct"), F.min("groundedness_pct").alias("least_pct"), F.round(F.avg("groundedness_pct") * F.sqrt(F.count("*")) / 100, 2).alias("score"))
+
+
+def judged(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Each claim with the verdict it drew."""
+    return claims.join(verdicts.select("answer_id", "claim_id", "groundedness_pct", "reasoning"), ["answer_id", "claim_id"])
+
+
+def measured(rows: DataFrame, distant_ms: int = 2000) -> DataFrame:
+    """Of each answer's judged claims all figures: counts, means by type, claims without a citation, and distances to screenshots.
+
+    rows: claim_type, groundedness_pct, cited, and distance_ms, null where no screenshot is near.
+    """
+    by = rows.groupBy("answer_id", "claim_type").agg(F.round(F.avg("groundedness_pct"), 1).alias("mean")).groupBy("answer_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("claim_type", "mean")))).alias("by_type"))
+    out = rows.groupBy("answer_id").agg(
+        F.count("*").alias("claims"),
+        F.count_if((F.col("claim_type") == "OBSERVATION") & ~F.col("cited")).alias("uncited"),
+        F.round(F.avg("groundedness_pct"), 1).alias("mean_pct"),
+        F.min("groundedness_pct").alias("least_pct"),
+        F.round(F.avg("groundedness_pct") * F.sqrt(F.count("*")) / 100, 2).alias("score"),
+        F.count_if(F.col("cited")).alias("with_span"),
+        F.count_if(F.col("cited") & F.col("distance_ms").isNull()).alias("no_screenshot"),
+        F.count_if(F.col("distance_ms") > distant_ms).alias("distant"),
+        F.round(F.avg("distance_ms"), 0).cast("long").alias("mean_distance_ms"),
+    )
+    return out.join(by, "answer_id")
+
+
+def citation_defects(answers: DataFrame, table: DataFrame) -> DataFrame:
+    """Everything in brackets that looks like a time, and what is wrong with it: form, two slices, label, order or bounds.
+
+    answers: (answer_id, window, text). table: (window, label, start_ms, end_ms), offsets on the window's clock.
+    """
+    exact = r"^(?:([A-Za-z]\w*) )?(\d{2,}):([0-5]\d)\.(\d{3})(?:,\s*(?:([A-Za-z]\w*) )?(\d{2,}):([0-5]\d)\.(\d{3}))?$"
+    cites = answers.select("answer_id", "window", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[([^\[\]]*\d+:\d{2}[^\[\]]*)\]"), F.lit(1)))).alias("cite"))
+    part = lambda k: F.nullif(F.regexp_extract("cite", exact, k), F.lit(""))
+    ms = lambda k: part(k).cast("long") * 60000 + part(k + 1).cast("long") * 1000 + part(k + 2).cast("long")
+    cites = cites.select("*", part(1).alias("label"), part(5).alias("label2"), ms(2).alias("from_ms"), ms(6).alias("to_ms"))
+    slices = table.groupBy("window").agg(F.count("*").alias("slices"), F.min("label").alias("only"))
+    rows = cites.join(slices, "window").withColumn("of", F.when(F.col("slices") == 1, F.col("only")).otherwise(F.col("label")))
+    rows = rows.join(table.select("window", F.col("label").alias("of"), "start_ms", "end_ms"), ["window", "of"], "left")
+    out = lambda c: ~F.coalesce(F.col(c).between(F.col("start_ms"), F.col("end_ms")), F.lit(True))
+    why = (
+        F.when(F.col("from_ms").isNull(), "form")
+        .when(F.col("label2").isNotNull() & ~F.col("label2").eqNullSafe(F.col("label")), "two slices")
+        .when((F.col("slices") > 1) & F.col("label").isNull(), "no label")
+        .when((F.col("slices") == 1) & F.col("label").isNotNull(), "a label for the only slice")
+        .when(F.col("start_ms").isNull(), "unknown label")
+        .when(F.col("to_ms") < F.col("from_ms"), "order")
+        .when(out("from_ms") | out("to_ms"), "bounds")
+    )
+    return rows.withColumn("why", why).where("why is not null").select("answer_id", "cite", "why")
+
+
+def latest_answers(transcripts: DataFrame) -> DataFrame:
+    """Of each analysis's numbered transcripts the path of the highest number, not of the last name."""
+    number = F.regexp_extract("path", r"(\d+)[^/\d]*$", 1).cast("long")
+    return transcripts.groupBy("analysis").agg(F.max_by("path", F.struct(number, "path")).alias("path"))
+
+
+# ------------------------------------------------------------------ stores and sweeps
+def minted_keys(chunks: DataFrame) -> DataFrame:
+    """Keys of ``chunks(snippet, visitor_id, recorder_slice, counter)``, null where a part hasn't its shape; the day is the slice's own."""
+    good = F.col("snippet").rlike(r"\A[a-z0-9]{3,64}\z") & F.col("visitor_id").rlike(r"\A[A-Za-z0-9_-]{8,64}\z") & X.is_slice_id("recorder_slice") & F.col("counter").rlike(r"\A\d{19}\z")
+    key = F.concat(F.concat_ws("/", "snippet", X.utc_day(X.slice_open_ms("recorder_slice")), "visitor_id", "recorder_slice", "counter"), F.lit(".json.gz"))
+    return chunks.withColumn("key", F.when(good, key))
+
+
+def store_totals(rows: DataFrame, objects: DataFrame) -> DataFrame:
+    """One row over an inventory and its listing: what inventory_totals tells, when slices opened, and what is no recording."""
+    foreign = objects.where("foreign").agg(F.count("*").alias("foreign_keys"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("foreign_bytes"))
+    opened = X.slice_open_ms("recorder_slice")
+    span = rows.agg(F.min(opened).alias("first_ms"), F.max(opened).alias("last_ms"))
+    return inventory_totals(rows).crossJoin(span).crossJoin(foreign)  # one row each
+
+
+def swept(cutoff: str, events: DataFrame, slices: DataFrame, errors: DataFrame, manifest: DataFrame) -> dict[str, DataFrame]:
+    """What a retention sweep leaves of each table, and ``touched``, the visitors whose sessions must be derived anew.
+
+    Slices that opened before the cutoff's day go, with the slices they took in, and with the events and errors of both; chunks go by their key's day.
+    """
+    day = X.utc_day(X.slice_open_ms("recorder_slice"))
+    old = slices.where(day < cutoff)
+    own = old.select("visitor_id", "recorder_slice")
+    taken = old.select("visitor_id", F.explode(F.coalesce("absorbed", F.array().cast("array<string>"))).alias("recorder_slice"))
+    gone = own.union(taken).distinct()
+    keys = ["visitor_id", "recorder_slice"]
+    date = F.get(F.split("key", "/"), F.lit(1))
+    return {
+        "events": events.join(gone, keys, "left_anti"),
+        "slices": slices.join(gone, keys, "left_anti"),
+        "errors": errors.join(gone, keys, "left_anti"),
+        "manifest": manifest.where(~F.coalesce(date.rlike(r"^\d{4}-\d{2}-\d{2}$") & (date < cutoff), F.lit(False))),
+        "touched": own.select("visitor_id").distinct(),
+    }
+
+
+def standing(slices: DataFrame, events: DataFrame) -> DataFrame:
+    """Slices that still have events."""
+    return slices.join(events.select("visitor_id", "recorder_slice").distinct(), ["visitor_id", "recorder_slice"], "left_semi")
+
+
+def evicted(records: DataFrame, ceiling: int, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """The oldest records that must go so that what is left of each key is no more than the ceiling of bytes."""
+    newest = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, 0)
+    return records.withColumn("kept_bytes", F.sum("bytes").over(newest)).where(F.col("kept_bytes") > ceiling).drop("kept_bytes")
+
+
+def live_bytes(uploads: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
+    """One row: bytes of uploads that still stand."""
+    return uploads.where(F.col("uploaded_at") + ttl_ms > now_ms).agg(F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
+def described(records: DataFrame) -> DataFrame:
+    """Of each slice its records and their first and last counters, which are text."""
+    return records.groupBy("visitor_id", "recorder_slice").agg(F.count("*").alias("records"), F.min("counter").alias("first"), F.max("counter").alias("last"))
+
+
+def load_stats(decoded: DataFrame) -> DataFrame:
+    """One row over decoded chunks: chunks, corrupt and lossy ones, events and rejects."""
+    per = decoded.groupBy("key").agg(F.count_if(F.col("reason").isNull()).alias("events"), F.count_if(F.expr("reason is not null and visitor_id is null")).alias("corrupt"), F.count_if(F.expr("reason not like 'recorder: %' and visitor_id is not null")).alias("lossy"))
+    return per.agg(
+        F.count("*").alias("chunks"), F.count_if(F.col("corrupt") > 0).alias("corrupt"), F.count_if(F.col("lossy") > 0).alias("lossy"), F.coalesce(F.sum("events"), F.lit(0)).alias("events"), F.coalesce(F.sum("lossy"), F.lit(0)).alias("rejected")
+    )
+
+
+def recorder_errors(decoded: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """What recorders said went wrong, each once: (snippet, visitor_id, recorder_slice, chunk_key, error)."""
+    rows = decoded.where("reason like 'recorder: %'").select("snippet", "visitor_id", "recorder_slice", F.col("key").alias("chunk_key"), F.expr("substring(reason, 11)").alias("error"))
+    key = ["visitor_id", "chunk_key", "error"]
+    one = rows.groupBy(*key).agg(F.min(F.struct("snippet", "recorder_slice")).alias("s")).select("s.snippet", "visitor_id", "s.recorder_slice", "chunk_key", "error")
+    return one if held is None else one.join(held.select(*key), key, "left_anti").select(one.columns)
+
+
+def layered(urls: DataFrame, rules: list[tuple[str, dict[str, str]]]) -> DataFrame:
+    """Options of each ``url``: of all rules whose pattern it matches, in order, later ones before earlier ones.
+
+    rules: a regular expression and its options; an option within another is named like mask.email, so it is layered by itself.
+    """
+    options = F.create_map().cast("map<string,string>")
+    for pattern, own in rules:
+        new = F.create_map(*(F.lit(x) for p in own.items() for x in p)) if own else F.create_map().cast("map<string,string>")
+        over = F.map_concat(F.map_filter(options, lambda k, v: ~k.isin(*own)), new)  # noqa: B023
+        options = F.when(F.col("url").rlike(pattern), over).otherwise(options)
+    return urls.withColumn("options", options)
+
+
+def appended(ledger: DataFrame, path: str) -> None:
+    """Adds calls to a JSON-lines ledger as files of their own: no writer waits for another, and none rewrites what stands."""
+    ledger.write.mode("append").json(path)

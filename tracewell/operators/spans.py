@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAD_MS, REACH_MS = 2000, 2000
 
@@ -22,7 +25,6 @@ def merged(spans: DataFrame, keys: tuple[str, ...], pad_ms: int = PAD_MS) -> Dat
     wide = spans.select(*keys, F.greatest(F.col("start_ts") - pad_ms, F.lit(0)).alias("start_ts"), (F.col("end_ts") + pad_ms).alias("end_ts"))
     w = Window.partitionBy(*keys).orderBy("start_ts", "end_ts")
     new = F.col("start_ts") > F.max("end_ts").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = wide.withColumn("island", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = wide.withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy(*keys, "island").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("spans")).drop("island")
 
@@ -39,9 +41,9 @@ def inside(events: DataFrame, spans: DataFrame, keys: tuple[str, ...]) -> DataFr
 def nearest_marks(claims: DataFrame, marks: DataFrame, keys: tuple[str, ...], reach_ms: int = REACH_MS) -> DataFrame:
     """claims(keys, timestamp, claim_id) with the distance to the nearest mark, null beyond the reach."""
     rows = claims.withColumn("mark", F.lit(None).cast("long")).unionByName(marks.select(*keys, "timestamp", F.col("timestamp").alias("mark")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("timestamp")
-    before = F.last("mark", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("mark", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    upto = lambda order: Window.partitionBy(*keys).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    # both frames only grow, so each row is added to them once
+    before, after = (F.last("mark", ignorenulls=True).over(upto(order)) for order in (F.asc("timestamp"), F.desc("timestamp")))
     near = F.least(F.col("timestamp") - before, after - F.col("timestamp"))
     return rows.withColumn("distance_ms", F.when(near <= reach_ms, near)).where("mark is null").drop("mark")
 
@@ -109,15 +111,25 @@ def showable(moments: DataFrame, slices: DataFrame, keys: tuple[str, ...] = ("vi
 
 
 def greedy_groups(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], size: str, budget: int) -> DataFrame:
-    """Consecutive rows in groups of the budget at most; a row above it is a group of its own. A fold over each key's sorted array."""
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, size))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(s, r):
-        n = r[size].cast("long")
-        new = (s["used"] > 0) & (s["used"] + n > budget)
-        g = s["g"] + F.when(new, 1).otherwise(0)
-        return F.struct(g.alias("g"), F.when(new, n).otherwise(s["used"] + n).alias("used"), F.concat(s["out"], F.array(g)).alias("out"))
-
-    numbered = packed.withColumn("groups", F.aggregate("rows", zero, step)["out"])
-    return numbered.select(*keys, F.explode(F.arrays_zip("rows", "groups")).alias("z")).select(*keys, "z.rows.*", F.col("z.groups").alias("group"))
+    """Consecutive rows in groups of the budget at most; a row above it is a group of its own.
+
+    The fold runs over each key's rows in order, a batch at a time, so no key is held whole.
+    """
+    columns = [f.name for f in rows.select(*keys, *order, size).schema.fields]
+    rows = rows.select(*columns)
+    schema = T.StructType([*rows.schema.fields, T.StructField("group", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used, group = None, 0, 0
+        for batch in batches:
+            out = []
+            for *own, n in zip(*(batch.column(c).to_pylist() for c in (*keys, size)), strict=True):
+                if own != key:
+                    key, used, group = own, 0, 0
+                elif used and used + n > budget:
+                    used, group = 0, group + 1
+                used += n
+                out.append(group)
+            yield batch.append_column("group", pa.array(out, pa.int64()))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

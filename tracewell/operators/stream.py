@@ -94,4 +94,4 @@ def arrivals(events: DataFrame) -> DataFrame:
 
 def kinds_by_count(events: DataFrame) -> DataFrame:
     """Kinds with their numbers; equally common ones in the order of their first appearance."""
-    return events.groupBy("type_str").agg(F.count("*").alias("events"), F.min(F.struct("timestamp", "counter")).alias("seen")).select("type_str", "events", F.col("seen.timestamp").alias("first_ts"))
+    return events.groupBy("type_str").agg(F.count("*").alias("events"), F.min(F.struct("timestamp", "counter")).alias("seen")).orderBy(F.desc("events"), "seen").select("type_str", "events", F.col("seen.timestamp").alias("first_ts"))

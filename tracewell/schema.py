@@ -40,13 +40,13 @@ CHUNK_ERRORS = _table("snippet string, visitor_id string, recorder_slice string,
 SPEND = _table("ts string, model string, label string, usd double, input_tokens long, cached_tokens long, output_tokens long, thoughts_tokens long, record string")
 DEFAULTS = {"internal": 0}
 
-# Numbers and names of event kinds in the recording format.
+# Numbers and names of event kinds in the recording format; so are the columns of the tables above.
 EVENT_TYPES = {0: "DomContentLoaded", 1: "Load", 2: "FullSnapshot", 3: "IncrementalSnapshot", 4: "Meta", 5: "Custom", 6: "Plugin", 69: "PageLoad", 70: "PageVisible", 71: "PageHidden", 72: "Identify"}
 SOURCES = {0: "Mutation", 1: "MouseMove", 2: "MouseInteraction", 3: "Scroll", 4: "ViewportResize", 5: "Input", 6: "TouchMove", 7: "MediaInteraction", 8: "StyleSheetRule", 9: "CanvasMutation", 10: "Font", 11: "Log", 12: "Drag", 13: "StyleDeclaration", 14: "Selection", 15: "AdoptedStyleSheet", 16: "CustomElement"}
 MOUSE = {0: "MouseUp", 1: "MouseDown", 2: "Click", 3: "ContextMenu", 4: "DblClick", 5: "Focus", 6: "Blur", 7: "TouchStart", 8: "TouchMove_Departed", 9: "TouchEnd", 10: "TouchCancel"}
 MEDIA = {0: "Play", 1: "Pause", 2: "Seeked", 3: "VolumeChange", 4: "RateChange"}
 #: Kinds that are acts of the user.
-ACTIVITY = ("PageLoad", "PageVisible", "MouseMove", "MouseUp", "MouseDown", "Click", "ContextMenu", "DblClick", "TouchStart", "TouchMove_Departed", "TouchEnd", "TouchCancel", "Scroll", "ViewportResize", "Input", "TouchMove", "Drag", "MediaInteraction", "Selection")
+ACTIVITY = tuple([EVENT_TYPES[t] for t in (69, 70)] + [SOURCES[s] for s in (1, 3, 4, 5, 6, 7, 12, 14)] + [m for m in MOUSE.values() if m not in ("Focus", "Blur")])
 
 
 @dataclass(frozen=True)

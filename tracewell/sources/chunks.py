@@ -130,11 +130,27 @@ def rejects(rows: DataFrame) -> DataFrame:
     return rows.where("reason is not null").groupBy("key", "reason").agg(F.sum("n").alias("events"))
 
 
+def fresh_objects(spark: SparkSession, url: str, manifest: DataFrame, prefix: str = "", cutoff: str = "") -> DataFrame:
+    """What a load has to read: under the prefix, not expired, not held in this version. No content is read."""
+    return unloaded(parsed_keys(listing(spark, url, prefix)).where("not foreign"), manifest).where(F.col("date") >= cutoff)
+
+
+def content_of(spark: SparkSession, url: str, fresh: DataFrame) -> DataFrame:
+    """Fresh objects with their content. Only the sites' days that hold any are listed, and of these only objects stored no earlier than the first
+    fresh one are opened, a filter that the source takes; what is held and as new is read in vain."""
+    days = fresh.groupBy("snippet", "date").agg(F.min("uploaded_ms").alias("first")).collect()  # a row for each site and day with something new
+    none = fresh.withColumn("content", F.lit(None).cast("binary")).limit(0)
+    if not days:
+        return none
+    folders = [f"{store_root(url)}/{d['snippet']}/{d['date']}" for d in days]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(folders)
+    first = min(d["first"] for d in days)
+    return fresh.join(files.where(F.col("modificationTime") >= F.timestamp_millis(F.lit(first))).select("path", "content"), "path")
+
+
 def new_objects(spark: SparkSession, url: str, manifest: DataFrame, prefix: str = "", cutoff: str = "") -> DataFrame:
-    """What a load reads: under the prefix, not expired, not held in this version. Only these objects' content is joined on."""
-    fresh = unloaded(parsed_keys(listing(spark, url, prefix)).where("not foreign"), manifest).where(F.col("date") >= cutoff)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(store_root(url)).select("path", "content")
-    return fresh.join(content, "path")
+    """Fresh objects with their content."""
+    return content_of(spark, url, fresh_objects(spark, url, manifest, prefix, cutoff))
 
 
 def first_of_each(events: DataFrame, held: DataFrame | None = None) -> DataFrame:

@@ -1,44 +1,66 @@
-"""Micro-batch ingestion. Late events are never dropped: a batch that touches a visitor has its sessions derived anew."""
+"""Micro-batch ingestion. In ``absorbed``, late events are never dropped: a batch that touches a visitor has its sessions derived anew.
+
+``live_sessions`` and ``live_routes`` are for endless streams with bounded state: what comes later than their watermark is dropped there.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import time
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewell.functions import exprs as X
 from tracewell.operators import sessions
 from tracewell.schema import SessionRule
 
+EVENT = "visitor_id string, snippet string, timestamp long, counter string, type_str string, content_hash string"
+COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 
-class Store:
-    """Event and session tables as Parquet, one folder for each batch; a batch that runs again overwrites its own."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+class Store:
+    """Event and session tables as Parquet, a folder for each run of a query and batch, events in buckets of visitors; a batch that runs again overwrites its own."""
 
-    def path(self, table: str, batch: int) -> str:
-        return f"{self.folder}/{table}/batch={batch}"
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.spark, self.folder, self.buckets = spark, folder, buckets
 
-    def events(self, before: int, schema) -> DataFrame:
-        """What the batches before this one brought."""
-        every = self.spark.read.schema(f"{schema}, batch int").option("basePath", f"{self.folder}/events").parquet(f"{self.folder}/events")
-        return every.where(F.col("batch") < before).drop("batch")
+    def path(self, table: str, run: str, batch: int) -> str:
+        return f"{self.folder}/{table}/run={run}/batch={batch}"
 
+    def bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("visitor_id"), F.lit(self.buckets)).cast("int"))
 
-EVENT = "visitor_id string, snippet string, timestamp long, counter string, type_str string, content_hash string"
+    def events(self, run: str, before: int, buckets: list[int]) -> DataFrame:
+        """What all batches but this run's from ``before`` on brought, of some buckets: partitions, so the others aren't read."""
+        root = f"{self.folder}/events"
+        try:
+            every = self.spark.read.schema(f"{EVENT}, run string, batch int, bucket int").option("basePath", root).parquet(root)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            every = self.spark.createDataFrame([], f"{EVENT}, run string, batch int, bucket int")
+        return every.where(F.col("bucket").isin(buckets) & ~((F.col("run") == run) & (F.col("batch") >= before))).select(*COLUMNS)
 
 
-def absorbed(store: Store, rule: SessionRule = SessionRule()):
+def absorbed(store: Store, rule: SessionRule = SessionRule(), run_name: str = "one"):
     """A foreachBatch function: new events are added once, then all sessions of their visitors are derived from all they have."""
 
     def run(batch: DataFrame, number: int) -> None:
-        own = batch.select(*(c.split()[0] for c in EVENT.split(", "))).dropDuplicates(["visitor_id", "content_hash"])
-        if number:
-            own = own.join(store.events(number, EVENT).select("visitor_id", "content_hash"), ["visitor_id", "content_hash"], "left_anti")
-        own.select(*(c.split()[0] for c in EVENT.split(", "))).write.mode("overwrite").parquet(store.path("events", number))
-        touched = store.spark.read.parquet(store.path("events", number)).select("visitor_id").distinct()
-        acts = store.events(number + 1, EVENT).join(touched, "visitor_id", "left_semi")
-        sessions.sessions(acts, rule).withColumn("batch_no", F.lit(number)).write.mode("overwrite").parquet(store.path("sessions", number))
+        own = store.bucketed(batch.select(*COLUMNS).dropDuplicates(["visitor_id", "content_hash"])).persist()
+        try:
+            touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # as many as there are buckets at most
+            new = own.join(store.events(run_name, number, touched).select("visitor_id", "content_hash"), ["visitor_id", "content_hash"], "left_anti")
+            new.select(*COLUMNS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(store.path("events", run_name, number))
+            acts = store.events(run_name, number + 1, touched).join(own.select("visitor_id").distinct(), "visitor_id", "left_semi")
+            sessions.sessions(acts, rule).withColumn("derived_at", F.lit(time.time_ns())).write.mode("overwrite").parquet(store.path("sessions", run_name, number))
+        finally:
+            own.unpersist()
 
     return run
 
@@ -46,18 +68,52 @@ def absorbed(store: Store, rule: SessionRule = SessionRule()):
 def current_sessions(store: Store) -> DataFrame:
     """Of each visitor the sessions that the latest batch to touch it derived."""
     every = store.spark.read.option("basePath", f"{store.folder}/sessions").parquet(f"{store.folder}/sessions")
-    latest = every.groupBy("visitor_id").agg(F.max("batch_no").alias("batch_no"))
-    return every.join(latest, ["visitor_id", "batch_no"], "left_semi").drop("batch", "batch_no")
+    latest = every.groupBy("visitor_id").agg(F.max("derived_at").alias("derived_at"))
+    return every.join(latest, ["visitor_id", "derived_at"], "left_semi").drop("run", "batch", "derived_at")
 
 
 def start(source: DataFrame, store: Store, checkpoint: str, rule: SessionRule = SessionRule()) -> StreamingQuery:
-    """Runs until all that is there has been read."""
-    return source.writeStream.foreachBatch(absorbed(store, rule)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs until all that is there has been read. Batches are named by their checkpoint too, so a new one doesn't overwrite an old one's."""
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    return source.writeStream.foreachBatch(absorbed(store, rule, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def chunk_stream(spark: SparkSession, folder: str, files: int = 4096) -> DataFrame:
+    """A store's objects as a stream, ``files`` of them a batch at most. A file source doesn't read a path twice: for objects sent again use the load job."""
+    return spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").option("maxFilesPerTrigger", files).load(folder)
 
 
 def live_sessions(acts: DataFrame, rule: SessionRule = SessionRule(), late: str = "30 days") -> DataFrame:
-    """Sessions of an endless stream by Spark's session window; the watermark is the retention horizon."""
+    """Sessions of an endless stream by Spark's session window; the watermark is the retention horizon, beyond which state goes and late rows are dropped."""
     stamped = acts.withColumn("at", F.timestamp_millis("timestamp")).withWatermark("at", late)
     w = F.session_window("at", f"{rule.gap_ms} milliseconds").alias("w")
     out = stamped.groupBy("visitor_id", "snippet", w).agg(F.count("*").alias("acts"), F.count_if(F.col("type_str") == "PageLoad").alias("pageviews"))
     return out.select("visitor_id", "snippet", F.unix_millis("w.start").alias("start_ts"), (F.unix_millis("w.end") - rule.gap_ms).alias("end_ts"), "acts", "pageviews")
+
+
+def live_first_writers(events: DataFrame, late: str = "30 days") -> DataFrame:
+    """Each content of a visitor once, remembered as long as the watermark: bounded state instead of a join with all history."""
+    return events.withColumn("at", F.timestamp_millis("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["visitor_id", "content_hash"]).drop("at")
+
+
+def live_routes(events: DataFrame, late: str = "30 days", forget_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Route changes of each visitor across batches: the state is the last route, and goes when the watermark has passed it by ``forget_ms``."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["timestamp", "counter"])
+        before = state.get[0] if state.exists else None
+        changed = rows[rows["route"] != rows["route"].shift(fill_value=before if before is not None else "")]
+        state.update((rows["route"].iloc[-1],))
+        state.setTimeoutTimestamp(max(int(rows["timestamp"].max()) + forget_ms, state.getCurrentWatermarkMs() + 1))
+        yield changed[["visitor_id", "timestamp", "counter", "route"]]
+
+    rows = events.where("url is not null").select("visitor_id", "timestamp", "counter", X.route_key("url").alias("route"), F.timestamp_millis("timestamp").alias("at")).withWatermark("at", late)
+    return rows.groupBy("visitor_id").applyInPandasWithState(step, "visitor_id string, timestamp long, counter string, route string", "route string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def delivery_latency(objects: DataFrame) -> DataFrame:
+    """How long after a slice opened each of its objects was stored."""
+    return objects.withColumn("latency_ms", F.col("uploaded_ms") - X.slice_open_ms("recorder_slice"))
