@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
-from tracewell.operators import books, flat, slices, spans, stream, telemetry, windows
+from tracewell.operators import books, dom, flat, pages, slices, spans, stream, telemetry, windows
 from tracewell.plans.catalog import _SLICES, _STATUS, ACTS, _slices, _status, acts, query, read
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -439,3 +440,39 @@ def layered_options(spark, sf_dir):
 @query("""SELECT doc_id, sha256(CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substr(text, 1, 59), '\\s+\\S*$', '') || '…' END) AS cut FROM documents""")
 def truncated_words(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.sha2(X.truncate_words("text", 60), 256).alias("cut"))
+
+
+# ------------------------------------------------------------------ pages as recorded
+def _recorded(spark, sf_dir):
+    """The driver's acts on a page of ten sections with an anchor each: views show it, errors change a section's class, others act on a node."""
+    a = acts(spark, sf_dir)
+    k = F.col("k")
+    section = lambda i: F.format_string(
+        '{"type":2,"id":%d,"tagName":"DIV","attributes":{"class":"c%d"},"childNodes":[{"type":2,"id":%d,"tagName":"A","attributes":{"href":"https://a.test/%d"},"childNodes":[{"type":2,"id":%d,"tagName":"em","attributes":{},"childNodes":[]}]}]}',
+        F.lit(100 + i), F.lit(i), F.lit(200 + i), F.lit(i), F.lit(300 + i),
+    )
+    page = F.concat(F.lit('{"type":2,"data":{"node":{"type":0,"id":1,"childNodes":['), F.concat_ws(",", *(section(i) for i in range(10))), F.lit("]}}}"))
+    change = F.format_string('{"type":3,"data":{"source":0,"attributes":[{"id":%d,"attributes":{"class":"m%d"}}]}}', 100 + k % 10, k)
+    type_ = F.when(F.col("type_str") == "PageLoad", 2).otherwise(3)
+    raw = F.when(F.col("type_str") == "PageLoad", page).when(F.col("type_str") == "Mutation", change)
+    e = dom.with_epochs(a.withColumn("type", type_).withColumn("raw", raw))
+    return e.withColumn("target_id", F.when(F.col("type_str") == "Click", 100 * (1 + F.col("node_id") % 3) + k % 10)).select("id", *slices.KEYS, "timestamp", "counter", "type", "epoch", "raw", "target_id", "type_str")
+
+
+_EPOCHS = f"""{ACTS}, ep AS (SELECT *, sum(CASE WHEN type_str = 'PageLoad' THEN 1 ELSE 0 END) OVER (PARTITION BY visitor_id, recorder_slice ORDER BY timestamp, counter, id) AS epoch, row_number() OVER (PARTITION BY visitor_id, recorder_slice ORDER BY timestamp, counter, id) AS rn FROM acts)"""
+
+
+@query(f"""WITH {_EPOCHS}, c AS (SELECT *, 1 + node_id % 3 AS level, k % 10 AS i FROM ep WHERE type_str = 'Click'), m AS (SELECT c.id, arg_max('m' || CAST(x.k AS VARCHAR), x.rn) AS cls FROM c JOIN ep x ON x.visitor_id = c.visitor_id AND x.recorder_slice = c.recorder_slice AND x.epoch = c.epoch AND x.type_str = 'Mutation' AND x.k % 10 = c.i AND x.rn < c.rn GROUP BY c.id)
+ SELECT c.id, CASE WHEN epoch > 0 THEN CASE level WHEN 1 THEN 'div' WHEN 2 THEN 'a' ELSE 'em' END END AS tag, CASE WHEN level = 1 AND epoch > 0 THEN coalesce(m.cls, 'c' || CAST(i AS VARCHAR)) END AS class,
+ CASE WHEN epoch > 0 AND level > 1 THEN 'https://a.test/' || CAST(i AS VARCHAR) END AS href FROM c LEFT JOIN m ON m.id = c.id""")
+def click_targets(spark, sf_dir):
+    e = _recorded(spark, sf_dir)
+    clicks = e.where("type_str = 'Click'").drop("raw", "type", "type_str")
+    return dom.followed(clicks, dom.nodes(e)).select("id", "tag", "class", "href")
+
+
+@query()
+def page_diffs(spark, sf_dir):
+    md = read(spark, sf_dir, "pages").select("page_id", "url", pages.markdown("html").alias("md"))
+    w = Window.partitionBy(X.url_host("url")).orderBy("page_id")
+    return pages.with_diffs(md.withColumn("before", F.lag("md").over(w)), "before", "md").select("page_id", "diff")
