@@ -10,6 +10,10 @@ a backslash doubles, then the marks' first two characters ``<|`` become ``<\\|``
 Turns are ordered by turn, then role, then text, nulls first. A null text or role counts as empty. Rows with equal columns stay
 separate turns. A conversation whose turns the machine refuses is formatted all the same, with ``valid`` false. Rows with a null
 conv_id form one conversation. No rows give no conversations. Extra columns are ignored.
+
+One conversation is one row, as it is one training example: its turns are gathered by one task, and its text must fit a row (2 GB in Spark). A table
+whose rows share one conv_id, null among them, is one conversation and isn't spread. What is trained on is read from the segments, whose flags
+are part of the output; turns are read back from the formatted text.
 """
 
 from __future__ import annotations

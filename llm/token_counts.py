@@ -2,7 +2,9 @@
 
 The given model, piece_bpe_32k, is BPE: its scores are ranks of merges, not log probabilities. Its own count, the one that the tokenizer's library gives,
 is that of the merges: of all neighbours whose concatenation is a piece, those of the highest score, of equal ones the leftmost, are
-joined first. Viterbi is for unigram models; over ranks it gives the best sum of ranks, which is no tokenizer's count.
+joined first. Viterbi is for unigram models; over ranks it gives the best sum of ranks, which is no shipped tokenizer's count.
+Runs of the mark have a placeholder score of -1e9 in the given model. It is taken as it stands, so the best path avoids them; with a plain score in its
+place, the counts are those of the library's own unigram model over the same pieces (tests/llm/test_unigram.py).
 
 Viterbi:
 
@@ -12,7 +14,7 @@ path. Among equal sums the piece that starts first stays, as in the reference al
 if it is strictly better. A character that is no piece itself may be unknown, at ten below the least score; it counts a token for each of its
 UTF-8 bytes.
 
-No piece holds the mark after another character, so a text is cut before each mark that follows one, and a task keeps the
+A text of any length and without any space is counted whole. No piece holds the mark after another character, so a text is cut before each mark that follows one, and a task keeps the
 counts of the parts it has met in a bounded table. Null and empty texts have no tokens. Rows keep their other
 columns; repeated rows stay repeated.
 """

@@ -9,6 +9,9 @@ in step, one numpy gather a character; words that match nothing die after a few.
 the ``WINDOW`` words around it: quotation marks on both sides or words of reporting make it a quotation, otherwise it counts as abuse.
 A logistic model over a text's sums, fitted to the sample, gives the score.
 
+Texts of any length are scored whole, in blocks of texts. TERMS, SAMPLE and the length of words that may be terms bound the model, never what is scored:
+every word of every text is driven through the automaton. Ties among terms go to the term that sorts first, and a word's exact match goes before a misspelled one.
+
 Null and empty texts have the score of a text without matches. With nothing to learn from, all scores are 0. Rows keep
 their other columns; repeated rows stay repeated. Labels that are null, or of ids that no text has, teach nothing.
 """
