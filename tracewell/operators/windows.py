@@ -180,7 +180,7 @@ def priced(parts: DataFrame, context: int, headroom: float = 1.0) -> DataFrame:
     """``parts(window, label, text_tokens, screenshot_tokens)``: each window's tokens, its share of the context, and whether it fits; and each part's alone."""
     total = F.coalesce("text_tokens", F.lit(0)) + F.coalesce("screenshot_tokens", F.lit(0))
     rows = parts.withColumn("total", total).groupingSets([["window", "label"], ["window"]], "window", "label").agg(F.sum("total").alias("tokens"))
-    return rows.select("window", "label", "tokens", F.round(F.col("tokens") / context * 100, 1).alias("percent"), (F.col("tokens") <= int(context * headroom)).alias("fits"))
+    return rows.select("window", "label", "tokens", (F.floor(F.col("tokens") * 1000 / context + 0.5) / 10).alias("percent"), (F.col("tokens") <= int(context * headroom)).alias("fits"))
 
 
 # ------------------------------------------------------------------ screenshots and requests

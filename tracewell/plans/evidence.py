@@ -188,7 +188,7 @@ def composed_window(spark, sf_dir):
 
 
 @query(f"""WITH {_TABLE}, p AS (SELECT "window", label, (end_ts - start_ts) // 1000 + 5 AS tokens FROM lb WHERE reason IS NULL)
- SELECT "window", label, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens) / 100000.0 * 100, 1) AS percent, sum(tokens) <= 80000 AS fits FROM p GROUP BY GROUPING SETS (("window", label), ("window"))""")
+ SELECT "window", label, CAST(sum(tokens) AS BIGINT) AS tokens, floor(sum(tokens) * 1000 / 100000.0 + 0.5) / 10 AS percent, sum(tokens) <= 80000 AS fits FROM p GROUP BY GROUPING SETS (("window", label), ("window"))""")
 def priced_windows(spark, sf_dir):
     parts = _table(spark, sf_dir).where("reason is null").select("window", "label", F.expr("(end_ts - start_ts) div 1000").alias("text_tokens"), F.lit(5).alias("screenshot_tokens"))
     return windows.priced(parts, 100_000, 0.8)
