@@ -12,28 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _libc():
-    try:
-        return ctypes.CDLL("libc.so.6")
-    except OSError:
-        return None
-
-
 def release() -> None:
     """Gives memory that this worker has freed back to the machine: workers outlive their tasks, and wait beside those of other steps."""
     pa.default_memory_pool().release_unused()
-    libc = _libc()
-    if libc is not None:
-        libc.malloc_trim(0)
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library, which has no such call
+        pass
 
 
 def lean(run):
     """A function over a task's batches that leaves no freed memory with its worker."""
 
     def leaner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        libc = _libc()
-        if libc is not None:
-            libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD: arrays from 256 KB on go back as soon as they are freed
         yield from run(batches)
         release()
 
