@@ -24,6 +24,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
+from operator import add
 
 import ahocorasick
 import pyarrow as pa
@@ -93,18 +95,17 @@ class Counter:
         pieces, own = self.pieces, list(text)
         if len(own) <= SHORT:
             get, none = pieces.get, float("-inf")
-            scores = [get(a + b, none) for a, b in zip(own, own[1:])]  # noqa: B905
-            while scores:
-                best = max(scores)
-                if best == none:
-                    break
+            scores = list(map(get, map(add, own, own[1:]), repeat(none)))
+            best = max(scores, default=none)
+            while best != none:
                 k = scores.index(best)  # the leftmost
-                own[k : k + 2] = [own[k] + own[k + 1]]
+                both = own[k] = own[k] + own.pop(k + 1)
                 del scores[k]
                 if k:
-                    scores[k - 1] = get(own[k - 1] + own[k], none)
+                    scores[k - 1] = get(own[k - 1] + both, none)
                 if k < len(scores):
-                    scores[k] = get(own[k] + own[k + 1], none)
+                    scores[k] = get(both + own[k + 1], none)
+                best = max(scores, default=none)
             return sum(1 if len(p) > 1 or p in self.single else len(p.encode()) for p in own)
         after, before = list(range(1, len(own) + 1)), list(range(-1, len(own) - 1))
         waiting: list[tuple[float, int, int, str]] = []
