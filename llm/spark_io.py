@@ -51,11 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder, and go on from the files."""
+    """Write df to the shared folder, and go on from the files.
+
+    The shuffles that led there are needed no more, but Spark deletes their files only once the driver's garbage collection finds them
+    unused; a loop of many small shuffles would pile up files until then, so it is asked for here.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.System.gc()
+    return out
 
 
 def extended(df: DataFrame, **new: str) -> tuple[DataFrame, T.StructType]:
