@@ -60,10 +60,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
-    sc._jvm.System.gc()
+    tidy(df.sparkSession)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect garbage, so that shuffle files of what is done are deleted before more are made."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def extended(df: DataFrame, **new: str) -> tuple[DataFrame, T.StructType]:
     """df without columns of the new names (in any case), and its schema with the new columns added."""
     df = df.drop(*(c for c in df.columns if c.lower() in {n.lower() for n in new}))

@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textkit as K
 from .anchors import anchors
-from .spark_io import checkpointed, lean, partitions_for
+from .spark_io import checkpointed, lean, partitions_for, tidy
 from .suffix_sort import sort_strings
 from .textkit import expanded, squeezed
 
@@ -493,6 +493,7 @@ def without_repeats(docs: DataFrame, number: str | None = None) -> DataFrame:
     key = F.monotonically_increasing_id() if number is None else F.col(number).cast("long")
     if number is None:
         docs = checkpointed(docs.select("doc_id", "text"))
+    tidy(docs.sparkSession)
     docs = docs.select(doc_id.alias("doc_id"), key.alias("key"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text)
     n = partitions_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     texts = docs.mapInArrow(lean(_packed(n)), SCHEMA)
