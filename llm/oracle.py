@@ -76,4 +76,39 @@ SELECT t.doc_id, len(t.h) // 2 AS n_bytes, CAST(coalesce(s.gone, 0) AS BIGINT) A
 FROM texts t LEFT JOIN sums s ON s.k = t.k LEFT JOIN kept q ON q.k = t.k
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": SHINGLE_COMPONENTS, "op6_chat_formatting": CHAT, "op10_suffix_array_dedup": REPEATS}
+
+def centroid_rounds(rounds: int = 10) -> str:
+    """Plain k-means in integers: every vector meets every centroid. One assignment and one mean a round, and one assignment more."""
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""met{t} AS MATERIALIZED (
+    SELECT r, c, list_sum(list_transform(list_zip(k.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept k CROSS JOIN means{t} m
+), near{t} AS MATERIALIZED (
+    SELECT r, c, d FROM met{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+)""")
+        if t < rounds:
+            steps.append(f"""sums{t} AS (
+    SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM near{t} JOIN kept USING (r) CROSS JOIN range(1, 65) x(i) GROUP BY c, i
+), means{t + 1} AS MATERIALIZED (
+    SELECT m.c, coalesce(f.v, m.v) AS v FROM means{t} m
+    LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM sums{t} GROUP BY c) f ON f.c = m.c
+)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), means0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) - 1 AS c, v FROM kept QUALIFY c < 8
+), {", ".join(steps)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256, count(*) OVER (PARTITION BY c) AS n_cluster
+FROM near{rounds} JOIN kept USING (r) JOIN means{rounds} m USING (c)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": SHINGLE_COMPONENTS,
+    "op6_chat_formatting": CHAT,
+    "op10_suffix_array_dedup": REPEATS,
+    "op13_centroid_clustering": centroid_rounds(),
+}
