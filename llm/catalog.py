@@ -93,6 +93,12 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
         return aligned(table(spark, sf_dir, "documents"), f.read(), g.read())
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extracted, labelled, train
+
+    return extracted(table(spark, sf_dir, "pages"), train(labelled(table(spark, sf_dir, "documents"))))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .centroids import cluster
 
@@ -111,5 +117,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_html_extraction": op12_html_extraction,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
