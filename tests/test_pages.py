@@ -1,11 +1,9 @@
-"""Recorded pages as rows against a plain replay, and line diffs against a plain table of all pairs."""
+"""Recorded pages as rows against a plain replay."""
 
 import json
 import random
 
-import pytest
-
-from tracewell.operators import dom, pages
+from tracewell.operators import dom
 
 
 def tree(r, ids, depth=3):
@@ -86,54 +84,3 @@ def test_broken_trees_do_no_harm(spark):
     odd = ["", "{", "[]", '{"type":2}', '{"type":2,"data":{"node":{"id":"x"}}}', '{"type":3,"data":{"source":0,"adds":[1,{"node":{"id":4,"type":2,"tagName":"P","attributes":3}}],"attributes":[{"id":4}],"removes":[{}]}}', None]
     df = spark.createDataFrame([(k, "v", "s", k, str(k), 3, x) for k, x in enumerate(odd)], "id long, visitor_id string, recorder_slice string, timestamp long, counter string, type int, raw string")
     assert [(x["node_id"], x["tag"]) for x in dom.nodes(dom.with_epochs(df)).collect()] == [(4, "p")]
-
-
-def plain_lcs(a, b):
-    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
-    return t[0][0]
-
-
-def test_common_lines_are_longest_and_right():
-    r = random.Random(2)
-    for _ in range(200):
-        a, b = ([r.choice("abcd") for _ in range(r.randrange(9))] for _ in range(2))
-        out = pages.common_lines(a, b)
-        lost, gained = ([x for s, x in out if s == sign] for sign in "-+")
-        assert len(a) - len(lost) == len(b) - len(gained) == plain_lcs(a, b)
-        left, left_b = list(a), list(b)
-        for x in lost:
-            left.remove(x)
-        for x in gained:
-            left_b.remove(x)
-        assert sorted(left) == sorted(left_b)
-
-
-@pytest.mark.parametrize(
-    ("old", "new", "want"),
-    [
-        ("a\nb\nc", "a\nb\nc", ""),
-        ("a\nb\nc", "a\nx\nc", "- b\n+ x"),
-        ("", "a", "- \n+ a"),
-        ("a\nb", "b\na", "- a\n+ a"),
-        ("k\na\nb", "k\nc\nd\ne", "- a\n+ c\n- b\n+ d\n+ e"),
-    ],
-)
-def test_line_diffs(old, new, want):
-    assert pages.line_diff(old, new) == want
-
-
-def test_long_lines_keep_only_what_is_beside_a_change():
-    words = " ".join(f"word{k}" for k in range(100))
-    old, new = pages.shortened(words + " end", words + " END more")
-    assert old == "…" + (words + " end")[-len(old) + 1 :] and old.endswith(" end") and len(old) == 1 + 40 + 3
-    assert new.endswith(" END more") and len(new) == 1 + 40 + 8
-    assert pages.shortened("short a", "short b") == ("short a", "short b")
-
-
-def test_diffs_of_tables(spark):
-    df = spark.createDataFrame([(1, None, "a"), (2, "a\nb", "a"), (3, None, None)], "id int, old string, new string").selectExpr("*", "1 as diff")
-    got = {r["id"]: r["diff"] for r in pages.with_diffs(df, "old", "new").collect()}
-    assert got == {1: "- \n+ a", 2: "- b", 3: ""}

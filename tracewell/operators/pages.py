@@ -1,16 +1,9 @@
-"""Pages as text: headings, links, list items and paragraphs of raw HTML, and what changed between two texts, by built-in functions."""
+"""Pages as text: headings, links, list items and paragraphs of raw HTML, and which lines of two texts differ in number, by built-in functions."""
 
 from __future__ import annotations
 
-import difflib
-import re
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Pattern and replacement, in order; both Java's and RE2's regular expressions read them alike.
 RULES = (
@@ -61,88 +54,3 @@ def line_changes(versions: DataFrame, key: str, old: str, new: str) -> DataFrame
     both = lines(old, "before").join(lines(new, "after"), [key, "line"], "full_outer")
     n = F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))
     return both.select(key, "line", n.alias("change")).where("change <> 0")
-
-
-# Lines up to which the longest common subsequence is sought, and characters that stay on either side of what a line leaves out.
-MOST_LINES, ANCHOR = 2000, 40
-
-
-def common_lines(old: list[str], new: list[str]) -> list[tuple[str, str]]:
-    """Signs and lines that turn old into new by a longest common subsequence; where either side could go first, the old one does."""
-    number = {x: k for k, x in enumerate(dict.fromkeys([*old, *new]))}
-    a, b = np.array([number[x] for x in old]), np.array([number[x] for x in new])
-    # length[i][j]: of what is left from i and j on. A row follows from the one below it by a running maximum.
-    length = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        best = np.where(b == a[i], length[i + 1, 1:] + 1, length[i + 1, :-1])
-        length[i, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and length[i + 1, j] >= length[i, j + 1]):
-            out.append(("-", old[i]))
-            i += 1
-        else:
-            out.append(("+", new[j]))
-            j += 1
-    return out
-
-
-def shortened(old: str, new: str) -> tuple[str, str]:
-    """Two lines without the long stretches that both hold, of which ANCHOR characters stay beside each change."""
-    if min(len(old), len(new)) < 2 * ANCHOR:
-        return old, new
-    x, y = (re.findall(r"\S+|\s+", t) for t in (old, new))
-    starts = [np.cumsum([0, *map(len, t)]) for t in (x, y)]
-    shared = [(int(starts[0][m.a]), int(starts[1][m.b]), int(starts[0][m.a + m.size] - starts[0][m.a])) for m in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks()]
-
-    def cut(text: str, side: int) -> str:
-        out, at = "", 0
-        for m in shared:
-            start, end = m[side], m[side] + m[2]
-            head, tail = (ANCHOR if start else 0), (ANCHOR if end < len(text) else 0)
-            if m[2] >= 2 * ANCHOR and m[2] > head + tail:
-                out, at = out + text[at : start + head] + "…", end - tail
-        return out + text[at:]
-
-    return cut(old, 0), cut(new, 1)
-
-
-def line_diff(old: str, new: str) -> str:
-    """What a text lost and gained, line by line: nothing that both hold, and no places."""
-    if old == new:
-        return ""
-    a, b = old.split("\n"), new.split("\n")
-    head = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-    tail = next((k for k, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1], strict=False)) if x != y), min(len(a), len(b)) - head)
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    signs = common_lines(a, b) if max(len(a), len(b)) <= MOST_LINES else [("-", x) for x in a] + [("+", x) for x in b]
-    out: list[tuple[str, str]] = []
-    k = 0
-    while k < len(signs):
-        lost, gained = [], []
-        while k < len(signs) and signs[k][0] == "-":
-            lost.append(signs[k][1])
-            k += 1
-        while k < len(signs) and signs[k][0] == "+":
-            gained.append(signs[k][1])
-            k += 1
-        pairs = [shortened(x, y) for x, y in zip(lost, gained, strict=False)]
-        for x, y in pairs:
-            out += [("-", x), ("+", y)]
-        out += [("-", x) for x in lost[len(pairs) :]] + [("+", x) for x in gained[len(pairs) :]]
-    return "\n".join(f"{sign} {x}" for sign, x in out)
-
-
-def with_diffs(versions: DataFrame, old: str, new: str, name: str = "diff") -> DataFrame:
-    """Adds the line diff of two text columns; null counts as empty."""
-    source = versions.drop(name)
-    schema = T.StructType([*source.schema.fields, T.StructField(name, T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (old, new))
-            yield batch.append_column(name, pa.array([line_diff(x or "", y or "") for x, y in zip(*sides, strict=True)], pa.string()))
-
-    return source.mapInArrow(run, schema)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
-from tracewell.operators import books, dom, flat, pages, slices, spans, stream, telemetry, windows
+from tracewell.operators import books, diffs, dom, flat, pages, slices, spans, stream, telemetry, windows
 from tracewell.plans.catalog import _SLICES, _STATUS, ACTS, _slices, _status, acts, query, read
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -475,4 +475,4 @@ def click_targets(spark, sf_dir):
 def page_diffs(spark, sf_dir):
     md = read(spark, sf_dir, "pages").select("page_id", "url", pages.markdown("html").alias("md"))
     w = Window.partitionBy(X.url_host("url")).orderBy("page_id")
-    return pages.with_diffs(md.withColumn("before", F.lag("md").over(w)), "before", "md").select("page_id", "diff")
+    return diffs.with_diffs(md.withColumn("before", F.lag("md").over(w)), "before", "md").select("page_id", "diff")
