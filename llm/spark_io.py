@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +76,29 @@ def extended(df: DataFrame, **new: str) -> tuple[DataFrame, T.StructType]:
     return df, T.StructType([*df.schema.fields, *(T.StructField(name, T._parse_datatype_string(kind)) for name, kind in new.items())])
 
 
+#: Files whose numbers are broadcast: some megabytes of paths.
+FILES = 1 << 16
+
+
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """docs with a long that tells its rows apart, and is the same whenever they are read again.
+
+    Rows read straight from Parquet files are numbered by their file and their place in it, however a scan is split. Rows of anything else, or of more than
+    FILES files, are first written to the shared folder and numbered from there.
+    """
+    docs = docs.drop(name)
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        placed = None  # not read from files
+    if placed is not None:
+        files = sorted(r["_file"] for r in placed.select("_file").distinct().limit(FILES + 1).collect())
+        if len(files) <= FILES:
+            known = docs.sparkSession.createDataFrame([(f, k) for k, f in enumerate(files)], "_file string, _of long")
+            return placed.join(F.broadcast(known), "_file").select(*docs.columns, F.expr("shiftleft(_of, 40) | _place").alias(name))
+    return checkpointed(docs).withColumn(name, F.monotonically_increasing_id())
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textkit as K
 from .anchors import anchors
-from .spark_io import checkpointed, lean, partitions_for, tidy
+from .spark_io import lean, numbered, partitions_for, tidy
 from .suffix_sort import sort_strings
 from .textkit import expanded, squeezed
 
@@ -485,16 +485,15 @@ def _beside(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
 def without_repeats(docs: DataFrame, number: str | None = None) -> DataFrame:
     """(key, doc_id, n_bytes, n_removed, n_spans, kept) for every row of ``docs(doc_id, text)``; kept: the bytes that stay.
 
-    number: a column that numbers the rows, each differently and alike when they are computed again; it becomes the key. Without one, the rows
-    are first written to the shared folder and numbered from there.
+    number: a column that numbers the rows, each differently and alike when they are computed again, as ``spark_io.numbered`` adds; it becomes the key.
+    Without one they are numbered here.
     """
+    if number is None:
+        docs, number = numbered(docs.select("doc_id", "text"), "key"), "key"
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     doc_id = F.col("doc_id").cast("long")
-    key = F.monotonically_increasing_id() if number is None else F.col(number).cast("long")
-    if number is None:
-        docs = checkpointed(docs.select("doc_id", "text"))
     tidy(docs.sparkSession)
-    docs = docs.select(doc_id.alias("doc_id"), key.alias("key"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text)
+    docs = docs.select(doc_id.alias("doc_id"), F.col(number).cast("long").alias("key"), F.coalesce(doc_id, F.lit(LAST)).alias("ord"), text)
     n = partitions_for(docs.sparkSession, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     texts = docs.mapInArrow(lean(_packed(n)), SCHEMA)
     asked = docs.select("key", "ord", "text").mapInArrow(lean(_asked(n)), SCHEMA)
