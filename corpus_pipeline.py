@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import langid, ngram_join, packing, suffix_dedup, toxicity
-from llm.spark_io import lean, shared_folder, table
+from llm.spark_io import lean, numbered, shared_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language prediction below this is no prediction.
@@ -54,7 +54,7 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove the passages that an earlier document holds. A character cut in two goes."""
-    docs = docs.withColumn("row", F.monotonically_increasing_id())  # numbered from the files, alike at each scan of them
+    docs = numbered(docs, "row")
     cut = suffix_dedup.without_repeats(docs.select("doc_id", "text", "row"), "row").select("key", "kept")
     cut = cut.mapInArrow(lean(_whole_characters), "key long, text string").withColumnRenamed("key", "row")
     return docs.select("doc_id", "lang", "source", "row").join(cut, "row").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
