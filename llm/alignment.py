@@ -37,7 +37,7 @@ from . import textkit as K
 from .spark_io import checkpointed, lean
 
 MARK = "▁"
-#: Parts that a worker keeps, and their letters; beyond either it starts anew.
+#: Parts of a generation, and their letters; a worker keeps two generations.
 KEPT, LETTERS = 200_000, 4_000_000
 #: Bytes of text handled at once, and in a block.
 CHUNK, BLOCK = 1 << 19, 1 << 23
@@ -107,7 +107,11 @@ class Aligner:
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece holds the mark after another character")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.kept: dict[str, tuple[bool, int, int, int, str, bytes]] = {}
+        self.length_a, self.length_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
+        #: Each id as text behind each sign, of one width.
+        self.text_a, self.text_b = (np.array([[f"{sign}{i}" for i in range(len(t))] for sign in signs], "S") for signs, t in ((",;", self.bytes_a), (",|", self.bytes_b)))
+        self.kept: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
+        self.before: dict[str, tuple[int, int, int, bytes, bytes] | None] = {}
         self.letters = 0
 
     @staticmethod
@@ -116,43 +120,40 @@ class Aligner:
         return _CUT.split(text) if _ODD.search(text) else text.split(" ")
 
     def learn(self, parts: list[str]) -> None:
-        """Align parts not met before: (bytes are kept, tokens of a and of b, groups, groups as text, linked id pairs)."""
-        ids_a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
+        """Align parts not met before: (tokens of a and of b, groups, groups as text with a semicolon before each, linked id pairs), or None if bytes aren't kept."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
         ids_b = self.b.encode(parts, num_threads=1)
-        good, flat_a, flat_b, whole = [], [], [], []
-        for p, a, b in zip(parts, ids_a, ids_b, strict=True):
-            want = (" " + p).encode()
-            same = b"".join([self.bytes_a[i] for i in a]) == want and b"".join([self.bytes_b[i] for i in b]) == want
-            if same:
-                good.append(p)
-                flat_a += a
-                flat_b += b
-                whole.append((len(a), len(b)))
-            else:
-                self.kept[p] = (False, 0, 0, 0, "", b"")
-            self.letters += len(p)
-        if not good:
+        want = [(" " + p).encode() for p in parts]
+        if any(b"".join([table[i] for own in ids for i in own]) != b"".join(want) for ids, table in ((ids_a, self.bytes_a), (ids_b, self.bytes_b))):
+            same = [b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y]) == w for x, y, w in zip(ids_a, ids_b, want, strict=True)]
+            self.kept.update((p, None) for p, good in zip(parts, same, strict=True) if not good)
+            parts, ids_a, ids_b = ([x for x, good in zip(own, same, strict=True) if good] for own in (parts, ids_a, ids_b))
+        if not parts:
             return
-        size = lambda ids, table: np.fromiter((len(table[i]) for i in ids), np.int64, len(ids))
-        a, b, group_a, group_b = grouped(np.cumsum(size(flat_a, self.bytes_a)), np.cumsum(size(flat_b, self.bytes_b)))
-        n_groups = int(group_a[-1]) + 1
-        text_a, text_b = list(map(str, flat_a)), list(map(str, flat_b))
-        at_a, at_b = (np.searchsorted(g, np.arange(n_groups + 1)).tolist() for g in (group_a, group_b))
-        text = [f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}" for p, q, r, s in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
-        link = np.array(flat_a, np.uint64)[a] << np.uint64(32) | np.array(flat_b, np.uint64)[b]
-        last_a = np.cumsum([n for n, _ in whole])
-        groups = [0, *(group_a[last_a - 1] + 1).tolist()]
-        links = [0, *np.searchsorted(a, last_a).tolist()]
-        for k, (p, (n_a, n_b)) in enumerate(zip(good, whole, strict=True)):
-            g, h = groups[k], groups[k + 1]
-            self.kept[p] = (True, n_a, n_b, h - g, ";".join(text[g:h]), link[links[k] : links[k + 1]].tobytes())
-
-    def align(self, texts: list[str]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.array([i for own in ids for i in own], np.int64) for ids in (ids_a, ids_b))
+        a, b, group_a, group_b = grouped(np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b]))
+        # a group's text: its ids of a, the first behind a semicolon, then those of b, the first behind a bar
+        width = max(self.text_a.itemsize, self.text_b.itemsize)
+        first_a, first_b = (np.diff(g, prepend=-1).astype(bool).astype(np.int64) for g in (group_a, group_b))
+        texts = np.concatenate([self.text_a[first_a, flat_a].astype(f"S{width}"), self.text_b[first_b, flat_b].astype(f"S{width}")])
+        text = texts[np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")].tobytes()
+        link = (flat_a.astype(np.uint64)[a] << np.uint64(32) | flat_b.astype(np.uint64)[b]).tobytes()
+        last_a = np.cumsum(n_a)
+        groups, links, tokens = [0, *(group_a[last_a - 1] + 1).tolist()], [0, *(8 * np.searchsorted(a, last_a)).tolist()], [0, *(width * np.cumsum(n_a + n_b)).tolist()]
+        for k, (p, x, y) in enumerate(zip(parts, n_a.tolist(), n_b.tolist(), strict=True)):
+            self.kept[p] = (x, y, groups[k + 1] - groups[k], text[tokens[k] : tokens[k + 1]].replace(b"\0", b""), link[links[k] : links[k + 1]])
+
+    def align(self, texts: list[str]) -> list[tuple[int, int, int, bytes, np.ndarray]]:
         """(tokens of a, of b, groups, groups as text, linked id pairs) of each text."""
         parted = [self.parts(t) if t else [] for t in texts]
         if len(self.kept) > KEPT or self.letters > LETTERS:
-            self.kept, self.letters = {}, 0
-        new = list(set().union(*parted).difference(self.kept))
+            self.before, self.kept, self.letters = self.kept if self.letters <= 2 * LETTERS else {}, {}, 0
+        met = set().union(*parted).difference(self.kept)
+        self.letters += sum(map(len, met))
+        again = [p for p in met if p in self.before]
+        self.kept.update((p, self.before[p]) for p in again)
+        new = list(met.difference(again))
         start = size = 0
         for k, p in enumerate(new):  # so that no call of the libraries takes much more than a chunk
             size += len(p)
@@ -162,9 +163,11 @@ class Aligner:
         out = []
         for parts in parted:
             got = [self.kept[p] for p in parts]
-            if not all(g[0] for g in got):
-                got = []
-            out.append((sum(g[1] for g in got), sum(g[2] for g in got), sum(g[3] for g in got), ";".join([g[4] for g in got]), np.frombuffer(b"".join([g[5] for g in got]), np.uint64)))
+            if not got or None in got:
+                out.append((0, 0, 0, b"", np.zeros(0, np.uint64)))
+                continue
+            n_a, n_b, n_groups, groups, links = zip(*got, strict=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), b"".join(groups)[1:], np.frombuffer(b"".join(links), np.uint64)))
         return out
 
 
@@ -203,7 +206,7 @@ def token_groups(docs: DataFrame, first: str, second: bytes) -> DataFrame:
 
     def run(aligner: Aligner, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, _, (n_a, n_b, _, text, _) in _in_chunks(aligner, batches):
-            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([n_a], pa.int64()), pa.array([n_b], pa.int64()), pa.array([text])], ["doc_id", "n_a", "n_b", "groups"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([n_a], pa.int64()), pa.array([n_b], pa.int64()), pa.array([text.decode()])], ["doc_id", "n_a", "n_b", "groups"])
 
     return _aligned_texts(docs, first, second, run, "doc_id long, n_a long, n_b long, groups string")
 
@@ -227,7 +230,7 @@ def blocks(docs: DataFrame, first: str, second: bytes) -> DataFrame:
         rows, size = [], 0
         for doc, length, (n_a, n_b, n_groups, text, links) in _in_chunks(aligner, batches):
             pairs, times = np.unique(links, return_counts=True)
-            rows.append((doc, n_a, n_b, n_groups, len(links), hashlib.sha256(text.encode()).hexdigest() if n_a else "", pairs, times))
+            rows.append((doc, n_a, n_b, n_groups, len(links), hashlib.sha256(text).hexdigest() if n_a else "", pairs, times))
             size += length
             if size >= BLOCK:
                 yield _block(task, rows)
