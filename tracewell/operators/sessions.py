@@ -1,28 +1,26 @@
 """Visits: runs of a visitor's acts on one site with no gap above the rule's.
 
-A gap of exactly the threshold still belongs to the run. All windows are partitioned by visitor and site, so they share one shuffle.
+A gap of exactly the threshold still belongs to the run. All windows are partitioned by visitor and site, so they share one shuffle; visitors of more rows than a
+task should hold are scanned in stretches (``scans``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.scans import Ordered
 from tracewell.schema import SessionRule
 
 KEYS = ("visitor_id", "snippet")
 
 
-def _ordered(*more: str):
-    return Window.partitionBy(*KEYS).orderBy("timestamp", *more)
-
-
 def with_runs(acts: DataFrame, rule: SessionRule = SessionRule()) -> DataFrame:
     """Adds ``run``, the number of the session within visitor and site, and ``delta``, the time since the act before it in the run."""
-    before = F.lag("timestamp").over(_ordered("counter"))
-    step = acts.withColumn("gap", F.col("timestamp") - before)
-    step = step.withColumn("run", F.sum(F.when(F.col("gap") > rule.gap_ms, 1).otherwise(0)).over(_ordered("counter").rowsBetween(Window.unboundedPreceding, 0)))
-    return step.withColumn("delta", F.when(F.col("gap") <= rule.gap_ms, F.col("gap"))).drop("gap")
+    step = Ordered.of(acts, KEYS, ("timestamp", "counter")).with_lag("before", F.col("timestamp"))
+    gap = F.col("timestamp") - F.col("before")
+    step = step.with_total("run", F.when(gap > rule.gap_ms, 1).otherwise(0)).with_column("delta", F.when(gap <= rule.gap_ms, gap))
+    return step.rows().drop("before")
 
 
 def sessions(acts: DataFrame, rule: SessionRule = SessionRule()) -> DataFrame:
@@ -42,9 +40,8 @@ def sessions(acts: DataFrame, rule: SessionRule = SessionRule()) -> DataFrame:
 
 def with_reach(found: DataFrame, rule: SessionRule = SessionRule()) -> DataFrame:
     """Adds low and high: a session also reaches a gap to either side, but not into what the one before reaches."""
-    w = Window.partitionBy(*KEYS).orderBy("start_ts")
-    high = F.col("end_ts") + rule.gap_ms
-    return found.withColumn("high", high).withColumn("low", F.greatest(F.col("start_ts") - rule.gap_ms, F.lag("high").over(w) + 1))
+    reach = Ordered.of(found.withColumn("high", F.col("end_ts") + rule.gap_ms), KEYS, ("start_ts",)).with_lag("before", F.col("high"))
+    return reach.rows().withColumn("low", F.greatest(F.col("start_ts") - rule.gap_ms, F.col("before") + 1)).drop("before")
 
 
 def stamped(events: DataFrame, found: DataFrame, rule: SessionRule = SessionRule()) -> DataFrame:
@@ -56,8 +53,7 @@ def stamped(events: DataFrame, found: DataFrame, rule: SessionRule = SessionRule
     reach = with_reach(found, rule).select(*KEYS, "start_ts", "low", "high")
     bounds = reach.select(*KEYS, F.col("low").alias("timestamp"), F.lit(0).alias("side"), F.struct("start_ts", "high").alias("bound"))
     both = bounds.unionByName(events.withColumn("timestamp", F.col("timestamp")).withColumn("side", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*KEYS).orderBy("timestamp", "side").rowsBetween(Window.unboundedPreceding, 0)
-    last = both.withColumn("bound", F.last("bound", ignorenulls=True).over(w)).where("side = 1")
+    last = Ordered.of(both, KEYS, ("timestamp", "side")).with_last("bound", F.col("bound")).rows().where("side = 1")
     inside = F.when(F.col("timestamp") <= F.col("bound.high"), F.col("bound.start_ts"))
     return last.withColumn("session_start", inside).drop("bound", "side")
 

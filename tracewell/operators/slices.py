@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.scans import Ordered
+
 KEYS = ("visitor_id", "recorder_slice")
 ORDER = ("timestamp", "counter", "id")
 META, SNAPSHOT = 4, 2
@@ -19,12 +21,12 @@ def in_slice():
 
 def canonical(events: DataFrame) -> DataFrame:
     """Adds ``ord``, each event's place in its visitor's stream."""
-    return events.withColumn("ord", F.row_number().over(Window.partitionBy("visitor_id").orderBy(*ORDER)))
+    return Ordered.of(events, ("visitor_id",), ORDER).with_total("ord", F.lit(1)).rows().withColumn("ord", F.col("ord").cast("int"))
 
 
 def filled_page_url(events: DataFrame) -> DataFrame:
     """page_url: the last address that isn't empty, up to the event, within its slice."""
-    return events.withColumn("page_url", F.last(F.nullif("url", F.lit("")), ignorenulls=True).over(in_slice().rowsBetween(Window.unboundedPreceding, 0)))
+    return last_known(events, F.nullif("url", F.lit("")), "page_url")
 
 
 def covering_pairs(events: DataFrame) -> DataFrame:
@@ -113,7 +115,7 @@ def prior_slices(slices: DataFrame) -> DataFrame:
 
 def last_known(events: DataFrame, value: Column, name: str, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """As-of state: the last value that isn't null, up to each event."""
-    return events.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)))
+    return Ordered.of(events, keys, ORDER).with_last(name, value).rows()
 
 
 def overlapping(slices: DataFrame) -> DataFrame:
