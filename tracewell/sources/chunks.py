@@ -14,14 +14,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.books import parsed_keys, under_prefix, unloaded
 
 DECODED = (
     "key string, snippet string, visitor_id string, recorder_slice string, timestamp long, type int, counter string, content_hash string, raw_json binary, event string, "
-    "user_agent string, language string, time_zone string, screen_width long, screen_height long, internal int, script_version string, reason string, n long"
+    "user_agent string, language string, time_zone string, screen_width long, screen_height long, internal int, script_version string, reason string, n long, opens int, spoils int"
 )
 
 
@@ -121,11 +121,22 @@ def decoded(objects: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 rows = list(_rows(row["key"], row["snippet"], row["content"]))
+                spoilt = [k for k, r in enumerate(rows) if r.get("visitor_id") is not None and (r.get("reason") or "recorder: ").startswith("recorder: ") is False]
+                for k, r in enumerate(rows):
+                    r |= {"opens": int(k == 0), "spoils": int(k in spoilt[:1])}
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], k) for c, k in kinds.items()], list(kinds))
 
     return objects.select("key", "snippet", "content").mapInArrow(run, schema)
 
 
+def decode_stats() -> list[Column]:
+    """Aggregates over decoded rows that tell what ``books.load_stats`` tells, for an Observation while they are made: the first row of each chunk, and its first reject, are marked."""
+    reject = F.expr("reason is not null and reason not like 'recorder: %' and visitor_id is not null")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    corrupt = F.count_if(F.expr("reason is not null and visitor_id is null"))
+    return [total("opens").alias("chunks"), corrupt.alias("corrupt"), total("spoils").alias("lossy"), F.count_if(F.col("reason").isNull()).alias("events"), F.count_if(reject).alias("rejected")]
+
+
 def rejects(rows: DataFrame) -> DataFrame:
     return rows.where("reason is not null").groupBy("key", "reason").agg(F.sum("n").alias("events"))
 
