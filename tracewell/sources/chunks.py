@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.books import parsed_keys, under_prefix, unloaded
+from tracewell.sources import store
 
 DECODED = (
     "key string, snippet string, visitor_id string, recorder_slice string, timestamp long, type int, counter string, content_hash string, raw_json binary, event string, "
@@ -34,14 +35,10 @@ def store_root(url: str) -> str:
     raise ValueError(f"not a store: {url}")
 
 
-def listing(spark: SparkSession, url: str, prefix: str = "") -> DataFrame:
-    """Objects of a store: key, bytes, uploaded_ms, etag. No content is read."""
-    root = store_root(url)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(root)
-    bare = re.sub(r"^file:/*", "/", root)
-    key = F.regexp_replace(F.col("path"), "^.*?" + re.escape(bare) + "/", "")
-    rows = files.select(key.alias("key"), F.col("length").alias("bytes"), F.unix_millis("modificationTime").alias("uploaded_ms"), "path")
-    return under_prefix(rows.withColumn("etag", F.md5(F.concat_ws("|", "key", F.col("bytes").cast("string"), F.col("uploaded_ms").cast("string")))), prefix)
+def listing(spark: SparkSession, url: str, prefix: str = "", since: str = "") -> DataFrame:
+    """Objects of a store: key, bytes, uploaded_ms, etag. No content is read, and only the folders that a prefix leads to, of days from ``since`` on, are listed."""
+    rows = under_prefix(store.listed(spark, store_root(url), prefix, since).where(F.col("key").endswith(".json.gz")), prefix)
+    return rows.select("key", "bytes", "uploaded_ms", F.md5(F.concat_ws("|", "key", F.col("bytes").cast("string"), F.col("uploaded_ms").cast("string"))).alias("etag"))
 
 
 def canonical_json(event: dict) -> str:
@@ -143,20 +140,12 @@ def rejects(rows: DataFrame) -> DataFrame:
 
 def fresh_objects(spark: SparkSession, url: str, manifest: DataFrame, prefix: str = "", cutoff: str = "") -> DataFrame:
     """What a load has to read: under the prefix, not expired, not held in this version. No content is read."""
-    return unloaded(parsed_keys(listing(spark, url, prefix)).where("not foreign"), manifest).where(F.col("date") >= cutoff)
+    return unloaded(parsed_keys(listing(spark, url, prefix, cutoff)).where("not foreign"), manifest).where(F.col("date") >= cutoff)
 
 
 def content_of(spark: SparkSession, url: str, fresh: DataFrame) -> DataFrame:
-    """Fresh objects with their content. Only the sites' days that hold any are listed, and of these only objects stored no earlier than the first
-    fresh one are opened, a filter that the source takes; what is held and as new is read in vain."""
-    days = fresh.groupBy("snippet", "date").agg(F.min("uploaded_ms").alias("first")).collect()  # a row for each site and day with something new
-    none = fresh.withColumn("content", F.lit(None).cast("binary")).limit(0)
-    if not days:
-        return none
-    folders = [f"{store_root(url)}/{d['snippet']}/{d['date']}" for d in days]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").load(folders)
-    first = min(d["first"] for d in days)
-    return fresh.join(files.where(F.col("modificationTime") >= F.timestamp_millis(F.lit(first))).select("path", "content"), "path")
+    """Fresh objects with their content; nothing else is opened."""
+    return store.fetched(fresh, store_root(url))
 
 
 def new_objects(spark: SparkSession, url: str, manifest: DataFrame, prefix: str = "", cutoff: str = "") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tracewell.functions import exprs as X
 from tracewell.operators import sessions
 from tracewell.schema import SessionRule
+from tracewell.sources import store
 
 EVENT = "visitor_id string, snippet string, timestamp long, counter string, type_str string, content_hash string"
 COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
@@ -48,39 +49,39 @@ class Store:
         return every.where(F.col("bucket").isin(buckets) & ~((F.col("run") == run) & (F.col("batch") >= before))).select(*COLUMNS)
 
 
-def absorbed(store: Store, rule: SessionRule = SessionRule(), run_name: str = "one"):
+def absorbed(held: Store, rule: SessionRule = SessionRule(), run_name: str = "one"):
     """A foreachBatch function: new events are added once, then all sessions of their visitors are derived from all they have."""
 
     def run(batch: DataFrame, number: int) -> None:
-        own = store.bucketed(batch.select(*COLUMNS).dropDuplicates(["visitor_id", "content_hash"])).persist()
+        own = held.bucketed(batch.select(*COLUMNS).dropDuplicates(["visitor_id", "content_hash"])).persist()
         try:
             touched = [r["bucket"] for r in own.select("bucket").distinct().collect()]  # as many as there are buckets at most
-            new = own.join(store.events(run_name, number, touched).select("visitor_id", "content_hash"), ["visitor_id", "content_hash"], "left_anti")
-            new.select(*COLUMNS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(store.path("events", run_name, number))
-            acts = store.events(run_name, number + 1, touched).join(own.select("visitor_id").distinct(), "visitor_id", "left_semi")
-            sessions.sessions(acts, rule).withColumn("derived_at", F.lit(time.time_ns())).write.mode("overwrite").parquet(store.path("sessions", run_name, number))
+            new = own.join(held.events(run_name, number, touched).select("visitor_id", "content_hash"), ["visitor_id", "content_hash"], "left_anti")
+            new.select(*COLUMNS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(held.path("events", run_name, number))
+            acts = held.events(run_name, number + 1, touched).join(own.select("visitor_id").distinct(), "visitor_id", "left_semi")
+            sessions.sessions(acts, rule).withColumn("derived_at", F.lit(time.time_ns())).write.mode("overwrite").parquet(held.path("sessions", run_name, number))
         finally:
             own.unpersist()
 
     return run
 
 
-def current_sessions(store: Store) -> DataFrame:
+def current_sessions(held: Store) -> DataFrame:
     """Of each visitor the sessions that the latest batch to touch it derived."""
-    every = store.spark.read.option("basePath", f"{store.folder}/sessions").parquet(f"{store.folder}/sessions")
+    every = held.spark.read.option("basePath", f"{held.folder}/sessions").parquet(f"{held.folder}/sessions")
     latest = every.groupBy("visitor_id").agg(F.max("derived_at").alias("derived_at"))
     return every.join(latest, ["visitor_id", "derived_at"], "left_semi").drop("run", "batch", "derived_at")
 
 
-def start(source: DataFrame, store: Store, checkpoint: str, rule: SessionRule = SessionRule()) -> StreamingQuery:
+def start(source: DataFrame, held: Store, checkpoint: str, rule: SessionRule = SessionRule()) -> StreamingQuery:
     """Runs until all that is there has been read. Batches are named by their checkpoint too, so a new one doesn't overwrite an old one's."""
     name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    return source.writeStream.foreachBatch(absorbed(store, rule, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(absorbed(held, rule, name)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def chunk_stream(spark: SparkSession, folder: str, files: int = 4096) -> DataFrame:
-    """A store's objects as a stream, ``files`` of them a batch at most. A file source doesn't read a path twice: for objects sent again use the load job."""
-    return spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json.gz").option("maxFilesPerTrigger", files).load(folder)
+def chunk_stream(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """A store's objects with their content, as they are stored; one that is sent again comes again. options: those of the source ``chunk_store``."""
+    return store.arriving(spark, folder, **options)
 
 
 def live_sessions(acts: DataFrame, rule: SessionRule = SessionRule(), late: str = "30 days") -> DataFrame:
