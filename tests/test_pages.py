@@ -3,84 +3,214 @@
 import json
 import random
 
+import pytest
+
 from tracewell.operators import dom
 
 
-def tree(r, ids, depth=3):
-    node = {"type": 2, "id": next(ids), "tagName": r.choice(["DIV", "a", "EM", "li"]), "attributes": {}, "childNodes": []}
-    if r.random() < 0.6:
-        node["attributes"]["class"] = f"c{r.randrange(9)}"
-    if node["tagName"] == "a" and r.random() < 0.8:
-        node["attributes"]["href"] = f"/h{r.randrange(99)}"
-    if depth:
-        node["childNodes"] = [tree(r, ids, depth - 1) for _ in range(r.randrange(3))]
-    return node
+class Mirror:
+    """A page played event by event, node by node."""
 
+    def __init__(self):
+        self.nodes = {}
 
-def replayed(events):
-    """Event -> (tag, class, followed address) of its target, by a mirror that plays all events in order."""
-    nodes, out = {}, {}
+    def put(self, node, parent, next_=None):
+        self.drop(node["id"])
+        if parent is not None and parent not in self.nodes:
+            return
+        below = self.nodes[parent]["below"] if parent is not None else None
+        if below is not None:
+            below.insert(below.index(next_) if next_ in below else len(below), node["id"])
+        self.nodes[node["id"]] = {"tag": node["tagName"].lower() if node["type"] == 2 else None, "text": node.get("textContent", ""), **{c: node.get("attributes", {}).get(c) for c in ("class", "href")}, "parent": parent, "below": []}
+        for c in node.get("childNodes", []):
+            self.put(c, node["id"])
 
-    def put(node, parent):
-        nodes[node["id"]] = {"tag": node["tagName"].lower() if node["type"] == 2 else None, **{c: node.get("attributes", {}).get(c) for c in ("class", "href")}, "parent": parent}
-        for c in node["childNodes"]:
-            put(c, node["id"])
+    def drop(self, i):
+        n = self.nodes.pop(i, None)
+        if n:
+            if n["parent"] in self.nodes:
+                self.nodes[n["parent"]]["below"].remove(i)
+            for c in list(n["below"]):
+                self.drop(c)
 
-    for i, e in events:
-        d = e["data"]
+    def play(self, e):
+        """What the event names that isn't there."""
+        d, bad = e["data"], []
         if e["type"] == 2:
-            nodes.clear()
-            put(d["node"], None)
+            self.nodes.clear()
+            self.put(d["node"], None)
         elif d["source"] == 0:
-            for x in d["removes"]:
-                nodes.pop(x["id"], None)
-            for x in d["adds"]:
-                put(x["node"], x["parentId"])
-            for x in d["attributes"]:
-                if x["id"] in nodes:
-                    nodes[x["id"]] |= x["attributes"]
-        else:
-            n = nodes.get(d["id"])
-            if n is None or n["tag"] is None:
-                out[i] = (None, None, None)
-                continue
-            href, at = n["href"], nodes.get(n["parent"])
-            while href is None and at and at["tag"]:
-                href = at["href"] if at["tag"] in ("a", "area") else None
-                at = nodes.get(at["parent"])
-            out[i] = (n["tag"], n["class"], href)
-    return out
-
-
-def test_targets_equal_a_replay(spark):
-    r = random.Random(7)
-    rows, want = [], {}
-    for visitor in range(6):
-        ids, events, known, tops = iter(range(1, 10_000)), [], [], []
-        for t in range(60):
-            i = visitor * 1000 + t
-            if t == 0 or r.random() < 0.05:
-                body = {"type": 0, "id": next(ids), "childNodes": [tree(r, ids) for _ in range(3)]}
-                known = list(range(body["id"], body["childNodes"][-1]["id"] + 30))
+            bad += [("remove", x["id"]) for x in d.get("removes", []) if x["id"] not in self.nodes]
+            for x in d.get("removes", []):
+                self.drop(x["id"])
+            for x in d.get("adds", []):
+                self.put(x["node"], x["parentId"], x.get("nextId"))
+            bad += [("add", x["node"]["id"]) for x in d.get("adds", []) if x["parentId"] not in self.nodes]
+            for kind, key in (("texts", "text"), ("attributes", "attributes")):
+                for x in d.get(kind, []):
+                    if x["id"] not in self.nodes:
+                        bad.append((key, x["id"]))
+                    elif kind == "texts":
+                        self.nodes[x["id"]]["text"] = x["value"]
+                    else:
+                        self.nodes[x["id"]] |= x["attributes"]
+        elif d.get("id") not in self.nodes:
+            bad.append(("refer", d.get("id")))
+        return bad
+
+    def target(self, i):
+        """(tag, class, followed address, shown text) of an element."""
+        n = self.nodes.get(i)
+        if n is None or n["tag"] is None:
+            return None, None, None, None
+        href, at = n["href"], self.nodes.get(n["parent"])
+        while href is None and at and at["tag"]:
+            href = at["href"] if at["tag"] in ("a", "area") else None
+            at = self.nodes.get(at["parent"])
+        text = " ".join(self.shown(i).split())
+        if len(text) > 80:
+            kept = text[:79]
+            text = (kept.rsplit(" ", 1)[0] if " " in kept else kept) + "…"
+        return n["tag"], n["class"], href, text or None
+
+    def shown(self, i):
+        n = self.nodes[i]
+        if n["tag"] in dom.UNSHOWN:
+            return ""
+        return (n["text"] if n["tag"] is None else "") + "".join(map(self.shown, n["below"]))
+
+
+def recording(seed, visitors=5, events=70, deep=0):
+    """(rows for a table, visitor -> its events): pages that grow, move, lose subtrees and change, with clicks all over, some on what is gone."""
+    r = random.Random(seed)
+    ids = iter(range(1, 10**6))
+    words = "alpha beta gamma delta the a of".split()
+
+    def leaf():
+        return {"type": 3, "id": next(ids), "textContent": r.choice(["", " ", "\n"]) + " ".join(r.choices(words, k=r.randrange(6))) + r.choice(["", " "])}
+
+    def grown(depth):
+        node = {"type": 2, "id": next(ids), "tagName": r.choice(["DIV", "a", "EM", "li", "SPAN", "script"] if r.random() < 0.3 else ["DIV", "a", "EM", "li"]), "attributes": {}, "childNodes": []}
+        if r.random() < 0.6:
+            node["attributes"]["class"] = f"c{r.randrange(9)}"
+        if node["tagName"] == "a" and r.random() < 0.7:
+            node["attributes"]["href"] = f"/h{r.randrange(99)}"
+        if depth:
+            node["childNodes"] = [leaf() if r.random() < 0.4 else grown(depth - 1) for _ in range(r.randrange(4))]
+        return node
+
+    rows, played = [], {}
+    for v in range(visitors):
+        mirror, log, known = Mirror(), [], []
+        for t in range(events):
+            lives = list(mirror.nodes)
+            elements = [i for i in lives if mirror.nodes[i]["tag"]]
+            if t == 0 or r.random() < 0.03:
+                body = {"type": 0, "id": next(ids), "childNodes": [grown(4) for _ in range(3)]}
+                if deep:
+                    top = body
+                    for _ in range(deep):
+                        top["childNodes"].append({"type": 2, "id": next(ids), "tagName": r.choice(["a", "DIV", "DIV"]), "attributes": {}, "childNodes": []})
+                        top = top["childNodes"][-1]
+                    top["childNodes"] = [leaf()]
                 e = {"type": 2, "data": {"node": body}}
-                tops = [c["id"] for c in body["childNodes"]]
-            elif r.random() < 0.4:
-                node = tree(r, ids, 1)
-                e = {"type": 3, "data": {"source": 0, "removes": [], "adds": [{"parentId": r.choice(tops), "node": node}], "attributes": [{"id": r.choice(known), "attributes": {"class": f"m{t}"}}]}}
-                tops.append(node["id"])
-                known.append(node["id"])
+            elif r.random() < 0.5 and elements:
+                d = {"source": 0, "removes": [], "adds": [], "texts": [], "attributes": []}
+                for _ in range(r.randrange(1, 4)):
+                    kind, i = r.random(), r.choice(lives)
+                    if kind < 0.25:
+                        d["removes"].append({"id": i, "parentId": mirror.nodes[i]["parent"]})
+                    elif kind < 0.6:
+                        up = r.choice(elements)
+                        d["adds"].append({"parentId": up, "nextId": r.choice([None, *mirror.nodes[up]["below"]]), "node": leaf() if r.random() < 0.4 else grown(2)})
+                    elif kind < 0.8:
+                        d["texts"].append({"id": i, "value": " ".join(r.choices(words, k=3))}) if mirror.nodes[i]["tag"] is None and mirror.nodes[i]["parent"] is not None else None
+                    else:
+                        d["attributes"].append({"id": i, "attributes": r.choice([{"class": f"m{t}"}, {"href": f"/n{t}"}, {"href": None}])}) if mirror.nodes[i]["tag"] else None
+                e = {"type": 3, "data": d}
             else:
                 e = {"type": 3, "data": {"source": 2, "type": 2, "id": r.choice(known)}}
-            events.append((i, e))
-            rows.append((i, f"v{visitor}", "s", t // 3, f"{t:019d}", e["type"], json.dumps(e), e["data"].get("id")))
-        want |= replayed(events)
-    df = dom.with_epochs(spark.createDataFrame(rows, "id long, visitor_id string, recorder_slice string, timestamp long, counter string, type int, raw string, target_id long"))
+            # one removal an event and no change of what goes, as recorders have it
+            if e["data"].get("removes"):
+                e["data"]["removes"] = e["data"]["removes"][:1]
+                gone = Mirror()
+                gone.nodes = json.loads(json.dumps(mirror.nodes), object_hook=lambda x: {int(k) if k.isdigit() else k: y for k, y in x.items()})
+                gone.drop(e["data"]["removes"][0]["id"])
+                left = set(gone.nodes)
+                e["data"]["adds"] = [x for x in e["data"]["adds"] if x["parentId"] in left and (x["nextId"] is None or x["nextId"] in left)]
+                e["data"]["texts"] = [x for x in e["data"]["texts"] if x["id"] in left]
+                e["data"]["attributes"] = [x for x in e["data"]["attributes"] if x["id"] in left]
+            bad = mirror.play(e)
+            known = sorted({*known[-200:], *mirror.nodes})
+            log.append((v * 1000 + t, e, mirror.target(e["data"].get("id")), bad))
+            rows.append((v * 1000 + t, f"v{v}", "s", t // 3, f"{t:019d}", e["type"], json.dumps(e), e["data"].get("id")))
+        played[f"v{v}"] = log
+    return rows, played
+
+
+KIND = "id long, visitor_id string, recorder_slice string, timestamp long, counter string, type int, raw string, target_id long"
+
+
+@pytest.mark.parametrize(("seed", "deep"), [(7, 0), (8, 100)])
+def test_targets_equal_a_replay(spark, seed, deep):
+    """Tag, class, address and text of every click's target, with subtrees that go, at a depth of 100 as well; and what is named but isn't there."""
+    rows, played = recording(seed, deep=deep)
+    df = dom.with_epochs(spark.createDataFrame(rows, KIND))
+    told = dom.nodes(df).cache()
+    lives = dom.lifetimes(told).cache()
     clicks = df.where("target_id is not null").drop("raw", "type")
-    got = {x["id"]: (x["tag"], x["class"], x["href"]) for x in dom.followed(clicks, dom.nodes(df)).collect()}
-    assert got == want and sum(h is not None for *_, h in got.values()) > 10
+    out = dom.with_text(dom.followed(clicks, told, lives), told, lives)
+    got = {x["id"]: (x["tag"], x["class"], x["href"], x["text"]) for x in out.collect()}
+    want = {i: target for log in played.values() for i, e, target, _ in log if e["type"] == 3 and e["data"]["source"] == 2}
+    assert got == want
+    assert sum(x[2] is not None for x in got.values()) > 2 and sum(x[3] is not None for x in got.values()) > 20 and sum(x[0] is None for x in got.values()) > 5
+    times = {x["id"]: x["at"] for x in df.collect()}
+    bad = {(x["visitor_id"], x["at"], x["said"], x["node_id"]) for x in dom.unresolved(told, lives).collect()}
+    assert bad == {(v, times[i], said, node) for v, log in played.items() for i, _, _, faults in log for said, node in faults}
+    if deep:
+        alive = lives.where("ends > born").groupBy(*dom.PAGE).count().agg({"count": "max"}).first()[0]
+        assert alive > 100
+
+
+def test_a_removed_parent_takes_all_below(spark):
+    chain = {"type": 2, "id": 300, "tagName": "B", "attributes": {}, "childNodes": []}
+    for i in range(299, 1, -1):
+        chain = {"type": 2, "id": i, "tagName": "A" if i == 5 else "P", "attributes": {"href": "/x"} if i == 5 else {}, "childNodes": [chain]}
+    events = [{"type": 2, "data": {"node": {"type": 0, "id": 1, "childNodes": [chain]}}}, {"type": 3, "data": {"source": 2, "id": 300}}, {"type": 3, "data": {"source": 0, "removes": [{"id": 40}]}}, {"type": 3, "data": {"source": 2, "id": 300}}]
+    df = dom.with_epochs(spark.createDataFrame([(k, "v", "s", k, str(k), e["type"], json.dumps(e), e["data"].get("id")) for k, e in enumerate(events)], KIND))
+    told = dom.nodes(df)
+    out = {x["id"]: (x["tag"], x["href"]) for x in dom.followed(df.where("target_id is not null"), told).collect()}
+    assert out == {1: ("b", "/x"), 3: (None, None)}
+    assert dom.lifetimes(told).where("ends > 3").count() == 39
+
+
+def test_slices_that_name_what_is_not_there_are_refused(spark):
+    """Each orphan against a plain replay of the slice before it and the orphans between."""
+    refused = {}
+    rows, runs = [], []
+    for seed in range(6):
+        own, played = recording(100 + seed, visitors=1, events=40)
+        v = f"w{seed}"
+        mirror = Mirror()
+        for k, (row, (_, e, _, _)) in enumerate(zip(own, played["v0"], strict=True)):
+            slice_ = "a" if k < 20 else "b" if k < 30 else "c"
+            if e["type"] == 2 and slice_ != "a":
+                e = {"type": 3, "data": {"source": 3, "id": next(iter(mirror.nodes), 1)}}
+            bad = mirror.play(e)
+            if bad and slice_ != "a" and (v, slice_) not in refused:
+                refused[v, slice_] = row[3], {node for _, node in bad}
+            rows.append((seed * 10_000 + k, v, slice_, row[3], row[4], e["type"], json.dumps(e), None))
+        runs += [(v, "b", "a"), (v, "c", "a")]
+    df = spark.createDataFrame(rows, KIND)
+    out = {(x["visitor_id"], x["recorder_slice"]): x for x in dom.refusals(df, spark.createDataFrame(runs, "visitor_id string, recorder_slice string, into string")).collect()}
+    assert set(out) == set(refused) and 0 < len(refused) < 12
+    for key, (at, names) in refused.items():
+        assert out[key]["refused_at"] == at and int(out[key]["reason"].rsplit(" ", 1)[1]) in names and out[key]["reason"].startswith(f"at {at}: ")
 
 
 def test_broken_trees_do_no_harm(spark):
-    odd = ["", "{", "[]", '{"type":2}', '{"type":2,"data":{"node":{"id":"x"}}}', '{"type":3,"data":{"source":0,"adds":[1,{"node":{"id":4,"type":2,"tagName":"P","attributes":3}}],"attributes":[{"id":4}],"removes":[{}]}}', None]
+    odd = ["", "{", "[]", '{"type":2}', '{"type":2,"data":{"node":{"id":"x"}}}', '{"type":3,"data":{"source":0,"adds":[1,{"node":{"id":4,"type":2,"tagName":"P","attributes":3}}],"attributes":[{"id":4}],"removes":[{}],"texts":7}}', None, '{"type":3,"data":{"source":1,"positions":[{"id":9},3],"id":true}}']
     df = spark.createDataFrame([(k, "v", "s", k, str(k), 3, x) for k, x in enumerate(odd)], "id long, visitor_id string, recorder_slice string, timestamp long, counter string, type int, raw string")
-    assert [(x["node_id"], x["tag"]) for x in dom.nodes(dom.with_epochs(df)).collect()] == [(4, "p")]
+    told = dom.nodes(dom.with_epochs(df))
+    assert {(x["node_id"], x["said"]) for x in told.collect()} == {(4, "add"), (4, "attributes"), (9, "refer")}
+    assert dom.lifetimes(told.limit(0)).count() == 0

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
-from tracewell.operators import books, flat, sessions, slices, spans, telemetry, windows
+from tracewell.operators import books, dom, flat, sessions, slices, spans, telemetry, windows
 from tracewell.schema import CHUNK_ERRORS, LOADED_CHUNKS, Retention, SessionRule
 from tracewell.settled import settled
 from tracewell.sources import chunks
@@ -166,7 +166,9 @@ class Engine:
         told = lambda path, kind: F.get_json_object("event", path).cast(kind)
         every = every.withColumns({"href": told("$.data.href", "string"), "width": told("$.data.width", "double"), "height": told("$.data.height", "double"), "root_id": told("$.data.node.id", "long")})
         made = slices.materialised(every, ("snippet", "language", "internal"))
-        made = slices.rescued(slices.opened_page(made, X.slice_open_ms("recorder_slice")))
+        made = settled(slices.opened_page(made, X.slice_open_ms("recorder_slice")))
+        runs = settled(slices.rescuable(made))
+        made = slices.rescued(made, None if runs.isEmpty() else dom.refusals(every, runs, "event"))
         return made.join(slices.covering_pairs(every), list(slices.KEYS), "left")
 
     def _sessions(self, every: DataFrame, made: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
-"""The recorded page as rows: each node with what snapshots and mutations said of it, and what an event's target was at that moment.
+"""The recorded page as rows: lifetimes of its nodes, and what an event's target was at that moment: tag, class, followed address, shown text.
 
-Only taking an event's JSON tree apart is Python, a few lines an event; state over time is a window over each node's rows, not a mirror that
-replays a slice. A snapshot begins a new page (``epoch``). A removal ends the node named, not those below it.
+Only taking an event's JSON tree apart, and numbering one page's nodes in document order, is Python, a few lines each; all else is joins and windows, no mirror that replays a slice.
+A snapshot begins a new page (``epoch``). A node named in it or added later is an *instance* from that event on. Its parent is fixed then: whoever has
+another parent has been added again. It ends at its own removal, when it is added again, or with its parent; the ends of all ancestors come together by pointer doubling, in
+as many rounds as the depth has binary digits, and so does the nearest anchor above. An instance whose parent isn't there never lives.
 """
 
 from __future__ import annotations
@@ -10,14 +12,26 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import exprs as X
 from tracewell.operators.slices import KEYS, ORDER
+from tracewell.settled import settled
 
-ELEMENT, SNAPSHOT, INCREMENTAL, MUTATION = 2, 2, 3, 0
+# Numbers of node types and event kinds in the recording format, elements that make links, and those that show no text.
+ELEMENT, TEXT, SNAPSHOT, INCREMENTAL, MUTATION = 2, 3, 2, 3, 0
 ANCHORS = ("a", "area")
-_NODE = {"node_id": pa.int64(), "tag": pa.string(), "class": pa.string(), "href": pa.string(), "above": pa.string(), "up": pa.int64(), "place": pa.int32(), "said": pa.string()}
+UNSHOWN = ("script", "style", "noscript", "template", "head", "title", "meta", "link", "defs", "symbol", "clippath", "mask", "lineargradient", "radialgradient", "pattern", "metadata", "desc")
+#: Words of a target's text are cut at so many characters (a fixed value).
+TEXT_CAP = 80
+#: An end that never comes.
+NEVER = (1 << 62) - 1
+PAGE = (*KEYS, "epoch")
+_NODE = {
+    "node_id": pa.int64(), "tag": pa.string(), "class": pa.string(), "href": pa.string(), "value": pa.string(), "parent": pa.int64(), "next": pa.int64(), "kind": pa.int32(), "place": pa.int32(), "said": pa.string(),
+}
+_TYPES = {"node_id": "long", "tag": "string", "class": "string", "href": "string", "value": "string", "parent": "long", "next": "long", "kind": "integer", "place": "integer", "said": "string"}
 
 
 def _number(x: object) -> int | None:
@@ -29,25 +43,20 @@ def _text(attributes: dict, name: str) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def _added(trees: list[tuple[dict, int | None]]) -> Iterator[dict]:
-    """Rows of trees with the ids that they hang from. above: the nearest anchor's address over a node among them; up: where to look on for one."""
-    known: dict[int, dict] = {}
-    stack = [(t, p) for t, p in reversed(trees) if isinstance(t, dict)]
+def _added(trees: list[tuple[dict, int | None, int | None]]) -> Iterator[dict]:
+    """Rows of trees with the ids that they hang from, and those that they stand before; within a tree in page order."""
+    stack = [t for t in reversed(trees) if isinstance(t[0], dict)]
     while stack:
-        node, parent = stack.pop()
+        node, parent, next_ = stack.pop()
         i, attributes = _number(node.get("id")), node.get("attributes") if isinstance(node.get("attributes"), dict) else {}
         tag = node["tagName"].lower() if node.get("type") == ELEMENT and isinstance(node.get("tagName"), str) else None
         if i is None:
             continue
-        row = {"node_id": i, "tag": tag, "class": _text(attributes, "class"), "href": _text(attributes, "href"), "above": None, "up": parent, "said": "add"}
-        over = known.get(parent)
-        if over:
-            own = over["href"] if over["tag"] in ANCHORS else None
-            # a document ends the walk: a page in a frame follows no anchor outside
-            row["above"], row["up"] = (own, None) if own is not None else (over["above"], over["up"]) if over["tag"] else (None, None)
-        known[i] = row
-        yield row
-        stack += [(c, i) for c in reversed(node.get("childNodes") or []) if isinstance(c, dict)]
+        yield {
+            "node_id": i, "tag": tag, "class": _text(attributes, "class"), "href": _text(attributes, "href"), "value": _text(node, "textContent") if node.get("type") == TEXT else None,
+            "parent": parent, "next": next_, "kind": _number(node.get("type")), "said": "add",
+        }
+        stack += [(c, i, None) for c in reversed(node.get("childNodes") or []) if isinstance(c, dict)]
 
 
 def _rows(raw: str) -> Iterator[dict]:
@@ -58,32 +67,40 @@ def _rows(raw: str) -> Iterator[dict]:
     if not isinstance(event, dict):
         return
     data = event["data"] if isinstance(event.get("data"), dict) else {}
+    each = lambda name: (x for x in data.get(name) or [] if isinstance(x, dict)) if isinstance(data.get(name) or [], list) else ()
     if event.get("type") == SNAPSHOT:
-        yield from _added([(data.get("node"), None)])
+        yield from _added([(data.get("node"), None, None)])
     elif event.get("type") == INCREMENTAL and data.get("source") == MUTATION:
-        each = lambda name: (x for x in data.get(name) or [] if isinstance(x, dict))
         for x in each("removes"):
             yield {"node_id": _number(x.get("id")), "said": "remove"}
-        yield from _added([(x.get("node"), _number(x.get("parentId"))) for x in each("adds")])
+        yield from _added([(x.get("node"), _number(x.get("parentId")), _number(x.get("nextId"))) for x in each("adds")])
+        for x in each("texts"):
+            yield {"node_id": _number(x.get("id")), "value": _text(x, "value"), "said": "text"}
         for x in each("attributes"):
+            yield {"node_id": _number(x.get("id")), "said": "attributes"}
             told = x.get("attributes") if isinstance(x.get("attributes"), dict) else {}
             for name in ("class", "href"):
                 if name in told:
                     yield {"node_id": _number(x.get("id")), name: _text(told, name), "said": name}
+    elif event.get("type") == INCREMENTAL:
+        ids = [data.get("id"), *(x.get("id") for x in each("positions")), *(x.get(c) for x in each("ranges") for c in ("start", "end"))]
+        for i in dict.fromkeys(map(_number, ids)):
+            if i is not None and i >= 1:
+                yield {"node_id": i, "said": "refer"}
 
 
 def with_epochs(events: DataFrame) -> DataFrame:
-    """Adds ``epoch``, how many snapshots of its slice stand before or at each event. events: with type."""
+    """Adds ``epoch``, how many snapshots of its slice stand before or at each event, and ``at``, the event's number in its slice. events: with type."""
     w = Window.partitionBy(*KEYS).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("epoch", F.sum((F.col("type") == SNAPSHOT).cast("int")).over(w))
+    return events.withColumn("epoch", F.sum((F.col("type") == SNAPSHOT).cast("int")).over(w)).withColumn("at", F.count("*").over(w))
 
 
-def nodes(events: DataFrame, raw: str = "raw") -> DataFrame:
-    """What each event said of nodes: ``events`` with epochs to (keys, epoch, order, node_id, tag, class, href, above, up, place, said)."""
-    keep = [*KEYS, "epoch", *ORDER]
+def nodes(events: DataFrame, raw: str = "raw", more: tuple[str, ...] = ()) -> DataFrame:
+    """What each event said of nodes: ``events`` with epochs to (keys, epoch, at, timestamp, node_id, tag, class, href, value, parent, next, kind, place, said), and ``more`` columns of the events."""
+    keep = [*PAGE, "at", "timestamp", *more]
     source = events.where(F.col("type").isin(SNAPSHOT, INCREMENTAL)).select(*keep, F.col(raw).alias("raw"))
     schema = source.drop("raw").schema
-    for name, kind in (("node_id", "long"), ("tag", "string"), ("class", "string"), ("href", "string"), ("above", "string"), ("up", "long"), ("place", "integer"), ("said", "string")):
+    for name, kind in _TYPES.items():
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,34 +117,218 @@ def nodes(events: DataFrame, raw: str = "raw") -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def targets(events: DataFrame, told: DataFrame, target: str = "target_id") -> DataFrame:
-    """Adds tag, class, href, above and up of each event's target as they stood before the event; null without such a node."""
-    box = lambda c, when: F.when(when, F.struct(F.col(c).alias("v"))).alias(c)
-    whole = F.col("said").isin("add", "remove")
-    states = told.select(*KEYS, "epoch", F.col("node_id").alias(target), *ORDER, F.col("place"), F.lit(1).alias("side"), box("tag", whole), box("class", whole | (F.col("said") == "class")), box("href", whole | (F.col("said") == "href")), box("above", whole), box("up", whole))
-    names = ("tag", "class", "href", "above", "up")
-    rows = events.drop(*names).withColumn("side", F.lit(0)).withColumn("place", F.lit(0)).unionByName(states, allowMissingColumns=True)
-    w = Window.partitionBy(*KEYS, "epoch", target).orderBy(*ORDER, "side", "place").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in names}).where("side = 0")
-    # what was said of a node that isn't there is nothing
-    return rows.select(*(c for c in events.columns if c not in names), *(F.when(F.col("tag")["v"].isNotNull(), F.col(c)["v"]).alias(c) for c in names))
+# ------------------------------------------------------------------ lifetimes
+def instances(told: DataFrame) -> DataFrame:
+    """Each node from each of its adds on: (keys, epoch, node_id, born, ends, parent, parent_born, tag, kind, value, next, place). ends: by its own removal or the next add, exclusive."""
+    own = told.where(F.col("said").isin("add", "remove")).groupBy(*PAGE, "node_id", "at", F.col("said")).agg(F.max_by(F.struct("parent", "tag", "kind", "value", "next", "place"), "place").alias("s"))
+    of_node = Window.partitionBy(*PAGE, "node_id").orderBy("at", F.desc("said"))  # a removal goes before an add in one event
+    born = own.withColumn("ends", F.coalesce(F.lead("at").over(of_node), F.lit(NEVER))).where("said = 'add'").select(*PAGE, "node_id", F.col("at").alias("born"), "ends", "s.*")
+    # the parent's instance is the last one that was there by then
+    states = born.select(*PAGE, F.col("node_id").alias("key"), F.col("born").alias("at"), F.lit(0).alias("side"), F.col("born").alias("known"))
+    asks = born.withColumn("key", F.col("parent")).withColumn("at", F.col("born")).withColumn("side", F.lit(1))
+    both = asks.unionByName(states, allowMissingColumns=True)
+    last = F.last("known", ignorenulls=True).over(Window.partitionBy(*PAGE, "key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("parent_born", F.when(F.col("parent").isNotNull(), last)).where("side = 1").drop("key", "at", "side", "known")
 
 
-def followed(clicks: DataFrame, told: DataFrame, settle=lambda df: df, most: int = 32) -> DataFrame:
-    """Clicks with the address that the browser follows: the target's own, else that of the nearest anchor above it.
+def lifetimes(told: DataFrame) -> DataFrame:
+    """Instances with ``ends`` as it is with all ancestors, and (anchor, anchor_born), the nearest anchor above in its own document.
 
-    A subtree knows the anchors within it, so each round climbs one subtree; ``settle`` may write down what a round leaves.
+    Those that never live end where they are born.
     """
-    first = targets(clicks, told)
-    done = first.withColumn("href", F.coalesce("href", "above"))
-    out, open_ = done.where("href is not null or up is null"), done.where("href is null and up is not null")
-    for _ in range(most):
-        open_ = settle(open_)
-        if open_.isEmpty():
-            break
-        up = targets(open_.select(*KEYS, "epoch", *ORDER, F.col("up").alias("target_id")), told)
-        anchor = F.when(F.col("tag").isin(*ANCHORS), F.col("href"))
-        step = up.select("id", F.coalesce(anchor, F.col("above")).alias("found"), F.when(F.col("tag").isNotNull(), F.col("up")).alias("next"))
-        now = open_.join(step, "id", "left").withColumn("href", F.col("found")).withColumn("up", F.col("next")).drop("found", "next")
-        out, open_ = out.unionByName(now.where("href is not null or up is null")), now.where("href is null and up is not null")
-    return out.unionByName(open_).drop("above", "up")
+    found = settled(instances(told))
+    lost = F.col("parent").isNotNull() & F.col("parent_born").isNull()
+    now = found.withColumn("ends", F.when(lost, F.col("born")).otherwise(F.col("ends"))).withColumn("up", F.when(F.col("parent_born").isNotNull(), F.struct(F.col("parent").alias("id"), F.col("parent_born").alias("born"))))
+    # of the stretch from a node, exclusive, to where its pointer leads, inclusive: the nearest anchor, and whether a document shuts off what is beyond it
+    kinds = now.select(*PAGE, F.col("node_id").alias("_id"), F.col("born").alias("_born"), F.col("tag").alias("_tag"), F.col("ends").alias("_ends"), F.col("up").alias("_up"))
+    on = [*(F.col(f"a.{k}") == F.col(f"b.{k}") for k in PAGE), F.col("a.up.id") == F.col("b._id"), F.col("a.up.born") == F.col("b._born")]
+    first = now.alias("a").join(kinds.alias("b"), on, "left").select(
+        "a.*",
+        F.when(F.col("b._tag").isin(*ANCHORS), F.col("a.up")).alias("anchor"),
+        F.coalesce(F.col("b._tag").isNull(), F.lit(True)).alias("shut"),
+    )
+    now = settled(first)
+    while not now.where("up is not null").isEmpty():
+        beyond = now.select(*PAGE, F.col("node_id").alias("_id"), F.col("born").alias("_born"), F.col("ends").alias("_ends"), F.col("up").alias("_up"), F.col("anchor").alias("_anchor"), F.col("shut").alias("_shut"))
+        both = now.alias("a").join(beyond.alias("b"), on, "left")
+        now = settled(
+            both.select(
+                *(F.col(f"a.{c}") for c in now.columns if c not in ("ends", "up", "anchor", "shut")),
+                F.least("a.ends", F.coalesce("b._ends", F.lit(NEVER))).alias("ends"),
+                F.col("b._up").alias("up"),
+                F.coalesce("a.anchor", F.when(~F.col("a.shut"), F.col("b._anchor"))).alias("anchor"),
+                (F.col("a.shut") | F.coalesce("b._shut", F.lit(True))).alias("shut"),
+            )
+        )
+    return now.withColumn("anchor_born", F.col("anchor.born")).withColumn("anchor", F.col("anchor.id")).withColumn("ends", F.greatest("ends", "born")).drop("up", "shut")
+
+
+def alive_at(asks: DataFrame, lives: DataFrame, node: str, at: str, names: tuple[str, ...], inclusive: bool = True) -> DataFrame:
+    """asks with ``born`` and ``names`` of the instance of ``node`` that lives at ``at``, or nulls. inclusive: one born in the event itself counts; else one that ends in it."""
+    what = F.struct("born", "ends", *names)
+    states = lives.where("ends > born").select(*PAGE, F.col("node_id").alias("_key"), F.col("born").alias("_at"), F.lit(0 if inclusive else 1).alias("_side"), what.alias("_now"))
+    rows = asks.withColumn("_key", F.col(node)).withColumn("_at", F.col(at)).withColumn("_side", F.lit(1 if inclusive else 0))
+    last = F.last("_now", ignorenulls=True).over(Window.partitionBy(*PAGE, "_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    out = rows.unionByName(states, allowMissingColumns=True).withColumn("_now", last).where(F.col("_side") == (1 if inclusive else 0))
+    lives_then = F.col("_now.ends") > F.col("_at") if inclusive else F.col("_now.ends") >= F.col("_at")
+    return out.withColumn("_now", F.when(lives_then, F.col("_now"))).select(*asks.columns, *(F.col("_now")[c].alias(c) for c in ("born", *names)))
+
+
+def attribute_at(asks: DataFrame, told: DataFrame, node: str, born: str, at: str, name: str) -> DataFrame:
+    """asks with ``name`` of the instance (node, born) as it was told last, up to and with ``at``."""
+    box = F.struct(F.col(name).alias("v"))
+    states = told.where(F.col("said").isin("add", name)).select(*PAGE, F.col("node_id").alias("_key"), F.col("at").alias("_at"), F.lit(0).alias("_side"), F.col("place").alias("_place"), box.alias("_now"))
+    rows = asks.drop(name).withColumns({"_key": F.col(node), "_at": F.col(at), "_side": F.lit(1), "_place": F.lit(0)})
+    w = Window.partitionBy(*PAGE, "_key").orderBy("_at", "_side", "_place").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.unionByName(states, allowMissingColumns=True).withColumn("_now", F.last("_now", ignorenulls=True).over(w)).where("_side = 1")
+    return out.select(*(c for c in asks.columns if c != name), F.when(F.col(born).isNotNull(), F.col("_now.v")).alias(name))
+
+
+def targets(events: DataFrame, told: DataFrame, lives: DataFrame, target: str = "target_id") -> DataFrame:
+    """Adds tag, class and href of each event's target as they stood then, and (born, anchor, anchor_born); null without a living element of that id. events: with epoch and at."""
+    out = alive_at(events.drop("tag", "class", "href", "born", "anchor", "anchor_born"), lives, target, "at", ("tag", "anchor", "anchor_born"))
+    none = F.col("tag").isNull()
+    out = out.withColumns({c: F.when(~none, F.col(c)) for c in ("born", "anchor", "anchor_born")})
+    return attribute_at(attribute_at(out, told, target, "born", "at", "class"), told, target, "born", "at", "href")
+
+
+def followed(clicks: DataFrame, told: DataFrame, lives: DataFrame | None = None) -> DataFrame:
+    """Clicks with tag, class and the address that the browser follows: the target's own, else that of the nearest anchor above it that has one.
+
+    A round asks the nearest anchor of each click that is still open; only anchors without an address lead to another, so there are as many rounds as such
+    anchors lie within each other.
+    """
+    lives = lifetimes(told) if lives is None else lives
+    done = settled(targets(clicks, told, lives))
+    own = [c for c in clicks.columns if c not in ("tag", "class", "href")]
+    out, open_ = done.where("href is not null or anchor is null"), done.where("href is null and anchor is not null")
+    links = lives.select(*PAGE, F.col("node_id").alias("anchor"), F.col("born").alias("anchor_born"), F.struct("anchor", "anchor_born").alias("next"))
+    while not open_.isEmpty():
+        asked = attribute_at(open_, told, "anchor", "anchor_born", "at", "href").join(links, [*PAGE, "anchor", "anchor_born"], "left")
+        asked = settled(asked.withColumn("anchor", F.col("next.anchor")).withColumn("anchor_born", F.col("next.anchor_born")).drop("next"))
+        out = out.unionByName(asked.where("href is not null or anchor is null"))
+        open_ = asked.where("href is null and anchor is not null")
+    return out.select(*own, "tag", "class", "href")
+
+
+# ------------------------------------------------------------------ shown text
+def _numbered(page: pa.Table) -> pa.Table:
+    """A page's instances with their number in document order and that of the last one below, over all that ever lived in it. What was added before a sibling stands right before it."""
+    rows = page.sort_by([("born", "ascending"), ("place", "ascending")])
+    ids, born, parent, parent_born, next_ = (rows[c].to_pylist() for c in ("node_id", "born", "parent", "parent_born", "next"))
+    number = {(i, b): k for k, (i, b) in enumerate(zip(ids, born, strict=True))}
+    before: dict[int, list[int]] = {}
+    below: dict[int | None, list[int]] = {}
+    last: dict[int, int] = {}
+    for k in range(len(ids)):
+        last[ids[k]] = k
+        up = number.get((parent[k], parent_born[k]))
+        sibling = last.get(next_[k]) if next_[k] is not None else None
+        if sibling is not None and sibling != k and number.get((parent[sibling], parent_born[sibling])) == up:
+            before.setdefault(sibling, []).append(k)
+        else:
+            below.setdefault(up, []).append(k)
+    first, final = [0] * len(ids), [0] * len(ids)
+    count = 0
+    todo = [(k, 0) for k in reversed(below.get(None, []))]
+    while todo:
+        k, step = todo.pop()
+        if step == 0:  # those before it, then itself
+            todo.append((k, 1))
+            todo += [(x, 0) for x in reversed(before.get(k, []))]
+        elif step == 1:
+            first[k] = count
+            count += 1
+            todo.append((k, 2))
+            todo += [(x, 0) for x in reversed(below.get(k, []))]
+        else:
+            final[k] = count
+    return rows.append_column("first", pa.array(first, pa.int64())).append_column("final", pa.array(final, pa.int64())).select([*PAGE, "node_id", "born", "first", "final"])
+
+
+def _blocks(first: Column, final: Column, levels: int) -> Column:
+    """The range from first to before final as the fewest dyadic blocks (level, block) that make it up: at each level what sticks out on the left, and on the right."""
+
+    def step(acc: Column, level: Column) -> Column:
+        a, b = acc["a"], acc["b"]
+        block = lambda x: F.array(F.struct(level.alias("level"), x.alias("block")))
+        none = F.slice(block(a), 1, 0)
+        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
+        found = F.concat(acc["out"], F.when(left, block(a)).otherwise(none), F.when(right, block(b - 1)).otherwise(none))
+        return F.struct(F.floor((a + F.when(left, 1).otherwise(0)) / 2).alias("a"), F.floor(b / 2).alias("b"), found.alias("out"))
+
+    nothing = F.slice(F.array(F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("block"))), 1, 0)
+    start = F.struct(first.cast("long").alias("a"), final.cast("long").alias("b"), nothing.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["out"])
+
+
+def _around(number: str, levels: int) -> Column:
+    """The dyadic blocks that hold a number, one a level."""
+    return F.expr(f"transform(sequence(0, {levels}), l -> struct(l as level, shiftright({number}, l) as block))")
+
+
+def with_text(clicks: DataFrame, told: DataFrame, lives: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
+    """Clicks on living elements with ``text``, what these show then: the texts below them in page order, white space collapsed, cut at whole words; null if nothing.
+
+    Nodes are numbered in document order, so what is below a node is a range of numbers. Ranges are cut into dyadic blocks and meet texts by these, equal by equal, so a
+    click meets the texts below its target and no others.
+    """
+    columns = [c for c in clicks.columns if c != "text"]
+    marked = settled(clicks.select(*columns).withColumn("_click", F.monotonically_increasing_id()))
+    numbers = settled(lives.select(*PAGE, "node_id", "born", "place", "parent", "parent_born", "next").groupBy(*PAGE).applyInArrow(_numbered, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lives.select(*PAGE, "node_id", "born").schema) + ", first long, final long"))
+    levels = int(numbers.agg(F.max("final")).first()[0] or 0).bit_length()
+    lives = lives.join(numbers, [*PAGE, "node_id", "born"])
+    asked = alive_at(marked.select("_click", *PAGE, "at", "target_id"), lives, "target_id", "at", ("tag", "first", "final")).where("tag is not null")
+    asked = asked.select("_click", *PAGE, "at", F.col("first").alias("top"), F.inline(_blocks(F.col("first"), F.col("final"), levels)))
+    # values of each text over time
+    said = told.where((F.col("said") == "text") | ((F.col("said") == "add") & (F.col("kind") == TEXT))).groupBy(*PAGE, "node_id", "at").agg(F.max_by("value", "place").alias("value"))
+    said = said.withColumn("until", F.coalesce(F.lead("at").over(Window.partitionBy(*PAGE, "node_id").orderBy("at")), F.lit(NEVER)))
+    texts = lives.where((F.col("kind") == TEXT) & (F.col("ends") > F.col("born"))).select(*PAGE, "node_id", "born", "ends", "first")
+    texts = texts.join(said, [*PAGE, "node_id"]).where("at < ends and until > born").select(*PAGE, "first", F.greatest("at", "born").alias("from"), F.least("until", "ends").alias("until"), "value")
+    texts = texts.select(*PAGE, F.col("first").alias("text_at"), "from", "until", "value", F.inline(_around("first", levels)))
+    met = asked.join(texts, [*PAGE, "level", "block"]).where("at >= from and at < until").select("_click", "text_at", "value", "top", *PAGE)
+    # texts within an element that shows none, from the target downward
+    unshown = lives.where(F.col("tag").isin(*UNSHOWN)).select(*PAGE, F.col("first").alias("shut_at"), F.inline(_blocks(F.col("first"), F.col("final"), levels)))
+    around = met.select("_click", "text_at", "top", *PAGE, F.inline(_around("text_at", levels)))
+    hidden = around.join(unshown, [*PAGE, "level", "block"]).where("shut_at >= top").select("_click", "text_at").distinct()
+    shown = met.join(hidden, ["_click", "text_at"], "left_anti")
+    whole = shown.groupBy("_click").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("text_at", "value"))), lambda x: F.coalesce(x["value"], F.lit(""))), "").alias("_whole"))
+    text = X.truncate_words(X.collapse("_whole"), cap)
+    return marked.join(whole, "_click", "left").withColumn("text", F.nullif(text, F.lit(""))).select(*columns, "text")
+
+
+# ------------------------------------------------------------------ references
+#: What is said of a name that leads nowhere (fixed values), in the order in which a mutation's parts are asked.
+FAULTS = {"remove": "remove of unknown node", "text": "text change on unknown node", "attributes": "attribute change on unknown node", "add": "add never resolved of node", "refer": "event references unknown node"}
+
+
+def unresolved(told: DataFrame, lives: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, epoch, at, timestamp, node_id, said, more): what events name that doesn't live then.
+
+    A removal names a node that must have lived before; a change of text or attributes, and an act, one that lives then; an add its parent.
+    """
+    keep = [*PAGE, "at", "timestamp", *more]
+    names = told.where(F.col("said").isin("text", "attributes", "refer", "remove")).select(*keep, "node_id", F.col("node_id").alias("asked"), "said")
+    parents = told.where("said = 'add' and parent is not null").select(*keep, "node_id", F.col("parent").alias("asked"), "said")
+    later = alive_at(names.where("said <> 'remove'").unionByName(parents), lives, "asked", "at", ())
+    gone = alive_at(names.where("said = 'remove'"), lives, "asked", "at", (), inclusive=False)
+    return later.unionByName(gone).where("born is null").drop("born", "asked")
+
+
+def refusals(events: DataFrame, runs: DataFrame, raw: str = "raw") -> DataFrame:
+    """(visitor_id, recorder_slice, refused_at, reason): slices that can't go on where others ended, as they name what isn't on the page by then, with the first such name.
+
+    events: all of the slices in question, with type. runs: (visitor_id, recorder_slice, into): what would go on, and the slice it would become part of. Each is asked of the
+    page that this slice and all of the run before it leave; snapshots of its own don't count.
+    """
+    of_run = runs.select("visitor_id", "recorder_slice", "into")
+    heads = runs.select("visitor_id", F.col("into").alias("recorder_slice"), "into").distinct()
+    own = F.col("recorder_slice")
+    joined = events.join(of_run.unionByName(heads), list(KEYS)).withColumn("own", own).withColumn("tail", own != F.col("into")).withColumn("recorder_slice", F.col("into"))
+    joined = joined.withColumn("type", F.when(F.col("tail") & (F.col("type") == SNAPSHOT), -1).otherwise(F.col("type"))).drop("into")
+    told = settled(nodes(with_epochs(joined), raw, ("own", "tail")))
+    bad = unresolved(told.where("tail"), lifetimes(told.drop("own", "tail")), ("own",))
+    order = F.create_map(*(F.lit(x) for k, said in enumerate(FAULTS) for x in (said, k)))
+    reason = F.create_map(*(F.lit(x) for pair in FAULTS.items() for x in pair))
+    first = bad.groupBy("visitor_id", F.col("own").alias("recorder_slice")).agg(F.min_by(F.struct("timestamp", "said", "node_id"), F.struct("at", order[F.col("said")], "node_id")).alias("f"))
+    return first.select("visitor_id", "recorder_slice", F.col("f.timestamp").alias("refused_at"), F.concat_ws(" ", F.concat(F.lit("at "), F.col("f.timestamp").cast("string"), F.lit(":")), reason[F.col("f.said")], F.col("f.node_id").cast("string")).alias("reason"))

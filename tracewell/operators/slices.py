@@ -79,23 +79,37 @@ def opened_page(slices: DataFrame, open_ms: Column) -> DataFrame:
     return slices.withColumn("opened", F.coalesce(fresh, F.lit(False)))
 
 
-def rescued(slices: DataFrame) -> DataFrame:
-    """Orphans that go on where a replayable slice of the visitor ended, on the same page within RESCUE_MS.
-
-    Each is judged on what the rescues before it made of the slice, so a chain is one run: an orphan joins the run if it starts soon enough after
-    the run's end. Runs begin at replayable slices; other discarded slices neither join nor break one.
-    """
+def _chained(slices: DataFrame, refused: DataFrame | None) -> DataFrame:
+    """Replayable slices and orphans, with ``from``, the slice that an orphan would become part of, and whether its ``chain`` from there holds."""
     w = Window.partitionBy("visitor_id").orderBy("start_ts", "recorder_slice")
     part = slices.where((F.col("status") == REPLAYABLE) | (F.col("reason") == ORPHAN))
     base = F.sum((F.col("status") == REPLAYABLE).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     part = part.withColumn("base", base).withColumn("from", F.max(F.when(F.col("status") == REPLAYABLE, F.col("recorder_slice"))).over(Window.partitionBy("visitor_id", "base")))
-    part = part.withColumn("head", F.first("url").over(Window.partitionBy("visitor_id", "base").orderBy("start_ts", "recorder_slice")))
     run = Window.partitionBy("visitor_id", "base").orderBy("start_ts", "recorder_slice")
+    part = part.withColumn("head", F.first("url").over(run))
     end = F.max("end_ts").over(run.rowsBetween(Window.unboundedPreceding, -1))
     good = (F.col("status") == REPLAYABLE) | ((F.col("start_ts") - end <= RESCUE_MS) & F.col("url").eqNullSafe(F.col("head")) & ~F.col("opened"))
-    part = part.withColumn("good", good & F.col("from").isNotNull()).withColumn("chain", F.min(F.col("good").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    taken = part.where((F.col("chain") == 1) & (F.col("status") != REPLAYABLE)).select("visitor_id", "recorder_slice", "from")
-    grown = part.where(F.col("chain") == 1).groupBy("visitor_id", F.col("from").alias("recorder_slice")).agg(
+    if refused is not None:
+        part = part.join(refused.select(*KEYS, F.lit(True).alias("refused")).distinct(), list(KEYS), "left")
+        good &= F.col("refused").isNull()
+    part = part.withColumn("good", good & F.col("from").isNotNull())
+    return part.withColumn("chain", F.min(F.col("good").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, 0)) == 1)
+
+
+def rescuable(slices: DataFrame) -> DataFrame:
+    """(visitor_id, recorder_slice, into): orphans that time and page would let go on where a replayable slice ended; what they name decides then (``dom.refusals``)."""
+    return _chained(slices, None).where(F.col("chain") & (F.col("status") != REPLAYABLE)).select(*KEYS, F.col("from").alias("into"))
+
+
+def rescued(slices: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """Orphans that go on where a replayable slice of the visitor ended, on the same page within RESCUE_MS, unless ``refused(visitor_id, recorder_slice)``.
+
+    Each is judged on what the rescues before it made of the slice, so a chain is one run: an orphan joins the run if it starts soon enough after
+    the run's end. Runs begin at replayable slices; other discarded slices neither join nor break one.
+    """
+    part = _chained(slices, refused).where("chain")
+    taken = part.where(F.col("status") != REPLAYABLE).select("visitor_id", "recorder_slice", "from")
+    grown = part.groupBy("visitor_id", F.col("from").alias("recorder_slice")).agg(
         F.max("end_ts").alias("grown_end"), F.sum("n_events").alias("grown_n"), F.sort_array(F.collect_list(F.when(F.col("status") != REPLAYABLE, F.col("recorder_slice")))).alias("absorbed")
     )
     out = slices.join(taken.withColumnRenamed("from", "into"), list(KEYS), "left").join(grown, list(KEYS), "left")

@@ -448,13 +448,22 @@ def url_host(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.url_host("url").alias("host"))
 
 
-@query("SELECT page_id, CASE WHEN length(u) <= 40 THEN u WHEN length(s) <= 40 THEN s ELSE substr(s, 1, 39) || '…' END AS described FROM (SELECT page_id, url || '?' || repeat('a', 50) || '#f' AS u, url || '?… (50 chars query)#f' AS s FROM pages WHERE url NOT LIKE '%?%' AND url NOT LIKE '%#%')")
+def _shed(cap: int, units: str, kilo: int, size: str, last: str) -> str:
+    """SQL for an address that sheds its query beyond a cap. units: of {x}, how it is counted. size: of {n} beyond kilo. last: what becomes of it where even that is too long."""
+    u = units.format
+    return f"""WITH a AS (SELECT page_id, url, split_part(url, '#', 1) AS base, substr(url, length(split_part(url, '#', 1)) + 1) AS mark FROM pages),
+ b AS (SELECT *, substr(base, strpos(base, '?') + 1) AS asked, {u(x="substr(base, strpos(base, '?') + 1)")} AS n FROM a),
+ c AS (SELECT *, CASE WHEN strpos(base, '?') = 0 OR asked = '' THEN url ELSE substr(base, 1, strpos(base, '?') - 1) || '?… (' || CASE WHEN n < {kilo} THEN CAST(n AS VARCHAR) || ' chars' ELSE {size.format(n="n")} || 'kB' END || ' query)' || mark END AS shed FROM b)
+ SELECT page_id, CASE WHEN {u(x="url")} <= {cap} THEN url WHEN {u(x="shed")} <= {cap} THEN shed ELSE {last} END AS described FROM c"""
+
+
+@query(_shed(40, "length({x})", 1000, "CAST(round({n} / 1000.0, 1) AS VARCHAR)", "substr(shed, 1, 39) || '…'"))
 def describe_url(spark, sf_dir):
-    u = F.concat("url", F.lit("?"), F.repeat(F.lit("a"), F.lit(50)), F.lit("#f"))
-    return read(spark, sf_dir, "pages").where("not contains(url, '?') and not contains(url, '#')").select("page_id", X.describe_url(u, 40).alias("described"))
+    return read(spark, sf_dir, "pages").select("page_id", X.describe_url("url", 40).alias("described"))
 
 
-@query()
+#: Letters outside the first plane count twice. Where even the shed form is too long the address is cut, and its length in letters then is at most the cap.
+@query(_shed(2000, "(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))", 1024, "CAST(CAST(round_even({n} / 1024.0, 0) AS BIGINT) AS VARCHAR)", "substr(url, 1, 1999) || '…'"))
 def page_addresses(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", X.page_address("url").alias("described"))
 
@@ -515,11 +524,6 @@ def conversation_turns(spark, sf_dir):
     return runs.groupBy("conv_id", "role", "run").agg(F.min("turn").cast("long").alias("first_turn"), F.count("*").alias("turns")).drop("run")
 
 
-@query(f"WITH {ACTS} SELECT coalesce(bool_and(k = 0 AND value = 0), true) AS nothing FROM acts WHERE k = -1")
-def zero_shaped(spark, sf_dir):
-    return books.means_nothing(acts(spark, sf_dir).where("k = -1").select("k", "value"))
-
-
 @query(f"WITH {ACTS} SELECT coalesce(bool_and(k = 0 AND value = 0), true) AS nothing FROM acts")
 def zero_shaped_acts(spark, sf_dir):
     return books.means_nothing(acts(spark, sf_dir).select("k", "value"))
@@ -549,7 +553,9 @@ def page_markdown(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.sha2(pages.markdown("html"), 256).alias("markdown"))
 
 
-@query()
+@query("WITH md AS (SELECT page_id, url, " + pages.rules_sql("html") + """ AS md FROM pages), v AS (SELECT page_id, md, lag(md) OVER (PARTITION BY nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]*)', 1), '') ORDER BY page_id) AS before FROM md),
+ l AS (SELECT page_id, unnest(string_split(coalesce(md, ''), chr(10))) AS line, 1 AS n FROM v UNION ALL SELECT page_id, unnest(string_split(coalesce(before, ''), chr(10))) AS line, -1 AS n FROM v)
+ SELECT page_id, line, CAST(sum(n) AS BIGINT) AS change FROM l GROUP BY page_id, line HAVING sum(n) <> 0""")
 def page_changes(spark, sf_dir):
     md = read(spark, sf_dir, "pages").select("page_id", "url", pages.markdown("html").alias("md"))
     w = Window.partitionBy(X.url_host("url")).orderBy("page_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import exprs as X
 from tracewell.operators import books, diffs, dom, flat, pages, slices, spans, stream, telemetry, windows
 from tracewell.plans.catalog import _SLICES, _STATUS, ACTS, _slices, _status, acts, query, read
+from tracewell.settled import settled
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -456,7 +457,7 @@ def _recorded(spark, sf_dir):
     type_ = F.when(F.col("type_str") == "PageLoad", 2).otherwise(3)
     raw = F.when(F.col("type_str") == "PageLoad", page).when(F.col("type_str") == "Mutation", change)
     e = dom.with_epochs(a.withColumn("type", type_).withColumn("raw", raw))
-    return e.withColumn("target_id", F.when(F.col("type_str") == "Click", 100 * (1 + F.col("node_id") % 3) + k % 10)).select("id", *slices.KEYS, "timestamp", "counter", "type", "epoch", "raw", "target_id", "type_str")
+    return e.withColumn("target_id", F.when(F.col("type_str") == "Click", 100 * (1 + F.col("node_id") % 3) + k % 10)).select("id", *slices.KEYS, "timestamp", "counter", "type", "epoch", "at", "raw", "target_id", "type_str")
 
 
 _EPOCHS = f"""{ACTS}, ep AS (SELECT *, sum(CASE WHEN type_str = 'PageLoad' THEN 1 ELSE 0 END) OVER (PARTITION BY visitor_id, recorder_slice ORDER BY timestamp, counter, id) AS epoch, row_number() OVER (PARTITION BY visitor_id, recorder_slice ORDER BY timestamp, counter, id) AS rn FROM acts)"""
@@ -471,6 +472,62 @@ def click_targets(spark, sf_dir):
     return dom.followed(clicks, dom.nodes(e)).select("id", "tag", "class", "href")
 
 
+def _living(spark, sf_dir):
+    """The same page with a text in each section; errors change it, purchases add another, and signups remove the section."""
+    a = acts(spark, sf_dir)
+    k, i = F.col("k"), F.col("k") % 10
+    section = lambda j: (
+        f'{{"type":2,"id":{100 + j},"tagName":"DIV","attributes":{{}},"childNodes":[{{"type":2,"id":{200 + j},"tagName":"A","attributes":{{"href":"/{j}"}},"childNodes":[{{"type":2,"id":{300 + j},"tagName":"em","attributes":{{}},"childNodes":'
+        f'[{{"type":3,"id":{400 + j},"textContent":"label {j}"}}]}}]}}]}}'
+    )
+    page = F.lit('{"type":2,"data":{"node":{"type":0,"id":1,"childNodes":[' + ",".join(section(j) for j in range(10)) + "]}}}")
+    target = 100 * (1 + F.col("node_id") % 3) + i
+    raw = (
+        F.when(F.col("type_str") == "PageLoad", page)
+        .when(F.col("type_str") == "Mutation", F.format_string('{"type":3,"data":{"source":0,"texts":[{"id":%d,"value":"now %d"}]}}', 400 + i, k))
+        .when(F.col("type_str") == "Input", F.format_string('{"type":3,"data":{"source":0,"removes":[{"id":%d}]}}', 100 + i))
+        .when(F.col("type_str") == "Selection", F.format_string('{"type":3,"data":{"source":0,"adds":[{"parentId":%d,"nextId":null,"node":{"type":3,"id":%d,"textContent":" more %d"}}]}}', 300 + i, 1000 + k, k))
+        .otherwise(F.format_string('{"type":3,"data":{"source":2,"type":2,"id":%d}}', target))
+    )
+    e = a.withColumn("type", F.when(F.col("type_str") == "PageLoad", 2).otherwise(3)).withColumn("raw", raw)
+    return e.withColumn("target_id", F.when(F.col("type_str") == "Click", target)).select("id", *slices.KEYS, "timestamp", "counter", "type", "raw", "target_id", "type_str")
+
+
+_SECTIONS = f"{_EPOCHS}, se AS (SELECT *, k % 10 AS i FROM ep)"
+
+
+@query(f"""WITH {_SECTIONS}, c AS (SELECT * FROM se WHERE type_str = 'Click' AND epoch > 0), up AS (SELECT c.id, x.rn, x.k, x.type_str FROM c JOIN se x ON x.visitor_id = c.visitor_id AND x.recorder_slice = c.recorder_slice AND x.epoch = c.epoch AND x.i = c.i AND x.rn < c.rn),
+ own AS (SELECT id, bool_or(type_str = 'Input') AS gone, arg_max('now ' || CAST(k AS VARCHAR), rn) FILTER (WHERE type_str = 'Mutation') AS label FROM up GROUP BY id), adds AS (SELECT id, k, max(rn) AS rn FROM up WHERE type_str = 'Selection' GROUP BY ALL),
+ more AS (SELECT id, string_agg(' more ' || CAST(k AS VARCHAR), '' ORDER BY rn) AS more FROM adds GROUP BY id),
+ t AS (SELECT e.id, CASE WHEN c.id IS NULL OR coalesce(own.gone, false) THEN NULL ELSE coalesce(own.label, 'label ' || CAST(e.i AS VARCHAR)) || coalesce(more.more, '') END AS t FROM se e LEFT JOIN c ON c.id = e.id LEFT JOIN own ON own.id = e.id LEFT JOIN more ON more.id = e.id WHERE e.type_str = 'Click')
+ SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substr(t, 1, 79), '\\s+\\S*$', '') || '…' END AS text FROM t""")
+def click_texts(spark, sf_dir):
+    e = dom.with_epochs(_living(spark, sf_dir))
+    told = settled(dom.nodes(e))
+    return dom.with_text(e.where("type_str = 'Click'").drop("raw", "type"), told, settled(dom.lifetimes(told))).select("id", "text")
+
+
+@query(f"""WITH {_SECTIONS}, p AS (SELECT visitor_id, recorder_slice, epoch, 41 + count(*) FILTER (WHERE type_str = 'Selection') AS instances, list(DISTINCT i) FILTER (WHERE type_str = 'Input') AS gone FROM se WHERE epoch > 0 GROUP BY ALL)
+ SELECT p.visitor_id, p.recorder_slice, CAST(p.epoch AS BIGINT) AS epoch, p.instances, 41 - 4 * coalesce(len(p.gone), 0) + (SELECT count(DISTINCT x.k) FROM se x WHERE x.visitor_id = p.visitor_id AND x.recorder_slice = p.recorder_slice AND x.epoch = p.epoch AND x.type_str = 'Selection' AND NOT list_contains(coalesce(p.gone, []), x.i)) AS living FROM p""")
+def node_lifetimes(spark, sf_dir):
+    lives = dom.lifetimes(dom.nodes(dom.with_epochs(_living(spark, sf_dir)))).where("epoch > 0")
+    return lives.groupBy(*dom.PAGE).agg(F.count("*").alias("instances"), F.count_if(F.col("ends") == dom.NEVER).alias("living"))
+
+
+@query(f"""WITH {_SECTIONS}, sl AS (SELECT visitor_id, recorder_slice, min(timestamp) AS start_ts FROM acts GROUP BY ALL), r AS (SELECT visitor_id, recorder_slice, lag(recorder_slice) OVER (PARTITION BY visitor_id ORDER BY start_ts) AS into_ FROM sl),
+ n AS (SELECT x.*, r.into_ FROM se x JOIN r ON r.visitor_id = x.visitor_id AND r.recorder_slice = x.recorder_slice WHERE r.into_ IS NOT NULL AND x.type_str <> 'PageLoad'),
+ shown AS (SELECT visitor_id, recorder_slice, max(epoch) AS epoch FROM se GROUP BY ALL),
+ gone AS (SELECT x.visitor_id, x.recorder_slice, x.i FROM se x JOIN shown s ON s.visitor_id = x.visitor_id AND s.recorder_slice = x.recorder_slice AND s.epoch = x.epoch WHERE x.type_str = 'Input'),
+ bad AS (SELECT n.*, row_number() OVER (PARTITION BY n.visitor_id, n.recorder_slice ORDER BY n.rn) AS f FROM n JOIN shown s ON s.visitor_id = n.visitor_id AND s.recorder_slice = n.into_ WHERE s.epoch = 0 OR EXISTS (SELECT 1 FROM gone g WHERE g.visitor_id = n.visitor_id AND g.recorder_slice = n.into_ AND g.i = n.i)
+  OR EXISTS (SELECT 1 FROM n m WHERE m.visitor_id = n.visitor_id AND m.recorder_slice = n.recorder_slice AND m.type_str = 'Input' AND m.i = n.i AND m.rn < n.rn))
+ SELECT visitor_id, recorder_slice, timestamp AS refused_at, 'at ' || CAST(timestamp AS VARCHAR) || ': ' || CASE type_str WHEN 'Click' THEN 'event references unknown node ' || CAST(100 * (1 + node_id % 3) + i AS VARCHAR) WHEN 'Mutation' THEN 'text change on unknown node ' || CAST(400 + i AS VARCHAR)
+  WHEN 'Input' THEN 'remove of unknown node ' || CAST(100 + i AS VARCHAR) ELSE 'add never resolved of node ' || CAST(1000 + k AS VARCHAR) END AS reason FROM bad WHERE f = 1""")
+def refused_slices(spark, sf_dir):
+    e = _living(spark, sf_dir)
+    runs = slices.prior_slices(slices.summaries(e)).where("prior_slice is not null").select(*slices.KEYS, F.col("prior_slice").alias("into"))
+    return dom.refusals(e, runs)
+
+
 @query()
 def page_diffs(spark, sf_dir):
     md = read(spark, sf_dir, "pages").select("page_id", "url", pages.markdown("html").alias("md"))
