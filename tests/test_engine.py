@@ -138,3 +138,17 @@ def test_routes_across_batches(spark, tmp_path):
     assert run() == ["https://a.test/1"]
     rows((T0 + 2, "https://a.test/1"), (T0 + 3, "https://a.test/2")).write.mode("append").parquet(str(given))
     assert run() == ["https://a.test/1", "https://a.test/2"]
+
+
+def test_an_orphan_goes_on_only_where_all_it_names_is(engine, tmp_path):
+    """Three slices on one page: the second names what the first left, the third a node that was never there."""
+    r = Recorder(tmp_path / "store")
+    a, b, c = stamp(T0 - 1), stamp(T0 + 2000), stamp(T0 + 4000)  # the latter open with a Meta of the same page
+    body = {"type": 0, "id": 1, "childNodes": [{"type": 2, "id": 5, "tagName": "button", "attributes": {}, "childNodes": []}]}
+    meta = lambda t: r.event(t, 4, href="https://a.test/1", width=100, height=50)
+    r.chunk("visitor01", a, [meta(T0), r.event(T0 + 1, 2, node=body), click(r, T0 + 500)])
+    r.chunk("visitor01", b, [meta(T0 + 2000), click(r, T0 + 2100)])
+    r.chunk("visitor01", c, [meta(T0 + 4000), r.event(T0 + 4100, 3, source=2, type=2, id=77)])
+    engine.load()
+    got = {s["recorder_slice"]: (s["status"], s["into"], s["n_events"]) for s in engine.table("slices").collect()}
+    assert got == {a: ("replayable", None, 5), b: ("rescued", a, 2), c: ("discarded", None, 2)}
