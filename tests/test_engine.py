@@ -144,7 +144,8 @@ def test_an_orphan_goes_on_only_where_all_it_names_is(engine, tmp_path):
     """Three slices on one page: the second names what the first left, the third a node that was never there."""
     r = Recorder(tmp_path / "store")
     a, b, c = stamp(T0 - 1), stamp(T0 + 2000), stamp(T0 + 4000)  # the latter open with a Meta of the same page
-    body = {"type": 0, "id": 1, "childNodes": [{"type": 2, "id": 5, "tagName": "button", "attributes": {}, "childNodes": []}]}
+    button = {"type": 2, "id": 5, "tagName": "BUTTON", "attributes": {"class": "big"}, "childNodes": [{"type": 3, "id": 6, "textContent": " Buy  now "}]}
+    body = {"type": 0, "id": 1, "childNodes": [{"type": 2, "id": 4, "tagName": "A", "attributes": {"href": "/buy"}, "childNodes": [button]}]}
     meta = lambda t: r.event(t, 4, href="https://a.test/1", width=100, height=50)
     r.chunk("visitor01", a, [meta(T0), r.event(T0 + 1, 2, node=body), click(r, T0 + 500)])
     r.chunk("visitor01", b, [meta(T0 + 2000), click(r, T0 + 2100)])
@@ -152,3 +153,8 @@ def test_an_orphan_goes_on_only_where_all_it_names_is(engine, tmp_path):
     engine.load()
     got = {s["recorder_slice"]: (s["status"], s["into"], s["n_events"]) for s in engine.table("slices").collect()}
     assert got == {a: ("replayable", None, 5), b: ("rescued", a, 2), c: ("discarded", None, 2)}
+    # clicks of both are on the button, as the second is read where it went on
+    of = {(x["recorder_slice"], x["timestamp"] - T0): (x["target_id"], x["tag"], x["class"], x["href"], x["text"]) for x in engine.targets().collect()}
+    assert of == {(a, 500): (5, "button", "big", "/buy", "Buy now"), (b, 2100): (5, "button", "big", "/buy", "Buy now")}
+    asked = engine.spark.createDataFrame([("visitor01", b)], "visitor_id string, recorder_slice string")
+    assert [x["text"] for x in engine.targets(asked).collect()] == ["Buy now"]

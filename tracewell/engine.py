@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
+from tracewell.functions import tables
 from tracewell.operators import books, dom, flat, sessions, slices, spans, telemetry, windows
 from tracewell.schema import CHUNK_ERRORS, LOADED_CHUNKS, Retention, SessionRule
 from tracewell.settled import settled
@@ -262,8 +263,27 @@ class Engine:
         ]
         return self.spark.createDataFrame(checks, "name string, ok boolean")
 
+    def targets(self, asked: DataFrame | None = None) -> DataFrame:
+        """Clicks with their target's tag, class, followed address and shown text as they stood then; of ``asked(visitor_id, recorder_slice)``, or all. What was rescued is read where it went on."""
+        events, made = self.table("events"), self.table("slices").where("status <> 'discarded'")
+        if asked is not None:
+            made = made.join(asked.select(*slices.KEYS).distinct(), list(slices.KEYS), "left_semi")
+        place = made.select(*slices.KEYS, F.coalesce("into", "recorder_slice").alias("read_in"))
+        # all of a slice that others were taken into is needed to know their page
+        heads = self.table("slices").join(place.select("visitor_id", F.col("read_in").alias("recorder_slice")).distinct(), list(slices.KEYS), "left_semi")
+        both = heads.select(*slices.KEYS, F.col("recorder_slice").alias("read_in")).union(place).distinct()
+        rows = events.join(both, list(slices.KEYS)).withColumn("own", F.col("recorder_slice")).withColumn("recorder_slice", F.col("read_in")).drop("read_in")
+        e = dom.with_epochs(rows.select("id", *slices.KEYS, "own", "timestamp", "counter", "type", "type_str", "event"))
+        told = settled(dom.nodes(e, "event"))
+        lives = settled(dom.lifetimes(told))
+        clicks = e.where("type_str = 'Click'").withColumn("target_id", F.get_json_object("event", "$.data.id").cast("long")).drop("event", "type", "type_str")
+        out = dom.with_text(dom.followed(clicks, told, lives), told, lives)
+        out = out.withColumn("recorder_slice", F.col("own")).select("id", *slices.KEYS, "timestamp", "counter", "target_id", "tag", "class", "href", "text")
+        return out if asked is None else out.join(asked.select(*slices.KEYS).distinct(), list(slices.KEYS), "left_semi")
+
     def sql(self, text: str) -> DataFrame:
-        """Ad-hoc SQL over the tables as views."""
+        """Ad-hoc SQL over the tables as views; ``event_stream`` and the functions of ``functions.tables`` are known to it."""
+        tables.register(self.spark)
         for name in (*BUCKETED, "manifest", "errors"):
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions import exprs as X
+
 #: Milliseconds and pixels of the passes, fixed values.
 SELECTION_MS, INPUT_MS, CAUSE_MS, PRESS_MS, PRESS_ROWS, PRESS_DRIFT = 1000, 50, 50, 1000, 5, 15
 SILENT = ("Mutation", "MouseMove", "StyleSheetRule", "CanvasMutation", "Font", "Log")
@@ -69,6 +71,13 @@ def typing_runs(events: DataFrame) -> DataFrame:
     return inputs.withColumn("added", F.when(grown, F.expr("substring(input, char_length(before) + 1)")))
 
 
+def typed_changes(events: DataFrame) -> DataFrame:
+    """typing_runs with what each step changed: where, what went, what came; of the first input of a run nothing but its value. That and the last of a run are ``whole``."""
+    runs = typing_runs(events).withColumn("change", F.when(F.col("before").isNotNull(), X.edit_delta("before", "input")))
+    whole = F.when(F.col("ends") | F.col("before").isNull(), F.col("input"))
+    return runs.withColumns({"pos": F.col("change.at"), "old": F.col("change.old"), "new": F.col("change.new"), "whole": whole}).drop("change")
+
+
 def repeated_targets(events: DataFrame, kinds: tuple[str, ...] = ("Scroll", "TouchStart", "Input")) -> DataFrame:
     """quiet_target: the row before, of the same kind, names the same element, so its text needn't be said again."""
     w = Window.partitionBy("visitor_id", "type_str").orderBy("timestamp", "counter")

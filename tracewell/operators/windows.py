@@ -163,17 +163,26 @@ def stream_body(text: Column | str) -> Column:
     return F.regexp_replace(F.array_join(lines, "\n"), r"\]\((https?://[^)?\s]*)\?[^)#\s]*(#[^)\s]*)?\)", "]($1?…$2)")
 
 
-def composed(table: DataFrame, events: DataFrame, moments: DataFrame) -> DataFrame:
-    """A window's lines in reading order: visitors by their first slice, then events and screenshots by slice, moment and kind.
+#: What a window's lines are read in the order of, within it.
+READING = ("opened", "visitor_id", "timestamp", "shot", "number", "counter")
+
 
-    events and moments: with keys, timestamp and line. Adds ``place``, from 1 in each window.
+def stream_lines(table: DataFrame, events: DataFrame, moments: DataFrame) -> DataFrame:
+    """A window's lines, with what puts them in reading order (READING): visitors by their first slice, then events and screenshots by moment, kind and slice.
+
+    events and moments: with keys, timestamp and line.
     """
     own = table.where("reason is null").select("window", *KEYS, "label", "start_ts", "end_ts")
     own = own.withColumn("opened", F.min("start_ts").over(Window.partitionBy("window", "visitor_id")))
     lines = events.select(*KEYS, "timestamp", F.lit(0).alias("shot"), "counter", "line").unionByName(moments.select(*KEYS, "timestamp", F.lit(1).alias("shot"), F.lit("").alias("counter"), "line"))
     rows = own.join(lines, list(KEYS)).where("timestamp between start_ts and end_ts")
-    w = Window.partitionBy("window").orderBy("opened", "visitor_id", "timestamp", "shot", F.substring("label", 2, 9).cast("int"), "counter")
-    return rows.select("window", "visitor_id", "label", "timestamp", "shot", "line", F.row_number().over(w).alias("place"))
+    return rows.select("window", "label", "line", F.substring("label", 2, 9).cast("int").alias("number"), *(c for c in READING if c != "number"))
+
+
+def composed(table: DataFrame, events: DataFrame, moments: DataFrame) -> DataFrame:
+    """A window's lines in reading order, with their ``place``, from 1 in each window."""
+    place = F.row_number().over(Window.partitionBy("window").orderBy(*READING))
+    return stream_lines(table, events, moments).select("window", "visitor_id", "label", "timestamp", "shot", "line", place.alias("place"))
 
 
 def priced(parts: DataFrame, context: int, headroom: float = 1.0) -> DataFrame:
@@ -183,6 +192,48 @@ def priced(parts: DataFrame, context: int, headroom: float = 1.0) -> DataFrame:
     return rows.select("window", "label", "tokens", (F.floor(F.col("tokens") * 1000 / context + 0.5) / 10).alias("percent"), (F.col("tokens") <= int(context * headroom)).alias("fits"))
 
 
+#: Pages that a facts block names (a fixed value).
+TOP_PAGES = 5
+
+
+def facts_block(events: DataFrame, arrivals: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, facts): what a window holds, in a few lines: dates, number of events and their time, kinds by number, and the pages come to, the most frequent first.
+
+    events: keys, timestamp, counter, type_str. arrivals: keys, timestamp, counter, url, loads; one row for each page in order. A page counts again when it was loaded
+    or another stood before it. Equally frequent kinds and pages stand in the order in which they came. Kinds and pages are counted before
+    anything is gathered, so a window's block grows with its distinct kinds, not with its events.
+    """
+    seen = F.min(F.struct("timestamp", "counter")).alias("seen")
+    kinds = events.groupBy(*keys, "type_str").agg(F.count("*").alias("n"), seen, F.max("timestamp").alias("last"))
+    told = lambda n, name, more: F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("order"), "seen", name, *more)))
+    head = kinds.groupBy(*keys).agg(F.min("seen.timestamp").alias("first"), F.max("last").alias("last"), F.sum("n").alias("events"), told("n", "type_str", ("n",)).alias("kinds"))
+    order = Window.partitionBy(*keys).orderBy("timestamp", "counter")
+    before = F.lag("url").over(order)
+    came = arrivals.withColumn("came", F.col("loads") | before.isNull() | (F.col("url") != before))
+    pages = came.groupBy(*keys, "url").agg(F.count_if("came").alias("n"), F.min(F.when(F.col("came"), F.struct("timestamp", "counter"))).alias("seen"), F.count("*").alias("rows"))
+    pages = pages.groupBy(*keys).agg(F.sum("rows").alias("rows"), F.sum("n").alias("total"), F.count("*").alias("unique"), F.slice(told("n", "url", ("n",)), 1, TOP_PAGES).alias("pages")).where("rows > 1")
+    tenths = F.expr("(last - first + 50) div 100")
+    n_of = lambda c: c.cast("string")
+    several = lambda n, text: F.when(n > 1, F.concat(F.lit(" ("), n_of(n), F.lit(f" {text})"))).otherwise("")
+    visited = F.when(F.col("unique") == 1, F.concat(F.lit("Pages Visited: 1"), several(F.col("total"), "arrivals"))).otherwise(
+        F.concat(F.lit("Pages Visited: "), n_of(F.col("unique")), F.lit(" unique ("), n_of(F.col("total")), F.lit(" total arrivals)"))
+    )
+    lines = F.transform("pages", lambda p: F.concat(F.lit("  - "), X.page_address(p["url"]), several(p["n"], "arrivals")))
+    rest = F.when(F.col("unique") > TOP_PAGES, F.concat(F.lit("  ... and "), n_of(F.col("unique") - TOP_PAGES), F.lit(" more")))
+    block = F.concat_ws(
+        "\n",
+        F.lit("<SUMMARY>"),
+        F.concat(F.lit("Date Range: "), X.utc_stamp("first"), F.lit(" – "), X.utc_stamp("last")),
+        F.concat(F.lit("Recording: "), n_of(F.col("events")), F.lit(" events over "), n_of(F.floor(tenths / 10).cast("long")), F.lit("."), n_of(tenths % 10), F.lit(" seconds")),
+        F.concat(F.lit("Event Types: "), F.array_join(F.transform("kinds", lambda k: F.concat(k["type_str"], F.lit(" ("), n_of(k["n"]), F.lit(")"))), ", ")),
+        F.when(F.col("pages").isNotNull(), visited),
+        F.when(F.col("pages").isNotNull(), F.array_join(lines, "\n")),
+        F.when(F.col("pages").isNotNull(), rest),
+        F.lit("</SUMMARY>"),
+    )
+    return head.join(pages, list(keys), "left").select(*keys, block.alias("facts"))
+
+
 # ------------------------------------------------------------------ screenshots and requests
 NAME = r"^(.+)_(activity|pulled)_screenshot_(\d+)\.png$"
 

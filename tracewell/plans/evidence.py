@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
+from tracewell.functions import tables
 from tracewell.operators import books, diffs, dom, flat, pages, slices, spans, stream, telemetry, windows
-from tracewell.plans.catalog import _SLICES, _STATUS, ACTS, _slices, _status, acts, query, read
+from tracewell.plans.catalog import _SLICES, _STATUS, ACTS, SQL, _slices, _status, acts, query, read
 from tracewell.settled import settled
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -188,6 +189,31 @@ def composed_window(spark, sf_dir):
     return windows.composed(_table(spark, sf_dir), a, a.where("type_str = 'Click'")).select("window", "label", "timestamp", "shot", "place")
 
 
+@query(f"""WITH {ACTS}, kinds AS (SELECT visitor_id, type_str, count(*) AS n, min(lpad(CAST(timestamp AS VARCHAR), 20, '0') || counter) AS seen FROM acts GROUP BY ALL),
+ dist AS (SELECT visitor_id, string_agg(type_str || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY n DESC, seen) AS d FROM kinds GROUP BY 1), head AS (SELECT visitor_id, min(timestamp) AS a, max(timestamp) AS b, count(*) AS n, (max(timestamp) - min(timestamp) + 50) // 100 AS x FROM acts GROUP BY 1),
+ pg AS (SELECT *, row_number() OVER w AS rn, type_str = 'PageLoad' OR lag(url) OVER w IS NULL OR url <> lag(url) OVER w AS came FROM acts WHERE url IS NOT NULL WINDOW w AS (PARTITION BY visitor_id ORDER BY timestamp, counter)),
+ cnt AS (SELECT visitor_id, url, count(*) FILTER (WHERE came) AS n, min(rn) FILTER (WHERE came) AS seen, count(*) AS m FROM pg GROUP BY 1, 2), tot AS (SELECT visitor_id, CAST(sum(n) AS BIGINT) AS total, count(*) AS u FROM cnt GROUP BY 1 HAVING sum(m) > 1),
+ top AS (SELECT visitor_id, string_agg(chr(10) || '  - ' || url || CASE WHEN n > 1 THEN ' (' || CAST(n AS VARCHAR) || ' arrivals)' ELSE '' END, '' ORDER BY o) AS t FROM (SELECT *, row_number() OVER (PARTITION BY visitor_id ORDER BY n DESC, seen) AS o FROM cnt) WHERE o <= 5 GROUP BY 1)
+ SELECT h.visitor_id, '<SUMMARY>' || chr(10) || 'Date Range: ' || strftime(to_timestamp(a // 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || ' – ' || strftime(to_timestamp(b // 1000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') || chr(10)
+  || 'Recording: ' || CAST(n AS VARCHAR) || ' events over ' || CAST(x // 10 AS VARCHAR) || '.' || CAST(x % 10 AS VARCHAR) || ' seconds' || chr(10) || 'Event Types: ' || d
+  || CASE WHEN u IS NULL THEN '' ELSE chr(10) || CASE WHEN u = 1 THEN 'Pages Visited: 1' || CASE WHEN total > 1 THEN ' (' || CAST(total AS VARCHAR) || ' arrivals)' ELSE '' END ELSE 'Pages Visited: ' || CAST(u AS VARCHAR) || ' unique (' || CAST(total AS VARCHAR) || ' total arrivals)' END
+  || t || CASE WHEN u > 5 THEN chr(10) || '  ... and ' || CAST(u - 5 AS VARCHAR) || ' more' ELSE '' END END || chr(10) || '</SUMMARY>' AS facts
+ FROM head h JOIN dist USING (visitor_id) LEFT JOIN tot USING (visitor_id) LEFT JOIN top USING (visitor_id)""")
+def facts_blocks(spark, sf_dir):
+    a = acts(spark, sf_dir)
+    return windows.facts_block(a, a.where("url is not null").withColumn("loads", F.col("type_str") == "PageLoad"), ("visitor_id",))
+
+
+@query(SQL["composed_window"])
+def event_stream_sql(spark, sf_dir):
+    """The same rows by SQL alone, through the table function."""
+    a = acts(spark, sf_dir).withColumn("line", F.col("type_str"))
+    tables.register(spark)
+    windows.stream_lines(_table(spark, sf_dir), a, a.where("type_str = 'Click'")).createOrReplaceTempView("tracewell_lines")
+    order = ", ".join(windows.READING)
+    return spark.sql(f"SELECT `window`, label, timestamp, shot, place FROM event_stream(TABLE(SELECT * FROM tracewell_lines) PARTITION BY `window` ORDER BY ({order}))")
+
+
 @query(f"""WITH {_TABLE}, p AS (SELECT "window", label, (end_ts - start_ts) // 1000 + 5 AS tokens FROM lb WHERE reason IS NULL)
  SELECT "window", label, CAST(sum(tokens) AS BIGINT) AS tokens, floor(sum(tokens) * 1000 / 100000.0 + 0.5) / 10 AS percent, sum(tokens) <= 80000 AS fits FROM p GROUP BY GROUPING SETS (("window", label), ("window"))""")
 def priced_windows(spark, sf_dir):
@@ -370,6 +396,13 @@ def typing_runs(spark, sf_dir):
     return stream.typing_runs(acts(spark, sf_dir).withColumn("input", F.repeat(F.lit("ab"), (F.col("k") % 7).cast("int")))).select("id", "before", "ends", "added")
 
 
+@query(f"""WITH {ACTS}, e AS (SELECT *, sum(CASE WHEN type_str = 'PageLoad' THEN 1 ELSE 0 END) OVER (PARTITION BY visitor_id ORDER BY timestamp, counter) AS epoch, repeat('ab', CAST(k % 7 AS INTEGER)) AS input FROM acts),
+ i AS (SELECT *, lag(input) OVER w AS before, lead(input) OVER w IS NULL AS ends FROM e WHERE type_str = 'Input' WINDOW w AS (PARTITION BY visitor_id, node_id, epoch ORDER BY timestamp, counter)), c AS (SELECT *, least(length(before), length(input)) AS h FROM i)
+ SELECT id, CASE WHEN before IS NOT NULL THEN CAST(h AS INTEGER) END AS pos, substr(before, h + 1) AS old, CASE WHEN before IS NOT NULL THEN substr(input, h + 1) END AS new, CASE WHEN ends OR before IS NULL THEN input END AS whole FROM c""")
+def typed_changes(spark, sf_dir):
+    return stream.typed_changes(acts(spark, sf_dir).withColumn("input", F.repeat(F.lit("ab"), (F.col("k") % 7).cast("int")))).select("id", "pos", "old", "new", "whole")
+
+
 @query(f"""WITH {ACTS}, d AS (SELECT id, 'abc' || repeat('x', CAST(k % 4 AS INTEGER)) || 'yz' AS a, 'abc' || repeat('x', CAST(k % 3 AS INTEGER)) || 'Qyz' AS b, k % 4 AS m, k % 3 AS n FROM acts)
  SELECT id, CAST(3 + least(m, n) AS INTEGER) AS pos, substr(a, 4 + least(m, n), greatest(m - n, 0)) AS old, substr(b, 4 + least(m, n), greatest(n - m, 0) + 1) AS new FROM d""")
 def edit_deltas(spark, sf_dir):

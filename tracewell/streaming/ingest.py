@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tracewell.functions import exprs as X
 from tracewell.operators import sessions
@@ -115,6 +116,82 @@ def live_routes(events: DataFrame, late: str = "30 days", forget_ms: int = 30 *
     return rows.groupBy("visitor_id").applyInPandasWithState(step, "visitor_id string, timestamp long, counter string, route string", "route string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+STITCHED = "visitor_id string, snippet string, start_ts long, end_ts long, duration_ms long, pageviews long, user_activity_ms long, acts long, engaged int, turn long"
+
+
+class Stitch(StatefulProcessor):
+    """Sessions of one visitor on one site across batches. State: the acts of the last ``forget_ms`` before the watermark, each content once; a timer drops what is older.
+
+    A batch's acts, late or repeated, are put among those held, and the sessions of all of them come out with the number of the turn; the last turn's stand.
+    """
+
+    def __init__(self, rule: SessionRule, forget_ms: int):
+        self.rule, self.forget_ms = rule, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("acts", "timestamp long, page int, content_hash string")
+        self.turn = handle.getValueState("turn", "n long")
+
+    def _sessions(self, key: tuple, acts: list[tuple], turn: int) -> pd.DataFrame:
+        rule, out = self.rule, []
+        for t, page, _ in acts:
+            if out and t - out[-1][1] <= rule.gap_ms:
+                last = out[-1]
+                step = t - last[1]
+                out[-1] = (last[0], t, last[2] + page, last[3] + (step if step <= rule.stretch_ms else 0), last[4] + 1)
+            else:
+                out.append((t, t, page, 0, 1))
+        engaged = lambda s: int(s[1] - s[0] > rule.engaged_ms or s[2] >= rule.engaged_pageviews)
+        rows = [(*key, s[0], s[1], s[1] - s[0], s[2], s[3], s[4], engaged(s), turn) for s in out]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in STITCHED.split(", ")])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        known, fresh = {r[2] for r in held}, []
+        for part in rows:
+            for t, kind, content in zip(part["timestamp"], part["type_str"], part["content_hash"], strict=True):
+                if content not in known:
+                    known.add(content)
+                    fresh.append((int(t), int(kind == "PageLoad"), content))
+        if not fresh:
+            return
+        turn = (self.turn.get()[0] if self.turn.exists() else 0) + 1
+        acts = sorted(held + fresh)
+        self.turn.update((turn,))
+        self.held.put(acts)
+        self.handle.registerTimer(max(acts[-1][0] + self.forget_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._sessions(key, acts, turn)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = timerValues.getCurrentWatermarkInMs() - self.forget_ms
+        left = [tuple(r) for r in self.held.get() if r[0] > until] if self.held.exists() else []
+        if left:
+            self.held.put(left)
+        else:  # the turn stays, so that what comes after such a silence counts on
+            self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stitched(acts: DataFrame, rule: SessionRule = SessionRule(), late: str = "30 days", forget_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Sessions of a stream of acts(visitor_id, snippet, timestamp, type_str, content_hash), each key's anew whenever some of its acts are new: of a key the rows of the highest ``turn`` stand.
+
+    Acts count once by their content, so what is sent again changes nothing. One later than the watermark is dropped. State is a visitor's acts on a site, in one task. The session must have RocksDB as its
+    state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    rows = acts.select("visitor_id", F.coalesce("snippet", F.lit("")).alias("snippet"), "timestamp", "type_str", "content_hash", F.timestamp_millis("timestamp").alias("at")).withWatermark("at", late)
+    return rows.groupBy("visitor_id", "snippet").transformWithStateInPandas(Stitch(rule, forget_ms), outputStructType=STITCHED, outputMode="Append", timeMode="EventTime")
+
+
+def standing_sessions(rows: DataFrame) -> DataFrame:
+    """Of what ``stitched`` has put out, the sessions that stand."""
+    last = rows.groupBy("visitor_id", "snippet").agg(F.max("turn").alias("turn"))
+    return rows.join(last, ["visitor_id", "snippet", "turn"], "left_semi").drop("turn")
+
+
 def delivery_latency(objects: DataFrame) -> DataFrame:
     """How long after a slice opened each of its objects was stored."""
     return objects.withColumn("latency_ms", F.col("uploaded_ms") - X.slice_open_ms("recorder_slice"))
