@@ -6,6 +6,7 @@ but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,10 +20,27 @@ from llm.spark_io import lean, numbered, shared_folder, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A language prediction below this is no prediction.
 LEAST_SCORE = 0.5
+#: Rows that Spark hands to a Python worker at once. Texts are long, and a batch lies in memory twice, on either side.
+BATCH = 1000
 #: SQL can't express learned models, so the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, with batches of at most BATCH rows for the session from then on; a smaller number that is set already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        held = int(spark.conf.get(name, "10000"))
+        if not 0 < held <= BATCH:
+            spark.conf.set(name, str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@small_batches
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the toxicity model, learned from the labels of the rows that aren't held out, doesn't mark."""
     learning = ~langid.is_held_out()
@@ -31,6 +49,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).where("predicted = 0").select(*COLUMNS)
 
 
+@small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is known: neither undetermined nor below LEAST_SCORE."""
     model = langid.train(docs.where(~langid.is_held_out()).select("text", "lang"))
@@ -38,6 +57,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).where(known).select(*COLUMNS)
 
 
+@small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates keep the document of smallest id."""
     groups = ngram_join.ngram_components(docs.select("doc_id", "text"))
@@ -52,6 +72,7 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
 
 
+@small_batches
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove the passages that an earlier document holds. A character cut in two goes."""
     docs = numbered(docs, "row")
@@ -60,6 +81,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source", "row").join(cut, "row").withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
+@small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
     import public_tokenizers
