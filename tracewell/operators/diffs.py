@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,29 +49,42 @@ def _kept(pairs: pa.Table) -> pa.Table:
     """Of one gap's pairs those of a longest sequence that rises on both sides."""
     order = np.lexsort((pairs["new_at"].to_numpy(), pairs["old_at"].to_numpy()))
     pairs = pairs.take(pa.array(order))
-    return pairs.take(pa.array(longest_rising(pairs["new_at"].to_pylist()), pa.int64())).select(["key", "old_at", "new_at"])
+    return pairs.take(pa.array(longest_rising(pairs["new_at"].to_pylist()), pa.int64())).select(["key", "gap", "old_at", "new_at"])
 
 
-def aligned(units: DataFrame) -> DataFrame:
-    """units(key long, side int, at int, h): adds ``mate``, a unit's place on the other side or null, and ``gap``, the number of kept units before it.
+def aligned(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """units(key, side int, at int, h, …) as (lone, kept): units without a mate, with ``gap``, the old place of the kept unit before or -1; and (key, side, at, mate) of those with one.
 
-    side: 0 for the old sequence, 1 for the new one. h: equal for equal units.
+    side: 0 for the old sequence, 1 for the new one. h: equal for equal units. Repeated rows of one key, side and place count once. A round
+    goes on with what is left of gaps that shared something, and writes down no more than that.
     """
-    found = units.withColumn("mate", F.lit(None).cast("int")).withColumn("gap", F.lit(0).cast("long"))
-    in_gap, on_side = Window.partitionBy("key", "gap"), Window.partitionBy("key", "side").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    places = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("at"))))
+    open_ = units.withColumn("gap", F.lit(-1))
+    kind = units.schema["key"].dataType.simpleString()
+    in_gap = Window.partitionBy("key", "gap")
+    before = Window.partitionBy("key", "side", "gap").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    places = lambda side: F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("at"))))
+    lone, kept = [], []
     while True:
-        shared = found.where("mate is null").groupBy("key", "gap", "h").agg(places(0).alias("old"), places(1).alias("new")).where("size(old) > 0 and size(new) > 0")
+        shared = open_.groupBy("key", "gap", "h").agg(places(0).alias("old"), places(1).alias("new")).where("size(old) > 0 and size(new) > 0")
         single = (F.size("old") == 1) & (F.size("new") == 1)
         shared = shared.withColumn("single", single).withColumn("any", F.max("single").over(in_gap)).where("single or not any")
         n = F.least(F.size("old"), F.size("new"))
         pairs = shared.select("key", "gap", F.inline(F.arrays_zip(F.slice("old", 1, n).alias("old_at"), F.slice("new", 1, n).alias("new_at"))).alias("old_at", "new_at"))
-        pairs = settled(pairs.groupBy("key", "gap").applyInArrow(_kept, "key long, old_at int, new_at int"))
+        pairs = settled(pairs.groupBy("key", "gap").applyInArrow(_kept, f"key {kind}, gap int, old_at int, new_at int"))
         if pairs.isEmpty():
-            return found
-        told = pairs.select("key", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old_at").alias("at"), F.col("new_at").alias("told")), F.struct(F.lit(1).alias("side"), F.col("new_at").alias("at"), F.col("old_at").alias("told")))))
-        found = found.drop("gap").join(told, ["key", "side", "at"], "left").withColumn("mate", F.coalesce("mate", "told")).drop("told")
-        found = settled(found.withColumn("gap", F.count("mate").over(on_side)))
+            lone.append(open_.dropDuplicates(["key", "side", "at"]))
+            break
+        told = pairs.select("key", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old_at").alias("at"), F.col("new_at").alias("mate")), F.struct(F.lit(1).alias("side"), F.col("new_at").alias("at"), F.col("old_at").alias("mate")))))
+        kept.append(told)
+        rows = open_.join(told, ["key", "side", "at"], "left").dropDuplicates(["key", "side", "at"])
+        old_place = F.when(F.col("mate").isNotNull(), F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("mate")))
+        rows = rows.join(pairs.select("key", "gap", F.lit(True).alias("shares")).distinct(), ["key", "gap"], "left")
+        rows = rows.withColumn("gap", F.coalesce(F.last(old_place, ignorenulls=True).over(before), "gap")).where("mate is null").drop("mate")
+        rows = settled(rows)
+        lone.append(rows.where("shares is null").drop("shares"))
+        open_ = rows.where("shares").drop("shares")
+    none = units.sparkSession.createDataFrame([], f"key {kind}, side int, at int, mate int")
+    return reduce(DataFrame.unionByName, lone), reduce(DataFrame.unionByName, kept, none)
 
 
 def _units(rows: DataFrame, old: str, new: str, split: Callable) -> DataFrame:
@@ -80,14 +94,14 @@ def _units(rows: DataFrame, old: str, new: str, split: Callable) -> DataFrame:
 
 
 def changed_lines(rows: DataFrame, old: str, new: str) -> DataFrame:
-    """(key, gap, rank, side, at, line): lines that only one of the two texts has in their place. rows: (key long, old, new), null counts as empty.
+    """(key, gap, rank, side, at, line): lines that only one of the two texts has in their place. rows: (key, old, new), null counts as empty; equal keys have equal texts.
 
-    gap: the number of kept lines before. rank: the line's number among its side's changed lines in the gap, so that what was
+    gap: the old place of the kept line before, or -1. rank: the line's number among its side's changed lines in the gap, so that what was
     there and what took its place have the same.
     """
     units = _units(rows.where(F.coalesce(old, F.lit("")) != F.coalesce(new, F.lit(""))), old, new, lambda c: F.split(c, "\n", -1))
-    lone = aligned(units.drop("part")).where("mate is null").withColumn("rank", F.row_number().over(Window.partitionBy("key", "side", "gap").orderBy("at")))
-    return lone.drop("h", "mate").join(units.select("key", "side", "at", F.col("part").alias("line")), ["key", "side", "at"])
+    rank = F.row_number().over(Window.partitionBy("key", "side", "gap").orderBy("at"))
+    return aligned(units)[0].select("key", "gap", rank.alias("rank"), "side", "at", F.col("part").alias("line"))
 
 
 def shortened(pairs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
@@ -95,7 +109,7 @@ def shortened(pairs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     units = _units(pairs, "old", "new", lambda c: F.regexp_extract_all(c, F.lit(r"(\w+|\s+|[^\w\s])"), F.lit(1)))
     on_side = Window.partitionBy("key", "side").orderBy("at")
     placed = units.withColumn("end", F.sum(F.char_length("part")).over(on_side)).withColumn("start", F.col("end") - F.char_length("part")).drop("part", "h")
-    kept = aligned(units.drop("part")).where("mate is not null").join(placed, ["key", "side", "at"])
+    kept = aligned(units.drop("part"))[1].join(placed, ["key", "side", "at"])
     breaks = (F.coalesce(F.lag("at").over(on_side) + 1 != F.col("at"), F.lit(True)) | F.coalesce(F.lag("mate").over(on_side) + 1 != F.col("mate"), F.lit(True))).cast("int")
     runs = kept.withColumn("new_run", breaks).withColumn("run", F.sum("new_run").over(on_side)).groupBy("key", "side", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     lines = pairs.select("key", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old").alias("line")), F.struct(F.lit(1).alias("side"), F.col("new").alias("line")))))
@@ -116,14 +130,16 @@ def with_diffs(versions: DataFrame, old: str, new: str, name: str = "diff") -> D
 
     Lines that both hold aren't told, nor any places. Equal texts (null counts as empty) have an empty diff. Rows may repeat.
     """
-    source = settled(versions.drop(name).withColumn("_key", F.monotonically_increasing_id()))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    # equal pairs of texts have one key and one diff; the length sets the two texts apart
+    source = versions.drop(name).withColumn("_key", F.unhex(F.md5(F.concat(F.char_length(text(old)).cast("string"), F.lit(" "), text(old), text(new)))))
     lone = settled(changed_lines(source.select(F.col("_key").alias("key"), F.col(old).alias("old"), F.col(new).alias("new")), "old", "new"))
     both = lone.groupBy("key", "gap", "rank").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("old"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("new"))
     long_ = settled(both.where((F.char_length("old") >= 2 * ANCHOR) & (F.char_length("new") >= 2 * ANCHOR)).withColumn("pair", F.monotonically_increasing_id()))
     short = shortened(long_.select(F.col("pair").alias("key"), "old", "new")).withColumnRenamed("key", "pair").withColumnRenamed("line", "short")
     short = short.join(long_.select("pair", "key", "gap", "rank"), "pair").drop("pair")
     told = lone.join(short, ["key", "gap", "rank", "side"], "left")
-    text = F.concat(F.when(F.col("side") == 0, "- ").otherwise("+ "), F.coalesce("short", "line"))
-    lines = told.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("gap", "rank", "side", text.alias("text")))).alias("_lines"))
+    told_text = F.concat(F.when(F.col("side") == 0, "- ").otherwise("+ "), F.coalesce("short", "line"))
+    lines = told.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("gap", "rank", "side", told_text.alias("text")))).alias("_lines"))
     out = F.coalesce(F.array_join(F.col("_lines.text"), "\n"), F.lit(""))
     return source.join(lines, "_key", "left").withColumn(name, out).drop("_key", "_lines")
