@@ -12,6 +12,8 @@ double precision.
 
 Vectors that are null, hold a null or a component that isn't finite, are zero, or differ in length from most vectors take no part: they
 are neither candidates nor queries. Ties go to the smaller id. Rows that repeat an id count once for each different vector; extra columns are ignored.
+
+An empty table, or one without a vector that takes part, gives no rows.
 """
 
 from __future__ import annotations

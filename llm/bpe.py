@@ -12,6 +12,7 @@ parts it has met in a bounded table, so common words are merged once.
 
 A null text counts as empty and gives no ids. Ids of a row are little-endian unsigned 32-bit integers in one binary value,
 a quarter of its length of them. Rows keep all other columns; a column of the new one's name is replaced; repeated rows stay repeated.
+Texts of any length are encoded whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

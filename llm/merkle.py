@@ -10,6 +10,8 @@ descended together, branches that occur in both count whole, and only the others
 The likeness is twice the bytes of what both hold over the bytes of both, 1 for equal roots.
 
 Null text counts as empty, with a likeness of 0 to all but other empty texts. Repeated rows and extra columns do no harm.
+
+An empty table gives no rows. A fingerprint is about a third as long as its text.
 """
 
 from __future__ import annotations

@@ -21,7 +21,7 @@ common in the corpus last. Two sets of similarity t or more share an element amo
 
 Set elements are 56-bit hashes. Null or blank texts have empty sets and link with nothing.
 Rows with a null id are returned with their set's size and a null component. Rows that repeat an id are all returned; they
-count as one document with several texts. Extra columns are ignored.
+count as one document with several texts. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations

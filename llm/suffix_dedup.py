@@ -14,7 +14,7 @@
 3. Documents' bytes meet their removed ranges and are put together.
 
 Texts are UTF-8 bytes; null counts as empty. Documents are ordered by id; a null id comes after all others. Repeated rows of one id are
-no earlier than each other, so neither removes the other's bytes. Extra columns are ignored. Texts of any length are cut
+no earlier than each other, so neither removes the other's bytes. Extra columns are ignored, and an empty table gives no rows. Texts of any length are cut
 into overlapping stretches, and no document or passage is gathered with all of its repeats.
 
 Rows are told apart by a number, never by a hash. All of it is one chain of shuffles without intermediate files; rows that travel are packed and compressed, so they stay few and

@@ -16,7 +16,7 @@ UTF-8 bytes.
 
 A text of any length and without any space is counted whole. No piece holds the mark after another character, so a text is cut before each mark that follows one, and a task keeps the
 counts of the parts it has met in a bounded table. Null and empty texts have no tokens. Rows keep their other
-columns; repeated rows stay repeated.
+columns; repeated rows stay repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
