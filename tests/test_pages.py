@@ -217,3 +217,50 @@ def test_broken_trees_do_no_harm(spark):
     told = dom.nodes(dom.with_epochs(df))
     assert {(x["node_id"], x["said"]) for x in told.collect()} == {(4, "add"), (4, "attributes"), (9, "refer")}
     assert dom.lifetimes(told.limit(0)).count() == 0
+
+
+NODES = "visitor_id string, recorder_slice string, epoch long, at long, timestamp long, node_id long, tag string, class string, href string, value string, parent long, next long, kind int, place int, said string"
+
+
+def test_pages_without_nodes_and_nodes_above_themselves(spark):
+    """Clicks on pages of which nothing was told find nothing; nodes that were added below themselves, or below each other in one event, never live."""
+    own = {"type": 3, "data": {"source": 0, "adds": [{"parentId": 9, "node": {"type": 2, "id": 9, "tagName": "A"}}]}}
+    each = {"type": 3, "data": {"source": 0, "adds": [{"parentId": 6, "node": {"type": 2, "id": 5, "tagName": "A"}}, {"parentId": 5, "node": {"type": 2, "id": 6, "tagName": "B", "childNodes": [{"type": 3, "id": 7, "textContent": "x"}]}}]}}
+    rows = [(k, "v", "s", k, str(k), e["type"], json.dumps(e), None) for k, e in enumerate([{"type": 2, "data": {"node": {"type": 0, "id": 1}}}, own, each])]
+    rows += [(10 + k, v, "s", 10, str(10 + k), 3, None, target) for k, (v, target) in enumerate([("v", 9), ("v", 6), ("v", 1), ("w", 1), ("w", None)])]
+    df = dom.with_epochs(spark.createDataFrame(rows, KIND))
+    told = dom.nodes(df)
+    assert {x["node_id"]: x["ends"] > x["born"] for x in dom.lifetimes(told).collect()} == {1: True, 5: False, 6: False, 7: False, 9: False}
+    out = dom.seen(df.where("raw is null"), told)
+    assert [(x["id"], x["tag"], x["class"], x["href"], x["text"]) for x in out.orderBy("id").collect()] == [(k, None, None, None, None) for k in range(10, 15)]
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_nodes_move_once(spark):
+    """One shuffle brings all that was told of a page together, with clicks or without, and nothing is written down between."""
+    told = spark.createDataFrame([], NODES)
+    clicks = spark.createDataFrame([], "id long, visitor_id string, recorder_slice string, epoch long, at long, target_id long")
+    for out in (dom.lifetimes(told), dom.followed(clicks, told), dom.with_text(clicks, told), dom.seen(clicks, told), dom.unresolved(told)):
+        assert shuffles(out) == 1
+        assert out.count() == 0
+
+
+def test_a_page_over_many_batches_and_many_pages_in_one(spark):
+    """A page of 30,000 nodes between small ones: the task's batches break within it. An element with many texts shows the first of them."""
+    leaves = [{"type": 3, "id": 10 + k, "textContent": f" t{k}" if k > 20_000 else " "} for k in range(30_000)]
+    big = {"type": 2, "data": {"node": {"type": 0, "id": 1, "childNodes": [{"type": 2, "id": 2, "tagName": "P", "childNodes": leaves}]}}}
+    small = {"type": 2, "data": {"node": {"type": 0, "id": 1, "childNodes": [{"type": 2, "id": 2, "tagName": "P", "childNodes": leaves[-1:]}]}}}
+    rows = []
+    for v in range(40):
+        for k, e in enumerate((big if v in (7, 8, 30) else small, {"type": 3, "data": {"source": 2, "id": 2}})):
+            rows.append((2 * v + k, f"v{v:02d}", "s", k, str(k), e["type"], json.dumps(e), 2 if k else None))
+    df = dom.with_epochs(spark.createDataFrame(rows, KIND))
+    told = dom.nodes(df)
+    lives = dom.lifetimes(told).groupBy("visitor_id").count().collect()
+    assert {x["visitor_id"]: x["count"] for x in lives} == {f"v{v:02d}": 30_002 if v in (7, 8, 30) else 3 for v in range(40)}
+    words = " ".join(f"t{k}" for k in range(20_001, 20_020))
+    out = {x["visitor_id"]: x["text"] for x in dom.seen(df.where("target_id is not null"), told).collect()}
+    assert out == {f"v{v:02d}": words[:79].rsplit(" ", 1)[0] + "…" if v in (7, 8, 30) else "t29999" for v in range(40)}

@@ -1,23 +1,27 @@
 """The recorded page as rows: lifetimes of its nodes, and what an event's target was at that moment: tag, class, followed address, shown text.
 
-Only taking an event's JSON tree apart, and numbering one page's nodes in document order, is Python, a few lines each; all else is joins and windows, no mirror that replays a slice.
 A snapshot begins a new page (``epoch``). A node named in it or added later is an *instance* from that event on. Its parent is fixed then: whoever has
 another parent has been added again. It ends at its own removal, when it is added again, or with its parent; the ends of all ancestors come together by pointer doubling, in
-as many rounds as the depth has binary digits, and so does the nearest anchor above. An instance whose parent isn't there never lives.
+as many rounds as the depth has binary digits, and so does the nearest anchor above. An instance whose parent isn't there, or that is its own ancestor, never lives.
+
+What events said of nodes, and what is asked of them, meets by page in one shuffle, sorted by page. Tasks take whole pages from it, many at a time, as arrays (``_Played``): states by node and
+moment, in which a binary search finds the last one at a moment. A page's rows are all that a task holds beside one batch, and only what was asked for leaves it. Taking an event's JSON
+tree apart and numbering nodes in document order are loops; there is no mirror that replays a slice.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import exprs as X
 from tracewell.operators.slices import KEYS, ORDER
-from tracewell.settled import settled
 
 # Numbers of node types and event kinds in the recording format, elements that make links, and those that show no text.
 ELEMENT, TEXT, SNAPSHOT, INCREMENTAL, MUTATION = 2, 3, 2, 3, 0
@@ -25,13 +29,15 @@ ANCHORS = ("a", "area")
 UNSHOWN = ("script", "style", "noscript", "template", "head", "title", "meta", "link", "defs", "symbol", "clippath", "mask", "lineargradient", "radialgradient", "pattern", "metadata", "desc")
 #: Words of a target's text are cut at so many characters (a fixed value).
 TEXT_CAP = 80
+#: Texts of an element that are looked at together (a fixed value).
+STRETCH = 32
 #: An end that never comes.
 NEVER = (1 << 62) - 1
 PAGE = (*KEYS, "epoch")
 _NODE = {
-    "node_id": pa.int64(), "tag": pa.string(), "class": pa.string(), "href": pa.string(), "value": pa.string(), "parent": pa.int64(), "next": pa.int64(), "kind": pa.int32(), "place": pa.int32(), "said": pa.string(),
+    "node_id": pa.int64(), "tag": pa.string(), "class": pa.string(), "href": pa.string(), "value": pa.string(), "parent": pa.int64(), "next": pa.int64(), "kind": pa.int32(), "said": pa.string(), "place": pa.int32(),
 }
-_TYPES = {"node_id": "long", "tag": "string", "class": "string", "href": "string", "value": "string", "parent": "long", "next": "long", "kind": "integer", "place": "integer", "said": "string"}
+_TYPES = {"node_id": "long", "tag": "string", "class": "string", "href": "string", "value": "string", "parent": "long", "next": "long", "kind": "integer", "said": "string", "place": "integer"}
 
 
 def _number(x: object) -> int | None:
@@ -43,23 +49,27 @@ def _text(attributes: dict, name: str) -> str | None:
     return value if isinstance(value, str) else None
 
 
-def _added(trees: list[tuple[dict, int | None, int | None]]) -> Iterator[dict]:
+def _added(trees: list[tuple[dict, int | None, int | None]]) -> Iterator[tuple]:
     """Rows of trees with the ids that they hang from, and those that they stand before; within a tree in page order."""
     stack = [t for t in reversed(trees) if isinstance(t[0], dict)]
     while stack:
         node, parent, next_ = stack.pop()
-        i, attributes = _number(node.get("id")), node.get("attributes") if isinstance(node.get("attributes"), dict) else {}
-        tag = node["tagName"].lower() if node.get("type") == ELEMENT and isinstance(node.get("tagName"), str) else None
+        i, kind, tag = _number(node.get("id")), _number(node.get("type")), node.get("tagName")
         if i is None:
             continue
-        yield {
-            "node_id": i, "tag": tag, "class": _text(attributes, "class"), "href": _text(attributes, "href"), "value": _text(node, "textContent") if node.get("type") == TEXT else None,
-            "parent": parent, "next": next_, "kind": _number(node.get("type")), "said": "add",
-        }
-        stack += [(c, i, None) for c in reversed(node.get("childNodes") or []) if isinstance(c, dict)]
+        attributes = node.get("attributes")
+        class_, href = (_text(attributes, "class"), _text(attributes, "href")) if attributes and isinstance(attributes, dict) else (None, None)
+        yield i, tag.lower() if kind == ELEMENT and isinstance(tag, str) else None, class_, href, _text(node, "textContent") if kind == TEXT else None, parent, next_, kind, "add"
+        if below := node.get("childNodes"):
+            stack += [(c, i, None) for c in reversed(below) if isinstance(c, dict)]
+
+
+def _told(i: object, said: str, class_: str | None = None, href: str | None = None, value: str | None = None) -> tuple:
+    return _number(i), None, class_, href, value, None, None, None, said
 
 
-def _rows(raw: str) -> Iterator[dict]:
+def _rows(raw: str) -> Iterator[tuple]:
+    """What an event's JSON text says of nodes, in the order of ``_NODE`` without the place."""
     try:
         event = json.loads(raw)
     except ValueError:
@@ -72,21 +82,22 @@ def _rows(raw: str) -> Iterator[dict]:
         yield from _added([(data.get("node"), None, None)])
     elif event.get("type") == INCREMENTAL and data.get("source") == MUTATION:
         for x in each("removes"):
-            yield {"node_id": _number(x.get("id")), "said": "remove"}
+            yield _told(x.get("id"), "remove")
         yield from _added([(x.get("node"), _number(x.get("parentId")), _number(x.get("nextId"))) for x in each("adds")])
         for x in each("texts"):
-            yield {"node_id": _number(x.get("id")), "value": _text(x, "value"), "said": "text"}
+            yield _told(x.get("id"), "text", value=_text(x, "value"))
         for x in each("attributes"):
-            yield {"node_id": _number(x.get("id")), "said": "attributes"}
+            yield _told(x.get("id"), "attributes")
             told = x.get("attributes") if isinstance(x.get("attributes"), dict) else {}
-            for name in ("class", "href"):
-                if name in told:
-                    yield {"node_id": _number(x.get("id")), name: _text(told, name), "said": name}
+            if "class" in told:
+                yield _told(x.get("id"), "class", class_=_text(told, "class"))
+            if "href" in told:
+                yield _told(x.get("id"), "href", href=_text(told, "href"))
     elif event.get("type") == INCREMENTAL:
         ids = [data.get("id"), *(x.get("id") for x in each("positions")), *(x.get(c) for x in each("ranges") for c in ("start", "end"))]
         for i in dict.fromkeys(map(_number, ids)):
             if i is not None and i >= 1:
-                yield {"node_id": i, "said": "refer"}
+                yield _told(i, "refer")
 
 
 def with_epochs(events: DataFrame) -> DataFrame:
@@ -105,196 +116,316 @@ def nodes(events: DataFrame, raw: str = "raw", more: tuple[str, ...] = ()) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, rows = [], []
-            for k, text in enumerate(batch.column("raw").to_pylist()):
-                for place, row in enumerate(_rows(text or "")):
-                    if row["node_id"] is not None:
-                        at.append(k)
-                        rows.append(row | {"place": place})
-            told = batch.select(keep).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*told.columns, *(pa.array([r.get(c) for r in rows], kind) for c, kind in _NODE.items())], [*keep, *_NODE])
+            rows, count = [], []
+            for text in batch.column("raw").to_pylist():
+                own = [row for row in _rows(text) if row[0] is not None] if text else []
+                rows += own
+                count.append(len(own))
+            count = np.array(count, np.int64)
+            told = batch.select(keep).take(pa.array(np.repeat(np.arange(len(count)), count)))
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+            columns = zip(*rows, strict=True) if rows else [()] * (len(_NODE) - 1)
+            yield pa.RecordBatch.from_arrays([*told.columns, *(pa.array(c, kind) for c, kind in zip(columns, list(_NODE.values())[:-1], strict=True)), pa.array(place, pa.int32())], [*keep, *_NODE])
 
     return source.mapInArrow(run, schema)
 
 
-# ------------------------------------------------------------------ lifetimes
-def instances(told: DataFrame) -> DataFrame:
-    """Each node from each of its adds on: (keys, epoch, node_id, born, ends, parent, parent_born, tag, kind, value, next, place). ends: by its own removal or the next add, exclusive."""
-    own = told.where(F.col("said").isin("add", "remove")).groupBy(*PAGE, "node_id", "at", F.col("said")).agg(F.max_by(F.struct("parent", "tag", "kind", "value", "next", "place"), "place").alias("s"))
-    of_node = Window.partitionBy(*PAGE, "node_id").orderBy("at", F.desc("said"))  # a removal goes before an add in one event
-    born = own.withColumn("ends", F.coalesce(F.lead("at").over(of_node), F.lit(NEVER))).where("said = 'add'").select(*PAGE, "node_id", F.col("at").alias("born"), "ends", "s.*")
-    # the parent's instance is the last one that was there by then
-    states = born.select(*PAGE, F.col("node_id").alias("key"), F.col("born").alias("at"), F.lit(0).alias("side"), F.col("born").alias("known"))
-    asks = born.withColumn("key", F.col("parent")).withColumn("at", F.col("born")).withColumn("side", F.lit(1))
-    both = asks.unionByName(states, allowMissingColumns=True)
-    last = F.last("known", ignorenulls=True).over(Window.partitionBy(*PAGE, "key").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("parent_born", F.when(F.col("parent").isNotNull(), last)).where("side = 1").drop("key", "at", "side", "known")
+# ------------------------------------------------------------------ pages in tasks
+def _page_numbers(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """A number for each row's page, from 0; rows of a page stand together."""
+    fresh = np.zeros(rows.num_rows, bool)
+    for c in PAGE:
+        column = rows.column(c)
+        codes = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return np.cumsum(fresh)
+
+
+def _by_page(rows: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """f of whole pages, many at a time. Rows meet by page in one shuffle; the last page of a batch waits for its other rows."""
+    key = lambda batch, k: [batch.column(c)[k].as_py() for c in PAGE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            page = _page_numbers(batch)
+            start = int(np.searchsorted(page, page[-1]))
+            if start or (held and key(held[-1], -1) != key(batch, 0)):
+                yield from f(pa.Table.from_batches([*held, batch.slice(0, start)])).to_batches()
+                held = []
+            held.append(batch.slice(start))
+        if held:
+            yield from f(pa.Table.from_batches(held)).to_batches()
+
+    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, schema)
+
+
+def _schema(rows: DataFrame, columns: list[str], more: str = "") -> str:
+    return ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), *([more] if more else [])])
+
+
+def _picked(values: pa.ChunkedArray, at: np.ndarray) -> pa.ChunkedArray:
+    """values at these places; null where a place is below 0."""
+    return values.take(pa.array(at, pa.int64(), mask=at < 0))
+
+
+def _at(values: np.ndarray, places: np.ndarray, none: int = -1) -> np.ndarray:
+    """values at these places; none where a place is below 0."""
+    out = np.full(len(places), none, values.dtype)
+    out[places >= 0] = values[places[places >= 0]]
+    return out
+
+
+class _Played:
+    """Whole pages' rows as arrays: instances by node and birth, each a place in ``row``, ``born``, ``ends``, ``up``, ``anchor`` (places too, -1 for none), and searches by node and moment."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        self.page, self.at, self.place = _page_numbers(rows), self.ints("at"), self.ints("place")
+        self.is_said = {said: pc.fill_null(pc.equal(rows["said"], said), False).to_numpy() for said in ("add", "remove", "class", "href", "text", "attributes", "refer", "ask")}
+        self.no_tag = rows["tag"].is_null().to_numpy()
+        own = np.flatnonzero(self.is_said["add"] | self.is_said["remove"])
+        self.ids = np.unique(self.ints("node_id")[own])
+        self.keys = np.unique(self._key("node_id")[own])
+        self.node, self.parent = self.named("node_id"), self.named("parent")
+        self.span = int(self.at.max()) + 2
+        self._instances(own)
+        self._close()
+
+    def ints(self, column: str) -> np.ndarray:
+        return pc.fill_null(self.rows[column], 0).to_numpy().astype(np.int64)
+
+    def _key(self, column: str) -> np.ndarray:
+        """A number for each row's page and the id in column, of those that were ever added or removed; else -1."""
+        if not len(self.ids):
+            return np.full(self.rows.num_rows, -1)
+        value = self.ints(column)
+        code = np.minimum(np.searchsorted(self.ids, value), len(self.ids) - 1)
+        known = (self.ids[code] == value) & self.rows[column].is_valid().to_numpy()
+        return np.where(known, self.page * len(self.ids) + code, -1)
+
+    def named(self, column: str) -> np.ndarray:
+        """The number of the node that column names on its row's page, or -1."""
+        if not len(self.keys):
+            return np.full(self.rows.num_rows, -1)
+        key = self._key(column)
+        code = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[code] == key) & (key >= 0), code, -1)
+
+    def _last(self, nodes: np.ndarray, moments: np.ndarray, node: np.ndarray, at: np.ndarray, before: bool = False) -> np.ndarray:
+        """The place of a node's last state at ``at`` (or before it), or -1. nodes, moments: of the states, in order."""
+        found = np.searchsorted(nodes * self.span + moments, node * self.span + at, "left" if before else "right") - 1
+        return np.where((node >= 0) & (_at(nodes, found) == node), found, -1)
+
+    def _instances(self, own: np.ndarray) -> None:
+        adds = self.is_said["add"]
+        own = own[np.lexsort((self.place[own], adds[own], self.at[own], self.node[own]))]  # a removal goes before an add in one event
+        state = np.stack((self.node[own], self.at[own], adds[own]))
+        own = own[np.append((state[:, 1:] != state[:, :-1]).any(0), True)] if len(own) else own
+        node, at = self.node[own], self.at[own]
+        ends = np.full(len(own), NEVER)
+        follows = np.flatnonzero(node[1:] == node[:-1])
+        ends[follows] = at[follows + 1]
+        kept = adds[own]
+        self.row, self.ends = own[kept], ends[kept]
+        self.born, self.of = self.at[self.row], self.node[self.row]
+        # the parent's instance is the last one that was there by then
+        self.up = self._last(self.of, self.born, self.parent[self.row], self.born)
+        lost = (self.up < 0) & self.rows["parent"].is_valid().to_numpy()[self.row]
+        self.ends[lost] = self.born[lost]
+
+    def _close(self) -> None:
+        # of the stretch from a node, exclusive, to where its pointer leads, inclusive: the nearest anchor, and whether a document shuts off what is beyond it
+        is_anchor = pc.fill_null(pc.is_in(self.rows["tag"], pa.array(ANCHORS)), False).to_numpy()[self.row]
+        to = self.up.copy()
+        anchor = np.where(_at(is_anchor, to, False), to, -1)
+        shut = _at(self.no_tag[self.row], to, True)
+        for _ in range(len(to).bit_length() + 1):
+            a = np.flatnonzero(to >= 0)
+            if not len(a):
+                break
+            b = to[a]
+            ends, found, closed, to_ = np.minimum(self.ends[a], self.ends[b]), np.where((anchor[a] < 0) & ~shut[a], anchor[b], anchor[a]), shut[a] | shut[b], to[b]
+            self.ends[a], anchor[a], shut[a], to[a] = ends, found, closed, to_
+        self.ends[to >= 0] = self.born[to >= 0]  # pointers that never leave the page go round
+        self.ends, self.anchor = np.maximum(self.ends, self.born), anchor
+        self.living = np.flatnonzero(self.ends > self.born)
+
+    def alive(self, node: np.ndarray, at: np.ndarray, before: bool = False) -> np.ndarray:
+        """The instance of a node that lives at ``at``, or -1. One born in the event itself counts; before: one that ends in it."""
+        found = self._last(self.of[self.living], self.born[self.living], node, at, before)
+        place = _at(self.living, found)
+        return np.where(_at(self.ends, place) + before > at, place, -1)
+
+    def told(self, rows: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A search for the last of these rows (a mask) that names a node, up to and with a moment."""
+        states = np.flatnonzero(rows & (self.node >= 0))
+        states = states[np.lexsort((self.place[states], self.at[states], self.node[states]))]
+        nodes, moments = self.node[states], self.at[states]
+
+        def search(node: np.ndarray, at: np.ndarray) -> np.ndarray:
+            return _at(states, self._last(nodes, moments, node, at))
+
+        return search
+
+    def numbered(self, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all instances of these pages: number in document order, that after the last one below, and the number of the nearest element from it upward that shows no text, or -1.
+
+        Over all that ever lived in a page. What was added before a sibling stands right before it.
+        """
+        of_pages = np.flatnonzero(np.isin(self.page[self.row], pages))
+        of_pages = of_pages[np.lexsort((self.place[self.row[of_pages]], self.born[of_pages], self.page[self.row[of_pages]]))]
+        unshown = pc.fill_null(pc.is_in(self.rows["tag"], pa.array(UNSHOWN)), False).to_numpy()[self.row].tolist()
+        up, next_, of = self.up.tolist(), self.named("next")[self.row].tolist(), self.of.tolist()
+        before: dict[int, list[int]] = {}
+        below: dict[int, list[int]] = {}
+        last: dict[int, int] = {}
+        for k in of_pages.tolist():
+            last[of[k]] = k
+            sibling = last.get(next_[k]) if next_[k] >= 0 else None
+            if sibling is not None and sibling != k and up[sibling] == up[k]:
+                before.setdefault(sibling, []).append(k)
+            else:
+                below.setdefault(up[k], []).append(k)
+        first, final, shut = [0] * len(up), [0] * len(up), [-1] * len(up)
+        count = 0
+        todo = [(k, 0) for k in reversed(below.get(-1, []))]
+        while todo:
+            k, step = todo.pop()
+            if step == 0:  # those before it, then itself
+                todo.append((k, 1))
+                todo += [(x, 0) for x in reversed(before.get(k, []))]
+            elif step == 1:
+                first[k] = count
+                shut[k] = count if unshown[k] else shut[up[k]] if up[k] >= 0 else -1
+                count += 1
+                todo.append((k, 2))
+                todo += [(x, 0) for x in reversed(below.get(k, []))]
+            else:
+                final[k] = count
+        return np.array(first, np.int64), np.array(final, np.int64), np.array(shut, np.int64)
+
+    def links(self, target: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of elements at moments: the rows that told their class last, and the address that a browser follows: their own, else that of the nearest anchor above that has one."""
+        node = _at(self.of, target)
+        href, is_null = self.told(self.is_said["add"] | self.is_said["href"]), self.rows["href"].is_null().to_numpy()
+        address = href(node, at)
+        anchor = _at(self.anchor, target)
+        while len(open_ := np.flatnonzero((anchor >= 0) & ((address < 0) | is_null[address]))):
+            address[open_] = href(self.of[anchor[open_]], at[open_])
+            anchor[open_] = self.anchor[anchor[open_]]
+        return self.told(self.is_said["add"] | self.is_said["class"])(node, at), address
+
+    def shown(self, target: np.ndarray, at: np.ndarray, cap: int) -> list[str | None]:
+        """The texts below elements at moments, in page order; no more of them once there are more than ``cap`` characters that are no white space. Some at a time of each element."""
+        parts: list[list[str]] = [[] for _ in target]
+        length = np.zeros(len(target), np.int64)
+        asked = np.flatnonzero(target >= 0)
+        if len(asked):
+            first, final, shut = self.numbered(np.unique(self.page[self.row[target[asked]]]))
+            is_text = pc.fill_null(pc.equal(self.rows["kind"], TEXT), False).to_numpy()
+            texts = self.living[is_text[self.row[self.living]] & (final[self.living] > 0)]
+            texts = texts[np.argsort(first[texts], kind="stable")]
+            value = self.told(self.is_said["text"] | (self.is_said["add"] & is_text))
+            top = _at(first, target, 0)
+            start, stop = np.searchsorted(first[texts], top), np.searchsorted(first[texts], _at(final, target, 0))
+            while len(asked := asked[(start[asked] < stop[asked]) & (length[asked] <= cap)]):
+                some = np.minimum(stop[asked] - start[asked], STRETCH)
+                who = np.repeat(asked, some)
+                text = texts[np.arange(len(who)) - np.repeat(np.cumsum(some) - some, some) + start[who]]
+                seen = (self.born[text] <= at[who]) & (at[who] < self.ends[text]) & (shut[text] < top[who])
+                who, text = who[seen], text[seen]
+                for k, said in zip(who.tolist(), _picked(self.rows["value"], value(self.of[text], at[who])).to_pylist(), strict=True):
+                    if said:
+                        parts[k].append(said)
+                        length[k] += len("".join(said.split()))
+                start[asked] += some
+        return ["".join(x) for x in parts]
 
 
+# ------------------------------------------------------------------ lifetimes
 def lifetimes(told: DataFrame) -> DataFrame:
-    """Instances with ``ends`` as it is with all ancestors, and (anchor, anchor_born), the nearest anchor above in its own document.
+    """Each node from each of its adds on: (keys, epoch, node_id, born, ends, parent, parent_born, tag, kind, value, next, place, anchor, anchor_born).
 
-    Those that never live end where they are born.
+    ends: by its own removal, the next add or the end of any ancestor, exclusive; those that never live end where they are born. (anchor, anchor_born): the nearest anchor above in its own document.
     """
-    found = settled(instances(told))
-    lost = F.col("parent").isNotNull() & F.col("parent_born").isNull()
-    now = found.withColumn("ends", F.when(lost, F.col("born")).otherwise(F.col("ends"))).withColumn("up", F.when(F.col("parent_born").isNotNull(), F.struct(F.col("parent").alias("id"), F.col("parent_born").alias("born"))))
-    # of the stretch from a node, exclusive, to where its pointer leads, inclusive: the nearest anchor, and whether a document shuts off what is beyond it
-    kinds = now.select(*PAGE, F.col("node_id").alias("_id"), F.col("born").alias("_born"), F.col("tag").alias("_tag"), F.col("ends").alias("_ends"), F.col("up").alias("_up"))
-    on = [*(F.col(f"a.{k}") == F.col(f"b.{k}") for k in PAGE), F.col("a.up.id") == F.col("b._id"), F.col("a.up.born") == F.col("b._born")]
-    first = now.alias("a").join(kinds.alias("b"), on, "left").select(
-        "a.*",
-        F.when(F.col("b._tag").isin(*ANCHORS), F.col("a.up")).alias("anchor"),
-        F.coalesce(F.col("b._tag").isNull(), F.lit(True)).alias("shut"),
-    )
-    now = settled(first)
-    while not now.where("up is not null").isEmpty():
-        beyond = now.select(*PAGE, F.col("node_id").alias("_id"), F.col("born").alias("_born"), F.col("ends").alias("_ends"), F.col("up").alias("_up"), F.col("anchor").alias("_anchor"), F.col("shut").alias("_shut"))
-        both = now.alias("a").join(beyond.alias("b"), on, "left")
-        now = settled(
-            both.select(
-                *(F.col(f"a.{c}") for c in now.columns if c not in ("ends", "up", "anchor", "shut")),
-                F.least("a.ends", F.coalesce("b._ends", F.lit(NEVER))).alias("ends"),
-                F.col("b._up").alias("up"),
-                F.coalesce("a.anchor", F.when(~F.col("a.shut"), F.col("b._anchor"))).alias("anchor"),
-                (F.col("a.shut") | F.coalesce("b._shut", F.lit(True))).alias("shut"),
-            )
-        )
-    return now.withColumn("anchor_born", F.col("anchor.born")).withColumn("anchor", F.col("anchor.id")).withColumn("ends", F.greatest("ends", "born")).drop("up", "shut")
-
-
-def alive_at(asks: DataFrame, lives: DataFrame, node: str, at: str, names: tuple[str, ...], inclusive: bool = True) -> DataFrame:
-    """asks with ``born`` and ``names`` of the instance of ``node`` that lives at ``at``, or nulls. inclusive: one born in the event itself counts; else one that ends in it."""
-    what = F.struct("born", "ends", *names)
-    states = lives.where("ends > born").select(*PAGE, F.col("node_id").alias("_key"), F.col("born").alias("_at"), F.lit(0 if inclusive else 1).alias("_side"), what.alias("_now"))
-    rows = asks.withColumn("_key", F.col(node)).withColumn("_at", F.col(at)).withColumn("_side", F.lit(1 if inclusive else 0))
-    last = F.last("_now", ignorenulls=True).over(Window.partitionBy(*PAGE, "_key").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    out = rows.unionByName(states, allowMissingColumns=True).withColumn("_now", last).where(F.col("_side") == (1 if inclusive else 0))
-    lives_then = F.col("_now.ends") > F.col("_at") if inclusive else F.col("_now.ends") >= F.col("_at")
-    return out.withColumn("_now", F.when(lives_then, F.col("_now"))).select(*asks.columns, *(F.col("_now")[c].alias(c) for c in ("born", *names)))
-
-
-def attribute_at(asks: DataFrame, told: DataFrame, node: str, born: str, at: str, name: str) -> DataFrame:
-    """asks with ``name`` of the instance (node, born) as it was told last, up to and with ``at``."""
-    box = F.struct(F.col(name).alias("v"))
-    states = told.where(F.col("said").isin("add", name)).select(*PAGE, F.col("node_id").alias("_key"), F.col("at").alias("_at"), F.lit(0).alias("_side"), F.col("place").alias("_place"), box.alias("_now"))
-    rows = asks.drop(name).withColumns({"_key": F.col(node), "_at": F.col(at), "_side": F.lit(1), "_place": F.lit(0)})
-    w = Window.partitionBy(*PAGE, "_key").orderBy("_at", "_side", "_place").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.unionByName(states, allowMissingColumns=True).withColumn("_now", F.last("_now", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select(*(c for c in asks.columns if c != name), F.when(F.col(born).isNotNull(), F.col("_now.v")).alias(name))
-
-
-def targets(events: DataFrame, told: DataFrame, lives: DataFrame, target: str = "target_id") -> DataFrame:
-    """Adds tag, class and href of each event's target as they stood then, and (born, anchor, anchor_born); null without a living element of that id. events: with epoch and at."""
-    out = alive_at(events.drop("tag", "class", "href", "born", "anchor", "anchor_born"), lives, target, "at", ("tag", "anchor", "anchor_born"))
-    none = F.col("tag").isNull()
-    out = out.withColumns({c: F.when(~none, F.col(c)) for c in ("born", "anchor", "anchor_born")})
-    return attribute_at(attribute_at(out, told, target, "born", "at", "class"), told, target, "born", "at", "href")
+    as_told = [*PAGE, "node_id", "parent", "tag", "kind", "value", "next", "place"]
+
+    def f(rows: pa.Table) -> pa.Table:
+        p = _Played(rows)
+        out = rows.select(as_told).take(pa.array(p.row, pa.int64()))
+        born, ids = pa.chunked_array([pa.array(p.born, pa.int64())]), out["node_id"]
+        more = {"born": born, "ends": pa.array(p.ends, pa.int64()), "parent_born": _picked(born, p.up), "anchor": _picked(ids, p.anchor), "anchor_born": _picked(born, p.anchor)}
+        for name, values in more.items():
+            out = out.append_column(name, values)
+        return out
+
+    return _by_page(told.where("said in ('add', 'remove')").select("at", "said", *as_told), f, _schema(told, as_told, ", ".join(f"{c} long" for c in ("born", "ends", "parent_born", "anchor", "anchor_born"))))
+
+
+# ------------------------------------------------------------------ targets
+def _asked(clicks: DataFrame, told: DataFrame, says: tuple[str, ...], needs: tuple[str, ...], f: Callable[[_Played, np.ndarray], dict[str, pa.Array]], found: str) -> DataFrame:
+    """clicks with what f finds of them: clicks travel to the rows of their page, and come back alone. f: of pages and the clicks' places among their rows."""
+    columns = clicks.columns
+    asks = clicks.select(*PAGE, "at", F.col("target_id").alias("node_id"), F.lit("ask").alias("said"), F.struct(*columns).alias("ask"))
+    both = told.where(F.col("said").isin(*says)).select(*PAGE, "at", "node_id", "said", "place", "tag", "parent", *needs).unionByName(asks, allowMissingColumns=True)
+
+    def run(rows: pa.Table) -> pa.Table:
+        p = _Played(rows)
+        places = np.flatnonzero(p.is_said["ask"])
+        own = rows["ask"].combine_chunks().take(pa.array(places, pa.int64()))
+        return pa.Table.from_pydict({**dict(zip(columns, own.flatten(), strict=True)), **f(p, places)})
+
+    return _by_page(both, run, _schema(clicks, columns, found))
+
+
+def _targets(p: _Played, clicks: np.ndarray) -> np.ndarray:
+    """The living elements that clicks meant, or -1."""
+    target = p.alive(p.node[clicks], p.at[clicks])
+    return np.where(_at(p.no_tag[p.row], target, True), -1, target)
+
+
+def _links(p: _Played, clicks: np.ndarray) -> dict[str, pa.Array]:
+    target = _targets(p, clicks)
+    class_, href = p.links(target, p.at[clicks])
+    return {"tag": _picked(p.rows["tag"], _at(p.row, target)), "class": _picked(p.rows["class"], class_), "href": _picked(p.rows["href"], href)}
+
+
+def _texts(cap: int) -> Callable[[_Played, np.ndarray], dict[str, pa.Array]]:
+    return lambda p, clicks: {"text": pa.array(p.shown(_targets(p, clicks), p.at[clicks], cap), pa.string())}
+
+
+_LINK_SAYS, _TEXT_SAYS = ("add", "remove", "class", "href"), ("add", "remove", "text")
+_LINK_NEEDS, _TEXT_NEEDS = ("class", "href"), ("kind", "value", "next")
+
+
+def _cut(clicks: DataFrame, cap: int) -> DataFrame:
+    return clicks.withColumn("text", F.nullif(X.truncate_words(X.collapse("text"), cap), F.lit("")))
 
 
 def followed(clicks: DataFrame, told: DataFrame, lives: DataFrame | None = None) -> DataFrame:
-    """Clicks with tag, class and the address that the browser follows: the target's own, else that of the nearest anchor above it that has one.
+    """Clicks with tag, class and the address that the browser follows: the target's own, else that of the nearest anchor above it that has one; null without a living element.
 
-    A round asks the nearest anchor of each click that is still open; only anchors without an address lead to another, so there are as many rounds as such
-    anchors lie within each other.
+    clicks: with epoch, at and target_id. ``lives`` isn't needed: what was told has all of it, and is played where it meets the clicks.
     """
-    lives = lifetimes(told) if lives is None else lives
-    done = settled(targets(clicks, told, lives))
-    own = [c for c in clicks.columns if c not in ("tag", "class", "href")]
-    out, open_ = done.where("href is not null or anchor is null"), done.where("href is null and anchor is not null")
-    links = lives.select(*PAGE, F.col("node_id").alias("anchor"), F.col("born").alias("anchor_born"), F.struct("anchor", "anchor_born").alias("next"))
-    while not open_.isEmpty():
-        asked = attribute_at(open_, told, "anchor", "anchor_born", "at", "href").join(links, [*PAGE, "anchor", "anchor_born"], "left")
-        asked = settled(asked.withColumn("anchor", F.col("next.anchor")).withColumn("anchor_born", F.col("next.anchor_born")).drop("next"))
-        out = out.unionByName(asked.where("href is not null or anchor is null"))
-        open_ = asked.where("href is null and anchor is not null")
-    return out.select(*own, "tag", "class", "href")
-
-
-# ------------------------------------------------------------------ shown text
-def _numbered(page: pa.Table) -> pa.Table:
-    """A page's instances with their number in document order and that of the last one below, over all that ever lived in it. What was added before a sibling stands right before it."""
-    rows = page.sort_by([("born", "ascending"), ("place", "ascending")])
-    ids, born, parent, parent_born, next_ = (rows[c].to_pylist() for c in ("node_id", "born", "parent", "parent_born", "next"))
-    number = {(i, b): k for k, (i, b) in enumerate(zip(ids, born, strict=True))}
-    before: dict[int, list[int]] = {}
-    below: dict[int | None, list[int]] = {}
-    last: dict[int, int] = {}
-    for k in range(len(ids)):
-        last[ids[k]] = k
-        up = number.get((parent[k], parent_born[k]))
-        sibling = last.get(next_[k]) if next_[k] is not None else None
-        if sibling is not None and sibling != k and number.get((parent[sibling], parent_born[sibling])) == up:
-            before.setdefault(sibling, []).append(k)
-        else:
-            below.setdefault(up, []).append(k)
-    first, final = [0] * len(ids), [0] * len(ids)
-    count = 0
-    todo = [(k, 0) for k in reversed(below.get(None, []))]
-    while todo:
-        k, step = todo.pop()
-        if step == 0:  # those before it, then itself
-            todo.append((k, 1))
-            todo += [(x, 0) for x in reversed(before.get(k, []))]
-        elif step == 1:
-            first[k] = count
-            count += 1
-            todo.append((k, 2))
-            todo += [(x, 0) for x in reversed(below.get(k, []))]
-        else:
-            final[k] = count
-    return rows.append_column("first", pa.array(first, pa.int64())).append_column("final", pa.array(final, pa.int64())).select([*PAGE, "node_id", "born", "first", "final"])
-
-
-def _blocks(first: Column, final: Column, levels: int) -> Column:
-    """The range from first to before final as the fewest dyadic blocks (level, block) that make it up: at each level what sticks out on the left, and on the right."""
-
-    def step(acc: Column, level: Column) -> Column:
-        a, b = acc["a"], acc["b"]
-        block = lambda x: F.array(F.struct(level.alias("level"), x.alias("block")))
-        none = F.slice(block(a), 1, 0)
-        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1)
-        found = F.concat(acc["out"], F.when(left, block(a)).otherwise(none), F.when(right, block(b - 1)).otherwise(none))
-        return F.struct(F.floor((a + F.when(left, 1).otherwise(0)) / 2).alias("a"), F.floor(b / 2).alias("b"), found.alias("out"))
-
-    nothing = F.slice(F.array(F.struct(F.lit(0).alias("level"), F.lit(0).cast("long").alias("block"))), 1, 0)
-    start = F.struct(first.cast("long").alias("a"), final.cast("long").alias("b"), nothing.alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["out"])
-
-
-def _around(number: str, levels: int) -> Column:
-    """The dyadic blocks that hold a number, one a level."""
-    return F.expr(f"transform(sequence(0, {levels}), l -> struct(l as level, shiftright({number}, l) as block))")
-
-
-def with_text(clicks: DataFrame, told: DataFrame, lives: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
-    """Clicks on living elements with ``text``, what these show then: the texts below them in page order, white space collapsed, cut at whole words; null if nothing.
-
-    Nodes are numbered in document order, so what is below a node is a range of numbers. Ranges are cut into dyadic blocks and meet texts by these, equal by equal, so a
-    click meets the texts below its target and no others.
+    return _asked(clicks.drop("tag", "class", "href"), told, _LINK_SAYS, _LINK_NEEDS, _links, "tag string, class string, href string")
+
+
+def with_text(clicks: DataFrame, told: DataFrame, lives: DataFrame | None = None, cap: int = TEXT_CAP) -> DataFrame:
+    """Clicks with ``text``, what their living elements show then: the texts below them in page order, white space collapsed, cut at whole words; null if nothing. ``lives`` isn't needed.
+
+    Nodes are numbered in document order, so what is below a node is a range of numbers.
     """
-    columns = [c for c in clicks.columns if c != "text"]
-    marked = settled(clicks.select(*columns).withColumn("_click", F.monotonically_increasing_id()))
-    numbers = settled(lives.select(*PAGE, "node_id", "born", "place", "parent", "parent_born", "next").groupBy(*PAGE).applyInArrow(_numbered, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lives.select(*PAGE, "node_id", "born").schema) + ", first long, final long"))
-    levels = int(numbers.agg(F.max("final")).first()[0] or 0).bit_length()
-    lives = lives.join(numbers, [*PAGE, "node_id", "born"])
-    asked = alive_at(marked.select("_click", *PAGE, "at", "target_id"), lives, "target_id", "at", ("tag", "first", "final")).where("tag is not null")
-    asked = asked.select("_click", *PAGE, "at", F.col("first").alias("top"), F.inline(_blocks(F.col("first"), F.col("final"), levels)))
-    # values of each text over time
-    said = told.where((F.col("said") == "text") | ((F.col("said") == "add") & (F.col("kind") == TEXT))).groupBy(*PAGE, "node_id", "at").agg(F.max_by("value", "place").alias("value"))
-    said = said.withColumn("until", F.coalesce(F.lead("at").over(Window.partitionBy(*PAGE, "node_id").orderBy("at")), F.lit(NEVER)))
-    texts = lives.where((F.col("kind") == TEXT) & (F.col("ends") > F.col("born"))).select(*PAGE, "node_id", "born", "ends", "first")
-    texts = texts.join(said, [*PAGE, "node_id"]).where("at < ends and until > born").select(*PAGE, "first", F.greatest("at", "born").alias("from"), F.least("until", "ends").alias("until"), "value")
-    texts = texts.select(*PAGE, F.col("first").alias("text_at"), "from", "until", "value", F.inline(_around("first", levels)))
-    met = asked.join(texts, [*PAGE, "level", "block"]).where("at >= from and at < until").select("_click", "text_at", "value", "top", *PAGE)
-    # texts within an element that shows none, from the target downward
-    unshown = lives.where(F.col("tag").isin(*UNSHOWN)).select(*PAGE, F.col("first").alias("shut_at"), F.inline(_blocks(F.col("first"), F.col("final"), levels)))
-    around = met.select("_click", "text_at", "top", *PAGE, F.inline(_around("text_at", levels)))
-    hidden = around.join(unshown, [*PAGE, "level", "block"]).where("shut_at >= top").select("_click", "text_at").distinct()
-    shown = met.join(hidden, ["_click", "text_at"], "left_anti")
-    whole = shown.groupBy("_click").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("text_at", "value"))), lambda x: F.coalesce(x["value"], F.lit(""))), "").alias("_whole"))
-    text = X.truncate_words(X.collapse("_whole"), cap)
-    return marked.join(whole, "_click", "left").withColumn("text", F.nullif(text, F.lit(""))).select(*columns, "text")
+    return _cut(_asked(clicks.drop("text"), told, _TEXT_SAYS, _TEXT_NEEDS, _texts(cap), "text string"), cap)
+
+
+def seen(clicks: DataFrame, told: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
+    """``followed`` and ``with_text`` at once."""
+    texts = _texts(cap)
+    out = _asked(clicks.drop("tag", "class", "href", "text"), told, (*_LINK_SAYS, "text"), (*_LINK_NEEDS, *_TEXT_NEEDS), lambda p, at: {**_links(p, at), **texts(p, at)}, "tag string, class string, href string, text string")
+    return _cut(out, cap)
 
 
 # ------------------------------------------------------------------ references
@@ -302,17 +433,22 @@ def with_text(clicks: DataFrame, told: DataFrame, lives: DataFrame, cap: int = T
 FAULTS = {"remove": "remove of unknown node", "text": "text change on unknown node", "attributes": "attribute change on unknown node", "add": "add never resolved of node", "refer": "event references unknown node"}
 
 
-def unresolved(told: DataFrame, lives: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, epoch, at, timestamp, node_id, said, more): what events name that doesn't live then.
+def unresolved(told: DataFrame, lives: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, epoch, at, timestamp, node_id, said, more): what events name that doesn't live then. ``lives`` isn't needed.
 
     A removal names a node that must have lived before; a change of text or attributes, and an act, one that lives then; an add its parent.
     """
-    keep = [*PAGE, "at", "timestamp", *more]
-    names = told.where(F.col("said").isin("text", "attributes", "refer", "remove")).select(*keep, "node_id", F.col("node_id").alias("asked"), "said")
-    parents = told.where("said = 'add' and parent is not null").select(*keep, "node_id", F.col("parent").alias("asked"), "said")
-    later = alive_at(names.where("said <> 'remove'").unionByName(parents), lives, "asked", "at", ())
-    gone = alive_at(names.where("said = 'remove'"), lives, "asked", "at", (), inclusive=False)
-    return later.unionByName(gone).where("born is null").drop("born", "asked")
+    out = [*PAGE, "at", "timestamp", *more, "node_id", "said"]
+
+    def f(rows: pa.Table) -> pa.Table:
+        p = _Played(rows)
+        add, remove = p.is_said["add"], p.is_said["remove"]
+        asked = p.is_said["text"] | p.is_said["attributes"] | p.is_said["refer"] | remove | (add & rows["parent"].is_valid().to_numpy())
+        node = np.where(add, p.parent, p.node)
+        there = np.where(remove, p.alive(node, p.at, before=True), p.alive(node, p.at)) >= 0
+        return rows.select(out).take(pa.array(np.flatnonzero(asked & ~there), pa.int64()))
+
+    return _by_page(told.where("said not in ('class', 'href')").select(*out, "place", "tag", "parent"), f, _schema(told, out))
 
 
 def refusals(events: DataFrame, runs: DataFrame, raw: str = "raw") -> DataFrame:
@@ -326,8 +462,7 @@ def refusals(events: DataFrame, runs: DataFrame, raw: str = "raw") -> DataFrame:
     own = F.col("recorder_slice")
     joined = events.join(of_run.unionByName(heads), list(KEYS)).withColumn("own", own).withColumn("tail", own != F.col("into")).withColumn("recorder_slice", F.col("into"))
     joined = joined.withColumn("type", F.when(F.col("tail") & (F.col("type") == SNAPSHOT), -1).otherwise(F.col("type"))).drop("into")
-    told = settled(nodes(with_epochs(joined), raw, ("own", "tail")))
-    bad = unresolved(told.where("tail"), lifetimes(told.drop("own", "tail")), ("own",))
+    bad = unresolved(nodes(with_epochs(joined), raw, ("own", "tail")), more=("own", "tail")).where("tail")
     order = F.create_map(*(F.lit(x) for k, said in enumerate(FAULTS) for x in (said, k)))
     reason = F.create_map(*(F.lit(x) for pair in FAULTS.items() for x in pair))
     first = bad.groupBy("visitor_id", F.col("own").alias("recorder_slice")).agg(F.min_by(F.struct("timestamp", "said", "node_id"), F.struct("at", order[F.col("said")], "node_id")).alias("f"))

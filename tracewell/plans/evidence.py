@@ -9,7 +9,6 @@ from tracewell.functions import exprs as X
 from tracewell.functions import tables
 from tracewell.operators import books, diffs, dom, flat, pages, slices, spans, stream, telemetry, windows
 from tracewell.plans.catalog import _SLICES, _STATUS, ACTS, SQL, _slices, _status, acts, query, read
-from tracewell.settled import settled
 
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
@@ -536,8 +535,7 @@ _SECTIONS = f"{_EPOCHS}, se AS (SELECT *, k % 10 AS i FROM ep)"
  SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substr(t, 1, 79), '\\s+\\S*$', '') || '…' END AS text FROM t""")
 def click_texts(spark, sf_dir):
     e = dom.with_epochs(_living(spark, sf_dir))
-    told = settled(dom.nodes(e))
-    return dom.with_text(e.where("type_str = 'Click'").drop("raw", "type"), told, settled(dom.lifetimes(told))).select("id", "text")
+    return dom.with_text(e.where("type_str = 'Click'").drop("raw", "type"), dom.nodes(e)).select("id", "text")
 
 
 @query(f"""WITH {_SECTIONS}, p AS (SELECT visitor_id, recorder_slice, epoch, 41 + count(*) FILTER (WHERE type_str = 'Selection') AS instances, list(DISTINCT i) FILTER (WHERE type_str = 'Input') AS gone FROM se WHERE epoch > 0 GROUP BY ALL)
