@@ -264,3 +264,12 @@ def test_a_page_over_many_batches_and_many_pages_in_one(spark):
     words = " ".join(f"t{k}" for k in range(20_001, 20_020))
     out = {x["visitor_id"]: x["text"] for x in dom.seen(df.where("target_id is not null"), told).collect()}
     assert out == {f"v{v:02d}": words[:79].rsplit(" ", 1)[0] + "…" if v in (7, 8, 30) else "t29999" for v in range(40)}
+
+
+@pytest.mark.parametrize(("query", "moves"), [("node_lifetimes", 3)])
+def test_queries_move_what_was_told_once(spark, query, moves):
+    """Of the shuffles of a query over recorded pages one carries nodes (the others events, and what comes out); no step is written down and read again."""
+    from tracewell.plans import catalog, evidence  # noqa: F401
+
+    plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") - plan.count("BroadcastExchange ") <= moves and plan.count("MapInArrow") == 2 and "ExistingRDD" not in plan
