@@ -266,7 +266,7 @@ def test_a_page_over_many_batches_and_many_pages_in_one(spark):
     assert out == {f"v{v:02d}": words[:79].rsplit(" ", 1)[0] + "…" if v in (7, 8, 30) else "t29999" for v in range(40)}
 
 
-@pytest.mark.parametrize(("query", "moves"), [("node_lifetimes", 3), ("refused_slices", 6)])
+@pytest.mark.parametrize(("query", "moves"), [("node_lifetimes", 3), ("refused_slices", 6), ("click_targets", 3)])
 def test_queries_move_what_was_told_once(spark, query, moves):
     """Of the shuffles of a query over recorded pages one carries nodes (the others events, and what comes out); no step is written down and read again."""
     from tracewell.plans import catalog, evidence  # noqa: F401
