@@ -117,3 +117,12 @@ def test_diffs_of_all_pages(spark):
         own = [x for x in lone if x["key"] == row["key"]]
         assert applied(row["old"], own) == row["new"]
     assert catalog.QUERIES["page_diffs"](spark, SF).count() == df.count()
+
+
+def test_texts_move_as_rows_of_lines(spark):
+    """Words and lines are compared where both texts stand: two shuffles of pairs and their changed lines, and those of the join back; nothing is written down between."""
+    df = spark.createDataFrame([(1, "a", "b")], "id int, old string, new string")
+    plan = diffs.with_diffs(df, "old", "new")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 3 and "ExistingRDD" not in plan.replace("Scan ExistingRDD[id", "")
+    plan = diffs.shortened(df.withColumnRenamed("id", "key"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange " not in plan

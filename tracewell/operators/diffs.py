@@ -1,29 +1,26 @@
-"""What changed between two texts, as joins on equal lines.
+"""What changed between two texts, told line by line.
 
-A line that either text holds once is the same line in both; a longest rising sequence of such pairs, for each pair of texts on its own, keeps those that stand
+A line that either text holds once is the same line in both; a longest rising sequence of such pairs keeps those that stand
 in one order. Kept pairs cut both texts into gaps, and the next round looks for lines that are single within a gap. Where a gap shares only repeated
 lines, the first of each text is taken for the first of the other, and so on. Rounds end when no gap shares a line, so nothing that stands in the same place is
-reported, whatever the texts' length: no table of all pairs of lines is made, and none is given up on. A round is a grouped aggregate, a sequence for each
-gap, and a join, over all texts at once.
+reported, whatever the texts' length: no table of all pairs of lines is made, and none is given up on.
 
 A changed line and the one that takes its place are compared again by the same rounds, their words in the place of lines.
 
-What is held for one pair of texts fits where the texts themselves do: a row.
+Both texts of a pair stand in one row, so lines and words meet there (``matched``) and only changed lines become rows; words never do. What is held for one pair of texts fits where the texts themselves do: a row.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections.abc import Callable
-from functools import reduce
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, zip_longest
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.settled import settled
-
 #: Characters that stay on either side of what a line leaves out (a fixed value); stretches that wouldn't get shorter by it stay whole.
 ANCHOR = 40
 
@@ -45,52 +42,51 @@ def longest_rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _kept(pairs: pa.Table) -> pa.Table:
-    """Of one gap's pairs those of a longest sequence that rises on both sides."""
-    order = np.lexsort((pairs["new_at"].to_numpy(), pairs["old_at"].to_numpy()))
-    pairs = pairs.take(pa.array(order))
-    return pairs.take(pa.array(longest_rising(pairs["new_at"].to_pylist()), pa.int64())).select(["key", "gap", "old_at", "new_at"])
-
-
-def aligned(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """units(key, side int, at int, h, …) as (lone, kept): units without a mate, with ``gap``, the old place of the kept unit before or -1; and (key, side, at, mate) of those with one.
-
-    side: 0 for the old sequence, 1 for the new one. h: equal for equal units. Repeated rows of one key, side and place count once. A round
-    goes on with what is left of gaps that shared something, and writes down no more than that.
-    """
-    open_ = units.withColumn("gap", F.lit(-1))
-    kind = units.schema["key"].dataType.simpleString()
-    in_gap = Window.partitionBy("key", "gap")
-    before = Window.partitionBy("key", "side", "gap").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    places = lambda side: F.sort_array(F.collect_set(F.when(F.col("side") == side, F.col("at"))))
-    lone, kept = [], []
-    while True:
-        shared = open_.groupBy("key", "gap", "h").agg(places(0).alias("old"), places(1).alias("new")).where("size(old) > 0 and size(new) > 0")
-        single = (F.size("old") == 1) & (F.size("new") == 1)
-        shared = shared.withColumn("single", single).withColumn("any", F.max("single").over(in_gap)).where("single or not any")
-        n = F.least(F.size("old"), F.size("new"))
-        pairs = shared.select("key", "gap", F.inline(F.arrays_zip(F.slice("old", 1, n).alias("old_at"), F.slice("new", 1, n).alias("new_at"))).alias("old_at", "new_at"))
-        pairs = settled(pairs.groupBy("key", "gap").applyInArrow(_kept, f"key {kind}, gap int, old_at int, new_at int"))
-        if pairs.isEmpty():
-            lone.append(open_.dropDuplicates(["key", "side", "at"]))
-            break
-        told = pairs.select("key", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old_at").alias("at"), F.col("new_at").alias("mate")), F.struct(F.lit(1).alias("side"), F.col("new_at").alias("at"), F.col("old_at").alias("mate")))))
-        kept.append(told)
-        rows = open_.join(told, ["key", "side", "at"], "left").dropDuplicates(["key", "side", "at"])
-        old_place = F.when(F.col("mate").isNotNull(), F.when(F.col("side") == 0, F.col("at")).otherwise(F.col("mate")))
-        rows = rows.join(pairs.select("key", "gap", F.lit(True).alias("shares")).distinct(), ["key", "gap"], "left")
-        rows = rows.withColumn("gap", F.coalesce(F.last(old_place, ignorenulls=True).over(before), "gap")).where("mate is null").drop("mate")
-        rows = settled(rows)
-        lone.append(rows.where("shares is null").drop("shares"))
-        open_ = rows.where("shares").drop("shares")
-    none = units.sparkSession.createDataFrame([], f"key {kind}, side int, at int, mate int")
-    return reduce(DataFrame.unionByName, lone), reduce(DataFrame.unionByName, kept, none)
-
-
-def _units(rows: DataFrame, old: str, new: str, split: Callable) -> DataFrame:
-    """(key, side, at, h, part): the parts of both texts of each row."""
-    side = lambda k, c: rows.select("key", F.lit(k).alias("side"), F.posexplode(split(F.coalesce(c, F.lit("")))).alias("at", "part"))
-    return side(0, old).union(side(1, new)).select("key", "side", "at", F.unhex(F.md5("part")).alias("h"), "part")
+def matched(old: list[str], new: list[str]) -> tuple[list[tuple[int, int]], dict[int, tuple[list[int], list[int]]]]:
+    """(old place, new place) of units with a mate, in order, and of each gap the places on either side of units without one. A gap is named by the old place of the kept unit before, or -1."""
+    kept, lone = [], {}
+    todo = [(-1, range(len(old)), range(len(new)))]
+    while todo:
+        gap, olds, news = todo.pop()
+        at_old: dict[str, list[int]] = {}
+        at_new: dict[str, list[int]] = {}
+        for k in olds:
+            at_old.setdefault(old[k], []).append(k)
+        for k in news:
+            if new[k] in at_old:
+                at_new.setdefault(new[k], []).append(k)
+        pairs = [(at_old[x][0], ks[0]) for x, ks in at_new.items() if len(ks) == 1 and len(at_old[x]) == 1]
+        pairs = sorted(pairs or [pair for x, ks in at_new.items() for pair in zip(at_old[x], ks, strict=False)])
+        if not pairs:
+            lone[gap] = list(olds), list(news)
+            continue
+        pairs = [pairs[k] for k in longest_rising([n for _, n in pairs])]
+        kept += pairs
+        name, a, b = gap, 0, 0
+        for o, n in [*pairs, (len(old), len(new))]:
+            to_a, to_b = bisect_left(olds, o, a), bisect_left(news, n, b)
+            if to_a > a or to_b > b:
+                todo.append((name, olds[a:to_a], news[b:to_b]))
+            name, a, b = o, bisect_right(olds, o, to_a), bisect_right(news, n, to_b)
+    return sorted(kept), lone
+
+
+def _changed(rows: DataFrame) -> DataFrame:
+    """rows(key, old, new) to (key, gap, rank, old_at, new_at, old, new): a changed line and the one that took its place, or null, null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (old, new) in enumerate(zip(batch.column("old").to_pylist(), batch.column("new").to_pylist(), strict=True)):
+                a, b = old.split("\n"), new.split("\n")
+                told = [(gap, rank, x, y) for gap, sides in matched(a, b)[1].items() for rank, (x, y) in enumerate(zip_longest(*sides), 1)]
+                if told:
+                    gap, rank, x, y = (pa.array(c, pa.int32()) for c in zip(*told, strict=True))
+                    texts = (pa.array([None if t[side] is None else text[t[side]] for t in told], pa.string()) for side, text in ((2, a), (3, b)))
+                    key = batch.column("key").take(pa.array([k] * len(told)))
+                    yield pa.RecordBatch.from_arrays([key, gap, rank, x, y, *texts], ["key", "gap", "rank", "old_at", "new_at", "old", "new"])
+
+    differ = rows.where(F.coalesce("old", F.lit("")) != F.coalesce("new", F.lit(""))).select("key", F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new"))
+    return differ.dropDuplicates(["key"]).mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, gap int, rank int, old_at int, new_at int, old string, new string")
 
 
 def changed_lines(rows: DataFrame, old: str, new: str) -> DataFrame:
@@ -99,30 +95,60 @@ def changed_lines(rows: DataFrame, old: str, new: str) -> DataFrame:
     gap: the old place of the kept line before, or -1. rank: the line's number among its side's changed lines in the gap, so that what was
     there and what took its place have the same.
     """
-    units = _units(rows.where(F.coalesce(old, F.lit("")) != F.coalesce(new, F.lit(""))), old, new, lambda c: F.split(c, "\n", -1))
-    rank = F.row_number().over(Window.partitionBy("key", "side", "gap").orderBy("at"))
-    return aligned(units)[0].select("key", "gap", rank.alias("rank"), "side", "at", F.col("part").alias("line"))
+    both = _changed(rows.select("key", F.col(old).alias("old"), F.col(new).alias("new")))
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(f"{c}_at").alias("at"), F.col(c).alias("line"))
+    return both.select("key", "gap", "rank", F.inline(F.array(side(0, "old"), side(1, "new")))).where("at is not null")
+
+
+def _cuts(old: str, new: str, anchor: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Of two lines the stretches that are left out: runs of words that both hold, without ``anchor`` characters beside each change."""
+    words = [re.findall(r"\w+|\s+|[^\w\s]", x, re.ASCII) for x in (old, new)]
+    ends = [[0, *accumulate(map(len, x))] for x in words]
+    out: tuple[list, list] = [], []
+    runs: list[list[tuple[int, int]]] = []
+    for pair in matched(*words)[0]:
+        if runs and runs[-1][-1] == (pair[0] - 1, pair[1] - 1):
+            runs[-1].append(pair)
+        else:
+            runs.append([pair])
+    for run in runs:
+        for side, line in enumerate((old, new)):
+            start, end = ends[side][run[0][side]], ends[side][run[-1][side] + 1]
+            a, b = start + (anchor if start else 0), end - (anchor if end < len(line) else 0)
+            if end - start >= 2 * anchor and b > a:
+                out[side].append((a, b))
+    return out
+
+
+def _shortened(pairs: DataFrame, anchor: int) -> DataFrame:
+    """pairs with ``old`` and ``new`` cut."""
+    keep = pairs.columns
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = zip(batch.column("old").to_pylist(), batch.column("new").to_pylist(), strict=True)
+            # a stretch that is left out has two anchors' length at least
+            cuts = [_cuts(a, b, anchor) if min(len(a or ""), len(b or "")) >= 2 * anchor else ([], []) for a, b in lines]
+            sides = (pa.array([[{"start": a, "end": b} for a, b in x[side]] for x in cuts], kind) for side in (0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sides], [*keep, "_old", "_new"])
+
+    piece = lambda text, a, b: F.substring(text, a + 1, b - a)
+
+    def short(line: str) -> Column:
+        step = lambda acc, c: F.struct(F.concat(acc["out"], piece(F.col(line), acc["at"], c["start"]), F.lit("…")).alias("out"), c["end"].alias("at"))
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+        return F.aggregate(f"_{line}", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(line), acc["at"] + 1, F.char_length(line))))
+
+    spans = "array<struct<start:int,end:int>>"
+    told = pairs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema), f"_old {spans}", f"_new {spans}"]))
+    return told.withColumns({"old": short("old"), "new": short("new")}).select(*keep)
 
 
 def shortened(pairs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
     """(key, side, line) of pairs(key long, old, new): lines without the long stretches of words that both hold, of which ``anchor`` characters stay beside each change."""
-    units = _units(pairs, "old", "new", lambda c: F.regexp_extract_all(c, F.lit(r"(\w+|\s+|[^\w\s])"), F.lit(1)))
-    on_side = Window.partitionBy("key", "side").orderBy("at")
-    placed = units.withColumn("end", F.sum(F.char_length("part")).over(on_side)).withColumn("start", F.col("end") - F.char_length("part")).drop("part", "h")
-    kept = aligned(units.drop("part"))[1].join(placed, ["key", "side", "at"])
-    breaks = (F.coalesce(F.lag("at").over(on_side) + 1 != F.col("at"), F.lit(True)) | F.coalesce(F.lag("mate").over(on_side) + 1 != F.col("mate"), F.lit(True))).cast("int")
-    runs = kept.withColumn("new_run", breaks).withColumn("run", F.sum("new_run").over(on_side)).groupBy("key", "side", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    lines = pairs.select("key", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("old").alias("line")), F.struct(F.lit(1).alias("side"), F.col("new").alias("line")))))
-    runs = runs.join(lines, ["key", "side"])
-    head = F.when(F.col("start") > 0, anchor).otherwise(0)
-    tail = F.when(F.col("end") < F.char_length("line"), anchor).otherwise(0)
-    cut = runs.where(F.col("end") - F.col("start") >= 2 * anchor).select("key", "side", (F.col("start") + head).alias("start"), (F.col("end") - tail).alias("end")).where("end > start")
-    cuts = cut.groupBy("key", "side").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    piece = lambda text, a, b: F.substring(text, a + 1, b - a)
-    step = lambda acc, c: F.struct(F.concat(acc["out"], piece(F.col("line"), acc["at"], c["start"]), F.lit("…")).alias("out"), c["end"].alias("at"))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    short = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("line"), acc["at"].cast("int") + 1, F.char_length("line"))))
-    return lines.join(cuts, ["key", "side"], "left").select("key", "side", F.when(F.col("cuts").isNull(), F.col("line")).otherwise(short).alias("line"))
+    side = lambda k, c: F.struct(F.lit(k).alias("side"), F.col(c).alias("line"))
+    return _shortened(pairs, anchor).select("key", F.inline(F.array(side(0, "old"), side(1, "new"))))
 
 
 def with_diffs(versions: DataFrame, old: str, new: str, name: str = "diff") -> DataFrame:
@@ -133,13 +159,8 @@ def with_diffs(versions: DataFrame, old: str, new: str, name: str = "diff") -> D
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     # equal pairs of texts have one key and one diff; the length sets the two texts apart
     source = versions.drop(name).withColumn("_key", F.unhex(F.md5(F.concat(F.char_length(text(old)).cast("string"), F.lit(" "), text(old), text(new)))))
-    lone = settled(changed_lines(source.select(F.col("_key").alias("key"), F.col(old).alias("old"), F.col(new).alias("new")), "old", "new"))
-    both = lone.groupBy("key", "gap", "rank").agg(F.max(F.when(F.col("side") == 0, F.col("line"))).alias("old"), F.max(F.when(F.col("side") == 1, F.col("line"))).alias("new"))
-    long_ = settled(both.where((F.char_length("old") >= 2 * ANCHOR) & (F.char_length("new") >= 2 * ANCHOR)).withColumn("pair", F.monotonically_increasing_id()))
-    short = shortened(long_.select(F.col("pair").alias("key"), "old", "new")).withColumnRenamed("key", "pair").withColumnRenamed("line", "short")
-    short = short.join(long_.select("pair", "key", "gap", "rank"), "pair").drop("pair")
-    told = lone.join(short, ["key", "gap", "rank", "side"], "left")
-    told_text = F.concat(F.when(F.col("side") == 0, "- ").otherwise("+ "), F.coalesce("short", "line"))
-    lines = told.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("gap", "rank", "side", told_text.alias("text")))).alias("_lines"))
+    told = _shortened(_changed(source.select(F.col("_key").alias("key"), F.col(old).alias("old"), F.col(new).alias("new"))), ANCHOR)
+    both = F.concat_ws("\n", F.concat(F.lit("- "), "old"), F.concat(F.lit("+ "), "new"))
+    lines = told.groupBy(F.col("key").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("gap", "rank", both.alias("text")))).alias("_lines"))
     out = F.coalesce(F.array_join(F.col("_lines.text"), "\n"), F.lit(""))
     return source.join(lines, "_key", "left").withColumn(name, out).drop("_key", "_lines")
