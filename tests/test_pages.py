@@ -273,3 +273,48 @@ def test_queries_move_what_was_told_once(spark, query, moves):
 
     plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") - plan.count("BroadcastExchange ") <= moves and plan.count("MapInArrow") == 2 and "ExistingRDD" not in plan
+
+
+def test_what_was_told_in_arrays(spark, monkeypatch):
+    """One row an event, with repeated texts and stretches that break within a page: the operators find what they find of rows."""
+    monkeypatch.setattr(dom, "TEXTS", 300)
+    monkeypatch.setattr(dom, "NODES", 5)
+    page = {"type": 2, "data": {"node": {"type": 0, "id": 1, "childNodes": [{"type": 2, "id": 2, "tagName": "A", "attributes": {"href": "/a"}, "childNodes": [{"type": 3, "id": 3, "textContent": "é"}]}, {"type": 2, "id": 4, "tagName": "B"}]}}}
+    acts = [
+        page,
+        {"type": 3, "data": {"source": 0, "texts": [{"id": 3, "value": "now"}], "adds": [{"parentId": 2, "node": {"type": 3, "id": 5, "textContent": " more"}}], "attributes": [{"id": 4, "attributes": {"class": "c"}}]}},
+        {"type": 3, "data": {"source": 2, "id": 9}},
+        {"type": 3, "data": {"source": 0, "removes": [{"id": 2}, {"id": 8}], "adds": [{"parentId": 7, "node": {"type": 3, "id": 6}}]}},
+        {"type": 3, "data": {"source": 0}},
+    ]
+    rows = [(100 * v + k, f"v{v}", "s", k, f"{k:03d}", e["type"] if e else 3, json.dumps(e) if e else None, t) for v in range(3) for k, (e, t) in enumerate([*((e, None) for e in acts * 2), *((None, t) for t in (2, 3, 4, 9))])]
+    rows += [(100 * v + 50 + k, f"v{v}", "s", k, f"{k:03d}a", 3, None, t) for v in range(3) for k in range(10) for t in (2, 4)]
+    df = dom.with_epochs(spark.createDataFrame(rows, KIND))
+    told, clicks = dom.nodes(df), df.where("target_id is not null").drop("raw", "type")
+    as_set = lambda out: sorted(map(str, out.select(*sorted(out.columns)).collect()))
+    assert dom.packed(df).count() == 3 * 2 * 4 < told.count()
+    for f, need in (
+        (lambda x: dom.lifetimes(x), {}),
+        (lambda x: dom.lifetimes(x, ("ends", "anchor")), dom.OF_LIVES),
+        (lambda x: dom.followed(clicks, x), dom.OF_LINKS),
+        (lambda x: dom.with_text(clicks, x), dom.OF_TEXTS),
+        (lambda x: dom.seen(clicks, x), dom.OF_BOTH),
+        (lambda x: dom.unresolved(x), {}),
+    ):
+        assert as_set(f(dom.packed(df, **need))) == as_set(f(told)) != []
+
+
+def outputs(plan):
+    out = [plan.output().apply(k) for k in range(plan.output().size())]
+    for k in range(plan.children().size()):
+        out += outputs(plan.children().apply(k))
+    return out
+
+
+@pytest.mark.parametrize("query", ["node_lifetimes", "click_texts"])
+def test_queries_move_a_row_an_event(spark, query):
+    """What was told moves as arrays, so that no node is a row before it comes out."""
+    from tracewell.plans import catalog, evidence  # noqa: F401
+
+    plan = catalog.QUERIES[query](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed()
+    assert "array<string>" in {c.dataType().simpleString() for c in outputs(plan) if c.name() == "said"}

@@ -275,7 +275,7 @@ class Engine:
         rows = events.join(both, list(slices.KEYS)).withColumn("own", F.col("recorder_slice")).withColumn("recorder_slice", F.col("read_in")).drop("read_in")
         e = dom.with_epochs(rows.select("id", *slices.KEYS, "own", "timestamp", "counter", "type", "type_str", "event"))
         clicks = e.where("type_str = 'Click'").withColumn("target_id", F.get_json_object("event", "$.data.id").cast("long")).drop("event", "type", "type_str")
-        out = dom.seen(clicks, dom.nodes(e, "event")).withColumn("recorder_slice", F.col("own")).select("id", *slices.KEYS, "timestamp", "counter", "target_id", "tag", "class", "href", "text")
+        out = dom.seen(clicks, dom.packed(e, "event", **dom.OF_BOTH)).withColumn("recorder_slice", F.col("own")).select("id", *slices.KEYS, "timestamp", "counter", "target_id", "tag", "class", "href", "text")
         return out if asked is None else out.join(asked.select(*slices.KEYS).distinct(), list(slices.KEYS), "left_semi")
 
     def sql(self, text: str) -> DataFrame:

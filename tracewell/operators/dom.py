@@ -31,6 +31,8 @@ UNSHOWN = ("script", "style", "noscript", "template", "head", "title", "meta", "
 TEXT_CAP = 80
 #: Texts of an element that are looked at together (a fixed value).
 STRETCH = 32
+#: Bytes of events' texts that are taken apart together, and nodes that are taken out of arrays together (fixed values).
+TEXTS, NODES = 1 << 23, 1 << 18
 #: An end that never comes.
 NEVER = (1 << 62) - 1
 PAGE = (*KEYS, "epoch")
@@ -108,28 +110,53 @@ def with_epochs(events: DataFrame) -> DataFrame:
 
 def nodes(events: DataFrame, raw: str = "raw", more: tuple[str, ...] = ()) -> DataFrame:
     """What each event said of nodes: ``events`` with epochs to (keys, epoch, at, timestamp, node_id, tag, class, href, value, parent, next, kind, place, said), and ``more`` columns of the events."""
+    return _taken_apart(events, raw, more, None, tuple(_NODE), False)
+
+
+def packed(events: DataFrame, raw: str = "raw", more: tuple[str, ...] = (), only: tuple[str, ...] | None = None, needs: tuple[str, ...] = tuple(_TYPES)) -> DataFrame:
+    """``nodes`` with one row an event: what is said of nodes, of the kinds in ``only`` and with the columns in ``needs``, stands in arrays. The operators below take either; rows of arrays are far fewer to move and to sort."""
+    return _taken_apart(events, raw, more, only, tuple(c for c in _NODE if c in needs or c in ("node_id", "said", "place")), True)
+
+
+def _taken_apart(events: DataFrame, raw: str, more: tuple[str, ...], only: tuple[str, ...] | None, columns: tuple[str, ...], as_arrays: bool) -> DataFrame:
     keep = [*PAGE, "at", "timestamp", *more]
     source = events.where(F.col("type").isin(SNAPSHOT, INCREMENTAL)).select(*keep, F.col(raw).alias("raw"))
-    schema = source.drop("raw").schema
-    for name, kind in _TYPES.items():
-        schema = schema.add(name, kind)
+    schema = _schema(source, keep, ", ".join(f"`{c}` {f'array<{_TYPES[c]}>' if as_arrays else _TYPES[c]}" for c in columns))
+    fields = list(_NODE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, count = [], []
-            for text in batch.column("raw").to_pylist():
-                own = [row for row in _rows(text) if row[0] is not None] if text else []
-                rows += own
-                count.append(len(own))
-            count = np.array(count, np.int64)
-            told = batch.select(keep).take(pa.array(np.repeat(np.arange(len(count)), count)))
-            place = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-            columns = zip(*rows, strict=True) if rows else [()] * (len(_NODE) - 1)
-            yield pa.RecordBatch.from_arrays([*told.columns, *(pa.array(c, kind) for c, kind in zip(columns, list(_NODE.values())[:-1], strict=True)), pa.array(place, pa.int32())], [*keep, *_NODE])
+            for part in _stretches(batch, pc.binary_length(batch.column("raw")), TEXTS):
+                code = part.column("raw").dictionary_encode()  # texts that are repeated are taken apart once
+                each = [[(*row, k) for k, row in enumerate(x for x in _rows(text) if x[0] is not None) if only is None or row[-1] in only] if text else [] for text in code.dictionary.to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, each)]), pa.int32())
+                values = list(zip(*(row for own in each for row in own), strict=True)) or [()] * len(fields)
+                said = {c: pa.ListArray.from_arrays(ends, pa.array(values[fields.index(c)], _NODE[c])).take(code.indices) for c in columns}
+                out = pa.RecordBatch.from_arrays([*part.select(keep).columns, *said.values()], [*keep, *columns])
+                out = out.filter(pc.greater(pc.fill_null(pc.list_value_length(said["said"]), 0), 0))
+                yield from [out] if as_arrays else _as_rows(out)
 
     return source.mapInArrow(run, schema)
 
 
+def _stretches(batch: pa.RecordBatch, sizes: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of rows whose sizes come to little more than limit."""
+    part = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)) // limit
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else []
+    for start, stop in zip(starts, [*starts[1:], len(part)], strict=True):
+        yield batch.slice(start, stop - start)
+
+
+def _as_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch with what events said in arrays, as one of what they said; as it is if it has no arrays."""
+    if not pa.types.is_list(batch.column("said").type):
+        yield batch
+        return
+    for part in _stretches(batch, pc.list_value_length(batch.column("said")), NODES):
+        row = pa.array(np.repeat(np.arange(part.num_rows), pc.list_value_length(part.column("said")).to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([c.flatten() if n in _NODE else c.take(row) for n, c in zip(part.schema.names, part.columns, strict=True)], part.schema.names)
+
+
 # ------------------------------------------------------------------ pages in tasks
 def _page_numbers(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
     """A number for each row's page, from 0; rows of a page stand together."""
@@ -147,7 +174,7 @@ def _by_page(rows: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
+        for batch in (rows for packed_rows in batches for rows in _as_rows(packed_rows)):
             if not batch.num_rows:
                 continue
             page = _page_numbers(batch)
@@ -162,8 +189,17 @@ def _by_page(rows: DataFrame, f: Callable[[pa.Table], pa.Table], schema: str) ->
     return rows.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, schema)
 
 
-def _schema(rows: DataFrame, columns: list[str], more: str = "") -> str:
-    return ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), *([more] if more else [])])
+def _schema(rows: DataFrame, columns: list[str], more: str = "", types: dict[str, str] | None = None) -> str:
+    return ", ".join([*(f"`{c}` {(types or {}).get(c) or rows.schema[c].dataType.simpleString()}" for c in columns), *([more] if more else [])])
+
+
+def _is_packed(told: DataFrame) -> bool:
+    return told.schema["said"].dataType.typeName() == "array"
+
+
+def _of_kinds(told: DataFrame, says: tuple[str, ...]) -> DataFrame:
+    """Without other kinds, which aren't asked for; arrays keep them, as they hold those that ``packed`` was asked for."""
+    return told if _is_packed(told) else told.where(F.col("said").isin(*says))
 
 
 def _picked(values: pa.ChunkedArray, at: np.ndarray) -> pa.ChunkedArray:
@@ -346,31 +382,41 @@ class _Played:
 
 
 # ------------------------------------------------------------------ lifetimes
-def lifetimes(told: DataFrame) -> DataFrame:
-    """Each node from each of its adds on: (keys, epoch, node_id, born, ends, parent, parent_born, tag, kind, value, next, place, anchor, anchor_born).
+def lifetimes(told: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Each node from each of its adds on: (keys, epoch, node_id, born, ends, parent, parent_born, tag, kind, value, next, place, anchor, anchor_born), or the keys, epoch and these columns.
 
     ends: by its own removal, the next add or the end of any ancestor, exclusive; those that never live end where they are born. (anchor, anchor_born): the nearest anchor above in its own document.
     """
-    as_told = [*PAGE, "node_id", "parent", "tag", "kind", "value", "next", "place"]
+    asked = lambda names: [c for c in names if columns is None or c in columns]
+    as_told, found = [*PAGE, *asked(("node_id", "parent", "tag", "kind", "value", "next", "place"))], asked(("born", "ends", "parent_born", "anchor", "anchor_born"))
 
     def f(rows: pa.Table) -> pa.Table:
         p = _Played(rows)
-        out = rows.select(as_told).take(pa.array(p.row, pa.int64()))
-        born, ids = pa.chunked_array([pa.array(p.born, pa.int64())]), out["node_id"]
-        more = {"born": born, "ends": pa.array(p.ends, pa.int64()), "parent_born": _picked(born, p.up), "anchor": _picked(ids, p.anchor), "anchor_born": _picked(born, p.anchor)}
-        for name, values in more.items():
-            out = out.append_column(name, values)
+        row = pa.array(p.row, pa.int64())
+        out = rows.select(as_told).take(row)
+        born = pa.chunked_array([pa.array(p.born, pa.int64())])
+        more = {
+            "born": lambda: born, "ends": lambda: pa.array(p.ends, pa.int64()), "parent_born": lambda: _picked(born, p.up), "anchor": lambda: _picked(rows["node_id"], _at(p.row, p.anchor)), "anchor_born": lambda: _picked(born, p.anchor),
+        }
+        for name in found:
+            out = out.append_column(name, more[name]())
         return out
 
-    return _by_page(told.where("said in ('add', 'remove')").select("at", "said", *as_told), f, _schema(told, as_told, ", ".join(f"{c} long" for c in ("born", "ends", "parent_born", "anchor", "anchor_born"))))
+    needs = dict.fromkeys(("at", "said", *as_told, "node_id", "parent", "tag", "place"))
+    return _by_page(_of_kinds(told, ("add", "remove")).select(*needs), f, _schema(told, as_told, ", ".join(f"{c} long" for c in found), _TYPES))
 
 
 # ------------------------------------------------------------------ targets
 def _asked(clicks: DataFrame, told: DataFrame, says: tuple[str, ...], needs: tuple[str, ...], f: Callable[[_Played, np.ndarray], dict[str, pa.Array]], found: str) -> DataFrame:
     """clicks with what f finds of them: clicks travel to the rows of their page, and come back alone. f: of pages and the clicks' places among their rows."""
     columns = clicks.columns
-    asks = clicks.select(*PAGE, "at", F.col("target_id").alias("node_id"), F.lit("ask").alias("said"), F.struct(*columns).alias("ask"))
-    both = told.where(F.col("said").isin(*says)).select(*PAGE, "at", "node_id", "said", "place", "tag", "parent", *needs).unionByName(asks, allowMissingColumns=True)
+    of_nodes = ["node_id", "said", "place", "tag", "parent", *needs]
+    ask = {"node_id": F.col("target_id"), "said": F.lit("ask")}
+    asks = {c: ask.get(c, F.lit(None)).cast(_TYPES[c]) for c in of_nodes}
+    if _is_packed(told):
+        asks = {c: F.array(x) for c, x in asks.items()}
+    asks = clicks.select(*PAGE, "at", *(x.alias(c) for c, x in asks.items()), F.struct(*columns).alias("ask"))
+    both = _of_kinds(told, says).select(*PAGE, "at", *of_nodes).unionByName(asks, allowMissingColumns=True)
 
     def run(rows: pa.Table) -> pa.Table:
         p = _Played(rows)
@@ -397,8 +443,13 @@ def _texts(cap: int) -> Callable[[_Played, np.ndarray], dict[str, pa.Array]]:
     return lambda p, clicks: {"text": pa.array(p.shown(_targets(p, clicks), p.at[clicks], cap), pa.string())}
 
 
+#: What the operators below need to be told, for ``packed``: kinds, and columns.
 _LINK_SAYS, _TEXT_SAYS = ("add", "remove", "class", "href"), ("add", "remove", "text")
 _LINK_NEEDS, _TEXT_NEEDS = ("class", "href"), ("kind", "value", "next")
+OF_LINKS = {"only": _LINK_SAYS, "needs": ("tag", "parent", *_LINK_NEEDS)}
+OF_TEXTS = {"only": _TEXT_SAYS, "needs": ("tag", "parent", *_TEXT_NEEDS)}
+OF_BOTH = {"only": (*_LINK_SAYS, "text"), "needs": ("tag", "parent", *_LINK_NEEDS, *_TEXT_NEEDS)}
+OF_LIVES = {"only": ("add", "remove"), "needs": ("tag", "parent")}
 
 
 def _cut(clicks: DataFrame, cap: int) -> DataFrame:
@@ -448,7 +499,7 @@ def unresolved(told: DataFrame, lives: DataFrame | None = None, more: tuple[str,
         there = np.where(remove, p.alive(node, p.at, before=True), p.alive(node, p.at)) >= 0
         return rows.select(out).take(pa.array(np.flatnonzero(asked & ~there), pa.int64()))
 
-    return _by_page(told.where("said not in ('class', 'href')").select(*out, "place", "tag", "parent"), f, _schema(told, out))
+    return _by_page(_of_kinds(told, tuple(FAULTS)).select(*out, "place", "tag", "parent"), f, _schema(told, out, types=_TYPES))
 
 
 def refusals(events: DataFrame, runs: DataFrame, raw: str = "raw") -> DataFrame:

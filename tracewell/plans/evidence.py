@@ -535,13 +535,13 @@ _SECTIONS = f"{_EPOCHS}, se AS (SELECT *, k % 10 AS i FROM ep)"
  SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE regexp_replace(substr(t, 1, 79), '\\s+\\S*$', '') || '…' END AS text FROM t""")
 def click_texts(spark, sf_dir):
     e = dom.with_epochs(_living(spark, sf_dir))
-    return dom.with_text(e.where("type_str = 'Click'").drop("raw", "type"), dom.nodes(e)).select("id", "text")
+    return dom.with_text(e.where("type_str = 'Click'").drop("raw", "type"), dom.packed(e, **dom.OF_TEXTS)).select("id", "text")
 
 
 @query(f"""WITH {_SECTIONS}, p AS (SELECT visitor_id, recorder_slice, epoch, 41 + count(*) FILTER (WHERE type_str = 'Selection') AS instances, list(DISTINCT i) FILTER (WHERE type_str = 'Input') AS gone FROM se WHERE epoch > 0 GROUP BY ALL)
  SELECT p.visitor_id, p.recorder_slice, CAST(p.epoch AS BIGINT) AS epoch, p.instances, 41 - 4 * coalesce(len(p.gone), 0) + (SELECT count(DISTINCT x.k) FROM se x WHERE x.visitor_id = p.visitor_id AND x.recorder_slice = p.recorder_slice AND x.epoch = p.epoch AND x.type_str = 'Selection' AND NOT list_contains(coalesce(p.gone, []), x.i)) AS living FROM p""")
 def node_lifetimes(spark, sf_dir):
-    lives = dom.lifetimes(dom.nodes(dom.with_epochs(_living(spark, sf_dir)))).where("epoch > 0")
+    lives = dom.lifetimes(dom.packed(dom.with_epochs(_living(spark, sf_dir)), **dom.OF_LIVES), ("ends",)).where("epoch > 0")
     return lives.groupBy(*dom.PAGE).agg(F.count("*").alias("instances"), F.count_if(F.col("ends") == dom.NEVER).alias("living"))
 
 
