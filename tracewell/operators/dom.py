@@ -513,7 +513,7 @@ def refusals(events: DataFrame, runs: DataFrame, raw: str = "raw") -> DataFrame:
     own = F.col("recorder_slice")
     joined = events.join(of_run.unionByName(heads), list(KEYS)).withColumn("own", own).withColumn("tail", own != F.col("into")).withColumn("recorder_slice", F.col("into"))
     joined = joined.withColumn("type", F.when(F.col("tail") & (F.col("type") == SNAPSHOT), -1).otherwise(F.col("type"))).drop("into")
-    bad = unresolved(nodes(with_epochs(joined), raw, ("own", "tail")), more=("own", "tail")).where("tail")
+    bad = unresolved(packed(with_epochs(joined), raw, ("own", "tail"), tuple(FAULTS), ("tag", "parent")), more=("own", "tail")).where("tail")
     order = F.create_map(*(F.lit(x) for k, said in enumerate(FAULTS) for x in (said, k)))
     reason = F.create_map(*(F.lit(x) for pair in FAULTS.items() for x in pair))
     first = bad.groupBy("visitor_id", F.col("own").alias("recorder_slice")).agg(F.min_by(F.struct("timestamp", "said", "node_id"), F.struct("at", order[F.col("said")], "node_id")).alias("f"))
