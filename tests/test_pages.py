@@ -311,7 +311,7 @@ def outputs(plan):
     return out
 
 
-@pytest.mark.parametrize("query", ["node_lifetimes", "click_texts", "refused_slices"])
+@pytest.mark.parametrize("query", ["node_lifetimes", "click_texts", "refused_slices", "click_targets"])
 def test_queries_move_a_row_an_event(spark, query):
     """What was told moves as arrays, so that no node is a row before it comes out."""
     from tracewell.plans import catalog, evidence  # noqa: F401

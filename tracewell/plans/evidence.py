@@ -501,7 +501,7 @@ _EPOCHS = f"""{ACTS}, ep AS (SELECT *, sum(CASE WHEN type_str = 'PageLoad' THEN
 def click_targets(spark, sf_dir):
     e = _recorded(spark, sf_dir)
     clicks = e.where("type_str = 'Click'").drop("raw", "type", "type_str")
-    return dom.followed(clicks, dom.nodes(e)).select("id", "tag", "class", "href")
+    return dom.followed(clicks, dom.packed(e, **dom.OF_LINKS)).select("id", "tag", "class", "href")
 
 
 def _living(spark, sf_dir):
