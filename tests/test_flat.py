@@ -1,6 +1,7 @@
 """Flat rows and telemetry points against plain versions and worked cases."""
 
 import json
+import re
 
 import pytest
 
@@ -118,3 +119,18 @@ def test_moments_in_sql(spark):
     assert not telemetry.answer(spark, "select sum(double1) as s from telemetry where timestamp >= ms('2024-01-01')", points)["nothing"]
     empty = telemetry.answer(spark, "select count(*) as n from telemetry where timestamp >= ms('2025-01-01')", points)
     assert empty["nothing"] and empty["latest"] == 1_704_067_200_000
+
+
+def test_fields_are_looked_at_once(spark):
+    """Types of fields are told without patterns, and the event's source is taken out once."""
+    df = spark.createDataFrame([(1, None)], "id int, raw string")
+    plan = flat.flattened(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "schemaOfVariant" in plan
+    assert len(re.findall(r"element_at\(_data#\d+, source", plan)) == 1
+
+
+def test_long_inputs_are_cut_by_characters(spark):
+    given = ["é" * 10_001, "é" * 20_000, "\U0001f9ff" * 20_000, "\U0001f9ff" * 20_001, "x" * 19_999 + "éé"]
+    for text, out in zip(given, rows(spark, *({**E, "data": {"source": 5, "id": 3, "text": t}} for t in given)), strict=True):
+        cut = len(text) > 20_000
+        assert out["input"] == (text[:19_999] + "…" if cut else text) and out["extra"] == (f'{{"input_chars":{len(text)}}}' if cut else None)

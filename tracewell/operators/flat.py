@@ -24,30 +24,36 @@ NAMED = ("url", "href", "title", "referrer", "x", "y", "pointerType")
 INCREMENTAL, IDENTIFY, INPUT, MOVES = 3, 72, 5, (1, 6, 12)
 
 
+#: How the names of JSON types begin in a variant's schema, which for a decimal has more (fixed values).
+TEXT, BOOLEAN, NUMBERS = "STR", "BOO", ("BIG", "DOU", "DEC")
+
+
 def _kind(value: Column) -> Column:
     """What JSON type a value has; null for a field that isn't there or is null."""
     return F.nullif(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit("VOID"))
 
 
-def _is_number(value: Column) -> Column:
-    return F.coalesce(_kind(value).isin("BIGINT", "DOUBLE", "DECIMAL"), F.lit(False))
+def _is(value: Column, *kinds: str) -> Column:
+    """Whether a value is of one of these JSON types, told by how their names begin."""
+    return F.coalesce(F.substring(F.schema_of_variant(value), 1, 3).isin(*kinds), F.lit(False))
+
+
+def _is_there(value: Column) -> Column:
+    """Whether a field is there and isn't null."""
+    return value.isNotNull() & ~F.is_variant_null(value)
 
 
 def _of(value: Column, right: Column, kind: str) -> tuple[Column, Column]:
     """The value if it is of the right type, and whether it is there but isn't."""
-    return F.when(right, F.try_variant_get(value, "$", kind)), F.coalesce(_kind(value).isNotNull() & ~right, F.lit(False))
+    return F.when(right, F.try_variant_get(value, "$", kind)), _is_there(value) & ~right
 
 
 def text_value(value: Column) -> tuple[Column, Column]:
-    return _of(value, F.coalesce(_kind(value) == "STRING", F.lit(False)), "string")
+    return _of(value, _is(value, TEXT), "string")
 
 
 def number_value(value: Column) -> tuple[Column, Column]:
-    return _of(value, _is_number(value), "double")
-
-
-def _is_text(value: Column) -> Column:
-    return F.coalesce(_kind(value) == "STRING", F.lit(False))
+    return _of(value, _is(value, *NUMBERS), "double")
 
 
 def _short(value: Column) -> Column:
@@ -65,9 +71,11 @@ def flattened(events: DataFrame, raw: str = "raw") -> DataFrame:
     data = F.from_json(F.get_json_object(raw, "$.data"), "map<string,variant>")
     e = events.withColumn("_type", type_).withColumn("_data", F.coalesce(data, F.from_json(F.lit("{}"), "map<string,variant>")))
     get = lambda name: F.try_element_at("_data", F.lit(name))
-    incremental = F.col("_type") == INCREMENTAL
-    source, sub = F.try_variant_get(get("source"), "$", "int"), F.try_variant_get(get("type"), "$", "int")
-    is_input = F.coalesce(incremental & (source == INPUT), F.lit(False))
+    # what is asked for often stands in columns, as expressions that are repeated in branches and lambdas are evaluated anew in each
+    e = e.withColumn("_source", F.try_variant_get(get("source"), "$", "int"))
+    incremental, source, sub = F.col("_type") == INCREMENTAL, F.col("_source"), F.try_variant_get(get("type"), "$", "int")
+    e = e.withColumn("_is_input", F.coalesce(incremental & (source == INPUT), F.lit(False)))
+    is_input = F.col("_is_input")
     is_move = F.coalesce(incremental & source.isin(*MOVES), F.lit(False))
     wrong: list[Column] = []
 
@@ -88,21 +96,28 @@ def flattened(events: DataFrame, raw: str = "raw") -> DataFrame:
     wrong.append(bad)
     pointer = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in POINTERS.items() for x in p)), pointer.cast("int")), F.when(pointer.isNotNull(), F.format_string("%.0f", pointer)))
 
-    typed, typed_bad = text_value(get("text"))
-    cut = X.truncate(typed, VALUE_CAP)
-    no_text = _kind(get("text")).isNull()
-    checked = F.coalesce(_kind(get("isChecked")) == "BOOLEAN", F.lit(False))
-    wrong += [typed_bad & is_input, is_input & no_text & F.array_contains(F.map_keys("_data"), "isChecked") & ~checked]
+    e = e.withColumn("_typed", F.when(is_input, text_value(get("text"))[0]))
+    typed, chars = F.col("_typed"), F.col("_chars")  # characters only of what can be too long
+    e = e.withColumn("_chars", F.when(F.octet_length(typed) > VALUE_CAP, F.char_length(typed)))
+    long_ = F.coalesce(chars > VALUE_CAP, F.lit(False))
+    cut = F.when(long_, F.concat(F.substring(typed, 1, VALUE_CAP - 1), F.lit("…"))).otherwise(typed)
+    no_text = ~_is_there(get("text"))
+    checked = _is(get("isChecked"), BOOLEAN)
+    wrong += [is_input & typed.isNull() & ~no_text, is_input & no_text & F.map_contains_key("_data", F.lit("isChecked")) & ~checked]
     value = F.when(is_input, F.coalesce(cut, F.when(no_text & checked, F.try_variant_get(get("isChecked"), "$", "string"))))
 
     href, href_bad = text_value(get("href"))
     url, url_bad = text_value(get("url"))
     wrong += [href_bad, url_bad]
-    dropped = [*STRUCTURE, *BULKY, *NAMED]
-    rest = F.map_filter("_data", lambda k, v: ~k.isin(*dropped) & ~((k == "userId") & (F.col("_type") == IDENTIFY)) & ~(is_input & k.isin("text", "isChecked")) & (_is_text(v) | _is_number(v) | (_kind(v) == "BOOLEAN")))
-    rest = F.transform_values(rest, lambda k, v: F.when(_is_text(v), _short(v).cast("variant")).otherwise(v))
-    size = F.when(is_input & (cut != typed), F.create_map(F.lit("input_chars"), F.char_length(typed).cast("variant")))
-    rest = F.when(size.isNotNull(), F.map_concat(rest, size)).otherwise(rest)
+    names = lambda *more: F.array(*(F.lit(x) for x in (*STRUCTURE, *BULKY, *NAMED, *more)))
+    dropped = F.when(is_input, names("text", "isChecked")).when(F.coalesce(F.col("_type") == IDENTIFY, F.lit(True)), names("userId")).otherwise(names())
+    # fields are looked at one by one only where any are left by name
+    e = e.withColumn("_left", F.array_except(F.map_keys("_data"), dropped))
+    left = F.col("_left")
+    rest = F.map_filter("_data", lambda k, v: F.array_contains(left, k) & _is(v, TEXT, BOOLEAN, *NUMBERS))
+    rest = F.transform_values(rest, lambda k, v: F.when(_is(v, TEXT), _short(v).cast("variant")).otherwise(v))
+    rest = F.when(long_, F.map_concat(rest, F.create_map(F.lit("input_chars"), chars.cast("variant")))).otherwise(rest)
+    extra = F.when((F.size(left) > 0) | long_, F.nullif(F.to_json(rest), F.lit("{}")))
     out = {
         "type_str": X.kind_name(F.col("_type"), source, sub),
         "url": F.coalesce(href, url),
@@ -112,9 +127,9 @@ def flattened(events: DataFrame, raw: str = "raw") -> DataFrame:
         **place,
         "pointer_type": pointer,
         "input": value,
-        "extra": F.nullif(F.to_json(rest), F.lit("{}")),
+        "extra": extra,
     }
-    return e.withColumns({**out, "wrong_typed": reduce(add, (b.cast("int") for b in wrong))}).drop("_type", "_data", "_last")
+    return e.withColumns({**out, "wrong_typed": reduce(add, (b.cast("int") for b in wrong))}).drop("_type", "_data", "_source", "_is_input", "_last", "_typed", "_chars", "_left")
 
 
 def residue(flat: DataFrame) -> DataFrame:
